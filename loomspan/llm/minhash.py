@@ -122,38 +122,56 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
 
+LINKS = "a long, b long"
+
+
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket block pair that lie in different components and whose sketches allow a link.
+    """Confirmed links across components inside one bucket block pair; a spanning set of them.
 
-    Rows come sorted by (bucket, x, y); only one block pair is held at a time."""
+    Rows (bucket, x, y, id, component, own, sketch, shingles) come sorted by (bucket, x, y); only one block
+    pair is held at a time, of at most about 2 * BLOCK members."""
     held: list[tuple] = []
     at = None
 
-    def pairs() -> pa.RecordBatch | None:
+    def links() -> pa.RecordBatch | None:
         if len(held) < 2:
             return None
-        ids, comp, size = (np.array([r[i] for r in held], np.int64) for i in (3, 4, 5))
-        block = np.array([r[6] for r in held])
-        sketch = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), -1)
-        left, right = np.flatnonzero(block == at[1]), np.flatnonzero(block == at[2])
+        group = np.unique([r[1] for r in held], return_inverse=True)[1]
+        own = np.array([r[2] for r in held])
+        sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
+        size = np.array([len(r[4]) for r in held])
+        code = np.unique(np.concatenate([r[4] for r in held]), return_inverse=True)[1]
+        ends = np.cumsum(size)
+        parts = np.split(code, ends[:-1])
+        has = np.zeros(code.max() + 1, np.int64)
+        left, right = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
         us, vs = [], []
         for i in left:
             other = right if at[1] != at[2] else right[right > i]
-            other = other[(comp[other] != comp[i]) & (4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i]))]
+            other = other[(group[other] != group[i]) & (4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i]))]
             if len(other):
                 other = other[(sketch[other] == sketch[i]).sum(axis=1) >= SKETCH_FLOOR * REGISTERS]
-                us += [ids[i]] * len(other)
-                vs += ids[other].tolist()
+            if len(other):
+                has[parts[i]] = 1
+                common = np.add.reduceat(has[np.concatenate([parts[j] for j in other])], np.r_[0, np.cumsum(size[other])[:-1]])
+                has[parts[i]] = 0
+                for j in other[100 * common >= 75 * (size[other] + size[i] - common)]:
+                    if group[j] != group[i]:
+                        group[group == group[j]] = group[i]
+                        us.append(held[i][0])
+                        vs.append(held[j][0])
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[:3] != at:
-                if (out := pairs()) is not None:
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+        rows = zip(*(c.to_pylist() for c in batch.columns[3:7]), strict=True)
+        for i, row in enumerate(rows):
+            if keys[i] != at:
+                if (out := links()) is not None:
                     yield out
-                held, at = [], row[:3]
-            held.append(row)
-    if (out := pairs()) is not None:
+                held, at = [], keys[i]
+            held.append((*row, batch.columns[7][i].values.to_numpy()))
+    if (out := links()) is not None:
         yield out
 
 
@@ -206,15 +224,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = buckets.where("m > 2").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("size")).where("lo < hi")
     blocks = F.ceil(F.col("size") / BLOCK)
-    left = marked.select("bucket", "id", "component").join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(reps.select("id", "n_shingles", F.col("marks.sketch").alias("sketch")), "id")
+    left = marked.select("bucket", "id", "component").join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(reps.select("id", F.col("marks.sketch").alias("sketch")), "id").join(sets, "id")
     left = left.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "n_shingles", "own", "sketch")
+    left = left.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "own", "sketch", "shingles")
     dealt = left.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    pairs = dealt.mapInArrow(_remaining, "a long, b long").distinct()
-    links = links.union(scratch.keep(_confirmed(scratch.keep(pairs, "pairs"), sets), "links-1"))
+    links = links.union(scratch.keep(dealt.mapInArrow(_remaining, LINKS).distinct(), "links-1"))
     component = scratch.keep(connected_components(links, scratch, "second"), "component-1")
-    scratch.drop("buckets", "sets", "component-0", "pairs")
+    scratch.drop("buckets", "sets", "component-0")
 
     rep_of = member.select("hi", "lo", "rep").distinct()
     found = rep_of.join(component, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("found"))
