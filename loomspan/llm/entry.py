@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_extract, link_rank, minhash, mixing, pii, token_output
+from . import decontaminate, hamming_topk, html_extract, link_rank, minhash, mixing, pii, quality, suffix_dedup, token_output
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +21,27 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_passages(_read(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "quality", "toxic", "site", "posterior", "keep")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_read(spark, sf_dir, "pages"))
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_read(spark, sf_dir, "documents"))
 
@@ -40,7 +57,11 @@ def op10_link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_quality": op4_quality,
+    "op5_decontaminate": op5_decontaminate,
     "op6_html_extract": op6_html_extract,
+    "op7_hamming_topk": op7_hamming_topk,
     "op8_pii": op8_pii,
     "op9_token_output": op9_token_output,
     "op10_link_rank": op10_link_rank,
@@ -60,5 +81,12 @@ with recursive d as (
 ), c as (select a, min(b) component_id from r group by 1)
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, c.component_id, d.doc_id = c.component_id kept
 from d left join n using (doc_id) join c on c.a = d.doc_id
+""",
+    "op7_hamming_topk": """
+with d as (
+  select a.vec_id query_id, b.vec_id, list_sum([case when (a.embedding[i] > 0) <> (b.embedding[i] > 0) then 1 else 0 end for i in range(1, 65)])::int distance
+  from embeddings a join embeddings b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id
+), r as (select *, row_number() over (partition by query_id order by distance, vec_id)::int rank from d)
+select query_id, rank, vec_id, distance from r where rank <= 10
 """,
 }

@@ -262,8 +262,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows are kept as they come; pages of any length are read whole. An empty table gives no rows.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    ids = rows.where("html is not null and length(html) <= 100000")
-    sample = ids.orderBy(F.xxhash64("page_id"), "page_id", "url", F.xxhash64("html")).limit(sample_pages).select("html").collect()
+    ids = rows.where("length(html) <= 100000").select(F.xxhash64("page_id").alias("at"), "page_id").distinct().orderBy("at", "page_id").limit(sample_pages)
+    chosen = rows.join(F.broadcast(ids.select("page_id")), "page_id").where("length(html) <= 100000")
+    sample = chosen.select("page_id", "html").dropDuplicates(["page_id"]).orderBy("page_id").collect()
     weights = train([r.html for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
