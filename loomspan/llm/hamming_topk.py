@@ -1,80 +1,132 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-Vectors become sign codes cut into segments. A query whose kth verified distance is d is finished once the
-segments have been searched to radius r with d < segments * (r + 1) - 1 or so: by the pigeonhole principle
-any code within m * (r + 1) - 1 bits agrees with the query to within r bits in some segment. Equal codes fold
-into one entry that keeps its k + 1 smallest ids, so a very common vector is one row, not a hot bucket.
+Vectors become sign codes; equal codes fold into one entry that keeps its k + 1 smallest ids, so a very common
+vector is one row. Blocks of queries meet blocks of codes in tasks. A task cuts the codes into segments with a
+bucket table each and searches every query's segments at growing radius: after radius r in all m segments,
+every code within m * (r + 1) - 1 bits has been seen (the pigeonhole principle), so the search ends once the
+kth verified distance is no more than that. Block results merge by a bounded ranking.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch
 
-SEGMENT_BITS = 16
 TOP = 10
 QUERY_STEP = 20
+QUERY_BLOCK = 2048
+CODE_BLOCK = 16_384
 
 
-def sign_code(vector, first: int, bits: int):
-    """Bits `first` to `first + bits - 1` of the sign code as one long; a missing or null value is 0."""
-    return reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.get(vector, F.lit(first + i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits)])
+def sign_code(vector: Column, dims: int) -> Column:
+    """The signs as an array of longs, 64 bits each; a missing or null value is 0."""
+    value = lambda i: F.when(F.get(vector, F.lit(i)) > 0, F.lit(1 << i % 64 if i % 64 < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [value(i) for i in range(w, min(w + 64, dims))]) for w in range(0, dims, 64)]
+    return F.array(*words)
 
 
-def _flips(bits: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in pick) for pick in combinations(range(bits), radius)]
+@lru_cache(64)
+def flips(bits: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in pick) for pick in combinations(range(bits), radius)], np.int64)
 
 
-def top_k(vectors: DataFrame, k: int = TOP, query_step: int = QUERY_STEP, dims: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", segment_bits: int = SEGMENT_BITS) -> DataFrame:
+class MultiIndex:
+    """Bucket tables over the segments of a block of codes, (n, words) uint64."""
+
+    def __init__(self, codes: np.ndarray, dims: int):
+        self.codes, n = codes, len(codes)
+        self.m = max(1, round(dims / max(4, min(16, n.bit_length() - 1))))
+        cut = np.linspace(0, dims, self.m + 1).astype(int)
+        self.places = list(zip(cut[:-1].tolist(), np.diff(cut).tolist(), strict=True))
+        self.tables = []
+        for first, bits in self.places:
+            value = self.segment(codes, first, bits)
+            order = np.argsort(value, kind="stable")
+            self.tables.append((order, np.searchsorted(value[order], np.arange((1 << bits) + 1))))
+
+    @staticmethod
+    def segment(codes: np.ndarray, first: int, bits: int) -> np.ndarray:
+        word, shift = divmod(first, 64)
+        value = codes[:, word] >> np.uint64(shift)
+        if shift + bits > 64:
+            value = value | codes[:, word + 1] << np.uint64(64 - shift)
+        return (value & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def nearest(self, query: np.ndarray, least: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k codes first by (distance, least id): (place, distance)."""
+        own = [int(self.segment(query[None], first, bits)[0]) for first, bits in self.places]
+        seen = np.zeros(len(self.codes), bool)
+        found, far = np.empty(0, np.int64), np.empty(0, np.int64)
+        for radius in range(max(bits for _, bits in self.places) + 1):
+            for value, (_, bits), (order, start) in zip(own, self.places, self.tables, strict=True):
+                if radius > bits:
+                    continue
+                bucket = value ^ flips(bits, radius)
+                size = start[bucket + 1] - start[bucket]
+                bucket, size = bucket[size > 0], size[size > 0]
+                if not len(bucket):
+                    continue
+                at = np.repeat(start[bucket] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                new = order[at]
+                new = new[~seen[new]]
+                seen[new] = True
+                found = np.concatenate([found, new])
+                far = np.concatenate([far, np.bitwise_count(self.codes[new] ^ query).sum(axis=1, dtype=np.int64)])
+            if len(found) == len(self.codes) or len(found) >= k and np.partition(far, k - 1)[k - 1] <= self.m * (radius + 1) - 1:
+                break
+        best = np.lexsort((least[found], far))[:k]
+        return list(zip(found[best].tolist(), far[best].tolist(), strict=True))
+
+
+def _words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), np.int64).view(np.uint64)
+
+
+def top_k(vectors: DataFrame, k: int = TOP, query_step: int = QUERY_STEP, dims: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, code_block: int = CODE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, distance: the k nearest other rows of each query, by (distance, vec_id).
 
     Queries are the rows whose id divides by `query_step`; all rows with an id are searched. A null vector has
-    the all-zero code. Rows with a null id are no query and no answer. Repeated rows of an id count once.
-    With fewer than k other ids, all of them are returned. An empty table gives no rows.
+    the all-zero code. Rows with a null id are no query and no answer. Repeated rows of an id count once, with
+    their smallest code. With fewer than k other ids, all are returned. An empty table gives no rows.
     """
     scratch = Scratch(vectors.sparkSession, "hamming")
-    m = dims // segment_bits
-    segments = [f"s{i}" for i in range(m)]
-    coded = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), *[sign_code(F.col(vector_col), i * segment_bits, segment_bits).alias(s) for i, s in enumerate(segments)])
-    coded = scratch.keep(coded.groupBy("vec_id").agg(F.min(F.struct(*segments)).alias("c")).select("vec_id", "c.*"), "coded")
-    # Each distinct code with its k + 1 smallest ids, found by a bounded merge rather than a gathered list.
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    ranked = coded.withColumn("salt", salt).withColumn("r", F.row_number().over(Window.partitionBy(*segments, "salt").orderBy("vec_id"))).where(f"r <= {k + 1}")
-    ids = F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1)
-    codes = scratch.keep(ranked.groupBy(*segments).agg(ids.alias("ids")), "codes")
+    coded = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), sign_code(F.col(vector_col), dims).alias("code"))
+    coded = scratch.keep(coded.groupBy("vec_id").agg(F.min("code").alias("code")), "coded")
+    # Each distinct code with its k + 1 smallest ids; a common code is ranked in salted parts first.
+    salted = Window.partitionBy("code", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")
+    ranked = coded.withColumn("r", F.row_number().over(salted)).where(f"r <= {k + 1}")
+    codes = scratch.keep(ranked.groupBy("code").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids")), "codes")
     asked = coded.where(f"vec_id % {query_step} = 0")
-    questions = scratch.keep(asked.select(*segments).distinct(), "questions")
-    index = codes.select(*segments, "ids", F.posexplode(F.array(*segments)).alias("segment", "value"))
-    index = scratch.keep(index, "index")
-
-    open_, found = questions, None
-    distance = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"q.{s}").bitwiseXOR(F.col(f"c.{s}"))) for s in segments])
-    q = F.struct(*segments).alias("q")
-    for radius in range(segment_bits + 1):
-        probes = open_.select(q, F.posexplode(F.array(*segments)).alias("segment", "own"))
-        flips = F.explode(F.array(*[F.lit(x).cast("long") for x in _flips(segment_bits, radius)]))
-        probes = probes.withColumn("flip", flips).select("q", "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
-        hits = probes.join(index.select("segment", "value", F.struct(*segments).alias("c"), "ids"), ["segment", "value"])
-        hits = hits.select("q", "c", "ids", distance.cast("int").alias("distance"))
-        found = hits if found is None else found.union(hits)
-        # Keep for each query only codes that can still be among its k + 1 nearest ids.
-        found = found.dropDuplicates(["q", "c"]).withColumn("before", F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(f"before < {k + 1}").drop("before")
-        found = scratch.keep(found, f"found-{radius}")
-        # Complete up to distance m * (radius + 1) - 1: done when that holds k + 1 ids.
-        near = found.where(F.col("distance") <= m * (radius + 1) - 1).groupBy("q").agg(F.sum(F.size("ids")).alias("n")).where(f"n >= {k + 1}")
-        open_ = scratch.keep(open_.join(near.select("q.*"), segments, "left_anti"), f"open-{radius}")
-        if radius:
-            scratch.drop(f"found-{radius - 1}", f"open-{radius - 1}")
-        if open_.isEmpty():
-            break
+    questions = scratch.keep(asked.select("code").distinct(), "questions")
+
+    query_blocks, code_blocks = -(-questions.count() // query_block) or 1, -(-codes.count() // code_block) or 1
+    deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n))
+    left = questions.select("code", deal(query_blocks).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(code_blocks - 1).cast("long"))).alias("cb"))
+    right = codes.select("code", F.col("ids")[0].alias("least"), deal(code_blocks).alias("cb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("qb"))
+
+    def search(queries: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if queries.num_rows and block.num_rows:
+            own, least = _words(block.column("code")), np.array(block.column("least").to_pylist(), np.int64)
+            index, texts = MultiIndex(own, dims), block.column("code").to_pylist()
+            asked_ = queries.column("code").to_pylist()
+            for code, words in zip(asked_, _words(queries.column("code")), strict=True):
+                out += [(code, texts[i], int(least[i]), d) for i, d in index.nearest(words, least, k + 1)]
+        q, c, m, d = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({"q": pa.array(q, pa.list_(pa.int64())), "code": pa.array(c, pa.list_(pa.int64())), "least": pa.array(m, pa.int64()), "distance": pa.array(d, pa.int32())})
+
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(search, "q array<long>, code array<long>, least long, distance int")
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "least"))).where(f"r <= {k + 1}").drop("r", "least")
     # A query code's ids share its neighbours; each leaves out its own id.
-    near = found.select("q", F.explode("ids").alias("vec_id"), "distance").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).where(f"r <= {k + 1}")
-    near = near.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))).alias("near")).select("q.*", "near")
-    out = asked.join(near, segments).select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
+    near = found.join(codes, "code").select("q", F.explode("ids").alias("vec_id"), "distance").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "vec_id"))).where(f"r <= {k + 1}")
+    near = near.groupBy(F.col("q").alias("code")).agg(F.sort_array(F.collect_list(F.struct("distance", "vec_id"))).alias("near"))
+    out = asked.join(near, "code").select(F.col("vec_id").alias("query_id"), F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("near"))
     return out.select("query_id", F.posexplode("near").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.vec_id", "x.distance")

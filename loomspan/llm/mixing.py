@@ -9,6 +9,7 @@ permutations of its block numbers, a new one for each pass, and slots meet block
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,16 +136,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = keyed["__id"].eqNullSafe(pieces["__id"]) & (keyed["__size"] == pieces["__size"]) & (keyed["__h"] == pieces["__h"])
     joined = keyed.join(pieces, same).select(*[keyed[c] for c in names], keyed["__id"], keyed["__size"], keyed["__h"], "__pieces")
     joined = joined.dropDuplicates(["__id", "__size", "__h"]).drop("__id", "__size", "__h")
-    taken = joined.withColumn("__texts", _slices(F.col("text"), F.col("__pieces")))
+    taken = joined.withColumn("__texts", F.udf(_slices, "array<string>", useArrow=True)(F.col("text"), F.col("__pieces")))
     out = taken.withColumn("text", F.explode("__texts")).select(*names)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
 
 
-@F.udf("array<string>", useArrow=True)
 def _slices(text: str, pieces: list) -> list[str]:
     """One text for each repeat; the words' own spacing is kept inside a run of blocks."""
-    import re
-
     at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     out = []
     for turn in range(max(p["times"] for p in pieces)):

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -176,45 +177,76 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-ANCHORS = "h long, doc long, at long, packed int"
+ANCHORS = "h long, s long, doc long, at long, n long, done boolean"
+_ANCHORS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("done", pa.bool_())])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def ready(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in out])) for i in range(4)], names=["h", "doc", "at", "packed"])
-
+    """A row for each anchor and stretch digest that is new in its document; the document's own repeats leave
+    as finished runs (done), adjacent ones joined, under a key that spreads them."""
+    digest = xxhash.xxh3_64_intdigest
     for batch in batches:
-        out, held = [], 0
+        hs, ss, docs, ats, ns, done = [], [], [], [], [], []
+
+        def ready() -> pa.RecordBatch:
+            signed = (np.array(x, np.uint64).view(np.int64) for x in (hs, ss))
+            return pa.RecordBatch.from_arrays([*map(pa.array, signed), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(ns, pa.int64()), pa.array(done, pa.bool_())], schema=_ANCHORS)  # noqa: B023
+
         for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            h, at, first, n = anchors(np.frombuffer(_bytes(text.as_py()), np.uint8))
-            if len(h):
-                out.append((h.astype(np.int64), np.full(len(h), doc, np.int64), (tag << 32) + first, ((at - first) << 8 | n).astype(np.int32)))
-                held += len(h)
-            if held > 200_000:
-                yield ready(out)
-                out, held = [], 0
-        if out:
-            yield ready(out)
+            raw = _bytes(text.as_py())
+            h, _, first, n = anchors(np.frombuffer(raw, np.uint8))
+            seen, before, high = set(), len(hs), tag << 32
+            for key, at, m in zip(h.tolist(), first.tolist(), n.tolist(), strict=True):
+                s = digest(raw[at : at + m + LENGTH - 1])
+                if (key, s) not in seen:
+                    seen.add((key, s))
+                    hs.append(key)
+                    ss.append(s)
+                    ats.append(high + at)
+                    ns.append(m)
+                    done.append(False)
+                elif len(hs) > before and done[-1] and ats[-1] + ns[-1] == high + at:
+                    ns[-1] += m
+                else:
+                    hs.append(digest(f"{doc},{high + at}"))
+                    ss.append(0)
+                    ats.append(high + at)
+                    ns.append(m)
+                    done.append(True)
+            docs += [doc] * (len(hs) - before)
+            if len(hs) > 100_000:
+                yield ready()
+                hs, ss, docs, ats, ns, done = [], [], [], [], [], []
+        if hs:
+            yield ready()
+
+
+PACKED = "doc long, tag long, body binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed: they are most of what moves."""
+    tight = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            own = batch.slice(at, 1024)
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([tight.compress(_bytes(x.as_py())) for x in own.column(2)], pa.binary())], names=["doc", "tag", "body"])
 
 
-CONTEXTS = "h long, hi long, lo long, doc long, start long, n int, body binary"
-_CONTEXTS = pa.schema([("h", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
+CONTEXTS = "h long, doc long, start long, n long, body binary"
+_CONTEXTS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of a document's repeated anchors; a stretch that the document repeats comes without a body."""
+    loose = zstandard.ZstdDecompressor()
     for batch in batches:
         out: dict[str, list] = {x: [] for x in _CONTEXTS.names}
-        for doc, tag, text, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            raw, seen = _bytes(text.as_py()), set()
-            for mark in sorted(marks.as_py(), key=lambda m: m["at"]):
-                at, n = mark["at"] & 0xFFFFFFFF, mark["packed"] & 0xFF
-                body = raw[at : at + n - 1 + LENGTH]
-                digest = xxhash.xxh3_128_digest(body)
-                hi, lo = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-                for name, value in zip(_CONTEXTS.names, (mark["h"], hi, lo, doc, (tag << 32) + at, n, None if digest in seen else body), strict=True):
+        for doc, body, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            raw = loose.decompress(body.as_py())
+            for mark in marks.as_py():
+                at = mark["at"] & 0xFFFFFFFF
+                for name, value in zip(_CONTEXTS.names, (mark["h"], doc, mark["at"], mark["n"], raw[at : at + mark["n"] + LENGTH - 1]), strict=True):
                     out[name].append(value)
-                seen.add(digest)
             if len(out["h"]) > 20_000:
                 yield pa.RecordBatch.from_pydict(out, schema=_CONTEXTS)
                 out = {x: [] for x in _CONTEXTS.names}
@@ -262,10 +294,11 @@ CUT = "doc long, tag long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    loose = zstandard.ZstdDecompressor()
     for batch in batches:
         out: dict[str, list] = {x.split()[0]: [] for x in CUT.split(", ")}
-        for doc, tag, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-            raw = np.frombuffer(_bytes(text.as_py()), np.uint8)
+        for doc, tag, body, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            raw = np.frombuffer(loose.decompress(body.as_py()), np.uint8)
             spans = removed_spans([(r["start"] & 0xFFFFFFFF, r["n"]) for r in runs.as_py()])
             keep = np.ones(len(raw), bool)
             for a, b in spans:
@@ -304,38 +337,33 @@ class RepeatedPassages:
         meta = scratch.keep(docs.select("doc_id", "doc", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
         first = meta.groupBy("sha").agg(F.min("doc").alias("first"))
         self.meta = scratch.keep(meta.join(first, "sha").withColumn("copy", F.col("doc") > F.col("first")).drop("first"), "meta")
-        long_ = F.octet_length("text") >= LENGTH
-
-        # 1. Anchors that occur more than once.
-        rows = docs.where(long_).select("doc", "tag", "text").mapInArrow(_anchor_rows, ANCHORS)
-        by_hash = Window.partitionBy("h").orderBy("doc", "at")
-        rows = rows.withColumn("one", F.lag("doc").over(by_hash)).withColumn("two", F.lead("doc").over(by_hash)).where("one is not null or two is not null")
-        marks = rows.select("doc", F.shiftright("at", 32).alias("tag"), F.struct("h", "at", "packed").alias("mark"))
-        marks = marks.groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
-        alone = self.meta.where("not copy").select("doc", "tag").distinct()
-        marks = scratch.keep(marks.join(alone, ["doc", "tag"], "left_semi"), "marks")
-
-        # 2. Their documents, and the stretches they answer for.
-        held = docs.where(long_).select("doc", "tag", "text").join(marks, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
-        self.held = scratch.keep(held, "held")
-        contexts = scratch.keep(self.held.select("doc", "tag", "text", "marks").mapInArrow(_context_rows, CONTEXTS), "contexts")
-        keys = contexts.select("hi", "lo", "doc", "start", "n")
-        earliest = scratch.keep(_earliest(contexts), "earliest")
-        whole = keys.join(earliest, ["hi", "lo"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", F.col("n").cast("long").alias("n"))
-
-        # 3. Different stretches of one anchor.
-        own = contexts.where("body is not null").join(earliest.select("hi", "lo", "first.*"), ["hi", "lo", "doc", "start"])
-        counts = own.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-        own = scratch.keep(own.join(counts, "h").select("h", "doc", "start", "n", "body", "c"), "own")
-        cold = own.where(f"c <= {HOT_CONTEXTS}").drop("c").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, RUNS)
-        single = own.where(f"c > {HOT_CONTEXTS}").select("doc", "start", "n", "body").mapInArrow(_single_windows, "hi long, lo long, doc long, start long")
+        self.docs = docs.where(F.octet_length("text") >= LENGTH).select("doc", "tag", "text")
+
+        # 1. Anchors that occur more than once: equal stretches are settled, different ones go on.
+        rows = self.docs.mapInArrow(_anchor_rows, ANCHORS)
+        ordered, group = Window.partitionBy("h").orderBy("s", "doc", "at"), Window.partitionBy("h")
+        rows = rows.withColumn("before", F.lag("s").over(ordered)).withColumn("several", F.min("s").over(group) != F.max("s").over(group))
+        rows = rows.withColumn("repeat", F.col("done") | F.coalesce(F.col("before") == F.col("s"), F.lit(False))).where("repeat or several")
+        rows = scratch.keep(rows.select("h", "doc", "at", "n", "repeat"), "anchors")
+        whole = rows.where("repeat").select("doc", F.col("at").alias("start"), "n")
+
+        # 2. The different stretches of one anchor, with their bytes.
+        marks = rows.where("not repeat").groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(F.struct("h", "at", "n")).alias("marks"))
+        held = self.docs.mapInArrow(_pack, PACKED).join(marks, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
+        own = held.select("doc", "body", "marks").mapInArrow(_context_rows, CONTEXTS)
+        own = scratch.keep(own, "contexts")
+        counts = own.groupBy("h").agg(F.count("*").alias("c")).where(f"c > {HOT_CONTEXTS}")
+        cold = own.join(counts, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, RUNS)
+        single = own.join(counts, "h", "left_semi").select("doc", "start", "n", "body").mapInArrow(_single_windows, "hi long, lo long, doc long, start long")
         hot = single.join(_earliest(single), ["hi", "lo"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", F.lit(1).cast("long").alias("n"))
         self.runs = scratch.keep(whole.union(cold).union(hot), "runs")
-        scratch.drop("rows", "marks", "contexts", "own", "earliest")
+        scratch.drop("rows", "anchors", "contexts")
 
     def summary(self) -> DataFrame:
         runs = self.runs.groupBy("doc", F.shiftright("start", 32).alias("tag")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-        cut = self.held.select("doc", "tag", "text").join(runs, ["doc", "tag"]).mapInArrow(_cut_rows, CUT)
+        alone = self.meta.where("not copy").select("doc", "tag").distinct()
+        runs = runs.join(alone, ["doc", "tag"], "left_semi")
+        cut = self.docs.mapInArrow(_pack, PACKED).join(runs, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).mapInArrow(_cut_rows, CUT)
         out = self.meta.join(cut, ["doc", "tag"], "left")
         gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
         return out.select(

@@ -148,7 +148,8 @@ def training_records(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int
             slot = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot // shard), pa.array((slot % shard).astype(np.int32)), batch.column(1), batch.column(2), pa.array([unpack.decompress(x) for x in batch.column(3).to_pylist()], pa.binary())], names=["slot", "shard", "record", "n_tokens", "doc_ids", "tokens"])
 
-    ordered = tokens.join(base, "g").select("g", "doc_id", "h", "ids", "base").sortWithinPartitions("g", "doc_id", "h")
+    # Dealt explicitly: a join may be broadcast and would then leave groups apart.
+    ordered = tokens.repartition("g").join(base, "g").select("g", "doc_id", "h", "ids", "base").sortWithinPartitions("g", "doc_id", "h")
     moved = ordered.mapInArrow(pack, "part long, slot long, n_tokens int, doc_ids array<long>, body binary")
     moved = moved.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("slot").drop("part")
     return moved.mapInArrow(unfold, RECORDS)
