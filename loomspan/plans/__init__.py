@@ -1,6 +1,6 @@
 """Named queries with their SQL oracles."""
 
-from . import interval_queries
+from . import interval_queries, relation_queries, row_queries, stream_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "interval_queries"]
+__all__ = ["ORACLES", "QUERIES", "interval_queries", "relation_queries", "row_queries", "stream_queries"]
