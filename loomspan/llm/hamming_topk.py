@@ -22,7 +22,7 @@ from .common import Scratch
 
 TOP = 10
 QUERY_STEP = 20
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 512
 CODE_BLOCK = 16_384
 
 
