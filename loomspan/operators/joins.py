@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordered import CELL, LEAD, earlier, in_cells, inside, later, with_leads
+
 
 def _buckets(s: Column, last: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(s / width), F.floor(last / width)))
@@ -30,15 +32,22 @@ def overlapping(a: DataFrame, b: DataFrame, by: Sequence[str], width: int) -> Da
     return left.join(right, [*by, "_b"]).where((F.col("s") < F.col("e2")) & (F.col("s2") < F.col("e")) & (F.col("_b") == own)).drop("_b")
 
 
-def neighbours(df: DataFrame, by: Sequence[str], at: str, marked: Column, value: Column | None = None) -> DataFrame:
-    """Adds prev and next: `value` (default: the position) of the nearest marked rows at or before, at or after."""
+def neighbours(df: DataFrame, by: Sequence[str], at: str, marked: Column, value: Column | None = None, width: int | None = None) -> DataFrame:
+    """Adds prev and next: `value` (default: the position) of the nearest marked rows at or before, at or after.
+    width: ticks of a cell, for keys that may be hot; without it a key's rows are sorted in one task."""
     value = F.col(at) if value is None else value
-    w = Window.partitionBy(*by).orderBy(at)
-    hit = F.when(marked, value)
-    return df.withColumns({
-        "prev": F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "next": F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
+    before, after = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    if width is None:
+        w, hit = Window.partitionBy(*by).orderBy(at), F.when(marked, value)
+        return df.withColumns({"prev": F.last(hit, ignorenulls=True).over(w.rowsBetween(*before)), "next": F.first(hit, ignorenulls=True).over(w.rowsBetween(*after))})
+    hit = F.when(marked & value.isNotNull(), F.struct(F.col(at).alias("t"), value.alias("v")))
+    rows = in_cells(df.withColumn("_hit", hit), at, width)
+    rows = with_leads(rows, by, [F.max("_hit").alias("_back"), F.min("_hit").alias("_on")], [earlier(F.max, "_back"), later(F.min, "_on")])
+    w, cell = inside(by, at), Window.partitionBy(*by, CELL)
+    prev = F.coalesce(F.last("_hit", ignorenulls=True).over(w.rowsBetween(*before)), F.max("_back").over(cell))
+    next_ = F.coalesce(F.first("_hit", ignorenulls=True).over(w.rowsBetween(*after)), F.min("_on").over(cell))
+    found = rows.withColumns({"_p": prev, "_q": next_}).where(f"{LEAD} = 1")
+    return found.withColumns({"prev": F.col("_p.v"), "next": F.col("_q.v")}).drop("_hit", "_back", "_on", "_p", "_q", CELL, LEAD)
 
 
 def nearest(df: DataFrame, at: str) -> DataFrame:
