@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import CELL, LEAD, earlier, in_cells, inside, later, with_leads
+from .ordered import CELL, LEAD, earlier, in_cells, inside, later, previous, with_leads
 
 
 def merge(df: DataFrame, by: Sequence[str], gap: int = 0, strict: bool = False, width: int | None = None) -> DataFrame:
@@ -92,11 +92,14 @@ def prf(df: DataFrame, policy: str) -> DataFrame:
     return df.withColumns({"precision": fill(p), "recall": fill(r), "f1": fill(f)})
 
 
-def complement(df: DataFrame, bounds: DataFrame, by: Sequence[str]) -> DataFrame:
-    """What the intervals leave of each key's [lo, hi)."""
-    w = Window.partitionBy(*by).orderBy("s")
-    merged = merge(df, by).join(bounds, list(by))
-    before = merged.select(*by, F.coalesce(F.lag("e").over(w), F.col("lo")).alias("a"), F.col("s").alias("b"))
+def complement(df: DataFrame, bounds: DataFrame, by: Sequence[str], width: int | None = None) -> DataFrame:
+    """What the intervals leave of each key's [lo, hi). width: as in merge."""
+    merged = merge(df, by, width=width)
+    if width is None:
+        merged = merged.withColumn("prev_e", F.lag("e").over(Window.partitionBy(*by).orderBy("s")))
+    else:
+        merged = previous(merged, by, ["s"], ["e"], width)
+    before = merged.join(bounds, list(by)).select(*by, F.coalesce("prev_e", "lo").alias("a"), F.col("s").alias("b"))
     tail = bounds.join(merged.groupBy(*by).agg(F.max("e").alias("last")), list(by), "left").select(*by, F.coalesce("last", "lo").alias("a"), F.col("hi").alias("b"))
     return before.union(tail).select(*by, F.col("a").alias("s"), F.col("b").alias("e")).where("s < e")
 

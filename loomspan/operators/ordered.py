@@ -44,9 +44,22 @@ def inside(by: Sequence[str], *order: str) -> WindowSpec:
     return Window.partitionBy(*by, CELL).orderBy(LEAD, *order)
 
 
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, width: int, name: str) -> DataFrame:
+    """Adds the sum of `value` over the key's rows up to each by `order`, whose first column is cut into cells of `width`."""
+    rows = in_cells(df.withColumn("_v", value.cast("long")), order[0], width)
+    rows = with_leads(rows, by, [F.sum("_v").alias("_v")], [earlier(F.sum, "_v")])
+    total = F.sum("_v").over(inside(by, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, total).where(f"{LEAD} = 1").drop("_v", CELL, LEAD)
+
+
 def ordinals(df: DataFrame, by: Sequence[str], order: Sequence[str], width: int, name: str = "i") -> DataFrame:
-    """Adds each row's place from 0 in its key by `order`, whose first column is cut into cells of `width`."""
-    rows = with_leads(in_cells(df, order[0], width), by, [F.count("*").alias("_n")], [earlier(F.sum, "_n")])
-    w = inside(by, *order)
-    before = F.coalesce(F.first("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    return rows.withColumn(name, before + F.row_number().over(w) - 2).where(f"{LEAD} = 1").drop("_n", CELL, LEAD)
+    """Adds each row's place from 0 in its key by `order`."""
+    return running_sum(df, by, order, F.lit(1), width, name).withColumn(name, F.col(name) - 1)
+
+
+def previous(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], width: int) -> DataFrame:
+    """Adds prev_<column>: the values of the key's row before, by `order`; null for its first."""
+    rows = in_cells(df, order[0], width).withColumn("_row", F.struct(*order, *[F.col(c).alias(f"prev_{c}") for c in columns]))
+    rows = with_leads(rows, by, [F.max("_row").alias("_row")], [earlier(F.max, "_row")])
+    rows = rows.withColumn("_before", F.lag("_row").over(inside(by, *order))).where(f"{LEAD} = 1")
+    return rows.withColumns({f"prev_{c}": F.col(f"_before.prev_{c}") for c in columns}).drop("_row", "_before", CELL, LEAD)

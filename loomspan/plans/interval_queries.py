@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from ..operators import intervals as iv
 from ..operators.joins import overlapping, points_in_intervals
-from .registry import CLOCK, EV, SIDES, Tables, islands, query
+from ..operators.ordered import previous
+from .registry import CELL_TICKS, CLOCK, EV, SIDES, Tables, islands, query
 
 SECOND, MINUTE, DAY = 1_000_000, 60_000_000, 86_400_000_000
 PRED = islands("(select * from sd where k = 'click')", "u")
@@ -23,32 +24,32 @@ def _valid(t: Tables):
 
 
 def _durations(t: Tables):
-    return iv.durations(t.sides(), ["u"], "k", "click", "purchase")
+    return iv.durations(t.sides(), ["u"], "k", "click", "purchase", width=CELL_TICKS)
 
 
 @query(f"with {EV} {islands('(select * from ev where e > s)', 'u')}")
 def interval_merge_touching(t):
-    return iv.merge(_valid(t), ["u"])
+    return iv.merge(_valid(t), ["u"], width=CELL_TICKS)
 
 
 @query(f"with {EV} {islands('(select * from ev where e > s)', 'u', 's < p_')}")
 def interval_merge_strict(t):
-    return iv.merge(_valid(t), ["u"], strict=True)
+    return iv.merge(_valid(t), ["u"], strict=True, width=CELL_TICKS)
 
 
 @query(f"with {EV} {islands('(select * from ev where e > s)', 'u', 's <= p_ + 1000')}")
 def interval_merge_eps(t):
-    return iv.merge(_valid(t), ["u"], gap=1000)
+    return iv.merge(_valid(t), ["u"], gap=1000, width=CELL_TICKS)
 
 
 @query(f"with {EV}, m as ({islands('(select * from ev where e > s)', 'u')}) {islands('m', 'u', 's <= p_ + 600000000')}")
 def interval_gap_bridge(t):
-    return iv.merge(iv.merge(_valid(t), ["u"]), ["u"], gap=600 * SECOND)
+    return iv.merge(iv.merge(_valid(t), ["u"], width=CELL_TICKS), ["u"], gap=600 * SECOND, width=CELL_TICKS)
 
 
 @query(f"with {EV} select u, sum(e - s)::bigint ticks, count(*) n from ({islands('(select * from ev where e > s)', 'u')}) group by u")
 def interval_measure(t):
-    return iv.merge(_valid(t), ["u"]).groupBy("u").agg(F.sum(F.col("e") - F.col("s")).alias("ticks"), F.count("*").alias("n"))
+    return iv.merge(_valid(t), ["u"], width=CELL_TICKS).groupBy("u").agg(F.sum(F.col("e") - F.col("s")).alias("ticks"), F.count("*").alias("n"))
 
 
 @query(f"with {DUR} select u, tp from du")
@@ -58,14 +59,14 @@ def interval_overlap(t):
 
 @query(f"with {DUR} select a.u, greatest(a.s, b.s) s, least(a.e, b.e) e from a join b on a.u = b.u and a.s < b.e and b.s < a.e")
 def interval_intersect(t):
-    return iv.intersect(t.sides(), ["u"], "k", "click", "purchase")
+    return iv.intersect(t.sides(), ["u"], "k", "click", "purchase", width=CELL_TICKS)
 
 
 @query(f"""with {EV}, x as (select u, s t, 1 d from ev where e > s union all select u, e, -1 from ev where e > s),
 n as (select u, t, sum(d) d from x group by 1, 2), c as (select u, t s, lead(t) over (partition by u order by t) e, sum(d) over (partition by u order by t) c from n),
 m as (select u, s, e from c where c >= 2 and e is not null) {islands('m', 'u')}""")
 def interval_coverage_k(t):
-    return iv.covered(_valid(t), ["u"], 2)
+    return iv.covered(_valid(t), ["u"], 2, width=CELL_TICKS)
 
 
 def _prf(policy: str):
@@ -89,8 +90,8 @@ for _p in "abcd":
 select u, round(avg(best), 6) best_iou, count(*) n from p group by u""")
 def best_window_iou(t):
     sides = t.sides()
-    pred = iv.merge(sides.where("k = 'click'"), ["u"])
-    truth = iv.merge(sides.where("k = 'purchase'"), ["u"])
+    pred = iv.merge(sides.where("k = 'click'"), ["u"], width=CELL_TICKS)
+    truth = iv.merge(sides.where("k = 'purchase'"), ["u"], width=CELL_TICKS)
     iou = (F.least("e", "e2") - F.greatest("s", "s2")).cast("double") / (F.greatest("e", "e2") - F.least("s", "s2"))
     hits = overlapping(truth, pred.select("u", F.col("s").alias("s2"), F.col("e").alias("e2")), ["u"], 6 * 3600 * SECOND).groupBy("u", "s", "e").agg(F.max(iou).alias("best"))
     return truth.join(hits, ["u", "s", "e"], "left").groupBy("u").agg(F.round(F.avg(F.coalesce("best", F.lit(0.0))), 6).alias("best_iou"), F.count("*").alias("n"))
@@ -111,7 +112,7 @@ z as (select us.u, coalesce((select sum(e - s) from a where a.u = us.u), 0) pd,
 select u, (2 * tp)::double / nullif(pd + kd + ud - pu, 0)::double lower, (2 * (tp + pu))::double / nullif(pd + kd + pu, 0)::double upper from z""")
 def f1_bounds_unknown(t):
     """View intervals outside the reference are unknown ground: F1 lies between the bounds."""
-    x = iv.sweep(t.intervals().where("e > s and k in ('click', 'purchase', 'view')"), ["u"], "k", ("click", "purchase", "view"))
+    x = iv.sweep(t.intervals().where("e > s and k in ('click', 'purchase', 'view')"), ["u"], "k", ("click", "purchase", "view"), width=CELL_TICKS)
     size, p, k = F.col("e") - F.col("s"), F.col("c_click") > 0, F.col("c_purchase") > 0
     u = (F.col("c_view") > 0) & ~k
     total = lambda c: F.sum(F.when(c, size).otherwise(0))
@@ -127,8 +128,8 @@ def domain_partition_check(t):
     """Covered ground and its complement are disjoint and tile each user's domain."""
     base = _valid(t)
     bounds = base.groupBy("u").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
-    parts = iv.merge(base, ["u"]).withColumn("k", F.lit("in")).unionByName(iv.complement(base, bounds, ["u"]).withColumn("k", F.lit("out")))
-    x = iv.sweep(parts, ["u"], "k", ("in", "out"))
+    parts = iv.merge(base, ["u"], width=CELL_TICKS).withColumn("k", F.lit("in")).unionByName(iv.complement(base, bounds, ["u"], width=CELL_TICKS).withColumn("k", F.lit("out")))
+    x = iv.sweep(parts, ["u"], "k", ("in", "out"), width=CELL_TICKS)
     size = F.col("e") - F.col("s")
     both = x.groupBy("u").agg(F.sum(F.when(F.col("c_in") > 0, size).otherwise(0)).alias("covered"), F.sum(F.when(F.col("c_out") > 0, size).otherwise(0)).alias("gaps"), F.max(F.col("c_in") + F.col("c_out")).alias("most"), F.min(F.col("c_in") + F.col("c_out")).alias("least"), F.sum(size).alias("domain"))
     return both.select("u", "covered", "gaps", "domain", ((F.col("most") == 1) & (F.col("least") == 1)).alias("tiles"))
@@ -156,7 +157,7 @@ def interval_pad_tier(t):
 @query(f"""with {EV}, {RANGE}, m as ({islands('(select * from ev where e > s)', 'u')}), d as (select u, sum(e - s) c from m group by 1)
 select id, greatest(s - case when 2 * coalesce(c, 0) <= hi - lo then 250000 else 0 end, lo) s, least(e + case when 2 * coalesce(c, 0) <= hi - lo then 250000 else 0 end, hi) e from ev join rg using (u) left join d using (u)""")
 def interval_pad_density(t):
-    dense = iv.merge(_valid(t), ["u"]).groupBy("u").agg(F.sum(F.col("e") - F.col("s")).alias("c"))
+    dense = iv.merge(_valid(t), ["u"], width=CELL_TICKS).groupBy("u").agg(F.sum(F.col("e") - F.col("s")).alias("c"))
     x = _bounded(t).join(dense, "u", "left")
     grow = F.when(2 * F.coalesce("c", F.lit(0)) <= F.col("hi") - F.col("lo"), 250_000).otherwise(0)
     return iv.pad(x, grow, grow, F.col("lo"), F.col("hi")).select("id", "s", "e")
@@ -174,7 +175,7 @@ def shrink_grid_search(t):
     cut = F.floor((F.col("e") - F.col("s")) * (100 - F.col("factor")) / F.lit(200)).cast("long")
     click = click.withColumns({"s": F.col("s") + cut, "e": F.col("e") - cut}).where("s < e")
     truth = sides.where("k = 'purchase'").withColumn("factor", F.explode(F.array(*[F.lit(x) for x in (100, 80, 60, 40)])))
-    m = iv.durations(click.unionByName(truth), ["factor", "u"], "k", "click", "purchase").where("pd > 0")
+    m = iv.durations(click.unionByName(truth), ["factor", "u"], "k", "click", "purchase", width=CELL_TICKS).where("pd > 0")
     m = m.groupBy("factor").agg(F.round(F.avg((2 * F.col("tp")).cast("double") / (F.col("pd") + F.col("td"))), 6).alias("f1"))
     top = m.agg(F.max(F.struct("f1", "factor")).alias("t"))  # four factors: a parameter grid
     return m.join(F.broadcast(top)).select("factor", "f1", (F.col("factor") == F.col("t.factor")).alias("best"))
@@ -217,7 +218,7 @@ def saliency_segments(t):
 select u, s, e from g where s < e""")
 def interval_complement(t):
     x = t.intervals()
-    return iv.complement(x.where("e > s"), x.groupBy("u").agg(F.min("s").alias("lo"), F.max("e").alias("hi")), ["u"])
+    return iv.complement(x.where("e > s"), x.groupBy("u").agg(F.min("s").alias("lo"), F.max("e").alias("hi")), ["u"], width=CELL_TICKS)
 
 
 @query()
@@ -236,7 +237,7 @@ def event_match_1to1(t):
 @query(f"with {CLOCK}, b as ({islands('(select * from ck where e > s and k = $$purchase$$)', 'u')}) select distinct ck.u, ck.i from ck join b on ck.u = b.u and ck.s >= b.s and ck.s < b.e")
 def ordinals_in_intervals(t):
     ck = t.clock()
-    spans = iv.merge(ck.where("e > s and k = 'purchase'"), ["u"])
+    spans = iv.merge(ck.where("e > s and k = 'purchase'"), ["u"], width=CELL_TICKS)
     return points_in_intervals(ck.select("u", "i", F.col("s").alias("t")), spans, ["u"], "t", 6 * 3600 * SECOND).select("u", "i").distinct()
 
 
@@ -344,7 +345,7 @@ def clock_normalize(t):
 @query(f"""with {CLOCK}, d as (select u, s - lag(s) over (partition by u order by i) d from ck), m as (select u, median(d)::double m from d where d is not null group by 1),
 p as (select u, m, x, abs(m - x) / x r, row_number() over (partition by u order by abs(m - x), x) k from m, (values (3600000000), (7200000000), (10800000000), (14400000000)) q(x)) select u, m, case when r <= 0.2 then x end::bigint snapped from p where k = 1""")
 def nearest_snap(t):
-    d = t.intervals().select("u", (F.col("s") - F.lag("s").over(Window.partitionBy("u").orderBy("s", "id"))).alias("d"))
+    d = previous(t.intervals(), ["u"], ["s", "id"], ["s"], CELL_TICKS).select("u", (F.col("s") - F.col("prev_s")).alias("d"))
     m = d.where("d is not null").groupBy("u").agg(F.median("d").alias("m"))
     choices = F.array(*[F.lit(x * 3600 * SECOND) for x in (1, 2, 3, 4)])
     best = F.array_min(F.transform(choices, lambda x: F.struct(F.abs(F.col("m") - x).alias("far"), x.alias("x"))))

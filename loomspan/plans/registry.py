@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+CELL_TICKS = 86_400_000_000  # a day of microseconds: what one task sorts of a hot key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,8 +35,6 @@ class Tables:
 
     def clock(self) -> DataFrame:
         """Intervals with each user's ordinal i from 0 by (s, id)."""
-        from pyspark.sql.window import Window
-
         return self.intervals().withColumn("i", F.row_number().over(Window.partitionBy("u").orderBy("s", "id")) - 1)
 
 

@@ -11,7 +11,7 @@ from ..operators import intervals as iv
 from ..operators import joins as jn
 from ..operators import leakage as lk
 from ..operators import sampling as sp
-from .registry import BOX, CLOCK, EV, SIDES, islands, query
+from .registry import BOX, CELL_TICKS, CLOCK, EV, SIDES, islands, query
 
 HOUR = 3_600_000_000
 
@@ -349,7 +349,7 @@ def rater_mean_f1(t):
     raters = F.array(*[F.lit(r) for r in ("view", "click", "signup")])
     good = x.where("e > s")
     marked = good.where("k in ('view', 'click', 'signup')").select("u", F.col("k").alias("rater"), F.lit("r").alias("side"), "s", "e").unionByName(good.where("k = 'purchase'").select("u", F.explode(raters).alias("rater"), F.lit("p").alias("side"), "s", "e"))
-    d = iv.prf(iv.durations(marked, ["u", "rater"], "side", "p", "r"), "a")
+    d = iv.prf(iv.durations(marked, ["u", "rater"], "side", "p", "r", CELL_TICKS), "a")
     grid = x.select("u").distinct().select("u", F.explode(raters).alias("rater"))
     f1 = grid.join(d, ["u", "rater"], "left").groupBy("u").agg(F.avg(F.coalesce("f1", F.lit(1.0))).alias("f1"))
     return f1.groupBy((F.col("u") % 20).alias("g")).agg(F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("n"))

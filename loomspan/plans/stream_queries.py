@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.ordered import running_sum
 from ..streaming.jobs import event_stream, run
-from .registry import query
+from .registry import CELL_TICKS, query
 
 
 def _events(t):
@@ -44,9 +44,10 @@ def stream_ledger(t):
 
 @query("with r as (select user_id u, event_id, sum(floor(value)) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint spent from events) select u, event_id, spent, 7200 + spent <= 10000 admitted from r")
 def budget_running_sum(t):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = t.events.select(F.col("user_id").alias("u"), "event_id", F.sum(F.floor("value")).over(w).alias("spent"))
-    return x.withColumn("admitted", 7200 + F.col("spent") <= 10_000)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    x = t.events.select(F.col("user_id").alias("u"), "event_id", at.alias("s"), "value")
+    x = running_sum(x, ["u"], ["s", "event_id"], F.floor("value"), CELL_TICKS, "spent")
+    return x.select("u", "event_id", "spent", (7200 + F.col("spent") <= 10_000).alias("admitted"))
 
 
 @query("with r as (select distinct l_orderkey lease, l_linenumber consumer from lineitem), a as (select l_orderkey lease, l_linenumber consumer, count(*) n from lineitem where l_returnflag <> 'N' group by 1, 2) select lease, count(*) registered, count(n) accepted, bool_and(n is not null) released, coalesce(bool_or(n > 1), false) repeated from r left join a using (lease, consumer) group by lease")

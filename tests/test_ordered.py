@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspan.operators import intervals as iv
 from loomspan.operators import joins as jn
@@ -46,3 +47,11 @@ def test_neighbours_and_ordinals(table, width):
 def test_empty(spark, table):
     none = table.where("s is null")
     assert iv.merge(none, ["u"], width=5).count() == iv.sweep(none, ["u"], width=5).count() == ordered.ordinals(none, ["u"], ["s"], 5).count() == 0
+
+
+def test_previous_and_complement(table):
+    rows = table.groupBy("u", "s").agg(F.max("e").alias("e")).withColumn("e", F.when(F.col("s") != 50, F.col("e")))
+    plain = rows.withColumn("prev_e", F.lag("e").over(Window.partitionBy("u").orderBy("s")))
+    assert bag(ordered.previous(rows, ["u"], ["s"], ["e"], 10)) == bag(plain)
+    bounds = table.where("u is not null").groupBy("u").agg((F.min("s") - 5).alias("lo"), (F.max("e") + 5).alias("hi"))
+    assert bag(iv.complement(table, bounds, ["u"], 10)) == bag(iv.complement(table, bounds, ["u"]))
