@@ -21,6 +21,7 @@ from .common import Scratch, mix64, step, words_of
 from .minhash import shingle_set
 
 SAMPLE_ROWS = 8000
+SAMPLE_CHARS = 50_000
 LEXICON = 4096
 SITE_WEIGHT = 0.25
 KEEP_FROM = 0.5
@@ -109,12 +110,13 @@ def _toxic_features(text: str, words: dict[str, float]) -> list[float]:
 SCORED = "doc_id long, h long, host string, path string, quality_logit double, toxic_logit double"
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, site_weight: float = SITE_WEIGHT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, site_weight: float = SITE_WEIGHT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row for each input row: doc_id, h (hash of the text), quality, toxic, site, posterior, keep.
 
     quality and toxic are the document classifiers' probabilities; site is the shrunken mean evidence of its
     host and path; posterior joins quality and site. keep: posterior and 1 - toxic are both 0.5 or more.
-    The classifiers are fitted on `sample_rows` labelled rows at most, those of the smallest hash of their id;
+    The classifiers are fitted on `sample_rows` labelled rows at most, those of the smallest hash of their id whose
+    text has `sample_chars` code points at most; every row is scored on its whole text, and all count as evidence;
     labels of a document that conflict take the lowest quality and the highest toxicity. Without labels
     everything is kept. Null or blank texts are classified by their (empty) shape. Null hosts or paths form
     groups of their own. Repeated rows and null ids stay, one result row each. Empty tables give no rows.
@@ -125,7 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.xxhash64(text).alias("h"))
     # The sample is bounded by its parameter, so it is small enough to broadcast and to fit on the driver.
-    picked = rows.join(F.broadcast(known), "doc_id").where("length(text) <= 50000").select("doc_id", "text", "q", "t", "h").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    picked = rows.join(F.broadcast(known), "doc_id").where(F.length("text") <= sample_chars).select("doc_id", "text", "q", "t", "h").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     model = train([(r.text, r.q, r.t) for r in picked])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
