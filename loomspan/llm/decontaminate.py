@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages and a bounded sample of corpus passages give a TF-IDF matrix whose range a distributed
-randomised SVD finds; document frequencies count the whole corpus. Sliding windows of every document are
-projected and compared with all benchmark passages by cosine; candidates are confirmed by their longest common
-word subsequence and by whether the passage's answer (its last sentence) is there too. Documents are read where
-they lie: no shuffle, no pairs of documents.
+Benchmark passages and all corpus passages give a TF-IDF matrix that a distributed randomised SVD reduces.
+Sliding windows of every document are projected and compared with all benchmark passages by cosine; an index of
+each passage's rarest words adds every window that can hold enough of its words, whatever the rank or the
+benchmark's size. Candidates are confirmed by their longest common word subsequence and by whether the passage's
+answer (its last sentence) is there too. Documents are read where they lie: no pairs of documents, and only sums
+of the fit are shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,8 +25,8 @@ from .common import mix64
 PASSAGE_WORDS = 64
 WINDOWS = (20, 28, 40, 56, 88)  # a passage of up to 3/4 of the width lies whole in some window, at a stride of 1/4
 RANK = 256
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 20_000
+EXTRA = 32  # columns of the random matrix beyond the rank
+FIT_PASSAGES = 64  # corpus passages that a task multiplies at a time
 COSINE = 0.35
 COMMON = 0.5  # a word of less than this share of the median weight bears none
 SUBSEQUENCE = 0.6
@@ -32,6 +34,8 @@ SURE = 0.85
 ANSWER = 0.5
 BLOCK_ITEMS = 20_000
 STRETCH = 20_000
+VERIFY = 100.0  # cost of looking at a region, in words read from the index
+_STEPS = np.array(WINDOWS, np.int64) // 4
 _PLAIN = bytes(i if chr(i).isalnum() or i > 127 else 32 for i in range(256))
 
 
@@ -70,20 +74,22 @@ def passages_of(text: str | None) -> list[tuple[list[bytes], list[bytes]]]:
 class Index:
     """What the scan needs of one block of benchmark items: vocabulary, weights, basis, passage vectors."""
 
-    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], docs: DataFrame, rank: int, sample_docs: int):
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], docs: DataFrame, rank: int):
         self.passages = [(i, w, a) for i, text in items for w, a in passages_of(text) if w]
         self.code = {w: c for c, w in enumerate(dict.fromkeys(w for _, words, _ in self.passages for w in words))}
         code = self.code
 
         def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count, rows = np.zeros(len(code), np.int64), 0
+            count, rows, length = np.zeros(len(code), np.int64), 0, 0
             for batch in batches:
                 for text in batch.column(0):
-                    hit = [code[w] for w in set(words_of(text.as_py())) & code.keys()]
+                    words = words_of(text.as_py())
+                    hit = [code[w] for w in set(words) & code.keys()]
                     count[hit] += 1
                     rows += 1
+                    length += len(words)
             at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[rows, count[at]])], names=["c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[length, rows, count[at]])], names=["c", "n"])
 
         found = docs.select("text").mapInArrow(frequencies, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect() if code else []
         seen = {r["c"]: r["n"] for r in found}
@@ -92,61 +98,101 @@ class Index:
         self.idf = np.log((1 + total) / (1 + df))
         self.other = float(np.median(self.idf)) if len(self.idf) else 1.0  # weight of a word outside the vocabulary
         self.idf[self.idf < COMMON * self.other] = 0.0
-        self.basis = self._range(docs, rank, sample_docs)
-        vectors = np.stack([self._vector(w) for _, w, _ in self.passages]) if self.passages else np.zeros((0, len(code)))
-        norms = np.sqrt((vectors**2).sum(axis=1))
-        self.vectors = (vectors / np.maximum(norms, 1e-9)[:, None] @ self.basis).astype(np.float32)
+        self.coded = [np.array([code[w] for w in words], np.int64) for _, words, _ in self.passages]
         self.width = np.array([min(i for i, x in enumerate(WINDOWS) if 4 * len(w) <= 3 * x) for _, w, _ in self.passages], np.int64)
-        self.rows = (self.idf[:, None] * self.basis).astype(np.float32)
-
-    def _vector(self, words: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(self.code))
-        for w in words:
-            if (c := self.code.get(w)) is not None:
-                out[c] += self.idf[c]
-        return out
-
-    def _range(self, docs: DataFrame, rank: int, sample_docs: int) -> np.ndarray:
-        """Orthonormal basis of the dominant term space: Z = A'(A G) summed over passages in tasks, then QR; the
-        benchmark's own passages come with the sample's. Exact when the rank reaches the matrix's."""
+        basis = self._basis(docs, rank)
+        self.rows = (self.idf[:, None] * basis).astype(np.float32)
+        vectors = np.stack([self.rows[c].sum(axis=0) for c in self.coded]) if self.passages else np.zeros((0, basis.shape[1]), np.float32)
+        norms = np.sqrt((vectors**2).sum(axis=1))
+        self.vectors = vectors / np.maximum(norms, 1e-9)[:, None]
+        self._index(df, seen.get(-2, 0))
+
+    def _index(self, df: np.ndarray, length: int) -> None:
+        """Rarest words of each passage. A region with `least` of a passage's n words has, for any k, at least k of its
+        n - least + k rarest ones; k is the one that should cost the least, with words falling at random."""
+        self.least = [next(t for t in range(1, len(w) + 1) if t / len(w) >= SUBSEQUENCE) for _, w, _ in self.passages]
+        rate = -np.log1p(-np.minimum(df / self.total, 0.999)) * self.total / max(1, length)
+        need, keyed = [], []
+        for j, (c, least) in enumerate(zip(self.coded, self.least, strict=True)):
+            rare = c[np.lexsort((c, df[c]))]
+            new = np.zeros(len(c))
+            new[np.unique(rare, return_index=True)[1]] = 1
+            k = np.arange(1, least + 1)
+            found = np.cumsum(rate[rare] * new)[len(c) - least + k - 1]
+            crowd = np.maximum(found * WINDOWS[self.width[j]] * 3 / 2, 1e-12)
+            chance = np.where(crowd >= k, 1.0, np.exp(k - crowd + k * np.log(crowd / k)))  # Chernoff's bound
+            best = int(np.argmin(found + VERIFY * chance))
+            need.append(best + 1)
+            keyed.append(np.unique(rare[: len(c) - least + best + 1]))
+        self.need = np.array(need, np.int64)
+        owner = np.repeat(np.arange(len(keyed)), [len(x) for x in keyed])
+        words = np.concatenate(keyed) if keyed else np.zeros(0, np.int64)
+        self.posting = owner[np.argsort(words, kind="stable")]
+        self.first = np.r_[0, np.cumsum(np.bincount(words, minlength=len(self.code)))].astype(np.int64)
+        self.counts = [Counter(w) for _, w, _ in self.passages]
+
+    def _basis(self, docs: DataFrame, rank: int) -> np.ndarray:
+        """Leading left singular vectors of the term space: Z = A'(A G) summed over the passages of all documents in
+        tasks, then a small SVD (Nystroem); the benchmark's own passages come on top. Exact when the rank reaches the
+        matrix's."""
         code, idf, dims = self.code, self.idf, len(self.code)
-        wide = min(rank, dims, max(1, len(self.passages) + sample_docs))
+        wide = min(rank + EXTRA, dims)
         if not dims:
             return np.zeros((0, 1))
 
         def gauss() -> np.ndarray:
             at = np.arange(dims, dtype=np.uint64)[:, None] * np.uint64(4096) + np.arange(wide, dtype=np.uint64)
-            return (mix64(at + np.uint64(1)) >> np.uint64(40)).astype(float) / 2**23 - 1
+            return ((mix64(at + np.uint64(1)) >> np.uint64(40)).astype(np.float32) / 2**23 - 1).astype(np.float32)
 
-        def partial(texts: Iterator[list[bytes]], g: np.ndarray) -> np.ndarray:
-            z = np.zeros((dims, wide))
-            for words in texts:
-                c = np.array([x for w in words if (x := code.get(w)) is not None], np.int64)
-                c = c[idf[c] > 0]
-                if len(c):
-                    z[c] += (idf[c] / (idf[c] @ idf[c]))[:, None] * (idf[c] @ g[c])[None, :]
-            return z
+        def add(z: np.ndarray, g: np.ndarray, passages: list[np.ndarray]) -> None:
+            own, at = np.unique(np.concatenate(passages), return_inverse=True)
+            row = np.repeat(np.arange(len(passages)), [len(c) for c in passages])
+            a = np.bincount(row * len(own) + at, minlength=len(passages) * len(own)).reshape(len(passages), len(own)) * idf[own]
+            a = (a / np.maximum(np.sqrt((a**2).sum(axis=1)), 1e-9)[:, None]).astype(np.float32)
+            z[own] += a.T @ (a @ g[own])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z, g = np.zeros((dims, wide)), gauss()
+            z, g, waiting = np.zeros((dims, wide), np.float32), gauss(), []
             for batch in batches:
                 for text in batch.column(0):
                     words = words_of(text.as_py())
-                    z += partial((words[i : i + PASSAGE_WORDS] for i in range(0, len(words), PASSAGE_WORDS)), g)
-            at = np.flatnonzero(np.abs(z).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([z[c].tobytes() for c in at], pa.binary())], names=["c", "z"])
-
-        # Of the documents whose hash is low enough for four times the sample, the first by hash: narrow rows meet.
-        keyed = docs.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("doc_id", F.lit(5)).alias("a"), F.xxhash64("text").alias("b"))
-        share = min(1.0, 4 * sample_docs / self.total)
-        ids = keyed.where(F.pmod("a", F.lit(1 << 30)) < int(share * (1 << 30))).select("a", "b").distinct().orderBy("a", "b").limit(sample_docs)
-        sample = keyed.join(F.broadcast(ids), ["a", "b"]).dropDuplicates(["a", "b"])
-        z = partial((w for _, w, _ in self.passages), gauss())
-        sums = np.zeros((dims, wide))
-        for row in sample.select("text").repartition(4).mapInArrow(task, "c long, z binary").toLocalIterator():
-            sums[row["c"]] += np.frombuffer(row["z"])
-        scale = np.linalg.norm(z) / max(np.linalg.norm(sums), 1e-9)
-        return np.linalg.qr(z + 0.1 * scale * sums)[0]
+                    codes = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
+                    waiting += [c for i in range(0, len(codes), PASSAGE_WORDS) if len(c := (x := codes[i : i + PASSAGE_WORDS])[x >= 0])]
+                    while len(waiting) >= FIT_PASSAGES:
+                        add(z, g, waiting[:FIT_PASSAGES])
+                        del waiting[:FIT_PASSAGES]
+            if waiting:
+                add(z, g, waiting)
+            yield from packed(z, np.flatnonzero(np.abs(z).sum(axis=1)))
+
+        def packed(z: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(at), 2000):
+                part = at[i : i + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([z[c].tobytes() for c in part], pa.binary())], names=["c", "z"])
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for c, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    row = np.frombuffer(z.as_py(), np.float32)
+                    sums[c] = sums[c] + row if c in sums else row.astype(float)
+            at = sorted(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([sums[c].astype(np.float32).tobytes() for c in at], pa.binary())], names=["c", "z"])
+
+        g = gauss()
+        z = np.zeros((dims, wide), np.float32)
+        for i in range(0, len(self.coded), FIT_PASSAGES):
+            add(z, g, self.coded[i : i + FIT_PASSAGES])
+        sums = np.zeros((dims, wide), np.float32)
+        for row in docs.select("text").mapInArrow(task, "c long, z binary").repartition("c").mapInArrow(total, "c long, z binary").toLocalIterator():
+            sums[row["c"]] = np.frombuffer(row["z"], np.float32)
+        y = z + np.float32(0.1 * np.linalg.norm(z) / max(np.linalg.norm(sums), 1e-9)) * sums
+        # A'A is close to Y (G'Y)^-1 Y': with Y = QR its singular vectors are those of Q (R (G'Y)^-1/2).
+        q, r = np.linalg.qr(y.astype(float))
+        core = g.astype(float).T @ y
+        value, vector = np.linalg.eigh((core + core.T) / 2)
+        good = value > 1e-7 * max(value[-1], 1e-30)
+        return q @ np.linalg.svd(r @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0][:, :rank]
 
     def hits(self, text: str | None) -> dict[int, float]:
         """item -> best share of a passage's words found in order, for the passages that the text holds."""
@@ -162,6 +208,7 @@ class Index:
         codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, n)
         weight = np.append(self.idf, self.other)[codes]
         tells = (codes >= 0) & (weight > 0)
+        self._exact(words, codes, out)
         telling = np.flatnonzero(tells)
         if len(telling) < 2:
             return
@@ -185,28 +232,58 @@ class Index:
             for at in range(0, len(some), 4096):
                 pick = some[at : at + 4096]
                 v = sums[count[end[pick]]] - sums[count[begin[pick]]]
-                norm = np.sqrt(np.maximum(energy[end[pick]] - energy[begin[pick]], 1e-9))
+                norm = np.sqrt(np.maximum((v**2).sum(axis=1), 1e-9))
                 for i, j in zip(*np.nonzero(v @ self.vectors[own].T >= COSINE * norm[:, None]), strict=True):
-                    item, passage, answer = self.passages[own[j]]
-                    if out.get(item, 0.0) >= 1.0:
-                        continue
-                    region = words[max(0, begin[pick[i]] - width // 4) : end[pick[i]] + width // 4]
-                    share = common_subsequence(passage, region) / len(passage)
-                    if share > out.get(item, 0.0) and share >= SUBSEQUENCE and (share >= SURE or common_subsequence(answer, region) >= ANSWER * len(answer)):
-                        out[item] = share
+                    self._confirm(own[j], words[max(0, begin[pick[i]] - width // 4) : end[pick[i]] + width // 4], out)
+
+    def _confirm(self, j: int, region: list[bytes], out: dict[int, float]) -> None:
+        item, passage, answer = self.passages[j]
+        if out.get(item, 0.0) >= 1.0:
+            return
+        share = common_subsequence(passage, region) / len(passage)
+        if share > out.get(item, 0.0) and share >= SUBSEQUENCE and (share >= SURE or common_subsequence(answer, region) >= ANSWER * len(answer)):
+            out[item] = share
+
+    def _exact(self, words: list[bytes], codes: np.ndarray, out: dict[int, float]) -> None:
+        """Confirms every passage in every region that has enough of its rarest words."""
+        n = len(words)
+        at = np.flatnonzero(codes >= 0)
+        first, many = self.first[codes[at]], self.first[codes[at] + 1] - self.first[codes[at]]
+        at, first, many = at[many > 0], first[many > 0], many[many > 0]
+        if not len(at):
+            return
+        place = np.arange(many.sum()) + np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many)
+        owner, at = np.divmod(np.sort(self.posting[place] * n + np.repeat(at, many)), n)
+        step = _STEPS[self.width[owner]]
+        last = np.arange(len(owner)) + self.need[owner] - 1
+        some = np.flatnonzero(last < len(owner))
+        some = some[(owner[last[some]] == owner[some]) & (at[last[some]] - at[some] < 6 * step[some])]
+        step = step[some]
+        # A window of four steps starts at a multiple of one; its region has a step more at both ends.
+        low = np.maximum(0, at[last[some]] // step - 4)
+        high = np.minimum(np.maximum(0, (n - 3 * step) // step), at[some] // step + 1)
+        windows: dict[int, set[int]] = {}
+        for j, a, b in zip(owner[some].tolist(), low.tolist(), high.tolist(), strict=True):
+            windows.setdefault(j, set()).update(range(a, b + 1))
+        for j, starts in windows.items():
+            step, least, count = int(_STEPS[self.width[j]]), self.least[j], self.counts[j]
+            for b in sorted(starts):
+                region = words[max(0, (b - 1) * step) : (b + 5) * step]
+                if sum(map(count.__getitem__, count.keys() & region)) >= least:
+                    self._confirm(j, region, out)
 
 
 RESULT = "doc_id long, h long, item_ids array<long>, best double"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, h (hash of the text), item_ids (benchmark items it holds,
     ascending), best, contaminated.
 
     A document holds an item when, in some window, at least 60 % of a passage's words occur in order and half of
     its answer does too, or 85 % of the words do. Null or empty texts hold nothing; items without words or id
     are never found. Null ids and repeated rows stay as they come. The basis is fitted on the benchmark and
-    `sample_docs` documents at most, of SAMPLE_CHARS code points at most; frequencies and the search cover all. Benchmarks beyond 20,000 items are
+    all documents. Benchmarks beyond 20,000 items are
     taken in blocks, one scan each. Empty tables: no rows, or nothing contaminated.
     """
     spark = docs.sparkSession
@@ -217,7 +294,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK,
     indexes = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # bounded by the block
-        indexes.append(spark.sparkContext.broadcast(Index(spark, [(r["item"], r["text"]) for r in part], rows, rank, sample_docs)))
+        indexes.append(spark.sparkContext.broadcast(Index(spark, [(r["item"], r["text"]) for r in part], rows, rank)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -313,3 +313,16 @@ def test_personal_data(spark):
     assert [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got] == [(1, 1, 1, 1, 1), (2, 0, 0, 0, 0), (None, 0, 0, 0, 0), (1, 1, 1, 1, 1), (3, 0, 0, 0, 0)]
     assert got[0].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert "iban:" in got[0].spans and "secret:" in got[0].spans
+
+
+def test_decontamination_of_a_large_benchmark(spark):
+    """More passages than the rank by far: copies, whole or with words put in and left out, are found all the same."""
+    rng = random.Random(21)
+    items = [(i, words(rng, 24, 6000) + ". " + words(rng, 8, 6000) + ".") for i in range(1100)]
+    rows = [(i, words(rng, 150, 6000), "s") for i in range(100)]
+    for i, text in items[::10]:
+        rows.append((1000 + i, f"{words(rng, 70, 6000)} {text.upper()} {words(rng, 50, 6000)}", "s"))
+        rows.append((5000 + i, f"{words(rng, 30, 6000)} {' '.join(w if k % 9 else f'{w} extra' for k, w in enumerate(text.split()) if k % 11 != 5)}", "s"))
+    got = {r.doc_id: r.item_ids for r in decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert not any(got[i] for i in range(100))
+    assert all(got[1000 + i] == [i] and got[5000 + i] == [i] for i, _ in items[::10])
