@@ -28,7 +28,8 @@ RANK = 256
 EXTRA = 32  # columns of the random matrix beyond the rank
 FIT_PASSAGES = 64  # corpus passages that a task multiplies at a time
 COSINE = 0.35
-COMMON = 0.5  # a word of less than this share of the median weight bears none
+COMMON = 0.01  # least weight of a word, as a share of the median
+SHORT = 5  # passages of fewer words are looked for word for word
 SUBSEQUENCE = 0.6
 SURE = 0.85
 ANSWER = 0.5
@@ -97,7 +98,8 @@ class Index:
         df = np.array([seen.get(c, 0) for c in range(len(code))], float)
         self.idf = np.log((1 + total) / (1 + df))
         self.other = float(np.median(self.idf)) if len(self.idf) else 1.0  # weight of a word outside the vocabulary
-        self.idf[self.idf < COMMON * self.other] = 0.0
+        self.other = self.other or 1.0
+        self.idf = np.maximum(self.idf, COMMON * self.other)
         self.coded = [np.array([code[w] for w in words], np.int64) for _, words, _ in self.passages]
         self.width = np.array([min(i for i, x in enumerate(WINDOWS) if 4 * len(w) <= 3 * x) for _, w, _ in self.passages], np.int64)
         basis = self._basis(docs, rank)
@@ -110,7 +112,7 @@ class Index:
     def _index(self, df: np.ndarray, length: int) -> None:
         """Rarest words of each passage. A region with `least` of a passage's n words has, for any k, at least k of its
         n - least + k rarest ones; k is the one that should cost the least, with words falling at random."""
-        self.least = [next(t for t in range(1, len(w) + 1) if t / len(w) >= SUBSEQUENCE) for _, w, _ in self.passages]
+        self.least = [next(t for t in range(1, len(w) + 1) if t / len(w) >= SUBSEQUENCE) if len(w) >= SHORT else len(w) for _, w, _ in self.passages]
         rate = -np.log1p(-np.minimum(df / self.total, 0.999)) * self.total / max(1, length)
         need, keyed = [], []
         for j, (c, least) in enumerate(zip(self.coded, self.least, strict=True)):
@@ -270,7 +272,11 @@ class Index:
             for b in sorted(starts):
                 region = words[max(0, (b - 1) * step) : (b + 5) * step]
                 if sum(map(count.__getitem__, count.keys() & region)) >= least:
-                    self._confirm(j, region, out)
+                    item, passage, _ = self.passages[j]
+                    if len(passage) >= SHORT:
+                        self._confirm(j, region, out)
+                    elif any(region[i : i + len(passage)] == passage for i in range(len(region))):
+                        out[item] = 1.0
 
 
 RESULT = "doc_id long, h long, item_ids array<long>, best double"
@@ -281,7 +287,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK,
     ascending), best, contaminated.
 
     A document holds an item when, in some window, at least 60 % of a passage's words occur in order and half of
-    its answer does too, or 85 % of the words do. Null or empty texts hold nothing; items without words or id
+    its answer does too, or 85 % of the words do. Passages of fewer than five words are found word for word, however
+    common they are, and in looser form only where the cosine search meets them. Null or empty texts hold nothing; items without words or id
     are never found. Null ids and repeated rows stay as they come. The basis is fitted on the benchmark and
     all documents. Benchmarks beyond 20,000 items are
     taken in blocks, one scan each. Empty tables: no rows, or nothing contaminated.

@@ -326,3 +326,22 @@ def test_decontamination_of_a_large_benchmark(spark):
     got = {r.doc_id: r.item_ids for r in decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert not any(got[i] for i in range(100))
     assert all(got[1000 + i] == [i] and got[5000 + i] == [i] for i, _ in items[::10])
+
+
+def test_decontamination_of_widely_leaked_and_short_passages(spark):
+    """A passage in a third of all documents, one of words that most documents have, and items of one to three words."""
+    rng = random.Random(22)
+    leak, common = words(rng, 30, 3000) + ". " + words(rng, 8, 3000), [f"the{i}" for i in range(20)]
+    plain = common[:]
+    rng.shuffle(plain)
+    items = [(0, leak), (1, " ".join(plain)), (2, "Zyzzyva"), (3, "quince jelly"), (4, "the3 the1 the2")]
+    rows = []
+    for i in range(120):
+        text = f"{words(rng, 80, 3000)} {' '.join(sorted(common))} {words(rng, 60, 3000)}"
+        rows.append((i, text if i % 3 else f"{text} {leak} {words(rng, 20, 3000)}", "s"))
+    for i, (_, text) in enumerate(items):
+        rows.append((200 + i, f"{words(rng, 90, 3000)} {text} {words(rng, 70, 3000)}", "s"))
+    rows += [(300, words(rng, 60, 3000) + " jelly and quince", "s")]
+    got = {r.doc_id: r.item_ids for r in decontaminate.find_contamination(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(got[i] == ([] if i % 3 else [0]) for i in range(120))
+    assert all(i in got[200 + i] for i in range(5)) and got[300] == []
