@@ -22,9 +22,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _MARK = re.compile(r"""(?:class|id|role|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 # HTML element classes and the words in class, id and role that name a page region.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video head".split())
+RAW = frozenset("svg select option button canvas audio video annotation annotation-xml head".split())
+HEAD = frozenset("base basefont bgsound link meta".split())
 OPAQUE = frozenset("script style textarea title noscript template iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr object optgroup q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose merror mmultiscripts mprescripts none semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ASIDE_TAGS = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -6.0, "article": 4.0, "main": 3.0}
 _BAD = re.compile(
@@ -36,6 +39,9 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 _CLOSE_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in RAW}
+
+
 class Block:
     __slots__ = ("cue", "heading", "linked", "path", "text")
 
@@ -65,8 +71,9 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # name, summed cue, serial number
     parts: list[str] = []
-    linked = skip = serial = links = 0
-    raw_until = ""
+    linked = serial = links = 0
+    raw: list[tuple[str, bool]] = []  # open elements whose text is left out, and whether an end tag comes before the next start
+    inner: list[str] = []  # other elements open in those
 
     def flush() -> None:
         nonlocal linked
@@ -87,7 +94,9 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
-                if not skip:
+                if raw and raw[-1][0] == "head" and not piece.isspace():
+                    raw.clear()
+                if not raw:
                     parts.append(piece)
                     if links:
                         linked += len(piece)
@@ -98,19 +107,40 @@ def blocks_of(page: str) -> list[Block]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if raw and raw[0][0] == "head" and name != "head" and name not in HEAD:
+            raw.clear()  # whatever a head cannot hold ends it
         if name in INLINE:
             if name == "a":
                 links = 0 if closing else 1
-            elif name == "br" and not skip:
+            elif name == "br" and not raw:
                 parts.append(" ")
             continue
-        if name in RAW and not attrs.endswith("/"):
-            flush()
-            skip = max(0, skip + (-1 if closing else 1))
-            continue
-        if skip and name != "body":
+        if name in RAW:
+            same = [i for i, x in enumerate(raw) if x[0] == name]
+            if closing:
+                if same:
+                    del raw[same[-1] :]
+            elif not attrs.endswith("/"):
+                if same and name in ("select", "button") or name == "option" and raw and raw[-1][0] == name:
+                    del raw[same[-1] :]
+                if not raw:
+                    inner.clear()
+                other = _SAME[name].search(page, at)
+                raw.append((name, other is not None and other[1] == "/"))
             continue
-        skip = 0
+        if raw:
+            # The end tag of an element around them ends them all; a block's start ends those without an end tag.
+            select = any(x[0] == "select" for x in raw)
+            if closing and name in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                continue
+            if any(x[0] == name for x in stack) if closing else name == "body" or name in _CLOSE_P and not all(x[1] for x in raw if x[0] != "option" or not select):
+                raw.clear()
+            else:
+                if not closing and name not in VOID:
+                    inner.append(name)
+                continue
+        inner.clear()
         flush()
         if closing:
             for i in range(len(stack) - 1, 0, -1):

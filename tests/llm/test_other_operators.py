@@ -117,3 +117,13 @@ def test_top_k_matches_brute_force(spark):
     assert hamming_topk.top_k(df.limit(0)).count() == 0
     few = hamming_topk.top_k(df.where("vec_id in (0, 1, 2)")).collect()
     assert [r.rank for r in few] == [1, 2]
+
+
+def test_pages_without_optional_end_tags():
+    prose = "Some long prose, with commas, and a full stop at the end of it."
+    for before in ("<select><option>A<option>B</select>", "<select><option>A<option>B", "<datalist><option>A<option>B</datalist>", "<div><button>Go</div>", "<button>Go", "<svg><path d='m'>", "<div><button><div>Go</div></button></div>", "<object data=x>"):
+        got = html_extract.main_text(f"<body>{before}<article><p>{prose}</p></article></body>", W)
+        assert got.split("\n")[-1] == prose and "Go" not in got, before
+    assert html_extract.main_text(f"<head><title>T</title><p>{prose}", W) == html_extract.main_text(f"<head><meta charset=x><title>T</title>{prose}", W) == prose
+    inline = "<p>One, two <svg><g><text>no</text></g></svg>three <math><mi>x</mi><mo>+</mo><mi>y</mi></math> and <object>four</object> <button>no</button>five.</p>"
+    assert html_extract.main_text(f"<article>{inline}</article>", W) == "One, two three x+y and four five."
