@@ -59,17 +59,30 @@ def _cue(name: str, attrs: str, inside: float) -> float:
             return -20.0
         for m in _MARK.finditer(attrs):
             mark = m[1] or m[2] or m[3] or ""
-            if _BAD.search(mark) and name not in ("body", "html"):
+            if name in ("article", "main") and _BAD.search(mark) and not any(_BAD.fullmatch(x) for x in mark.split()):
+                value = min(value, ASIDE_TAGS[name] - 3.0)  # no-sidebar, tag-search: a part of a word says little here
+            elif _BAD.search(mark) and name not in ("body", "html"):
                 value = min(value, -9.0)
             elif _GOOD.search(mark):
                 value = max(value, 3.0) if value >= 0 else value
     return value
 
 
+MOST_INSIDE, MOST_OUTSIDE = 4.0, 7.0  # most that cues for content add up to in a boilerplate region, and elsewhere
+
+
+def _within(bad: float, good: float, value: float) -> tuple[float, float]:
+    """Cues against and for content inside an element: a boilerplate element takes all cues for content back, and
+    what is inside it cannot outweigh it."""
+    if value < 0:
+        return bad + value, 0.0
+    return bad, max(good, min(good + value, MOST_INSIDE if bad < 0 else MOST_OUTSIDE))
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order. Unclosed, misnested and truncated markup is read leniently."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # name, summed cue, serial number
+    stack: list[tuple[str, float, int, float, float]] = [("", 0.0, 0, 0.0, 0.0)]  # name, cue, serial number, cues against and for content
     parts: list[str] = []
     linked = serial = links = 0
     raw: list[tuple[str, bool]] = []  # open elements whose text is left out, and whether an end tag comes before the next start
@@ -152,7 +165,8 @@ def blocks_of(page: str) -> list[Block]:
             while len(stack) > 1 and (stack[-1][0] in gone or stack[-1][0] == "p" and name in _CLOSE_P):
                 stack.pop()
             serial += 1
-            stack.append((name, stack[-1][1] + _cue(name, attrs, stack[-1][1]), serial))
+            bad, good = _within(*stack[-1][3:], _cue(name, attrs, stack[-1][1]))
+            stack.append((name, bad + good, serial, bad, good))
     flush()
     return out
 

@@ -127,3 +127,15 @@ def test_pages_without_optional_end_tags():
     assert html_extract.main_text(f"<head><title>T</title><p>{prose}", W) == html_extract.main_text(f"<head><meta charset=x><title>T</title>{prose}", W) == prose
     inline = "<p>One, two <svg><g><text>no</text></g></svg>three <math><mi>x</mi><mo>+</mo><mi>y</mi></math> and <object>four</object> <button>no</button>five.</p>"
     assert html_extract.main_text(f"<article>{inline}</article>", W) == "One, two three x+y and four five."
+
+
+def test_boilerplate_inside_nested_wrappers():
+    prose = "Some long prose, with commas, and a full stop at the end of it, as an article has it."
+    advert = "Buy this now, said the advert, which reads like prose, and has a full stop. And then another sentence follows."
+    for wraps in range(5):
+        for inside in ("<div class=ad>{}</div>", "<aside>{}</aside>", "<div class=notice><div class=content><div class=text>{}</div></div></div>", "<div class=comments><article class=post>{}</article></div>"):
+            page = "<main class=content><article class=post>" + "<div class=entry-content>" * wraps + f"<p>{prose}</p>" + inside.format(f"<p>{advert}</p>") + f"<p>{prose}</p>" + "</div>" * wraps + "</article></main>"
+            assert html_extract.main_text(page, W) == f"{prose}\n{prose}", (wraps, inside)
+    for name in ("no-sidebar", "post tag-search", "category-legal"):
+        assert html_extract.main_text(f'<article class="{name}"><p>{prose}</p></article>', W) == prose
+    assert html_extract.main_text(f"<article class=comment><p>{prose}</p></article>", W) == ""
