@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,13 +12,55 @@ from pyspark.sql import functions as F
 
 from .joins import overlapping
 
-MOST = 10
+MOST = 10  # predictions that the table over sets takes; more go by augmenting paths
+
+
+def _assign(pred: list[tuple[int, int]], truth: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """The same choice in polynomial time, in exact fractions: each step adds the path of the largest gain in (pairs,
+    IoU, a bit for each pair, the smallest pair's the highest)."""
+    share = {}
+    for j, (a, b) in enumerate(truth):
+        for i, (c, d) in enumerate(pred):
+            common = min(b, d) - max(a, c)
+            if common > 0 and common / (max(b, d) - min(a, c)) >= least:
+                share[i, j] = Fraction(common, max(b, d) - min(a, c))
+    weight = {p: (1, share[p], 1 << (len(share) - 1 - r)) for r, p in enumerate(sorted(share))}
+    near: dict[int, list[int]] = {}
+    for i, j in sorted(share):
+        near.setdefault(i, []).append(j)
+    mate: dict[int, int] = {}
+    owner: dict[int, int] = {}
+    while True:
+        reach = {i: (0, 0, 0) for i in near if i not in mate}
+        gain: dict[int, tuple] = {}
+        came: dict[int, int] = {}
+        queue = deque(reach)
+        while queue:
+            i = queue.popleft()
+            for j in near[i]:
+                new = tuple(x + y for x, y in zip(reach[i], weight[i, j], strict=True))
+                if mate.get(i) != j and (j not in gain or new > gain[j]):
+                    gain[j], came[j] = new, i
+                    if j in owner:
+                        back = owner[j]
+                        reach[back] = tuple(x - y for x, y in zip(new, weight[back, j], strict=True))
+                        queue.append(back)
+        ends = [j for j in gain if j not in owner]
+        if not ends:
+            return sorted(mate.items())
+        j = max(ends, key=gain.__getitem__)
+        while j is not None:
+            i = came[j]
+            before = mate.get(i)
+            mate[i], owner[j] = j, i
+            j = before
 
 
 def best_pairs(pred: list[tuple[int, int]], truth: list[tuple[int, int]], least: float = 0.5) -> list[tuple[int, int, float]]:
     """(prediction, truth, IoU): most pairs, then the largest summed IoU, then the smallest pairs in order."""
     if len(pred) > MOST:
-        raise ValueError(f"a group holds {MOST} predictions at most")
+        chosen = _assign(pred, truth, least)
+        return [(i, j, (min(pred[i][1], truth[j][1]) - max(pred[i][0], truth[j][0])) / (max(pred[i][1], truth[j][1]) - min(pred[i][0], truth[j][0]))) for i, j in chosen]
     reach: dict[int, tuple[int, float, tuple]] = {0: (0, 0.0, ())}
     for j, (a, b) in enumerate(truth):
         grown = dict(reach)

@@ -223,8 +223,7 @@ def interval_complement(t):
 
 @query()
 def event_match_1to1(t):
-    """One-to-one matching per user and day: most pairs, then most summed IoU, then lexicographic; IoU of 1/2 at least,
-    ten predictions at most in a group (a larger group is an error)."""
+    """One-to-one matching per user and day: most pairs, then most summed IoU, then lexicographic; IoU of 1/2 at least."""
     from ..operators.matching import match_one_to_one
 
     sides = t.sides().withColumn("day", F.floor(F.col("s") / DAY))

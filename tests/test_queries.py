@@ -1,5 +1,8 @@
 """Every registered query against its SQL, and hand-made cases of the interval, join and box operators."""
 
+import random
+from fractions import Fraction
+
 import duckdb
 import pytest
 from hypothesis import given, settings
@@ -98,3 +101,22 @@ def test_rows_only_queries(spark, sf):
 def test_content_rows(spark, tmp_path):
     (tmp_path / "a.txt").write_text("abc")
     assert [(r.size, r.sha[:8]) for r in content_rows(spark, str(tmp_path)).collect()] == [(3, "ba7816bf")]
+
+
+def exact_pairs(pred, truth, least):
+    """Every matching, the best by (most pairs, most summed IoU, smallest pairs), in fractions."""
+    share = {(i, j): Fraction(min(b, d) - max(a, c), max(b, d) - min(a, c)) for i, (a, b) in enumerate(pred) for j, (c, d) in enumerate(truth)}
+    found = [()]
+    for i in range(len(pred)):
+        found += [(*m, (i, j)) for m in found for j in range(len(truth)) if share[i, j] >= least and all(j != x[1] for x in m)]
+    return list(min(found, key=lambda m: (-len(m), -sum(share[p] for p in m), m)))
+
+
+def test_matching_of_large_groups(monkeypatch):
+    many = [(10 * i, 10 * i + 8) for i in range(40)]
+    assert [p[:2] for p in best_pairs(many, [(a + 1, b) for a, b in many])] == [(i, i) for i in range(40)]
+    rng = random.Random(4)
+    monkeypatch.setattr("loomspan.operators.matching.MOST", 0)
+    for _ in range(300):
+        pred, truth = ([(a := rng.randrange(6), a + rng.randrange(1, 8)) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        assert [p[:2] for p in best_pairs(pred, truth, 0.25)] == exact_pairs(pred, truth, Fraction(1, 4))
