@@ -40,7 +40,24 @@ def legal(box: Column, width: Column, height: Column, tw: int, th: int) -> Colum
 
 
 def half_even(num: Column, den: Column) -> Column:
-    """num / den rounded half to even, in whole numbers (den > 0)."""
-    q = F.floor(num / den)
-    twice = 2 * (num - q * den)
-    return q + F.when((twice > den) | ((twice == den) & (F.pmod(q, F.lit(2)) == 1)), 1).otherwise(0)
+    """num / den rounded half to even, exactly, in whole numbers (den > 0)."""
+    rest = F.pmod(num, den)
+    q = F.round((num - rest) / den).cast("long")  # a whole quotient
+    return q + F.when((2 * rest > den) | ((2 * rest == den) & (F.pmod(q, F.lit(2)) == 1)), 1).otherwise(0)
+
+
+def pchip(z: list[Column], h0: Column, h2: Column, k: Column, h: int = 8) -> Column:
+    """Monotone cubic through four whole-number supports with gaps h0, h, h2, at k ticks after the second, as a whole
+    number rounded half to even. The slopes are weighted harmonic means, kept as exact ratios."""
+    d0, d1, d2 = z[1] - z[0], z[2] - z[1], z[3] - z[2]
+
+    def slope(before: Column, after: Column, a: Column, b: Column) -> tuple[Column, Column]:
+        w1, w2 = 2 * after + before, after + 2 * before
+        flat = a * b <= 0
+        top = F.signum(a).cast("long") * (w1 + w2) * F.abs(a) * F.abs(b)
+        return F.when(flat, 0).otherwise(top), F.when(flat, 1).otherwise(w1 * before * F.abs(b) + w2 * after * F.abs(a))
+
+    (n1, m1), (n2, m2) = slope(h0, F.lit(h), d0, d1), slope(F.lit(h), h2, d1, d2)
+    at = (2 * k * k * k - 3 * h * k * k + h**3) * z[1] + (3 * h * k * k - 2 * k * k * k) * z[2]
+    lean = (k * k * k - 2 * h * k * k + h * h * k) * n1 * m2 + (k * k * k - h * k * k) * n2 * m1
+    return half_even(at * m1 * m2 + h * lean, h**3 * m1 * m2)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def finite(x: Column) -> Column:
@@ -61,3 +65,18 @@ def has_keys(text: Column, names: Sequence[str]) -> Column:
     """True if any of the keys occurs at any depth; names inside string values do not count."""
     keys = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?'), 0)
     return F.exists(keys, lambda k: F.regexp_replace(k, r"\s*:$", ":").isin(*[f'"{n}":' for n in names]))
+
+
+@F.pandas_udf(StringType())
+def _composed(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+
+def nfc(text: Column) -> Column:
+    """Composed form. Only texts beyond ASCII can change; the others do not leave the JVM's values."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _composed(text)).otherwise(text)
+
+
+def has_suffix(name: Column, suffixes: Sequence[str]) -> Column:
+    low = F.lower(name)
+    return reduce(lambda a, b: a | b, [low.endswith(x) for x in suffixes])

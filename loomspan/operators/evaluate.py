@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import iou_ratio
 from .joins import first_match
+from .ordered import positions
 
 
 def hash_index(n: Column | int, *parts: Column | str) -> Column:
@@ -48,7 +48,19 @@ def bootstrap(groups: DataFrame, draws: int, columns: Sequence[str], seed: str)
     return slots.join(groups, "i").groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns], F.count("*").alias("n"))
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str) -> Column:
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def rank_correlation(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
+    """(by, rho): Spearman's correlation with ties averaged; null where a side is constant. Rows with a
+    null key or value are left out.
+
+    Ranks belong to distinct values, and rows only count for their (a, b): three small grouped counts."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, a, b).agg(F.count("*").alias("_c"))
+
+    def ranks(value: str, name: str) -> DataFrame:
+        counts = both.groupBy(*by, value).agg(F.sum("_c").alias("_n"))
+        x = positions(counts, by, [F.col(value)], "_lo", "_n", "_all")
+        return x.select(*by, value, (F.col("_lo") + (F.col("_n") - F.col("_all")) / F.lit(2.0)).alias(name))  # from the middle
+
+    x = both.join(ranks(a, "_ra"), [*by, a]).join(ranks(b, "_rb"), [*by, b])
+    total = lambda p, q: F.sum(F.col("_c") * F.col(p) * F.col(q))
+    rho = F.try_divide(total("_ra", "_rb"), F.sqrt(total("_ra", "_ra")) * F.sqrt(total("_rb", "_rb")))
+    return x.groupBy(*by).agg(rho.alias("rho"))

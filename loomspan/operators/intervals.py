@@ -112,3 +112,14 @@ def pad(df: DataFrame, lead: Column, tail: Column, lo: Column, hi: Column) -> Da
 def clip(df: DataFrame, lo: Column, hi: Column) -> DataFrame:
     """The part of each interval inside [lo, hi); empty ones go."""
     return df.withColumns({"s": F.greatest("s", lo), "e": F.least("e", hi)}).where("s < e")
+
+
+def partition_check(df: DataFrame, by: Sequence[str], side: str, sets: dict[str, str], width: int | None = None) -> DataFrame:
+    """(by, ticks of each set, overlap, hole, tiles): whether the sets (side value -> column) tile each key's domain,
+    which runs from the first start to the last end of all its rows. overlap: ground of two sets or more; hole: of none."""
+    rest = df.withColumn("_side", F.when(F.col(side).isin(*sets), F.col(side)).otherwise("_rest"))
+    x = sweep(rest, by, "_side", (*sets, "_rest"), width)
+    many = sum((F.when(F.col(f"c_{k}") > 0, 1).otherwise(0) for k in sets), F.lit(0))
+    size = lambda c: F.sum(F.when(c, F.col("e") - F.col("s")).otherwise(0))
+    out = x.groupBy(*by).agg(*[size(F.col(f"c_{k}") > 0).alias(n) for k, n in sets.items()], size(many > 1).alias("overlap"), size(many == 0).alias("hole"))
+    return out.withColumn("tiles", (F.col("overlap") == 0) & (F.col("hole") == 0))

@@ -15,12 +15,13 @@ def _buckets(s: Column, last: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(s / width), F.floor(last / width)))
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, width: int) -> DataFrame:
-    """Each (point, interval) with s <= t < e under equal keys. Time is cut into buckets of `width` ticks which
+def points_in_intervals(points: DataFrame, intervals: DataFrame, by: Sequence[str], t: str, width: int, ends: tuple[str, str] = ("s", "e")) -> DataFrame:
+    """Each (point, interval) with s <= t < e under equal keys (`ends` names s and e). Time is cut into buckets of `width` ticks which
     join the keys, so a key with many rows spreads over as many partitions as it has buckets."""
     left = points.withColumn("_b", F.floor(F.col(t) / width))
-    right = intervals.where("s < e").withColumn("_b", _buckets(F.col("s"), F.col("e") - 1, width))
-    return left.join(right, [*by, "_b"]).where((F.col(t) >= F.col("s")) & (F.col(t) < F.col("e"))).drop("_b")
+    s, e = (F.col(c) for c in ends)
+    right = intervals.where(s < e).withColumn("_b", _buckets(s, e - 1, width))
+    return left.join(right, [*by, "_b"]).where((F.col(t) >= s) & (F.col(t) < e)).drop("_b")
 
 
 def overlapping(a: DataFrame, b: DataFrame, by: Sequence[str], width: int) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,18 +15,37 @@ def split_leaks(df: DataFrame, group: str, split: str) -> DataFrame:
     return x.where("_a != _b").select(group, "n")
 
 
-def near_codes(df: DataFrame, key: str, vector: str, most: int) -> DataFrame:
-    """(a, b, distance) of different 64-bit sign codes at Hamming distance `most` or less; a code stands for all
-    its rows by its smallest key. Codes are cut into most + 1 bands, one of which must agree, so pairs come from
-    an equality join; a pair is taken in its first equal band."""
-    bit = lambda i: F.when(F.get(vector, F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
-    code = reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(64)])
-    reps = df.select(F.col(key), code.alias("code")).groupBy("code").agg(F.min(key).alias("id"))
-    cut = [64 * i // (most + 1) for i in range(most + 2)]
+def near_codes(df: DataFrame, key: str, vector: str, most: int, dims: int = 64, bands: int = 4) -> DataFrame:
+    """(a, b, distance) of different sign codes of `dims` (at most 64) components at Hamming distance `most` or less; a
+    code stands for all its rows by its smallest key. A vector of another length is an error.
+
+    Codes are cut into wide bands. Two codes this near differ by most // bands bits at most in one of them, so one
+    side sends each band's values within that radius and the other its own: an equality join on wide keys. A pair
+    is taken in its first such band."""
+    fits = F.when(F.col(vector).isNull() | (F.size(vector) == dims), F.col(vector)).otherwise(F.raise_error(F.lit(f"vectors must have {dims} components")).cast(dict(df.dtypes)[vector]))
+    bit = lambda i: F.when(F.get("_v", F.lit(i)) > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long")
+    code = reduce(lambda a, b: a.bitwiseOR(b), [bit(i) for i in range(dims)])
+    reps = df.select(F.col(key), fits.alias("_v")).select(F.col(key), code.alias("code")).groupBy("code").agg(F.min(key).alias("id"))
+    cut = [dims * i // bands for i in range(bands + 1)]
     part = lambda c, i: F.shiftrightunsigned(c, cut[i]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1))
-    bands = F.array(*[F.struct(F.lit(i).alias("n"), part(F.col("code"), i).alias("v")) for i in range(most + 1)])
-    x = reps.select("id", "code", F.explode(bands).alias("band"))
-    y = x.select(F.col("id").alias("id2"), F.col("code").alias("code2"), "band")
-    first = F.coalesce(*[F.when(part(F.col("code"), i) == part(F.col("code2"), i), i) for i in range(most + 1)])
-    d = F.bit_count(F.col("code").bitwiseXOR(F.col("code2")))
+    radius = most // bands
+    flips = [[sum(1 << b for b in pick) for r in range(radius + 1) for pick in combinations(range(cut[i + 1] - cut[i]), r)] for i in range(bands)]
+
+    def probes(i: int) -> Column:
+        value = part(F.col("code"), i)
+        return F.transform(F.array(*[F.lit(f).cast("long") for f in flips[i]]), lambda f: F.struct(F.lit(i).alias("n"), value.bitwiseXOR(f).alias("v")))
+
+    near = F.flatten(F.array(*map(probes, range(bands))))
+    own = F.array(*[F.struct(F.lit(i).alias("n"), part(F.col("code"), i).alias("v")) for i in range(bands)])
+    x = reps.select("id", "code", F.explode(near).alias("band"))
+    y = reps.select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.explode(own).alias("band"))
+    differ = F.col("code").bitwiseXOR(F.col("code2"))
+    first = F.coalesce(*[F.when(F.bit_count(part(differ, i)) <= radius, i) for i in range(bands)])
+    d = F.bit_count(differ)
     return x.join(y, "band").where((F.col("id") < F.col("id2")) & (d <= most) & (F.col("band.n") == first)).select(F.col("id").alias("a"), F.col("id2").alias("b"), d.alias("distance"))
+
+
+def content_leaks(a: DataFrame, b: DataFrame, content: str) -> DataFrame:
+    """(sha, n_a, n_b, first_a, first_b) of byte contents on both sides, by their SHA-256; inputs: id, content."""
+    side = lambda df, x: df.where(F.col(content).isNotNull()).groupBy(F.sha2(content, 256).alias("sha")).agg(F.count("*").alias(f"n_{x}"), F.min("id").alias(f"first_{x}"))
+    return side(a, "a").join(side(b, "b"), "sha")

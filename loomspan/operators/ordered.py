@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from ..sources.shared import Scratch
+
 CELL, LEAD = "_cell", "_lead"
 
 
@@ -63,3 +65,37 @@ def previous(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Se
     rows = with_leads(rows, by, [F.max("_row").alias("_row")], [earlier(F.max, "_row")])
     rows = rows.withColumn("_before", F.lag("_row").over(inside(by, *order))).where(f"{LEAD} = 1")
     return rows.withColumns({f"prev_{c}": F.col(f"_before.prev_{c}") for c in columns}).drop("_row", "_before", CELL, LEAD)
+
+
+def following(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], width: int) -> DataFrame:
+    """Adds next_<column>: the values of the key's row after, by `order`; null for its last."""
+    rows = in_cells(df, order[0], width).withColumn("_row", F.struct(*order, *[F.col(c).alias(f"next_{c}") for c in columns]))
+    rows = with_leads(rows, by, [F.min("_row").alias("_row")], [later(F.min, "_row", "_on")])
+    ahead = F.coalesce(F.lead("_row").over(inside(by, *order)), F.max("_on").over(Window.partitionBy(*by, CELL)))
+    rows = rows.withColumn("_after", ahead).where(f"{LEAD} = 1")
+    return rows.withColumns({f"next_{c}": F.col(f"_after.next_{c}") for c in columns}).drop("_row", "_on", "_after", CELL, LEAD)
+
+
+def positions(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, weight: str | None = None, total: str | None = None) -> DataFrame:
+    """Adds `name`: each row's place from 0 in its key by `order`, or the sum of `weight` of the rows before it; and
+    `total`: the key's rows or weights in all.
+
+    Rows are sorted once in range partitions of (key, order), so a key with most rows spreads over many tasks. They
+    are written with their places inside the partition, and each (key, partition) gets what lies before it. Null
+    keys form a key."""
+    scratch = Scratch(df.sparkSession, "positions")
+    keyed = df.withColumns({f"_k{i}": c for i, c in enumerate(order)})
+    names = [*by, *[f"_k{i}" for i in range(len(order))]]
+    # One run of one plan numbers the rows: partitions may differ between two runs.
+    rows = scratch.keep(keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_m", F.monotonically_increasing_id()), "rows")
+    rows = rows.withColumn("_p", F.shiftright("_m", 33))
+    tops = rows.groupBy(*by, "_p").agg(F.min("_m").alias("_first"), (F.sum(weight) if weight else F.count("*")).alias("_n"))
+    every = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select(*[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], F.col("_p").alias("_q"), "_first", before.alias("_before"), F.sum("_n").over(every).alias("_all"))
+    same = F.col("_p") == F.col("_q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_b{i}"))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy(*by, "_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if weight else F.col("_m") - F.col("_first")
+    out = rows.join(tops, same).withColumn("_at", F.col("_before") + inside)
+    return out.select(*df.columns, F.col("_at").alias(name), *([F.col("_all").alias(total)] if total else []))

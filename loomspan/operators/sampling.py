@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .evaluate import salted
+from .ordered import positions
 
 
 def hash_sample(df: DataFrame, salt: str, key: Sequence[str], n: int) -> DataFrame:
@@ -35,41 +36,36 @@ def largest_remainder(strata: DataFrame, by: str, total: int) -> DataFrame:
 def stratified_split(df: DataFrame, by: str, salt: str, key: Sequence[str], total: int) -> DataFrame:
     """Adds split: the first quota rows of each stratum by salted hash are dev, the next as many confirm."""
     quota = largest_remainder(df.groupBy(by).agg(F.count("*").alias("n")), by, total).select(by, "quota")
-    r = F.row_number().over(Window.partitionBy(by).orderBy(salted(salt, *key)))
-    x = df.withColumn("_r", r).join(quota, by)
-    return x.withColumn("split", F.when(F.col("_r") <= F.col("quota"), "dev").when(F.col("_r") <= 2 * F.col("quota"), "confirm").otherwise("train")).drop("_r", "quota")
+    x = positions(df, [by], [salted(salt, *key)], "_r").join(quota, by)
+    return x.withColumn("split", F.when(F.col("_r") < F.col("quota"), "dev").when(F.col("_r") < 2 * F.col("quota"), "confirm").otherwise("train")).drop("_r", "quota")
 
 
 def global_rank(df: DataFrame, keys: Sequence[Column], name: str) -> DataFrame:
-    """Adds the 1-based position in the total order of `keys`: a range-partitioned sort, then offsets from the
-    partitions' row counts. No task gets all rows."""
-    keyed = df.select("*", *keys)
-    names = keyed.columns[len(df.columns) :]
-    part = keyed.repartitionByRange(*names).sortWithinPartitions(*names).withColumn("_p", F.spark_partition_id())
-    n = part.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = n.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*names))
-    return part.withColumn("_r", own).join(F.broadcast(before), "_p").select(*df.columns, (F.col("_o") + F.col("_r")).alias(name))
-
-
-def index_percentiles(df: DataFrame, value: str, ps: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One row with the values at positions round(p * (n - 1)), half to even, found over distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
-    ranked = global_rank_counts(counts, value)
-    n = F.max("_hi").over(Window.partitionBy())
-    ranked = ranked.withColumn("_n", n)
-    pick = lambda p: F.min(F.when((F.bround(F.lit(p) * (F.col("_n") - 1)) >= F.col("_lo")) & (F.bround(F.lit(p) * (F.col("_n") - 1)) < F.col("_hi")), F.col(value)))
-    return ranked.agg(*[pick(p).alias(c) for p, c in zip(ps, names, strict=True)])
-
-
-def global_rank_counts(counts: DataFrame, value: str) -> DataFrame:
-    """Adds [_lo, _hi): the positions that each distinct value takes in the sorted column."""
-    part = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    sums = part.groupBy("_p").agg(F.sum("_c").alias("_s"))
-    before = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
-    own = F.sum("_c").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    x = part.withColumn("_own", own).join(F.broadcast(before), "_p")
-    return x.select(value, (F.col("_o") + F.col("_own") - F.col("_c")).alias("_lo"), (F.col("_o") + F.col("_own")).alias("_hi"))
+    """Adds the 1-based position in the total order of `keys`."""
+    return positions(df, [], keys, name).withColumn(name, F.col(name) + 1)
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, **picks: tuple[str, float]) -> DataFrame:
+    """Per key, values at positions of the sorted column without nulls, found over counts of distinct values.
+
+    picks: name=(rule, p). Rules, for n values: index, round(p * (n - 1)) half to even; rank, ceil(p * n) from 1;
+    upper, floor(p * n) from 0; linear, between the neighbours of p * (n - 1)."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    x = positions(counts, by, [F.col(value)], "_lo", "_c", "_total")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place >= F.col("_lo")) & (place < F.col("_lo") + F.col("_c")), F.col(value)))
+
+    def pick(rule: str, p: float) -> Column:
+        n = F.col("_total")
+        if rule == "linear":
+            h = F.lit(p) * (n - 1)
+            low, high, share = at(F.floor(h)), at(F.ceil(h)), F.max(h - F.floor(h))
+            return low + (high - low) * share
+        return at({"index": F.bround(F.lit(p) * (n - 1)), "rank": F.greatest(F.ceil(F.lit(p) * n), F.lit(1)) - 1, "upper": F.floor(F.lit(p) * n)}[rule])
+
+    found = [pick(*spec).alias(c) for c, spec in picks.items()]
+    return x.groupBy(*by).agg(*found) if by else x.agg(*found)
 
 
 def greedy_distinct(df: DataFrame, salt: str, most: int) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import intervals as iv
+from ..operators.evaluate import hash_index, salted
 from ..operators.joins import overlapping, points_in_intervals
-from ..operators.ordered import previous
+from ..operators.matching import match_one_to_one
+from ..operators.ordered import following, ordinals, positions, previous
+from ..operators.sampling import percentiles
 from .registry import CELL_TICKS, CLOCK, EV, SIDES, Tables, islands, query
 
 SECOND, MINUTE, DAY = 1_000_000, 60_000_000, 86_400_000_000
@@ -69,13 +72,28 @@ def interval_coverage_k(t):
     return iv.covered(_valid(t), ["u"], 2, width=CELL_TICKS)
 
 
+DAYS = "ev as (select user_id * 1000 + (epoch_us(ts) // 86400000000) % 1000 u, event_id id, event_type k, epoch_us(ts)::bigint s, (epoch_us(ts) + floor(value * 600000000))::bigint e, value v from events)"
+DAY_DUR = DUR.replace(EV, DAYS).replace("select distinct u from sd", "select distinct u from ev")
+
+
+def _user_days(t: Tables):
+    """Intervals keyed by user and day of their start: many of these groups are empty on one side or both."""
+    return t.intervals().withColumn("u", F.col("u") * 1000 + F.floor(F.col("s") / DAY) % 1000)
+
+
+def _day_durations(t: Tables):
+    x = _user_days(t)
+    found = iv.durations(x.where("e > s and k in ('click', 'purchase')"), ["u"], "k", "click", "purchase", width=CELL_TICKS)
+    return x.select("u").distinct().join(found, "u", "left").fillna(0, ["pd", "td", "tp"])
+
+
 def _prf(policy: str):
     both = {"a": "1.0", "b": "0.0", "c": "0.0", "d": "null"}[policy]
     fill = lambda x: x if policy == "d" else f"case when pd = 0 and td = 0 then {both}::double else coalesce({x}, 0.0::double) end"
-    sql = f"with {DUR} select u, pd, td, tp, {fill('tp::double / nullif(pd, 0)')} as precision, {fill('tp::double / nullif(td, 0)')} as recall, {fill('(2 * tp)::double / nullif(pd + td, 0)')} as f1 from du"
+    sql = f"with {DAY_DUR} select u, pd, td, tp, {fill('tp::double / nullif(pd, 0)')} as precision, {fill('tp::double / nullif(td, 0)')} as recall, {fill('(2 * tp)::double / nullif(pd + td, 0)')} as f1 from du"
 
     def run(t):
-        return iv.prf(_durations(t), policy)
+        return iv.prf(_day_durations(t), policy)
 
     run.__name__ = f"interval_prf_{policy}"
     query(sql)(run)
@@ -85,16 +103,21 @@ for _p in "abcd":
     _prf(_p)
 
 
-@query(f"""with {DUR}, p as (select b.u, b.s, b.e, coalesce(max(case when a.u is not null then (least(a.e, b.e) - greatest(a.s, b.s))::double / (greatest(a.e, b.e) - least(a.s, b.s)) end), 0.0) best
-  from b left join a on a.u = b.u and a.s < b.e and b.s < a.e group by 1, 2, 3)
-select u, round(avg(best), 6) best_iou, count(*) n from p group by u""")
+@query(f"""with {DAY_DUR}, p as (select b.u, b.s, b.e, coalesce(max(case when a.u is not null then (least(a.e, b.e) - greatest(a.s, b.s))::double / (greatest(a.e, b.e) - least(a.s, b.s)) end), 0.0) best
+  from b left join a on a.u = b.u and a.s < b.e and b.s < a.e group by 1, 2, 3), w as (select u, round(avg(best), 6) best, count(*) n from p group by u)
+select du.u, case when w.n is not null then w.best when du.pd = 0 then 1.0 else 0.0 end best_iou, coalesce(w.n, 0) n from du left join w using (u)""")
 def best_window_iou(t):
-    sides = t.sides()
-    pred = iv.merge(sides.where("k = 'click'"), ["u"], width=CELL_TICKS)
-    truth = iv.merge(sides.where("k = 'purchase'"), ["u"], width=CELL_TICKS)
+    """Mean over truth windows of the best IoU; a group without truth scores 1 without predictions, else 0."""
+    x = _user_days(t)
+    good = x.where("e > s")
+    pred = iv.merge(good.where("k = 'click'"), ["u"], width=CELL_TICKS)
+    truth = iv.merge(good.where("k = 'purchase'"), ["u"], width=CELL_TICKS)
     iou = (F.least("e", "e2") - F.greatest("s", "s2")).cast("double") / (F.greatest("e", "e2") - F.least("s", "s2"))
     hits = overlapping(truth, pred.select("u", F.col("s").alias("s2"), F.col("e").alias("e2")), ["u"], 6 * 3600 * SECOND).groupBy("u", "s", "e").agg(F.max(iou).alias("best"))
-    return truth.join(hits, ["u", "s", "e"], "left").groupBy("u").agg(F.round(F.avg(F.coalesce("best", F.lit(0.0))), 6).alias("best_iou"), F.count("*").alias("n"))
+    best = truth.join(hits, ["u", "s", "e"], "left").groupBy("u").agg(F.round(F.avg(F.coalesce("best", F.lit(0.0))), 6).alias("best"), F.count("*").alias("n"))
+    every = x.groupBy("u").agg(F.count_if((F.col("k") == "click") & (F.col("e") > F.col("s"))).alias("preds"))
+    score = F.when(F.col("n").isNotNull(), F.col("best")).when(F.col("preds") == 0, 1.0).otherwise(0.0)
+    return every.join(best, "u", "left").select("u", score.alias("best_iou"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 THREE = f"{EV}, sd as (select * from ev where e > s and k in ('click', 'purchase', 'view'))"
@@ -122,17 +145,34 @@ def f1_bounds_unknown(t):
     return m.select("u", div(2 * c("tp"), c("pd") + c("kd") + c("ud") - c("pu")).alias("lower"), div(2 * (c("tp") + c("pu")), c("pd") + c("kd") + c("pu")).alias("upper"))
 
 
-@query(f"""with {EV}, r as (select u, min(s) lo, max(e) hi from ev where e > s group by 1), m as ({islands('(select * from ev where e > s)', 'u')}),
-k as (select u, sum(e - s) covered from m group by 1) select u, covered::bigint covered, (hi - lo - covered)::bigint gaps, hi - lo as domain, true tiles from k join r using (u)""")
+CELLS = """pt as (select u, s t, k, 1 d from ev where e > s union all select u, e, k, -1 from ev where e > s),
+nt as (select u, t, sum(case when k = 'click' then d else 0 end) c, sum(case when k = 'signup' then d else 0 end) g, sum(case when k = 'purchase' then d else 0 end) p, sum(case when k = 'view' then d else 0 end) v from pt group by 1, 2),
+sg as (select u, lead(t) over w - t z, sum(c) over w > 0 c, sum(g) over w > 0 g, sum(p) over w > 0 p, sum(v) over w > 0 v from nt window w as (partition by u order by t))"""
+
+
+@query(f"""with {EV}, {CELLS}, m as (select u, sum(z) filter (p) kd, sum(z) filter (v and not p) ud, sum(z) filter (c) cd, sum(z) filter (g) gd, coalesce(sum(z) filter (c and p), 0) ct, coalesce(sum(z) filter (g and p), 0) gt,
+coalesce(sum(z) filter (c and v and not p), 0) cu, coalesce(sum(z) filter (g and v and not p), 0) gu, coalesce(sum(z) filter (c <> g), 0) apart from sg where z is not null group by u)
+select u, case when kd is null then null when apart = 0 then 0.0 else round((2 * gt)::double / (coalesce(gd, 0) + kd + coalesce(ud, 0) - gu) - (2 * (ct + cu))::double / (coalesce(cd, 0) + kd + cu), 9) end gain from m""")
+def conservative_gain(t):
+    """Candidate's lower F1 bound minus the baseline's upper one: what is gained whatever the unknown ground holds.
+    Equal predictions gain 0; without known positives there is no score."""
+    x = iv.sweep(t.intervals().where("e > s"), ["u"], "k", ("click", "signup", "purchase", "view"), width=CELL_TICKS)
+    keep, un = F.col("c_purchase") > 0, (F.col("c_view") > 0) & (F.col("c_purchase") <= 0)
+    base, new = F.col("c_click") > 0, F.col("c_signup") > 0
+    size = lambda c, n: F.sum(F.when(c, F.col("e") - F.col("s")).otherwise(0)).alias(n)
+    m = x.groupBy("u").agg(size(keep, "kd"), size(un, "ud"), size(base, "bd"), size(new, "nd"), size(base & keep, "bt"), size(new & keep, "nt"), size(base & un, "bu"), size(new & un, "nu"), size(base != new, "apart"))
+    c = lambda n: F.col(n).cast("double")
+    gain = F.try_divide(2 * c("nt"), c("nd") + c("kd") + c("ud") - c("nu")) - F.try_divide(2 * (c("bt") + c("bu")), c("bd") + c("kd") + c("bu"))
+    return m.select("u", F.when(F.col("kd") > 0, F.when(F.col("apart") == 0, 0.0).otherwise(F.round(gain, 9))).alias("gain"))
+
+
+@query(f"""with {EV}, {CELLS} select u, coalesce(sum(z) filter (p), 0)::bigint keep, coalesce(sum(z) filter (c), 0)::bigint as no, coalesce(sum(z) filter (v), 0)::bigint as unknown,
+coalesce(sum(z) filter (p::int + c::int + v::int > 1), 0)::bigint overlap, coalesce(sum(z) filter (not (p or c or v)), 0)::bigint hole, coalesce(sum(z) filter (p::int + c::int + v::int <> 1), 0) = 0 as tiles from sg where z is not null group by u""")
 def domain_partition_check(t):
-    """Covered ground and its complement are disjoint and tile each user's domain."""
-    base = _valid(t)
-    bounds = base.groupBy("u").agg(F.min("s").alias("lo"), F.max("e").alias("hi"))
-    parts = iv.merge(base, ["u"], width=CELL_TICKS).withColumn("k", F.lit("in")).unionByName(iv.complement(base, bounds, ["u"], width=CELL_TICKS).withColumn("k", F.lit("out")))
-    x = iv.sweep(parts, ["u"], "k", ("in", "out"), width=CELL_TICKS)
-    size = F.col("e") - F.col("s")
-    both = x.groupBy("u").agg(F.sum(F.when(F.col("c_in") > 0, size).otherwise(0)).alias("covered"), F.sum(F.when(F.col("c_out") > 0, size).otherwise(0)).alias("gaps"), F.max(F.col("c_in") + F.col("c_out")).alias("most"), F.min(F.col("c_in") + F.col("c_out")).alias("least"), F.sum(size).alias("domain"))
-    return both.select("u", "covered", "gaps", "domain", ((F.col("most") == 1) & (F.col("least") == 1)).alias("tiles"))
+    """Whether KEEP (purchase), NO (click) and UNKNOWN (view) tile each user's domain: what two of them share, and
+    what none of them holds, between the user's first start and last end."""
+    sets = {"purchase": "keep", "click": "no", "view": "unknown"}
+    return iv.partition_check(_valid(t), ["u"], "k", sets, width=CELL_TICKS)
 
 
 RANGE = "rg as (select u, min(s) lo, max(e) hi from ev group by 1)"
@@ -163,24 +203,58 @@ def interval_pad_density(t):
     return iv.pad(x, grow, grow, F.col("lo"), F.col("hi")).select("id", "s", "e")
 
 
-@query(f"""with {SIDES}, a as (select f.f, u, s + ((e - s) * (100 - f)) // 200 s, e - ((e - s) * (100 - f)) // 200 e from sd, (values (100), (80), (60), (40)) f(f) where k = 'click'),
+SHRUNK = f"""{SIDES}, a as (select f.f, u, s + ((e - s) * (100 - f)) // 200 s, e - ((e - s) * (100 - f)) // 200 e from sd, (values (100), (80), (60), (40)) f(f) where k = 'click'),
 m as ({islands('(select * from a where s < e)', 'f, u')}), b as ({TRUE}),
 p as (select f, u, sum(e - s) pd from m group by 1, 2), o as (select m.f, m.u, sum(least(m.e, b.e) - greatest(m.s, b.s)) tp from m join b on m.u = b.u and m.s < b.e and b.s < m.e group by 1, 2),
-q as (select u, sum(e - s) td from b group by 1), r as (select p.f, p.u, (2 * coalesce(tp, 0))::double / (pd + coalesce(td, 0)) f1 from p left join o on o.f = p.f and o.u = p.u left join q on q.u = p.u)
-select f::int factor, round(avg(f1), 6) f1, rank() over (order by round(avg(f1), 6) desc, f desc) = 1 best from r group by f""")
-def shrink_grid_search(t):
-    """Midpoint-preserving shrink factors scored against the reference; the best of score, then factor."""
+q as (select u, sum(e - s) td from b group by 1), r as (select p.f, p.u, (2 * coalesce(tp, 0))::double / (pd + coalesce(td, 0)) f1 from p left join o on o.f = p.f and o.u = p.u left join q on q.u = p.u)"""
+
+
+def _shrunk(t):
+    """(factor, u, f1) of midpoint-preserving shrinks of the prediction."""
     sides = t.sides()
-    click = sides.where("k = 'click'").withColumn("factor", F.explode(F.array(*[F.lit(x) for x in (100, 80, 60, 40)])))
+    factors = F.explode(F.array(*[F.lit(x) for x in (100, 80, 60, 40)]))
+    click = sides.where("k = 'click'").withColumn("factor", factors)
     cut = F.floor((F.col("e") - F.col("s")) * (100 - F.col("factor")) / F.lit(200)).cast("long")
     click = click.withColumns({"s": F.col("s") + cut, "e": F.col("e") - cut}).where("s < e")
-    truth = sides.where("k = 'purchase'").withColumn("factor", F.explode(F.array(*[F.lit(x) for x in (100, 80, 60, 40)])))
+    truth = sides.where("k = 'purchase'").withColumn("factor", factors)
     m = iv.durations(click.unionByName(truth), ["factor", "u"], "k", "click", "purchase", width=CELL_TICKS).where("pd > 0")
-    m = m.groupBy("factor").agg(F.round(F.avg((2 * F.col("tp")).cast("double") / (F.col("pd") + F.col("td"))), 6).alias("f1"))
+    return m.select("factor", "u", ((2 * F.col("tp")).cast("double") / (F.col("pd") + F.col("td"))).alias("f1"))
+
+
+@query(f"with {SHRUNK} select f::int factor, round(avg(f1), 6) f1, rank() over (order by round(avg(f1), 6) desc, f desc) = 1 best from r group by f")
+def shrink_grid_search(t):
+    """Midpoint-preserving shrink factors scored against the reference; the best of score, then factor."""
+    m = _shrunk(t).groupBy("factor").agg(F.round(F.avg("f1"), 6).alias("f1"))
     top = m.agg(F.max(F.struct("f1", "factor")).alias("t"))  # four factors: a parameter grid
     return m.join(F.broadcast(top)).select("factor", "f1", (F.col("factor") == F.col("t.factor")).alias("best"))
 
 
+DRAWS = 200
+
+
+@query(f"""with {SHRUNK}, r2 as (select r.u % 20 g, r.f, r.f1 - z.f1 d from r join r z on z.u = r.u and z.f = 100), gr as (select f, g, sum(d) d, count(*) c from r2 group by 1, 2), gi as (select *, row_number() over (partition by f order by g) - 1 i from gr),
+n as (select f, count(*) n from gr group by 1), sl as (select f, d draw, ('0x' || substr(md5('shrink:' || d || ':' || j), 1, 8))::bigint % n i from n, range(0, {DRAWS}) a(d), range(0, n.n) b(j)),
+bs as (select f, draw, round(sum(gi.d) / sum(c), 9) v from sl join gi using (f, i) group by 1, 2), rk as (select f, v, row_number() over (partition by f order by v, draw) - 1 r from bs),
+ci as (select f, min(v) filter (r = floor(0.025 * {DRAWS})) low from rk group by f), mn as (select f, round(sum(d) / sum(c), 9) gain from gr group by f), al as (select f, gain, low, f < 100 and gain >= 0.01 and low > 0 as accepted from mn join ci using (f))
+select f::int factor, round(gain, 6) gain, round(low, 6) low, accepted, f = coalesce((select f from al where accepted order by gain desc, f desc limit 1), 100) selected from al""")
+def shrink_acceptance(t):
+    """A shrink factor replaces 100 only if it gains 0.01 at least and the lower bootstrap bound over source groups is
+    above 0; the best such factor is selected."""
+    r = _shrunk(t)
+    base = r.where("factor = 100").select("u", F.col("f1").alias("f0"))
+    groups = r.join(base, "u").groupBy("factor", (F.col("u") % 20).alias("g")).agg(F.sum(F.col("f1") - F.col("f0")).alias("d"), F.count("*").alias("c"))
+    groups = groups.withColumn("i", (F.row_number().over(Window.partitionBy("factor").orderBy("g")) - 1).cast("long"))  # twenty groups a factor
+    gain = groups.groupBy("factor").agg(F.round(F.sum("d") / F.sum("c"), 9).alias("gain"), F.count("*").alias("n"))
+    slots = gain.select("factor", "n", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    slots = slots.select("factor", "draw", hash_index(F.col("n"), F.lit("shrink"), F.col("draw").cast("string"), F.col("j").cast("string")).alias("i"))
+    v = slots.join(groups, ["factor", "i"]).groupBy("factor", "draw").agg(F.round(F.sum("d") / F.sum("c"), 9).alias("v"))
+    at = F.row_number().over(Window.partitionBy("factor").orderBy("v", "draw")) - 1  # as many as the draws
+    low = v.withColumn("r", at).where(F.col("r") == int(0.025 * DRAWS)).select("factor", F.col("v").alias("low"))
+    x = gain.join(low, "factor").withColumn("accepted", (F.col("factor") < 100) & (F.col("gain") >= 0.01) & (F.col("low") > 0))
+    best = x.agg(F.coalesce(F.max(F.when(F.col("accepted"), F.struct("gain", "factor")))["factor"], F.lit(100)).alias("best"))
+    return x.join(F.broadcast(best)).select("factor", F.round("gain", 6).alias("gain"), F.round("low", 6).alias("low"), "accepted", (F.col("factor") == F.col("best")).alias("selected"))
+
+
 @query(f"with {EV}, {RANGE} select id, greatest(s, lo + 86400000000) s, least(e, hi - 86400000000) e from ev join rg using (u) where greatest(s, lo + 86400000000) < least(e, hi - 86400000000)")
 def interval_clip(t):
     return iv.clip(_bounded(t), F.col("lo") + DAY, F.col("hi") - DAY).select("id", "s", "e")
@@ -224,8 +298,6 @@ def interval_complement(t):
 @query()
 def event_match_1to1(t):
     """One-to-one matching per user and day: most pairs, then most summed IoU, then lexicographic; IoU of 1/2 at least."""
-    from ..operators.matching import match_one_to_one
-
     sides = t.sides().withColumn("day", F.floor(F.col("s") / DAY))
     return match_one_to_one(sides.where("k = 'click'"), sides.where("k = 'purchase'"), ["u", "day"], 6 * 3600 * SECOND)
 
@@ -331,33 +403,39 @@ def uniform_sample_round(t):
 
 @query(f"with {CLOCK}, {RANGE} select u, i, s, lead(s, 1, hi) over (partition by u order by i) as next from ck join rg using (u)")
 def next_boundary(t):
-    w = Window.partitionBy("u").orderBy("s", "id")
-    end = F.max("e").over(Window.partitionBy("u"))
-    return t.intervals().select("u", (F.row_number().over(w) - 1).alias("i"), "s", F.coalesce(F.lead("s").over(w), end).alias("next"))
+    x = t.intervals()
+    end = x.groupBy("u").agg(F.max("e").alias("end"))
+    x = following(ordinals(x, ["u"], ["s", "id"], CELL_TICKS), ["u"], ["s", "id"], ["s"], CELL_TICKS)
+    return x.join(end, "u").select("u", "i", "s", F.coalesce("next_s", "end").alias("next"))
 
 
 @query(f"with {CLOCK} select u, i, s raw, s - min(s) over (partition by u) normalized from ck")
 def clock_normalize(t):
-    return t.clock().select("u", "i", F.col("s").alias("raw"), (F.col("s") - F.min("s").over(Window.partitionBy("u"))).alias("normalized"))
+    x = t.intervals()
+    first = x.groupBy("u").agg(F.min("s").alias("first"))
+    return ordinals(x, ["u"], ["s", "id"], CELL_TICKS).join(first, "u").select("u", "i", F.col("s").alias("raw"), (F.col("s") - F.col("first")).alias("normalized"))
 
 
 @query(f"""with {CLOCK}, d as (select u, s - lag(s) over (partition by u order by i) d from ck), m as (select u, median(d)::double m from d where d is not null group by 1),
 p as (select u, m, x, abs(m - x) / x r, row_number() over (partition by u order by abs(m - x), x) k from m, (values (3600000000), (7200000000), (10800000000), (14400000000)) q(x)) select u, m, case when r <= 0.2 then x end::bigint snapped from p where k = 1""")
 def nearest_snap(t):
     d = previous(t.intervals(), ["u"], ["s", "id"], ["s"], CELL_TICKS).select("u", (F.col("s") - F.col("prev_s")).alias("d"))
-    m = d.where("d is not null").groupBy("u").agg(F.median("d").alias("m"))
+    m = percentiles(d, ["u"], "d", m=("linear", 0.5))
     choices = F.array(*[F.lit(x * 3600 * SECOND) for x in (1, 2, 3, 4)])
     best = F.array_min(F.transform(choices, lambda x: F.struct(F.abs(F.col("m") - x).alias("far"), x.alias("x"))))
     return m.select("u", "m", F.when(best["far"] / best["x"] <= 0.2, best["x"]).alias("snapped"))
 
 
-@query(f"""with {EV}, p as (select u, s // {6 * 3600 * SECOND} cell, case when k = 'purchase' then 1.0 when k = 'click' then 0.0 end y, k = 'view' un from ev)
-select u, cell, count(*) n, case when bool_or(un) then null else round(avg(y), 9) end target from p group by 1, 2""")
+@query(f"""with {EV}, p as (select u, s // {6 * 3600 * SECOND} cell, case when k = 'purchase' then 1.0 when k = 'click' then 0.0 end y, k = 'view' un from ev),
+a as (select u, unnest(range(min(cell), max(cell) + 1)) cell from p group by u), g as (select u, cell, count(*) n, case when bool_or(un) then null else round(avg(y), 9) end target from p group by 1, 2)
+select u, cell, coalesce(n, 0) n, target from a left join g using (u, cell)""")
 def grid_cell_targets(t):
-    """Mean known state of each cell; null where a state is unknown or none is known."""
+    """Mean known state of each cell from a user's first to its last; null where a state is unknown or none is known."""
     y = F.when(F.col("k") == "purchase", 1.0).when(F.col("k") == "click", 0.0)
     x = t.intervals().select("u", F.floor(F.col("s") / (6 * 3600 * SECOND)).alias("cell"), y.alias("y"), (F.col("k") == "view").alias("un"))
-    return x.groupBy("u", "cell").agg(F.count("*").alias("n"), F.when(~F.bool_or("un"), F.round(F.avg("y"), 9)).alias("target"))
+    every = x.groupBy("u").agg(F.min("cell").alias("a"), F.max("cell").alias("b")).select("u", F.explode(F.sequence("a", "b")).alias("cell"))
+    found = x.groupBy("u", "cell").agg(F.count("*").alias("n"), F.when(~F.bool_or("un"), F.round(F.avg("y"), 9)).alias("target"))
+    return every.join(found, ["u", "cell"], "left").fillna(0, ["n"])
 
 
 SPAN = f"{EV}, sp as (select u, min(s) lo, max(s) - min(s) t from ev group by 1)"
@@ -413,11 +491,8 @@ def window_hopping_partial(t):
 @query(f"""with {SPAN}, r as (select u, t, greatest((t + {W3} - 1) // {W3}, 1) n, row_number() over (order by sha256('pick:' || u)) - 1 r from sp)
 select u, case r % 3 when 0 then 'begin' when 1 then 'interior' else 'end' end stratum, case r % 3 when 0 then 0 when 1 then ('0x' || substr(md5(u::varchar), 1, 8))::bigint % n else n - 1 end pick from r""")
 def window_strata_pick(t):
-    from ..operators.evaluate import hash_index, salted
-
     n = F.greatest(F.floor((F.col("t") + W3 - 1) / W3), F.lit(1))
-    r = F.row_number().over(Window.orderBy(salted("pick", "u"))) - 1  # ranks sources, one row each
-    x = _spans(t).select("u", n.alias("n"), r.alias("r"))
+    x = positions(_spans(t).select("u", n.alias("n")), [], [salted("pick", "u")], "r")
     kind = F.col("r") % 3
     return x.select("u", F.when(kind == 0, "begin").when(kind == 1, "interior").otherwise("end").alias("stratum"), F.when(kind == 0, F.lit(0)).when(kind == 1, hash_index(F.col("n"), F.col("u").cast("string"))).otherwise(F.col("n") - 1).cast("long").alias("pick"))
 

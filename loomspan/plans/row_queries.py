@@ -3,27 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
 from ..functions import text as tx
-from ..sources import jsonl
-from ..sources.manifest import manifest_audit
-from .registry import BOX, CLOCK, EV, query
+from ..operators.ordered import ordinals, previous
+from ..operators.sampling import percentiles
+from ..sources import archive, delimited, jsonl
+from ..sources.manifest import manifest_audit, stem_index
+from ..sources.shared import shared_path
+from .registry import BOX, CELL_TICKS, CLOCK, EV, query
 
 EVENT = "event_id long, event_type string, user_id long, value double"
 
 
 @query("select event_id, event_type, user_id, value from events")
 def scan_json_roundtrip(t):
-    path = jsonl.shared_path(t.spark, "scan")
+    path = shared_path(t.spark, "scan")
     t.events.select(*[x.split()[0] for x in EVENT.split(", ")]).write.json(path)
     return jsonl.scan(t.spark, path, EVENT)
 
 
 @query("select o_orderkey, o_orderstatus, o_custkey from orders")
 def sink_json_roundtrip(t):
-    path = jsonl.shared_path(t.spark, "sink")
+    path = shared_path(t.spark, "sink")
     jsonl.write_once(t.orders.select("o_orderstatus", "o_orderkey", "o_custkey"), path)
     return jsonl.scan(t.spark, path, "o_custkey long, o_orderkey long, o_orderstatus string")
 
@@ -37,9 +39,10 @@ def _lines(t):
 CODES = "case when event_id % 7 = 0 then 'BLANK_LINE' when event_id % 11 = 0 then 'JSON_PARSE' when event_id % 13 = 0 then 'ROW_SHAPE'"
 
 
-@query(f"with c as (select {CODES} else 'OK' end issue from events where event_id % 17 <> 0 and event_id % 19 <> 0) select issue, count(*) n from c group by 1")
+@query(f"with c as (select {CODES} when event_id % 17 = 0 then 'JSON_PARSE' when event_id % 19 = 0 then 'JSON_PARSE' else 'OK' end issue from events) select issue, count(*) n from c group by 1")
 def scan_issue_codes(t):
-    x = _lines(t).where("event_id % 17 <> 0 and event_id % 19 <> 0")
+    """What a tolerant scan says of every line; repeated keys and bare NaN do not parse."""
+    x = _lines(t)
     return x.groupBy(F.coalesce(jsonl.issue(F.col("line")), F.lit("OK")).alias("issue")).agg(F.count("*").alias("n"))
 
 
@@ -48,6 +51,22 @@ def json_strict(t):
     return _lines(t).select("event_id", jsonl.strict_issue(F.col("line")).alias("issue"))
 
 
+@query("""select event_id, case event_id % 6 when 1 then 'DUPLICATE_KEY' when 3 then 'DUPLICATE_KEY' when 4 then 'JSON_PARSE' when 5 then 'CONSTANT' end issue from events""")
+def json_strict_nested(t):
+    """Keys count inside their own object: two objects may share a key; a repeat at any depth is an issue."""
+    lines = ['{"a":{"x":1},"b":{"x":2}}', '{"a":{"x":1,"x":2}}', '[{"a":1},{"a":2}]', '[{"a":[{"b":1,"b":1}]}]', '{"a":{"x":1}', '{"a":[1,{"b":-Infinity}]}']
+    n = F.col("event_id") % 6
+    line = F.element_at(F.array(*map(F.lit, lines)), (n + 1).cast("int"))
+    return t.events.select("event_id", jsonl.strict_issue(line, rows_only=False).alias("issue"))
+
+
+@query("select event_id, round(value, 2)::decimal(20, 2) amount from events")
+def json_decimal(t):
+    """Numbers of JSON text as exact decimals, never by way of a double."""
+    line = F.concat(F.lit('{"amount":'), F.round("value", 2).cast("decimal(20,2)").cast("string"), F.lit("}"))
+    return t.events.select("event_id", F.variant_get(F.parse_json(line), "$.amount", "decimal(20,2)").alias("amount"))
+
+
 @query("select n_regionkey doc, n_nationkey id, n_name as name from nation")
 def json_root_shapes(t):
     """Records under `records`, as a bare list, and as an id -> object mapping."""
@@ -58,6 +77,33 @@ def json_root_shapes(t):
     return tx.root_rows(docs.select("doc", text.alias("text")), "id int, name string").select("doc", "id", "name")
 
 
+@query("select event_id, event_type, user_id, value, props from events")
+def scan_csv_roundtrip(t):
+    """Tab-separated files with a header, quoted where a value holds quotes or tabs."""
+    path = shared_path(t.spark, "csv")
+    delimited.write(t.events.select("event_id", "event_type", "user_id", "value", "props"), path)
+    return delimited.scan(t.spark, path, "event_id long, event_type string, user_id long, value double, props string")
+
+
+@query("select 'part' stem, 'json' suffix, count(*) > 0 as found from events")
+def directory_stems(t):
+    """A folder's files by stem and suffix."""
+    path = shared_path(t.spark, "stems")
+    t.events.select("event_id").write.json(path)
+    x = stem_index(t.spark, path).where("suffix = 'json'")
+    return x.groupBy(F.substring_index("stem", "-", 1).alias("stem"), "suffix").agg((F.count("*") > 0).alias("found"))
+
+
+@query("select o_orderkey % 50 member, count(*) n from orders group by 1")
+def archive_roundtrip(t):
+    """Members of deterministic ZIP packages: written, read back, their lines counted."""
+    path = shared_path(t.spark, "zip")
+    x = t.orders.select((F.col("o_orderkey") % 50).alias("member"), F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("line"))
+    archive.write_packages(x, path, "member", "line", packages=4)
+    found = archive.members(t.spark, path).select(F.regexp_extract("member", r"^(\d+)\.jsonl$", 1).cast("long").alias("member"), F.split(F.decode("content", "utf-8"), "\n").alias("lines"))
+    return found.select("member", (F.size("lines") - 1).cast("long").alias("n"))
+
+
 @query("select i, count(*) n, sum(x)::bigint total from (select unnest([user_id, event_id % 5, event_id % 3]) x, unnest([0, 1, 2]) i from events) group by i")
 def split_explode_scores(t):
     cell = F.concat_ws(",", "user_id", F.col("event_id") % 5, F.col("event_id") % 3)
@@ -84,6 +130,12 @@ def regex_secret_scan(t):
     return t.documents.where(F.col("text").rlike(r"(?i)(api[_-]?key|token|passwd|password)[\x22\x27]?\s*[:=]")).select("doc_id")
 
 
+@query(r"select page_id, regexp_matches(lower(url), '\.(?:env|pem|key|sqlite|exe)$') or url like '%/7' as forbidden from pages")
+def forbidden_suffix_scan(t):
+    """Names that end in a suffix of the list."""
+    return t.pages.select("page_id", tx.has_suffix(F.col("url"), (".env", ".pem", ".key", ".sqlite", ".exe", "/7")).alias("forbidden"))
+
+
 @query("select c_custkey, c_nationkey from customer")
 def project_identity(t):
     return t.customer.select("c_custkey", "c_nationkey")
@@ -159,9 +211,10 @@ def parse_regex_fallback(t):
     return t.events.select("event_id", text.alias("text")).select("event_id", *tx.only_object(F.col("text")))
 
 
-@query("""select event_id, case when event_id % 6 = 2 then '{"segments":[[0,3]]}' end body from events where event_id % 6 = 2""")
+@query("""select event_id, case event_id % 6 when 0 then '{"segments":[]}' when 1 then '{"segments":[[1.5,2.5],[4,' || (event_id % 50 + 5) || ']]}' when 2 then '{"segments":[[0,3]]}' when 3 then '{"segments":[[5,2]]}' when 4 then 'no answer' else '{"segments":[[-1,2]]}' end body from events""")
 def strip_fence(t):
-    return _answers(t).where("event_id % 6 = 2").select("event_id", tx.strip_fence(F.col("text")).alias("body"))
+    """Fences go, whatever has none stays as it is."""
+    return _answers(t).select("event_id", tx.strip_fence(F.col("text")).alias("body"))
 
 
 @query("select n, count(*) orders, n > 6 as violation from (select l_orderkey, count(*) n from lineitem group by 1) group by n")
@@ -169,11 +222,21 @@ def cardinality_audit(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("orders")).withColumn("violation", F.col("n") > 6)
 
 
-@query(f"with {CLOCK}, d as (select u, s - lag(s) over (partition by u order by i) d from ck) select u, count(*) n, coalesce(bool_and(d > 0), true) increasing, median(d)::double mid, max(d) longest from d group by u")
+@query(f"""with {CLOCK}, b as (select u, min(s) lo, max(s) hi, count(*) n from ck group by u), d as (select ck.u, s - lag(s) over (partition by ck.u order by i) d, abs((s - lo) * (n - 1) - i * (hi - lo)) r from ck join b using (u)),
+g as (select b.u, n, coalesce(bool_and(d > 0), true) increasing, median(d)::double mid, max(d) longest, round(max(r)::double / nullif(n - 1, 0)) residual from d join b using (u) group by b.u, n)
+select u, n, increasing, mid, longest, residual, case when n < 2 then 'MISSING_PTS' when not increasing then 'NOT_INCREASING' when residual > mid then 'RESIDUAL' end reason from g""")
 def clock_audit(t):
-    w = Window.partitionBy("u").orderBy("s", "id")
-    d = t.intervals().select("u", (F.col("s") - F.lag("s").over(w)).alias("d"))
-    return d.groupBy("u").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("d") > 0), F.lit(True)).alias("increasing"), F.median("d").alias("mid"), F.max("d").alias("longest"))
+    """A clock passes if it rises strictly and no point lies further than a median step from its index at the mean
+    rate (residual); reason says why not."""
+    x = t.intervals().select("u", "s", "id")
+    ends = x.groupBy("u").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
+    rows = previous(ordinals(x, ["u"], ["s", "id"], CELL_TICKS), ["u"], ["s", "id"], ["s"], CELL_TICKS).join(ends, "u")
+    rows = rows.select("u", "n", (F.col("s") - F.col("prev_s")).alias("d"), F.abs((F.col("s") - F.col("lo")) * (F.col("n") - 1) - F.col("i") * (F.col("hi") - F.col("lo"))).alias("r"))
+    far = F.round(F.try_divide(F.max("r").cast("double"), (F.col("n") - 1).cast("double")))
+    out = rows.groupBy("u", "n").agg(F.coalesce(F.bool_and(F.col("d") > 0), F.lit(True)).alias("increasing"), F.max("d").alias("longest"), far.alias("residual"))
+    out = out.join(percentiles(rows.select("u", "d"), ["u"], "d", mid=("linear", 0.5)), "u", "left")
+    reason = F.when(F.col("n") < 2, "MISSING_PTS").when(~F.col("increasing"), "NOT_INCREASING").when(F.col("residual") > F.col("mid"), "RESIDUAL")
+    return out.withColumn("reason", reason)
 
 
 FACTS = "fx as (select source, quality q, doc_id % 3 <> 0 base, doc_id % 5 <> 0 cand from documents left join labels using (doc_id))"
@@ -197,9 +260,9 @@ def gate_checks(t):
     return g.selectExpr("stack(4, 'no_lost_keep', a = 0, 'few_ordinary', b <= 10, 'some_unknown', c > 0, 'all', a = 0 and b <= 10 and c > 0) as (check_, passed)")
 
 
-@query("select event_type, unnest(json_keys(props)) as key, count(*) n from events where event_id % 3 = 0 group by 1, 2")
+@query("select event_type, unnest(json_keys(props)) as key, count(*) n from events group by 1, 2")
 def schema_census(t):
-    x = t.events.where("event_id % 3 = 0").select("event_type", F.explode(F.json_object_keys("props")).alias("key"))
+    x = t.events.select("event_type", F.explode(F.json_object_keys("props")).alias("key"))
     return x.groupBy("event_type", "key").agg(F.count("*").alias("n"))
 
 
@@ -266,9 +329,16 @@ def fn_center_norm(t):
     return t.boxes().select("o", "f", "p", (F.col("x") / 1000.0).alias("cx"), (F.col("y") / 1000.0).alias("cy"))
 
 
-@query(r"select doc_id, trim(regexp_replace(text, '[\s]+', ' ', 'g'), ' ') body from documents")
+@query(r"select doc_id, trim(regexp_replace(nfc_normalize(text), '[\s]+', ' ', 'g'), ' ') body from documents")
 def fn_ws_collapse(t):
-    return t.documents.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("body"))
+    """White space becomes one space, in composed form (NFC)."""
+    return t.documents.select("doc_id", F.trim(F.regexp_replace(tx.nfc(F.col("text")), r"\s+", " ")).alias("body"))
+
+
+@query("select event_id, nfc_normalize(case event_id % 3 when 0 then 'cafe' || chr(769) when 1 then 'A' || chr(778) || chr(803) else 'plain' end) body from events")
+def fn_nfc(t):
+    text = F.when(F.col("event_id") % 3 == 0, "cafe\u0301").when(F.col("event_id") % 3 == 1, "A\u030a\u0323").otherwise("plain")
+    return t.events.select("event_id", tx.nfc(text).alias("body"))
 
 
 @query("select c_custkey, replace(lower(c_mktsegment || ' ' || c_name), ' ', '_') alias from customer")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_sum
-from ..streaming.jobs import event_stream, run
+from ..streaming.jobs import event_stream, rising_only, run
 from .registry import CELL_TICKS, query
 
 
@@ -33,10 +33,27 @@ def stream_session(t):
 
 @query("select distinct user_id u, event_type k from events")
 def stream_dedup(t):
+    """First of each key. Its state holds every key for good: right for a bounded set of keys such as this one."""
     x = _events(t).select(F.col("user_id").alias("u"), F.col("event_type").alias("k")).dropDuplicates(["u", "k"])
     return run(x, ["u", "k"], "dedup", "append")
 
 
+@query("select event_id, user_id u, epoch_us(ts)::bigint s, epoch_us(ts) > coalesce(max(epoch_us(ts)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), -1) accepted from events")
+def stream_reject_late(t):
+    """A point that does not lie after all earlier ones of its user is rejected, not buffered."""
+    x = _events(t).select("event_id", F.col("user_id").alias("u"), F.unix_micros("ts").alias("s"))
+    return run(rising_only(x, "u", "s", "event_id"), ["event_id"], "rising", "append")
+
+
+@query("with j as (select event_id, user_id || ':' || event_type as job, floor(value)::bigint charge, row_number() over (partition by user_id, event_type order by ts, event_id) r from events) select event_id, job, case when r = 1 then 'ACCEPTED' else 'DUPLICATE_JOB' end state, case when r = 1 then charge else 0 end charged from j")
+def ledger_admission(t):
+    """A ledger takes the first record of each job name; a repeated name is rejected and charges nothing."""
+    x = t.events.select("event_id", "ts", F.concat_ws(":", "user_id", "event_type").alias("job"), F.floor("value").alias("charge"))
+    first = x.groupBy("job").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"))
+    x = x.join(first, "job").withColumn("ok", F.col("event_id") == F.col("first"))
+    return x.select("event_id", "job", F.when(F.col("ok"), "ACCEPTED").otherwise("DUPLICATE_JOB").alias("state"), F.when(F.col("ok"), F.col("charge")).otherwise(0).alias("charged"))
+
+
 @query("select event_id, user_id, event_type from events")
 def stream_ledger(t):
     return run(_events(t).select("event_id", "user_id", "event_type"), ["event_id"], "ledger", "append")

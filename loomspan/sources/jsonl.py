@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = r'"((?:[^"\\]|\\.)*)"\s*:'
-
-
 def issue(line: Column) -> Column:
     """BLANK_LINE, JSON_PARSE, ROW_SHAPE, or null for a JSON object."""
     parsed = F.try_parse_json(line)
@@ -21,11 +15,15 @@ def issue(line: Column) -> Column:
     )
 
 
-def strict_issue(line: Column) -> Column:
-    """As `issue`, and CONSTANT for bare NaN or Infinity, DUPLICATE_KEY for a key given twice in a flat object."""
+def strict_issue(line: Column, rows_only: bool = True) -> Column:
+    """As `issue`, and CONSTANT for bare NaN or Infinity, DUPLICATE_KEY for a key given twice in one object at any
+    depth: text that only the parser for variants rejects. rows_only: a value that is no object is ROW_SHAPE."""
     bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', '""')
-    keys = F.regexp_extract_all(line, F.lit(KEY), 1)
-    return F.when(bare.rlike(r"\b(?:NaN|Infinity)\b"), "CONSTANT").when(F.size(F.array_distinct(keys)) < F.size(keys), "DUPLICATE_KEY").otherwise(issue(line))
+    # A wrapping object makes the lenient parser read the whole text, whatever its root.
+    sound = F.size(F.json_object_keys(F.concat(F.lit('{"":'), line, F.lit("}")))) == 1
+    found = F.when(bare.rlike(r"\b(?:NaN|Infinity)\b"), "CONSTANT").when(F.try_parse_json(line).isNull() & sound & (F.trim(line) != ""), "DUPLICATE_KEY")
+    plain = issue(line)
+    return found.otherwise(plain if rows_only else F.when(plain != "ROW_SHAPE", plain))
 
 
 def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,12 +34,3 @@ def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_once(df: DataFrame, path: str) -> None:
     """JSON lines with keys in name order; an existing path is an error."""
     df.select(*sorted(df.columns)).write.mode("errorifexists").json(path)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not (base := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

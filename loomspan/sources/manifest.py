@@ -12,6 +12,13 @@ def content_rows(spark: SparkSession, path: str) -> DataFrame:
     return x.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha"))
 
 
+def stem_index(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, suffix, path, size) of each file below a folder; contents are not read."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    name = F.substring_index("path", "/", -1)
+    return x.select(F.regexp_extract(name, r"^(.[^.]*)", 1).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), "path", "size")
+
+
 def manifest_audit(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, state): OK, MISSING, EXTRA, SIZE or HASH. Both inputs: key, size, sha."""
     other = found.select(F.col(key), F.col("size").alias("_size"), F.col("sha").alias("_sha"))

@@ -6,12 +6,15 @@ takes the newest row of each key. A retried batch writes the same rows again, so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..sources.jsonl import shared_path
+from ..sources.shared import shared_path
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
@@ -39,3 +42,21 @@ def run(df: DataFrame, keys: Sequence[str], name: str, mode: str = "update") ->
     if not rest or mode == "append":
         return out.select(*df.columns)
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_m")).select(*keys, "_m.*")
+
+
+def rising_only(df: DataFrame, key: str, at: str, order: str) -> DataFrame:
+    """Adds accepted: whether `at` is above all earlier ones of its key. A late point is rejected, not buffered. Rows
+    of a batch are taken by `order`; the state is one number a key."""
+    schema = StructType([*df.schema.fields, StructField("accepted", BooleanType())])
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values(order)
+        before = rows[at].cummax().shift(1)
+        if high is not None:
+            before = before.fillna(high).clip(lower=high)
+        rows["accepted"] = before.isna() | (rows[at] > before)
+        state.update((int(max(rows[at].max(), rows[at].max() if high is None else high)),))
+        yield rows
+
+    return df.groupBy(key).applyInPandasWithState(step, schema, "high long", "append", GroupStateTimeout.NoTimeout)
