@@ -4,13 +4,15 @@ Every 100-byte window contains the smallest hash of its 32-byte grams at the sam
 occurs, so equal windows share an anchor. Anchors that occur once cannot hold a repeat and go first. Each other
 anchor brings the bytes of the windows it is responsible for; equal stretches fold into their earliest
 occurrence; the different ones that share an anchor meet in one task, which builds a suffix array of them by
-two-stage sorting and finds equal windows as runs of adjacent common prefixes of 100 bytes or more.
+two-stage sorting and finds equal windows as runs of adjacent common prefixes of 100 bytes or more. An anchor with
+very many different stretches is cut by the bytes around it, so that no group grows with the corpus.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,10 @@ LENGTH = 100
 GRAM = 32
 SPAN = LENGTH - GRAM + 1
 CHUNK_BYTES = 4_000_000
-HOT_CONTEXTS = 16_384  # an anchor with more different stretches is settled window by window instead
+COMBINE_BYTES = 2_000_000  # texts whose repeats are combined before anything moves
+SEVERAL = 4  # different stretches of one anchor in such a chunk from which on they are dealt out one by one
+GROUP = 2_048  # different stretches that are sorted together; what is more is cut by content first
+_MASK = (1 << 64) - 1
 LAST_ID = (1 << 63) - 1
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 _LEVEL = mix64(np.arange(301, 306, dtype=np.uint64) * GOLDEN) | np.uint64(1)
@@ -177,48 +182,67 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-ANCHORS = "h long, s long, doc long, at long, n long, done boolean"
-_ANCHORS = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("n", pa.int64()), ("done", pa.bool_())])
+ANCHORS = "p long, h long, s long, doc long, tag long, at long, n long, off long, done boolean, several boolean"
+_ANCHORS = pa.schema([*((c, pa.int64()) for c in "p h s doc tag at n off".split()), ("done", pa.bool_()), ("several", pa.bool_())])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor and stretch digest that is new in its document; the document's own repeats leave
-    as finished runs (done), adjacent ones joined, under a key that spreads them."""
-    digest = xxhash.xxh3_64_intdigest
+    """A row for each anchor and different stretch of a chunk of texts: hash, digest, place, windows, anchor's offset in
+    the stretch. p deals rows out: by the hash, or, where the chunk alone has several stretches for it, by hash and
+    digest, with one marker for the hash. Repeats inside the chunk leave as finished runs (done), adjacent ones
+    joined, under keys that spread them."""
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
-        hs, ss, docs, ats, ns, done = [], [], [], [], [], []
-
-        def ready() -> pa.RecordBatch:
-            signed = (np.array(x, np.uint64).view(np.int64) for x in (hs, ss))
-            return pa.RecordBatch.from_arrays([*map(pa.array, signed), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(ns, pa.int64()), pa.array(done, pa.bool_())], schema=_ANCHORS)  # noqa: B023
-
-        for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            raw = _bytes(text.as_py())
-            h, _, first, n = anchors(np.frombuffer(raw, np.uint8))
-            seen, before, high = set(), len(hs), tag << 32
-            for key, at, m in zip(h.tolist(), first.tolist(), n.tolist(), strict=True):
-                s = digest(raw[at : at + m + LENGTH - 1])
-                if (key, s) not in seen:
-                    seen.add((key, s))
-                    hs.append(key)
-                    ss.append(s)
-                    ats.append(high + at)
-                    ns.append(m)
-                    done.append(False)
-                elif len(hs) > before and done[-1] and ats[-1] + ns[-1] == high + at:
-                    ns[-1] += m
-                else:
-                    hs.append(digest(f"{doc},{high + at}"))
-                    ss.append(0)
-                    ats.append(high + at)
-                    ns.append(m)
-                    done.append(True)
-            docs += [doc] * (len(hs) - before)
-            if len(hs) > 100_000:
-                yield ready()
-                hs, ss, docs, ats, ns, done = [], [], [], [], [], []
-        if hs:
-            yield ready()
+        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            raw = _bytes(row[2].as_py())
+            held.append((row[0], row[1], raw))
+            size += len(raw)
+            if size >= COMBINE_BYTES:
+                yield _combined(held)
+                held, size = [], 0
+    if held:
+        yield _combined(held)
+
+
+def _combined(texts: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    texts = sorted(texts, key=lambda t: t[:2])
+    found, digests = [], []
+    for i, (_, _, raw) in enumerate(texts):
+        if i and texts[i - 1][:2] == texts[i][:2]:
+            continue  # the same text under the same id
+        h, at, first, n = anchors(np.frombuffer(raw, np.uint8))
+        found.append((np.full(len(h), i), h, at - first, first, n))
+        digests += [xxhash.xxh3_64_intdigest(raw[a : a + m + LENGTH - 1]) for a, m in zip(first.tolist(), n.tolist(), strict=True)]
+    own, h, off, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    s = np.array(digests, np.uint64)
+    order = np.lexsort((at, own, s, h))
+    own, h, s, at, n, off = (x[order] for x in (own, h, s, at, n, off))
+    same_h = np.r_[False, h[1:] == h[:-1]]
+    repeat = same_h & np.r_[False, s[1:] == s[:-1]]
+    group = np.cumsum(~same_h) - 1
+    different = np.bincount(group, ~repeat) if len(h) else np.empty(0)
+    several = different[group] >= SEVERAL if len(h) else repeat
+    doc, tag = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
+    # Runs of repeats, adjacent ones joined.
+    at_r, own_r, n_r = at[repeat], own[repeat], n[repeat]
+    order = np.lexsort((at_r, own_r))
+    at_r, own_r, n_r = at_r[order], own_r[order], n_r[order]
+    head = np.flatnonzero(np.r_[True, (own_r[1:] != own_r[:-1]) | (at_r[1:] != at_r[:-1] + n_r[:-1])]) if len(at_r) else at_r
+    n_r = np.add.reduceat(n_r, head) if len(head) else n_r
+    at_r, own_r = at_r[head], own_r[head]
+    keep = ~repeat
+    marks = np.flatnonzero(several & ~same_h)
+    zero = lambda x: np.zeros(len(x), np.int64)
+    signed = lambda x: x.view(np.int64)
+    p = np.where(several[keep], mix64(h[keep] + s[keep]), h[keep])
+    spread = mix64(tag[own_r].view(np.uint64) + at_r.astype(np.uint64))
+    parts = [
+        (signed(p), signed(h[keep]), signed(s[keep]), doc[own[keep]], tag[own[keep]], at[keep], n[keep], off[keep], np.zeros(keep.sum(), bool), several[keep]),
+        (signed(h[marks]), signed(h[marks]), *[zero(marks)] * 3, np.full(len(marks), -1), zero(marks), zero(marks), np.zeros(len(marks), bool), np.ones(len(marks), bool)),
+        (signed(spread), *[zero(head)] * 2, doc[own_r], tag[own_r], at_r, n_r, zero(head), np.ones(len(head), bool), np.zeros(len(head), bool)),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t.type) for x, t in zip(zip(*parts, strict=True), _ANCHORS, strict=True)], schema=_ANCHORS)
 
 
 PACKED = "doc long, tag long, body binary"
@@ -233,40 +257,70 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([tight.compress(_bytes(x.as_py())) for x in own.column(2)], pa.binary())], names=["doc", "tag", "body"])
 
 
-CONTEXTS = "h long, doc long, start long, n long, body binary"
-_CONTEXTS = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+CONTEXTS = "key long, doc long, tag long, start long, n long, off long, body binary"
+_CONTEXTS = pa.schema([*((c, pa.int64()) for c in "key doc tag start n off".split()), ("body", pa.binary())])
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loose = zstandard.ZstdDecompressor()
     for batch in batches:
-        out: dict[str, list] = {x: [] for x in _CONTEXTS.names}
-        for doc, body, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-            raw = loose.decompress(body.as_py())
-            for mark in marks.as_py():
-                at = mark["at"] & 0xFFFFFFFF
-                for name, value in zip(_CONTEXTS.names, (mark["h"], doc, mark["at"], mark["n"], raw[at : at + mark["n"] + LENGTH - 1]), strict=True):
-                    out[name].append(value)
-            if len(out["h"]) > 20_000:
-                yield pa.RecordBatch.from_pydict(out, schema=_CONTEXTS)
-                out = {x: [] for x in _CONTEXTS.names}
-        if out["h"]:
-            yield pa.RecordBatch.from_pydict(out, schema=_CONTEXTS)
-
-
-RUNS = "doc long, start long, n long"
-_RUNS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+        out: list[tuple] = []
+        for doc, tag, body, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = loose.decompress(body)
+            out += [(m["h"], doc, tag, m["at"], m["n"], m["off"], raw[m["at"] : m["at"] + m["n"] + LENGTH - 1]) for m in marks]
+            if len(out) > 20_000:
+                yield _context_batch(out)
+                out = []
+        if out:
+            yield _context_batch(out)
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _CONTEXTS, strict=True)], schema=_CONTEXTS)
+
+
+def _halves(level: int):
+    """Cuts stretches by the offset of the anchor in the window. Windows whose offsets lie in one cell agree on the bytes
+    that all windows of the cell hold, so those bytes become part of the key: equal windows stay together."""
+    width = -(-SPAN // (1 << level))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, doc, tag, start, n, off, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                high = off  # the first window holds the anchor at this offset, the last at off - n + 1
+                while high > off - n:
+                    cell = high // width
+                    low = max(off - n + 1, cell * width)
+                    skip, many = off - high, high - low + 1
+                    core = body[off - cell * width : off + LENGTH - (cell + 1) * width + 1]
+                    out.append((xxhash.xxh3_64_intdigest(core, key & _MASK) - (1 << 63), doc, tag, start + skip, many, high, body[skip : skip + many + LENGTH - 1]))
+                    high = low - 1
+                if len(out) > 20_000:
+                    yield _context_batch(out)
+                    out = []
+            if out:
+                yield _context_batch(out)
+
+    return run
+
+
+RUNS = "doc long, tag long, start long, n long"
+_RUNS = pa.schema([(c, pa.int64()) for c in "doc tag start n".split()])
 
 
 def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (h, doc, start, n, body) sorted by h; whole groups of h are gathered up to CHUNK_BYTES."""
+    """Contexts sorted by key; whole groups of a key are gathered up to CHUNK_BYTES."""
     done: list[tuple] = []
     group: list[tuple] = []
     held = 0
 
     def ready(rows: list[tuple]) -> pa.RecordBatch:
-        runs = repeated_windows(*(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3)), [r[4] for r in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in runs], pa.int64()) for i in range(3)], schema=_RUNS)
+        owners = sorted({r[1:3] for r in rows})
+        place = {x: i for i, x in enumerate(owners)}
+        runs = repeated_windows(np.array([place[r[1:3]] for r in rows]), *(np.array([r[i] for r in rows], np.int64) for i in (3, 4)), [r[6] for r in rows])
+        out = [(*owners[o], a, n) for o, a, n in runs]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=_RUNS)
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -277,19 +331,11 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield ready(done)
                     done, held = [], 0
             group.append(row)
-            held += len(row[4])
+            held += len(row[6])
     if done or group:
         yield ready(done + group)
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (hi, lo, doc, start) for each window of a stretch."""
-    for batch in batches:
-        for doc, start, n, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(body[i : i + LENGTH]) for i in range(n)), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[::2]), pa.array(keys[1::2]), pa.array(np.full(n, doc, np.int64)), pa.array(start + np.arange(n))], names=["hi", "lo", "doc", "start"])
-
-
 CUT = "doc long, tag long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -299,7 +345,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[str, list] = {x.split()[0]: [] for x in CUT.split(", ")}
         for doc, tag, body, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
             raw = np.frombuffer(loose.decompress(body.as_py()), np.uint8)
-            spans = removed_spans([(r["start"] & 0xFFFFFFFF, r["n"]) for r in runs.as_py()])
+            spans = removed_spans([(r["start"], r["n"]) for r in runs.as_py()])
             keep = np.ones(len(raw), bool)
             for a, b in spans:
                 keep[a:b] = False
@@ -320,47 +366,64 @@ def removed_spans(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _earliest(rows: DataFrame) -> DataFrame:
-    """(hi, lo) -> the first (doc, start); a grouped minimum with map-side combining."""
-    return rows.groupBy("hi", "lo").agg(F.min(F.struct("doc", "start")).alias("first"))
-
-
 class RepeatedPassages:
-    """meta: (doc_id, doc, tag, sha, n_bytes, copy) for each input row. runs: (doc, start, n) repeated windows of
-    the documents that are no whole copies; start holds the tag above its lower 32 bits."""
+    """meta: (doc_id, doc, tag, sha, n_bytes, copy) for each input row. runs: (doc, tag, start, n) repeated windows of
+    the documents that are no whole copies. (doc, tag) names an id's text and orders the texts: tag is a hash of 62
+    bits, above which rows without an id come."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
-        scratch = Scratch(docs.sparkSession, "passages")
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP):
+        self.scratch = scratch = Scratch(docs.sparkSession, "passages")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
-        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 24)).alias("tag"), text.alias("text"))
+        known = F.col(id_col).cast("long")
+        tag = F.shiftrightunsigned(F.xxhash64(text), 2) + F.when(known.isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
+        docs = docs.select(known.alias("doc_id"), F.coalesce(known, F.lit(LAST_ID)).alias("doc"), tag.alias("tag"), text.alias("text"))
         meta = scratch.keep(docs.select("doc_id", "doc", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-        first = meta.groupBy("sha").agg(F.min("doc").alias("first"))
-        self.meta = scratch.keep(meta.join(first, "sha").withColumn("copy", F.col("doc") > F.col("first")).drop("first"), "meta")
+        first = meta.groupBy("sha").agg(F.min(F.struct("doc", "tag")).alias("first"))
+        self.meta = scratch.keep(meta.join(first, "sha").withColumn("copy", F.struct("doc", "tag") > F.col("first")).drop("first"), "meta")
         self.docs = docs.where(F.octet_length("text") >= LENGTH).select("doc", "tag", "text")
 
         # 1. Anchors that occur more than once: equal stretches are settled, different ones go on.
         rows = self.docs.mapInArrow(_anchor_rows, ANCHORS)
-        ordered, group = Window.partitionBy("h").orderBy("s", "doc", "at"), Window.partitionBy("h")
-        rows = rows.withColumn("before", F.lag("s").over(ordered)).withColumn("several", F.min("s").over(group) != F.max("s").over(group))
-        rows = rows.withColumn("repeat", F.col("done") | F.coalesce(F.col("before") == F.col("s"), F.lit(False))).where("repeat or several")
-        rows = scratch.keep(rows.select("h", "doc", "at", "n", "repeat"), "anchors")
-        whole = rows.where("repeat").select("doc", F.col("at").alias("start"), "n")
+        every = Window.partitionBy("p")
+        rows = rows.withColumn("before", F.lag(F.struct("h", "s", "doc", "tag", "at")).over(every.orderBy("h", "s", "doc", "tag", "at")))
+        rows = rows.withColumn("several", F.bool_or("several").over(every) | (F.min("s").over(every) != F.max("s").over(every)))
+        again = (F.col("before.h") == F.col("h")) & (F.col("before.s") == F.col("s")) & (F.col("before.at") >= 0)
+        same = again & (F.col("before.doc") == F.col("doc")) & (F.col("before.tag") == F.col("tag")) & (F.col("before.at") == F.col("at"))
+        rows = rows.withColumn("repeat", F.col("done") | F.coalesce(again, F.lit(False))).where((F.col("at") >= 0) & (F.col("done") | ~F.coalesce(same, F.lit(False))))
+        rows = scratch.keep(rows.where("repeat or several").select("h", "doc", "tag", "at", "n", "off", "repeat"), "anchors")
+        self.whole = rows.where("repeat").select("doc", "tag", F.col("at").alias("start"), "n")
 
         # 2. The different stretches of one anchor, with their bytes.
-        marks = rows.where("not repeat").groupBy("doc", F.shiftright("at", 32).alias("tag")).agg(F.collect_list(F.struct("h", "at", "n")).alias("marks"))
+        marks = rows.where("not repeat").groupBy("doc", "tag").agg(F.collect_set(F.struct("h", "at", "n", "off")).alias("marks"))
         held = self.docs.mapInArrow(_pack, PACKED).join(marks, ["doc", "tag"]).dropDuplicates(["doc", "tag"])
-        own = held.select("doc", "body", "marks").mapInArrow(_context_rows, CONTEXTS)
-        own = scratch.keep(own, "contexts")
-        counts = own.groupBy("h").agg(F.count("*").alias("c")).where(f"c > {HOT_CONTEXTS}")
-        cold = own.join(counts, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, RUNS)
-        single = own.join(counts, "h", "left_semi").select("doc", "start", "n", "body").mapInArrow(_single_windows, "hi long, lo long, doc long, start long")
-        hot = single.join(_earliest(single), ["hi", "lo"]).where(F.struct("doc", "start") != F.col("first")).select("doc", "start", F.lit(1).cast("long").alias("n"))
-        self.runs = scratch.keep(whole.union(cold).union(hot), "runs")
-        scratch.drop("rows", "anchors", "contexts")
+        contexts = scratch.keep(held.select("doc", "tag", "body", "marks").mapInArrow(_context_rows, CONTEXTS), "contexts")
+        runs = [self.whole, *self._settle(contexts, group)]
+        self.runs = scratch.keep(reduce(DataFrame.union, runs), "runs")
+        scratch.drop("rows", "anchors", "contexts", *self.temporary)
+
+    def _settle(self, contexts: DataFrame, group: int) -> Iterator[DataFrame]:
+        """Suffix-sorts the stretches of each key. A key with more than `group` of them is cut by what they hold,
+        equal parts fold into their earliest (a grouped minimum), and the rest are looked at again; cells narrow to
+        one window, so this ends."""
+        self.temporary: list[str] = []
+        for level in range(1, SPAN.bit_length() + 2):
+            crowds = contexts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > group).select("key")
+            crowded = not crowds.isEmpty()
+            cold = contexts.join(crowds, "key", "left_anti") if crowded else contexts
+            yield cold.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups, RUNS)
+            if not crowded:
+                return
+            cut = contexts.join(crowds, "key", "left_semi").mapInArrow(_halves(level), CONTEXTS)
+            cut = self.scratch.keep(cut.withColumn("d", F.xxhash64("body")), f"cut-{level}")
+            first = cut.groupBy("key", "d").agg(F.min(F.struct("doc", "tag", "start")).alias("first"))
+            cut = cut.join(first, ["key", "d"]).withColumn("repeat", F.struct("doc", "tag", "start") != F.col("first"))
+            cut = self.scratch.keep(cut.drop("d", "first"), f"level-{level}")
+            self.temporary += [f"cut-{level}", f"level-{level}"]
+            yield cut.where("repeat").select("doc", "tag", "start", "n")
+            contexts = cut.where("not repeat").drop("repeat")
 
     def summary(self) -> DataFrame:
-        runs = self.runs.groupBy("doc", F.shiftright("start", 32).alias("tag")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+        runs = self.runs.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
         alone = self.meta.where("not copy").select("doc", "tag").distinct()
         runs = runs.join(alone, ["doc", "tag"], "left_semi")
         cut = self.docs.mapInArrow(_pack, PACKED).join(runs, ["doc", "tag"]).dropDuplicates(["doc", "tag"]).mapInArrow(_cut_rows, CUT)
@@ -380,6 +443,6 @@ def remove_repeated_passages(docs: DataFrame, **columns) -> DataFrame:
     A byte goes when a 100-byte string that covers it also starts earlier: in a smaller doc_id, or before in the
     same document. Null text counts as empty. Null ids come after all ids. Rows that repeat an id with the same
     text are one document and get the same result; with different texts they are judged in the order of a text
-    hash. Texts under 100 bytes stay whole. An empty table gives no rows.
+    hash of 62 bits. Texts under 100 bytes stay whole. An empty table gives no rows. Other columns are ignored.
     """
     return RepeatedPassages(docs, **columns).summary()

@@ -129,23 +129,48 @@ def brute_passages(rows):
 
 
 def test_repeated_passages_match_brute_force(spark, odd):
-    rows = [r for r in odd if r[0] != 9 or r is odd[9]]  # one text for each id
+    rows = [r for r in odd if r[0] != 9 or r is odd[9]]
     want = brute_passages(rows)
     got = suffix_dedup.remove_repeated_passages(table(spark, rows)).collect()
     assert len(got) == len(rows)
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i or 0, *want[1 << 63 if i is None else i, t or ""]) for i, t, _ in rows)
 
 
-def test_hot_anchor_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group", [1, 3, 10])
+def test_hot_anchor_matches_brute_force(spark, group):
+    """A line in all documents, in different surroundings: its stretches are cut by content over several levels."""
     rng = random.Random(5)
     line = words(rng, 40, 10**6)
     rows = [(i, f"{words(rng, 5)} {line[rng.randrange(30):]} {words(rng, 5)}", "s") for i in range(60)]
-    monkeypatch.setattr(suffix_dedup, "HOT_CONTEXTS", 3)
+    rows += [(100 + i, f"{words(rng, 3)} {line[40:80 + i]} {words(rng, 9)} {line[20:130]}", "s") for i in range(20)]
     want = brute_passages(rows)
-    got = suffix_dedup.remove_repeated_passages(table(spark, rows)).collect()
+    got = suffix_dedup.remove_repeated_passages(table(spark, rows), group=group).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted((i, *want[i, t]) for i, t, _ in rows)
 
 
+def test_many_rows_without_id_and_one_id_with_many_texts(spark):
+    """20,000 rows without an id: each keeps its own spans. Several texts of an id follow their hash, so that results
+    are compared as a whole with the order that the operator states."""
+    rng = random.Random(6)
+    texts = sorted({f"{words(rng, 12)} {rng.randrange(10**9)} {words(rng, 14)}" for _ in range(20_000)} | {words(rng, 60) for _ in range(50)})
+    shared = words(rng, 30, 10**6)
+    rows = [(None, f"{t} {shared}" if i % 97 == 0 else t, "s") for i, t in enumerate(texts)]
+    rows += [(5, f"{words(rng, 10)} {shared} {i}", "s") for i in range(300)] + [((1 << 63) - 1, f"last {shared} last", "s")]
+    df = table(spark, rows)
+    hashes = {r.text: r.h for r in df.selectExpr("text", "shiftrightunsigned(xxhash64(text), 2) h").distinct().collect()}
+    seen, want = set(), {}
+    for i, t in sorted({(1 << 63 if i is None else i, t) for i, t, _ in rows}, key=lambda x: (x[0], hashes[x[1]])):
+        b = t.encode()
+        hit = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                hit[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        want[None if i == 1 << 63 else i, len(b), int(hit.sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~hit].tobytes()).hexdigest()] = want.get((None if i == 1 << 63 else i, len(b), int(hit.sum()), 0), 0) + 1
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in suffix_dedup.remove_repeated_passages(df).collect()}
+    assert got == set(want)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300).map(lambda b: bytes(c % 3 + 97 for c in b)))
 def test_suffix_array(b):
