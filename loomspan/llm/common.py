@@ -1,13 +1,13 @@
-"""Helpers that several operators share: shared scratch tables, word hashing, integer mixing."""
+"""Helpers that several operators share: word hashing, integer mixing, and the scratch tables of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.shared import Scratch, shared_dir
+
+__all__ = ["GOLDEN", "Scratch", "mix64", "shared_dir", "step", "word_hashes", "words_of"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WRAP = (1 << 64) - 1
@@ -34,38 +34,3 @@ def words_of(text: str | None) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not (own := spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomspan-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder that cut the lineage of multi-step jobs.
-
-    A table that no later step reads can be dropped; the others stay, since the returned DataFrame
-    reads them lazily, and survive lost executors.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.base}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        for name in names:
-            at = hadoop(self.path(name))
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

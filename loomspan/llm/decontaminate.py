@@ -1,11 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages and all corpus passages give a TF-IDF matrix that a distributed randomised SVD reduces.
-Sliding windows of every document are projected and compared with all benchmark passages by cosine; an index of
-each passage's rarest words adds every window that can hold enough of its words, whatever the rank or the
-benchmark's size. Candidates are confirmed by their longest common word subsequence and by whether the passage's
-answer (its last sentence) is there too. Documents are read where they lie: no pairs of documents, and only sums
-of the fit are shuffled.
+TF-IDF rows of all corpus passages and of the benchmark's own give a term matrix A. A distributed randomised SVD
+(range finder, one power step, small SVD) reduces it: only sums over terms move. Sliding windows of every document are
+projected and compared with all benchmark passages by cosine; near-verbatim copies are also met by shared word
+triples, whatever the rank or the benchmark's size. Candidates are confirmed by their longest common word subsequence
+and by whether the passage's answer (its item's last sentence) is there too. Texts are read once for each block of
+passages, into the codes of the words that the block knows; the later passes read those where they lie.
 """
 
 from __future__ import annotations
@@ -17,27 +17,31 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import Scratch, mix64
 
 PASSAGE_WORDS = 64
-WINDOWS = (20, 28, 40, 56, 88)  # a passage of up to 3/4 of the width lies whole in some window, at a stride of 1/4
-RANK = 256
-EXTRA = 32  # columns of the random matrix beyond the rank
-FIT_PASSAGES = 64  # corpus passages that a task multiplies at a time
+STEPS = (5, 7)  # windows are four steps wide and start at each step
+LEVELS = 3  # each level doubles the steps: windows of 20, 28, 40, 56, 80 and 112 words
+RANK = 128
+EXTRA = 16  # columns beyond the rank (oversampling)
+FIT_PASSAGES = 64  # passages that a task multiplies at a time
 COSINE = 0.35
 COMMON = 0.01  # least weight of a word, as a share of the median
 SHORT = 5  # passages of fewer words are looked for word for word
 SUBSEQUENCE = 0.6
 SURE = 0.85
 ANSWER = 0.5
-BLOCK_ITEMS = 20_000
-STRETCH = 20_000
-VERIFY = 100.0  # cost of looking at a region, in words read from the index
-_STEPS = np.array(WINDOWS, np.int64) // 4
+BLOCK_PASSAGES = 1000  # benchmark passages of one scan: bounds the vocabulary, the basis and the index
+STRETCH_CHARS = 200_000  # a longer text is cut into words a stretch at a time
+SEARCH_WORDS = 16_384  # words that are projected at a time
 _PLAIN = bytes(i if chr(i).isalnum() or i > 127 else 32 for i in range(256))
+_GAP = re.compile(r"[\x00-\x2f:-@\[-`{-\x7f]")
+_WIDE = 4 * STEPS[-1] << LEVELS - 1
+_MULTIPLY = mix64(np.arange(1, 4, dtype=np.uint64)) | np.uint64(1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,9 +49,9 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PLAIN).split()
 
 
-def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a machine word of `a` at a time (bit-parallel)."""
-    where: dict[bytes, int] = {}
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -59,260 +63,377 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
 
 
 def passages_of(text: str | None) -> list[tuple[list[bytes], list[bytes]]]:
-    """(words, answer words) of each passage: up to 64 words; the answer is the item's last sentence, or the
-    last quarter of the words when that is longer, and belongs to the last passage."""
+    """(words, answer words) of each passage. A text of more than 64 words is cut into parts of nearly equal length. The
+    answer is the item's last sentence, or the last quarter of the words when that is longer, and belongs to the last
+    part; other parts take their own last quarter."""
     words = words_of(text)
     tail = words_of(re.split(r"[.!?\n]+", (text or "").strip().rstrip(".!?"))[-1])
+    n = -(-len(words) // PASSAGE_WORDS)
+    cut = [len(words) * i // n for i in range(n + 1)] if n else []
     out = []
-    for at in range(0, len(words), PASSAGE_WORDS):
-        part = words[at : at + PASSAGE_WORDS]
-        last = at + PASSAGE_WORDS >= len(words)
-        if len(part) >= 5 or not out:
-            out.append((part, (tail if len(part) // 4 < len(tail) <= len(part) else part[-max(1, len(part) // 4) :]) if last else part[-max(1, len(part) // 4) :]))
+    for a, b in zip(cut, cut[1:]):
+        part = words[a:b]
+        quarter = part[-max(1, len(part) // 4) :]
+        out.append((part, tail if b == len(words) and len(quarter) < len(tail) <= len(part) else quarter))
     return out
 
 
-class Index:
-    """What the scan needs of one block of benchmark items: vocabulary, weights, basis, passage vectors."""
+def stretches(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text, a bounded stretch at a time."""
+    text, at = text or "", 0
+    while True:
+        end = len(text)
+        if end - at > STRETCH_CHARS and (m := _GAP.search(text, at + STRETCH_CHARS)):
+            end = m.end()
+        yield words_of(text[at:end])
+        if end == len(text):
+            return
+        at = end
 
-    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], docs: DataFrame, rank: int):
-        self.passages = [(i, w, a) for i, text in items for w, a in passages_of(text) if w]
-        self.code = {w: c for c, w in enumerate(dict.fromkeys(w for _, words, _ in self.passages for w in words))}
-        code = self.code
 
-        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            count, rows, length = np.zeros(len(code), np.int64), 0, 0
-            for batch in batches:
-                for text in batch.column(0):
-                    words = words_of(text.as_py())
-                    hit = [code[w] for w in set(words) & code.keys()]
-                    count[hit] += 1
-                    rows += 1
-                    length += len(words)
-            at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[length, rows, count[at]])], names=["c", "n"])
-
-        found = docs.select("text").mapInArrow(frequencies, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).collect() if code else []
-        seen = {r["c"]: r["n"] for r in found}
-        total = self.total = max(1, seen.get(-1, 1))
-        df = np.array([seen.get(c, 0) for c in range(len(code))], float)
-        self.idf = np.log((1 + total) / (1 + df))
-        self.other = float(np.median(self.idf)) if len(self.idf) else 1.0  # weight of a word outside the vocabulary
-        self.other = self.other or 1.0
-        self.idf = np.maximum(self.idf, COMMON * self.other)
-        self.coded = [np.array([code[w] for w in words], np.int64) for _, words, _ in self.passages]
-        self.width = np.array([min(i for i, x in enumerate(WINDOWS) if 4 * len(w) <= 3 * x) for _, w, _ in self.passages], np.int64)
-        basis = self._basis(docs, rank)
-        self.rows = (self.idf[:, None] * basis).astype(np.float32)
-        vectors = np.stack([self.rows[c].sum(axis=0) for c in self.coded]) if self.passages else np.zeros((0, basis.shape[1]), np.float32)
-        norms = np.sqrt((vectors**2).sum(axis=1))
-        self.vectors = vectors / np.maximum(norms, 1e-9)[:, None]
-        self._index(df, seen.get(-2, 0))
-
-    def _index(self, df: np.ndarray, length: int) -> None:
-        """Rarest words of each passage. A region with `least` of a passage's n words has, for any k, at least k of its
-        n - least + k rarest ones; k is the one that should cost the least, with words falling at random."""
-        self.least = [next(t for t in range(1, len(w) + 1) if t / len(w) >= SUBSEQUENCE) if len(w) >= SHORT else len(w) for _, w, _ in self.passages]
-        rate = -np.log1p(-np.minimum(df / self.total, 0.999)) * self.total / max(1, length)
-        need, keyed = [], []
-        for j, (c, least) in enumerate(zip(self.coded, self.least, strict=True)):
-            rare = c[np.lexsort((c, df[c]))]
-            new = np.zeros(len(c))
-            new[np.unique(rare, return_index=True)[1]] = 1
-            k = np.arange(1, least + 1)
-            found = np.cumsum(rate[rare] * new)[len(c) - least + k - 1]
-            crowd = np.maximum(found * WINDOWS[self.width[j]] * 3 / 2, 1e-12)
-            chance = np.where(crowd >= k, 1.0, np.exp(k - crowd + k * np.log(crowd / k)))  # Chernoff's bound
-            best = int(np.argmin(found + VERIFY * chance))
-            need.append(best + 1)
-            keyed.append(np.unique(rare[: len(c) - least + best + 1]))
-        self.need = np.array(need, np.int64)
-        owner = np.repeat(np.arange(len(keyed)), [len(x) for x in keyed])
-        words = np.concatenate(keyed) if keyed else np.zeros(0, np.int64)
-        self.posting = owner[np.argsort(words, kind="stable")]
-        self.first = np.r_[0, np.cumsum(np.bincount(words, minlength=len(self.code)))].astype(np.int64)
-        self.counts = [Counter(w) for _, w, _ in self.passages]
-
-    def _basis(self, docs: DataFrame, rank: int) -> np.ndarray:
-        """Leading left singular vectors of the term space: Z = A'(A G) summed over the passages of all documents in
-        tasks, then a small SVD (Nystroem); the benchmark's own passages come on top. Exact when the rank reaches the
-        matrix's."""
-        code, idf, dims = self.code, self.idf, len(self.code)
-        wide = min(rank + EXTRA, dims)
-        if not dims:
-            return np.zeros((0, 1))
-
-        def gauss() -> np.ndarray:
-            at = np.arange(dims, dtype=np.uint64)[:, None] * np.uint64(4096) + np.arange(wide, dtype=np.uint64)
-            return ((mix64(at + np.uint64(1)) >> np.uint64(40)).astype(np.float32) / 2**23 - 1).astype(np.float32)
-
-        def add(z: np.ndarray, g: np.ndarray, passages: list[np.ndarray]) -> None:
-            own, at = np.unique(np.concatenate(passages), return_inverse=True)
-            row = np.repeat(np.arange(len(passages)), [len(c) for c in passages])
-            a = np.bincount(row * len(own) + at, minlength=len(passages) * len(own)).reshape(len(passages), len(own)) * idf[own]
-            a = (a / np.maximum(np.sqrt((a**2).sum(axis=1)), 1e-9)[:, None]).astype(np.float32)
-            z[own] += a.T @ (a @ g[own])
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            z, g, waiting = np.zeros((dims, wide), np.float32), gauss(), []
-            for batch in batches:
-                for text in batch.column(0):
-                    words = words_of(text.as_py())
-                    codes = np.fromiter(map(code.get, words, repeat(-1)), np.int64, len(words))
-                    waiting += [c for i in range(0, len(codes), PASSAGE_WORDS) if len(c := (x := codes[i : i + PASSAGE_WORDS])[x >= 0])]
-                    while len(waiting) >= FIT_PASSAGES:
-                        add(z, g, waiting[:FIT_PASSAGES])
-                        del waiting[:FIT_PASSAGES]
-            if waiting:
-                add(z, g, waiting)
-            yield from packed(z, np.flatnonzero(np.abs(z).sum(axis=1)))
-
-        def packed(z: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(at), 2000):
-                part = at[i : i + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([z[c].tobytes() for c in part], pa.binary())], names=["c", "z"])
-
-        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for c, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    row = np.frombuffer(z.as_py(), np.float32)
-                    sums[c] = sums[c] + row if c in sums else row.astype(float)
-            at = sorted(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([sums[c].astype(np.float32).tobytes() for c in at], pa.binary())], names=["c", "z"])
-
-        g = gauss()
-        z = np.zeros((dims, wide), np.float32)
-        for i in range(0, len(self.coded), FIT_PASSAGES):
-            add(z, g, self.coded[i : i + FIT_PASSAGES])
-        sums = np.zeros((dims, wide), np.float32)
-        for row in docs.select("text").mapInArrow(task, "c long, z binary").repartition("c").mapInArrow(total, "c long, z binary").toLocalIterator():
-            sums[row["c"]] = np.frombuffer(row["z"], np.float32)
-        y = z + np.float32(0.1 * np.linalg.norm(z) / max(np.linalg.norm(sums), 1e-9)) * sums
-        # A'A is close to Y (G'Y)^-1 Y': with Y = QR its singular vectors are those of Q (R (G'Y)^-1/2).
-        q, r = np.linalg.qr(y.astype(float))
-        core = g.astype(float).T @ y
-        value, vector = np.linalg.eigh((core + core.T) / 2)
-        good = value > 1e-7 * max(value[-1], 1e-30)
-        return q @ np.linalg.svd(r @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)[0][:, :rank]
-
-    def hits(self, text: str | None) -> dict[int, float]:
-        """item -> best share of a passage's words found in order, for the passages that the text holds."""
-        words = words_of(text)
-        out: dict[int, float] = {}
-        if self.passages:
-            for at in range(0, len(words), STRETCH):  # bounds the memory of a very long text
-                self._search(words[at : at + STRETCH + 2 * WINDOWS[-1]], out)
+CODED = "doc_id long, h long, codes binary"
+
+
+class Fit:
+    """Codes of the words of a block of benchmark passages: 1 and up; 0 stands for all other words."""
+
+    def __init__(self, passages: list[tuple[int, list[bytes], list[bytes]]]):
+        self.code = {w: c for c, w in enumerate(dict.fromkeys(w for _, words, _ in passages for w in words), 1)}
+        self.kind = np.uint16 if len(self.code) < 1 << 16 else np.uint32
+        self.coded = [self.codes(words).astype(np.int64) for _, words, _ in passages]
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.code.get, words, repeat(0)), self.kind, len(words))
+
+    def encode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tight = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                own = batch.slice(at, 1024)
+                body = [tight.compress(np.concatenate([self.codes(x) for x in stretches(text.as_py())]).tobytes()) for text in own.column(2)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(body, pa.binary())], names=["doc_id", "h", "codes"])
+
+    def decode(self, column: pa.Array) -> list[np.ndarray]:
+        loose = zstandard.ZstdDecompressor()
+        return [np.frombuffer(loose.decompress(x), self.kind) for x in column.to_pylist()]
+
+    def frequencies(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(code, documents that hold it) of a task; -1: documents, -2: words."""
+        count, rows, length = np.zeros(len(self.code) + 1, np.int64), 0, 0
+        for batch in batches:
+            for codes in self.decode(batch.column(0)):
+                count[np.unique(codes)] += 1
+                rows += 1
+                length += len(codes)
+        at = np.flatnonzero(count[1:]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, at]), pa.array(np.r_[length, rows, count[at]])], names=["c", "n"])
+
+
+def weights(counts: dict[int, int], n: int) -> np.ndarray:
+    """Inverse document frequencies over all documents, by code. Every word weighs something, however common it is."""
+    df = np.array([counts.get(c, 0) for c in range(1, n + 1)], float)
+    idf = np.log((1 + counts.get(-1, 0)) / (1 + df))
+    middle = float(np.median(idf)) if n else 1.0
+    return np.r_[0.0, np.maximum(idf, COMMON * (middle or 1.0))]
+
+
+def products(passages: list[np.ndarray], idf: np.ndarray, x: np.ndarray, out: np.ndarray, scale: float = 1.0) -> None:
+    """Adds A'(A x) of some passages, unit rows of TF-IDF, to `out`."""
+    own, at = np.unique(np.concatenate(passages), return_inverse=True)
+    row = np.repeat(np.arange(len(passages)), [len(c) for c in passages])
+    a = np.bincount(row * len(own) + at, minlength=len(passages) * len(own)).reshape(len(passages), len(own)) * idf[own]
+    a = (a / np.maximum(np.sqrt((a**2).sum(axis=1)), 1e-9)[:, None]).astype(np.float32)
+    out[own] += np.float32(scale) * (a.T @ (a @ x[own]))
+
+
+def corpus_products(coded: DataFrame, fit: Fit, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A'(A x) over the passages of all documents: tasks sum, then terms meet their sums."""
+    spark = coded.sparkSession
+    shared = spark.sparkContext.broadcast((fit, idf, x))  # bounded by BLOCK_PASSAGES
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fit, idf, x = shared.value
+        out, waiting = np.zeros_like(x), []
+        for batch in batches:
+            for codes in fit.decode(batch.column(0)):
+                waiting += [c for i in range(0, len(codes), PASSAGE_WORDS) if len(c := (y := codes[i : i + PASSAGE_WORDS])[y > 0])]
+                while len(waiting) >= FIT_PASSAGES:
+                    products(waiting[:FIT_PASSAGES], idf, x, out)
+                    del waiting[:FIT_PASSAGES]
+        if waiting:
+            products(waiting, idf, x, out)
+        at = np.flatnonzero(np.abs(out).sum(axis=1))
+        for i in range(0, len(at), 2000):
+            part = at[i : i + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([out[c].tobytes() for c in part], pa.binary())], names=["c", "z"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = np.frombuffer(z.as_py(), np.float32)
+                sums[c] = sums[c] + row if c in sums else row.astype(float)
+        at = sorted(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([sums[c].astype(np.float32).tobytes() for c in at], pa.binary())], names=["c", "z"])
+
+    out = np.zeros_like(x)
+    for row in coded.select("codes").mapInArrow(task, "c long, z binary").repartition("c").mapInArrow(total, "c long, z binary").toLocalIterator():
+        out[row["c"]] = np.frombuffer(row["z"], np.float32)
+    return out
+
+
+def randomised_svd(apply, terms: int, rank: int = RANK, extra: int = EXTRA) -> np.ndarray:
+    """Leading right singular vectors (terms x rank at most) of the A whose A'(A x) `apply` gives. The range finder
+    draws rank + extra random columns; a power step sharpens them; the small SVD of the result orders them."""
+    wide = min(rank + extra, terms)
+    if not terms:
+        return np.zeros((0, 1), np.float32)
+    at = np.arange(terms, dtype=np.uint64)[:, None] * np.uint64(4096) + np.arange(wide, dtype=np.uint64)
+    random = ((mix64(at + np.uint64(1)) >> np.uint64(40)).astype(np.float32) / 2**23 - 1).astype(np.float32)
+    found = np.linalg.qr(apply(random).astype(float))[0]
+    left, size, _ = np.linalg.svd(apply(found.astype(np.float32)).astype(float), full_matrices=False)
+    return left[:, size > 1e-7 * max(size[0], 1e-30)][:, :rank].astype(np.float32)
+
+
+class Index:
+    """A block of benchmark passages, projected, with their word triples."""
+
+    def __init__(self, passages: list[tuple[int, list[bytes], list[bytes]]], fit: Fit, idf: np.ndarray, basis: np.ndarray):
+        self.items = [i for i, _, _ in passages]
+        self.fit, self.passages, self.answers = fit, [c.tolist() for c in fit.coded], [fit.codes(a).tolist() for _, _, a in passages]
+        self.size = np.array([len(c) for c in fit.coded], np.int64)
+        self.counts = [Counter(c) for c in self.passages]
+        self.least = np.array([next(t for t in range(1, n + 1) if t / n >= SUBSEQUENCE) if n >= SHORT else n for n in self.size.tolist()], np.int64)
+        self.member = np.zeros((len(passages), len(fit.code) + 1), bool)
+        for j, c in enumerate(fit.coded):
+            self.member[j, c] = True
+        self.rows = (idf[:, None] * basis).astype(np.float32)  # by code; that of 0 is zero
+        vectors = np.array([self.rows[c].sum(axis=0) for c in fit.coded], np.float32).reshape(-1, self.rows.shape[1])
+        self.vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1)), 1e-9)[:, None]
+        steps = sorted((base << level, base, level) for base in STEPS for level in range(LEVELS))
+        # A passage belongs to the narrowest windows of which it fills three quarters at most.
+        self.step = np.array([next(s for s, _, _ in steps if n <= 3 * s) for n in self.size.tolist()], np.int64)
+        self.kinds = [(s, base, level, np.flatnonzero((self.step == s) & (self.size >= SHORT))) for s, base, level in steps]
+        self.short: dict[int, list[int]] = {}
+        for j in np.flatnonzero(self.size < SHORT).tolist():
+            self.short.setdefault(self.passages[j][0], []).append(j)
+        owner = [np.full(max(0, len(c) - 2), j) for j, c in enumerate(fit.coded) if len(c) >= SHORT]
+        keys = np.concatenate([self.triples(c) for c in fit.coded if len(c) >= SHORT] or [np.empty(0, np.uint64)])
+        owner = np.concatenate(owner or [np.empty(0, np.int64)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.start = np.unique(keys[order], return_index=True)
+        self.start, self.owner = np.append(self.start, len(keys)), owner[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+
+    @staticmethod
+    def triples(codes: np.ndarray) -> np.ndarray:
+        """Keys of the word triples that start at each place but the last two."""
+        c = codes.astype(np.uint64)
+        return mix64(c[:-2] * _MULTIPLY[0] + c[1:-1] * _MULTIPLY[1] + c[2:] * _MULTIPLY[2]) if len(c) > 2 else np.empty(0, np.uint64)
+
+    def hits(self, coded: list[np.ndarray]) -> list[dict[int, float]]:
+        """For each text's codes: item -> best share of a passage's words found in order, of the passages it holds."""
+        out: list[dict[int, float]] = [{} for _ in coded]
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        for i, codes in enumerate(coded if self.items else ()):
+            for at in range(0, max(1, len(codes)), SEARCH_WORDS):  # pieces of a long text overlap by two windows
+                held.append((i, codes[max(0, at - 2 * _WIDE) : at + SEARCH_WORDS]))
+                size += len(held[-1][1])
+                if size >= SEARCH_WORDS:
+                    self._search(held, out)
+                    held, size = [], 0
+        if held:
+            self._search(held, out)
         return out
 
-    def _search(self, words: list[bytes], out: dict[int, float]) -> None:
-        n = len(words)
-        codes = np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, n)
-        weight = np.append(self.idf, self.other)[codes]
-        tells = (codes >= 0) & (weight > 0)
-        self._exact(words, codes, out)
-        telling = np.flatnonzero(tells)
-        if len(telling) < 2:
-            return
-        energy = np.r_[0.0, np.cumsum(weight**2)]
-        known = np.r_[0.0, np.cumsum(np.where(tells, weight**2, 0.0))]
-        count = np.r_[0, np.cumsum(tells)]
-        sums = None
-        for kind, width in enumerate(WINDOWS):
-            own = np.flatnonzero(self.width == kind)
-            if not len(own):
-                continue
-            begin = np.arange(0, max(1, n - width * 3 // 4 + 1), width // 4)
-            end = np.minimum(begin + width, n)
-            # No passage can reach the cosine where telling words carry too little of the window's energy.
-            some = np.flatnonzero((count[end] - count[begin] >= 2) & (known[end] - known[begin] >= COSINE**2 * (energy[end] - energy[begin])))
-            if not len(some):
-                continue
-            if sums is None:
-                sums = np.zeros((len(telling) + 1, self.rows.shape[1]), np.float32)
-                np.cumsum(self.rows[codes[telling]], axis=0, out=sums[1:])
-            for at in range(0, len(some), 4096):
-                pick = some[at : at + 4096]
-                v = sums[count[end[pick]]] - sums[count[begin[pick]]]
-                norm = np.sqrt(np.maximum((v**2).sum(axis=1), 1e-9))
-                for i, j in zip(*np.nonzero(v @ self.vectors[own].T >= COSINE * norm[:, None]), strict=True):
-                    self._confirm(own[j], words[max(0, begin[pick[i]] - width // 4) : end[pick[i]] + width // 4], out)
-
-    def _confirm(self, j: int, region: list[bytes], out: dict[int, float]) -> None:
-        item, passage, answer = self.passages[j]
-        if out.get(item, 0.0) >= 1.0:
-            return
-        share = common_subsequence(passage, region) / len(passage)
-        if share > out.get(item, 0.0) and share >= SUBSEQUENCE and (share >= SURE or common_subsequence(answer, region) >= ANSWER * len(answer)):
-            out[item] = share
-
-    def _exact(self, words: list[bytes], codes: np.ndarray, out: dict[int, float]) -> None:
-        """Confirms every passage in every region that has enough of its rarest words."""
-        n = len(words)
-        at = np.flatnonzero(codes >= 0)
-        first, many = self.first[codes[at]], self.first[codes[at] + 1] - self.first[codes[at]]
-        at, first, many = at[many > 0], first[many > 0], many[many > 0]
-        if not len(at):
-            return
-        place = np.arange(many.sum()) + np.repeat(first - np.r_[0, np.cumsum(many)[:-1]], many)
-        owner, at = np.divmod(np.sort(self.posting[place] * n + np.repeat(at, many)), n)
-        step = _STEPS[self.width[owner]]
-        last = np.arange(len(owner)) + self.need[owner] - 1
+    def _search(self, held: list[tuple[int, np.ndarray]], out: list[dict[int, float]]) -> None:
+        pieces = [c for _, c in held]
+        done: dict[tuple[int, int], set[int]] = {}
+
+        def look(k: int, j: int, begin: int) -> None:
+            """Confirms passage j in the six steps of piece k from `begin` on."""
+            begin = max(0, begin)
+            seen = done.setdefault((k, j), set())
+            if begin in seen:
+                return
+            seen.add(begin)
+            found, item = out[held[k][0]], self.items[j]
+            if found.get(item, 0.0) < 1.0:
+                share = self.share(j, pieces[k][begin : begin + 6 * int(self.step[j])].tolist())
+                if share > found.get(item, 0.0):
+                    found[item] = share
+
+        for k, j, place in self._near_verbatim(pieces):
+            step = int(self.step[j])
+            for b in (place // step - 1, place // step - 2):
+                look(k, j, b * step)
+        for k, j, b in self._similar(pieces):
+            look(k, j, (b - 1) * int(self.step[j]))
+        if self.short:
+            for k, codes in enumerate(pieces):
+                row = codes.tolist()
+                for at in np.flatnonzero(np.isin(codes, list(self.short))).tolist():
+                    for j in self.short[row[at]]:
+                        if row[at : at + len(self.passages[j])] == self.passages[j]:
+                            out[held[k][0]][self.items[j]] = 1.0
+
+    def share(self, j: int, region: list[int]) -> float:
+        """Share of passage j's words that the region has in order, if that and the answer suffice; else 0."""
+        count = self.counts[j]
+        if sum(map(count.__getitem__, count.keys() & region)) < self.least[j]:
+            return 0.0
+        share = common_subsequence(self.passages[j], region) / len(self.passages[j])
+        good = share >= SURE or share >= SUBSEQUENCE and common_subsequence(self.answers[j], region) >= ANSWER * len(self.answers[j])
+        return share if good else 0.0
+
+    def _near_verbatim(self, pieces: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(piece, passage, place) where a third of a passage's word triples lie close together."""
+        flat = np.concatenate([np.r_[c, 0, 0] for c in pieces])
+        piece = np.repeat(np.arange(len(pieces)), [len(c) + 2 for c in pieces])
+        first = np.cumsum([0, *[len(c) + 2 for c in pieces]])
+        keys = self.triples(flat)
+        at = np.flatnonzero(self.sieve[(keys >> np.uint64(44)).astype(np.int64)] & (flat[:-2] > 0) & (flat[1:-1] > 0) & (flat[2:] > 0)) if len(self.keys) else np.empty(0, np.int64)
+        which = np.searchsorted(self.keys, keys[at])
+        real = self.keys[np.minimum(which, len(self.keys) - 1)] == keys[at] if len(at) else np.empty(0, bool)
+        at, which = at[real], which[real]
+        many = self.start[which + 1] - self.start[which]
+        place = np.repeat(self.start[which] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(at) else at
+        n = len(flat)
+        owner, at = np.divmod(np.unique(self.owner[place] * n + np.repeat(at, many)), n)
+        last = np.arange(len(owner)) + np.maximum(1, (self.size[owner] - 2) // 3) - 1
         some = np.flatnonzero(last < len(owner))
-        some = some[(owner[last[some]] == owner[some]) & (at[last[some]] - at[some] < 6 * step[some])]
-        step = step[some]
-        # A window of four steps starts at a multiple of one; its region has a step more at both ends.
-        low = np.maximum(0, at[last[some]] // step - 4)
-        high = np.minimum(np.maximum(0, (n - 3 * step) // step), at[some] // step + 1)
-        windows: dict[int, set[int]] = {}
-        for j, a, b in zip(owner[some].tolist(), low.tolist(), high.tolist(), strict=True):
-            windows.setdefault(j, set()).update(range(a, b + 1))
-        for j, starts in windows.items():
-            step, least, count = int(_STEPS[self.width[j]]), self.least[j], self.counts[j]
-            for b in sorted(starts):
-                region = words[max(0, (b - 1) * step) : (b + 5) * step]
-                if sum(map(count.__getitem__, count.keys() & region)) >= least:
-                    item, passage, _ = self.passages[j]
-                    if len(passage) >= SHORT:
-                        self._confirm(j, region, out)
-                    elif any(region[i : i + len(passage)] == passage for i in range(len(region))):
-                        out[item] = 1.0
+        some = some[(owner[last[some]] == owner[some]) & (piece[at[last[some]]] == piece[at[some]]) & (at[last[some]] - at[some] <= 4 * self.step[owner[some]])]
+        for j, x in zip(owner[some].tolist(), at[some].tolist(), strict=True):
+            yield int(piece[x]), j, x - int(first[piece[x]])
+
+    def _similar(self, pieces: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(piece, passage, step) of windows whose cosine with a passage suffices."""
+        size = np.array([len(c) for c in pieces], np.int64)
+        for base in STEPS:
+            kinds = [k for k in self.kinds if k[1] == base and len(k[3])]
+            if not kinds:
+                continue
+            top = 4 << LEVELS - 1  # each piece has four whole steps at least on every level
+            blocks = np.maximum(top, -(-size // (base * 4)) * 4)
+            first = np.cumsum(np.r_[0, blocks])
+            flat = np.zeros(first[-1] * base, self.fit.kind)
+            for c, f in zip(pieces, first.tolist(), strict=False):
+                flat[f * base : f * base + len(c)] = c
+            flat = flat.reshape(-1, base)
+            sums = np.empty((len(flat), self.rows.shape[1]), np.float32)
+            for i in range(0, len(flat), 512):
+                part = flat[i : i + 512]
+                row = self.rows[part[:, 0]]
+                for k in range(1, base):
+                    row += self.rows[part[:, k]]
+                sums[i : i + 512] = row
+            for level in range(LEVELS):
+                if level:
+                    sums = sums[::2] + sums[1::2]
+                for step, _, _, own in (k for k in kinds if k[2] == level):
+                    windows = sums[:-3] + sums[1:-2]
+                    windows += sums[2:-1]
+                    windows += sums[3:]
+                    norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+                    b, j = np.nonzero(windows @ self.vectors[own].T >= np.maximum(COSINE * norm, 1e-9)[:, None])
+                    begin = first >> level
+                    piece = np.searchsorted(begin, b, side="right") - 1
+                    good = b - begin[piece] <= np.maximum(0, -(-size[piece] // step) - 4)
+                    piece, j, b = piece[good], own[j[good]], b[good]
+                    good = self._enough(flat.reshape(-1, step), begin[piece], begin[piece + 1], j, b)
+                    yield from zip(piece[good].tolist(), j[good].tolist(), (b - begin[piece])[good].tolist(), strict=True)
+
+    def _enough(self, steps: np.ndarray, begin: np.ndarray, end: np.ndarray, j: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the six steps around window b hold as many words of passage j as a subsequence needs."""
+        out = np.empty(len(b), bool)
+        for i in range(0, len(b), 2048):
+            own = slice(i, i + 2048)
+            at = b[own, None] + np.arange(-1, 5)
+            words = steps[np.minimum(at, len(steps) - 1)]
+            words[(at < begin[own, None]) | (at >= end[own, None])] = 0
+            out[own] = self.member[j[own, None, None], words].sum(axis=(1, 2)) >= self.least[j[own]]
+        return out
 
 
+PASSAGES = "item long, part long, words array<binary>, answer array<binary>"
 RESULT = "doc_id long, h long, item_ids array<long>, best double"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _passage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, k, w, a) for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, (w, a) in enumerate(passages_of(text))]
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["item", "part", "words", "answer"])
+
+
+def build_index(docs: DataFrame, passages: list[tuple[int, list[bytes], list[bytes]]], rank: int, scratch: Scratch, name: str = "coded") -> tuple[DataFrame, Index]:
+    """Codes of all documents (doc_id, h, text), written once, and the index of a block of benchmark passages, with
+    weights and basis fitted on all of them."""
+    fit = Fit(passages)
+    shared = docs.sparkSession.sparkContext.broadcast(fit)
+    coded = scratch.keep(docs.select("doc_id", "h", "text").mapInArrow(lambda batches: shared.value.encode(batches), CODED), name)
+    counted = coded.select("codes").mapInArrow(lambda batches: shared.value.frequencies(batches), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    counts = {r["c"]: r["n"] for r in counted.collect()} if fit.code else {}  # a row for each word of the block
+    idf = weights(counts, len(fit.code))
+    # The benchmark's own passages weigh as much in all as the corpus, so that the basis can tell them apart.
+    own = max(1.0, counts.get(-2, 0) / PASSAGE_WORDS / max(1, len(passages)))
+
+    def apply(x: np.ndarray) -> np.ndarray:
+        out = corpus_products(coded, fit, idf, x)
+        for i in range(0, len(fit.coded), FIT_PASSAGES):
+            products(fit.coded[i : i + FIT_PASSAGES], idf, x, out, own)
+        return out
+
+    basis = randomised_svd(apply, len(fit.code) + 1 if fit.code else 0, rank)
+    return coded, Index(passages, fit, idf, basis if fit.code else np.zeros((1, 1), np.float32))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_passages: int = BLOCK_PASSAGES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, h (hash of the text), item_ids (benchmark items it holds,
     ascending), best, contaminated.
 
     A document holds an item when, in some window, at least 60 % of a passage's words occur in order and half of
-    its answer does too, or 85 % of the words do. Passages of fewer than five words are found word for word, however
-    common they are, and in looser form only where the cosine search meets them. Null or empty texts hold nothing; items without words or id
-    are never found. Null ids and repeated rows stay as they come. The basis is fitted on the benchmark and
-    all documents. Benchmarks beyond 20,000 items are
-    taken in blocks, one scan each. Empty tables: no rows, or nothing contaminated.
+    its answer does too, or 85 % of the words do. Passages of fewer than five words are found word for word. Null or
+    empty texts hold nothing; items without words or id are never found. Null ids and repeated rows stay as they
+    come; other columns are ignored, whatever their names. Weights and basis are fitted on the benchmark and all
+    documents. Benchmarks beyond `block_passages` passages are taken in blocks, one after the other: what a task or
+    the driver holds does not grow with the benchmark. Empty tables: no rows, or nothing contaminated.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    blocks = -(-items.count() // BLOCK_ITEMS) or 1
-    indexes = []
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item", "text").collect()  # bounded by the block
-        indexes.append(spark.sparkContext.broadcast(Index(spark, [(r["item"], r["text"]) for r in part], rows, rank)))
+    scratch = Scratch(spark, "decontaminate")
+    passages = scratch.keep(items.mapInArrow(_passage_rows, PASSAGES), "passages")
+    blocks = -(-passages.count() // block_passages) or 1
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(1):
-                hit: dict[int, float] = {}
-                for index in indexes:
-                    for item, share in index.value.hits(text.as_py()).items():
-                        hit[item] = max(share, hit.get(item, 0.0))
-                found.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found])], names=["doc_id", "h", "item_ids", "best"])
-
-    out = rows.mapInArrow(scan, RESULT)
+    def scan(block: int) -> DataFrame:
+        part = passages.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == block).orderBy("item", "part", "words").collect()
+        coded, built = build_index(rows, [(r["item"], [bytes(w) for w in r["words"]], [bytes(w) for w in r["answer"]]) for r in part], rank, scratch, f"coded-{block}")
+        index = spark.sparkContext.broadcast(built)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    own = batch.slice(at, 512)
+                    found = index.value.hits(index.value.fit.decode(own.column(2)))
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array([max(x.values(), default=0.0) for x in found])], names=["doc_id", "h", "item_ids", "best"])
+
+        return coded.mapInArrow(run, RESULT)
+
+    if blocks == 1:
+        out = scan(0)
+    else:
+        found = None
+        for b in range(blocks):
+            part = scratch.keep(scan(b).where(F.size("item_ids") > 0), f"block-{b}")
+            scratch.drop(f"coded-{b}")
+            found = part if found is None else found.union(part)
+        # Rows that agree in id and text agree in what they hold.
+        found = found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("best").alias("best")).toDF("k_id", "k_h", "item_ids", "best")
+        keyed = rows.select("doc_id", "h")
+        none = F.array().cast("array<long>")
+        out = keyed.join(found, keyed["doc_id"].eqNullSafe(found["k_id"]) & (keyed["h"] == found["k_h"]), "left").select("doc_id", "h", F.coalesce("item_ids", none).alias("item_ids"), F.coalesce("best", F.lit(0.0)).alias("best"))
     return out.withColumn("contaminated", F.size("item_ids") > 0)
