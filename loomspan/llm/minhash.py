@@ -3,8 +3,9 @@
 Plan: one Arrow pass makes a signature, band keys and a byte sketch for each document. Documents with
 equal shingle sets fold into one class by a grouped minimum. Band buckets link their members to the
 bucket's smallest member (never all pairs), candidates are confirmed on full shingle sets, and the
-confirmed links are grouped. Buckets that still hold several components have their remaining
-cross-component pairs tested block by block, so no link between different texts is lost.
+confirmed links are grouped. In buckets that still hold several components, the members outside the largest meet
+the others block by block, sketches first and full sets where those come near, so no link between different texts
+is lost.
 """
 
 from __future__ import annotations
@@ -122,57 +123,75 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 512], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
 
+def _close(at: int, other: np.ndarray, group: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """Those of `other` in another component than `at` whose size and sketch allow a link."""
+    other = other[(group[other] != group[at]) & (4 * np.minimum(size[other], size[at]) >= 3 * np.maximum(size[other], size[at]))]
+    return other[(sketch[other] == sketch[at]).sum(axis=1) >= SKETCH_FLOOR * REGISTERS] if len(other) else other
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, rows) of batches sorted by their first `width` columns. A group holds about 2 * BLOCK rows at most."""
+    key, held = None, []
+    for batch in batches:
+        columns = [[x.values.to_numpy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.columns]
+        for row in zip(*columns, strict=True):
+            if row[:width] != key:
+                if held:
+                    yield key, held
+                key, held = row[:width], []
+            held.append(row[width:])
+    if held:
+        yield key, held
+
+
+INVOLVED = "bucket long, x long, y long, side int, id long, component long"
+
+
+def _involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (bucket, x, y, side, id, component, n, sketch), those whose sketch comes near one of another component."""
+    for key, rows in _grouped(batches, 3):
+        side, group, size = (np.array([r[i] for r in rows]) for i in (0, 2, 3))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        right = np.flatnonzero(side == 1)
+        hit = np.zeros(len(rows), bool)
+        for i in np.flatnonzero(side == 0):
+            near = _close(i, right, group, size, sketch)
+            hit[near] = True
+            hit[i] |= len(near) > 0
+        if hit.any():
+            kept = [rows[i] for i in np.flatnonzero(hit)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(kept), pa.int64()) for k in key), pa.array([r[0] for r in kept], pa.int32()), *(pa.array([r[i] for r in kept], pa.int64()) for i in (1, 2))], names=["bucket", "x", "y", "side", "id", "component"])
+
+
 LINKS = "a long, b long"
 
 
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirmed links across components inside one bucket block pair; a spanning set of them.
-
-    Rows (bucket, x, y, id, component, own, sketch, shingles) come sorted by (bucket, x, y); only one block
-    pair is held at a time, of at most about 2 * BLOCK members."""
-    held: list[tuple] = []
-    at = None
-
-    def links() -> pa.RecordBatch | None:
-        if len(held) < 2:
-            return None
-        group = np.unique([r[1] for r in held], return_inverse=True)[1]
-        own = np.array([r[2] for r in held])
-        sketch = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
-        size = np.array([len(r[4]) for r in held])
-        code = np.unique(np.concatenate([r[4] for r in held]), return_inverse=True)[1]
-        ends = np.cumsum(size)
-        parts = np.split(code, ends[:-1])
+    """Confirmed links across components among rows (bucket, x, y, side, id, component, sketch, shingles) of one block
+    pair; a spanning set of them."""
+    for _, rows in _grouped(batches, 3):
+        side = np.array([r[0] for r in rows])
+        group = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        size = np.array([len(r[4]) for r in rows])
+        code = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True)[1]
+        parts = np.split(code, np.cumsum(size)[:-1])
         has = np.zeros(code.max() + 1, np.int64)
-        left, right = np.flatnonzero(own == at[1]), np.flatnonzero(own == at[2])
+        right = np.flatnonzero(side == 1)
         us, vs = [], []
-        for i in left:
-            other = right if at[1] != at[2] else right[right > i]
-            other = other[(group[other] != group[i]) & (4 * np.minimum(size[other], size[i]) >= 3 * np.maximum(size[other], size[i]))]
-            if len(other):
-                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= SKETCH_FLOOR * REGISTERS]
-            if len(other):
+        for i in np.flatnonzero(side == 0):
+            near = _close(i, right, group, size, sketch)
+            if len(near):
                 has[parts[i]] = 1
-                common = np.add.reduceat(has[np.concatenate([parts[j] for j in other])], np.r_[0, np.cumsum(size[other])[:-1]])
+                common = np.add.reduceat(has[np.concatenate([parts[j] for j in near])], np.r_[0, np.cumsum(size[near])[:-1]])
                 has[parts[i]] = 0
-                for j in other[100 * common >= 75 * (size[other] + size[i] - common)]:
+                for j in near[100 * common >= 75 * (size[near] + size[i] - common)]:
                     if group[j] != group[i]:
                         group[group == group[j]] = group[i]
-                        us.append(held[i][0])
-                        vs.append(held[j][0])
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["a", "b"])
-
-    for batch in batches:
-        keys = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
-        rows = zip(*(c.to_pylist() for c in batch.columns[3:7]), strict=True)
-        for i, row in enumerate(rows):
-            if keys[i] != at:
-                if (out := links()) is not None:
-                    yield out
-                held, at = [], keys[i]
-            held.append((*row, batch.columns[7][i].values.to_numpy()))
-    if (out := links()) is not None:
-        yield out
+                        us.append(rows[i][1])
+                        vs.append(rows[j][1])
+        if us:
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,31 +226,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = scratch.keep(linkable.select("doc_id", "hi", "lo", "n_shingles", F.struct("keys", "sketch").alias("marks")).join(classes, ["hi", "lo"]).select("doc_id", "hi", "lo", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("marks")).alias("marks")), "member")
     reps = member.where("marks is not null").select(F.col("rep").alias("id"), "n_shingles", "marks")
 
-    banded = reps.select("id", F.explode("marks.keys").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("id").alias("center"), F.count("*").alias("m")).where("m > 1")
-    buckets = scratch.keep(banded.join(shared, "bucket"), "buckets")
+    # Stars in two levels: members meet the smallest of their salted part of a bucket, and these the bucket's smallest.
+    banded = reps.select("id", F.explode("marks.keys").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    parts = banded.groupBy("bucket", "salt").agg(F.min("id").alias("near"), F.count("*").alias("n"))
+    shared = parts.groupBy("bucket").agg(F.min("near").alias("center"), F.sum("n").alias("m")).where("m > 1")
+    parts = scratch.keep(parts.join(shared, "bucket").select("bucket", "salt", "near", "center", "m"), "parts")
+    buckets = scratch.keep(banded.join(parts, ["bucket", "salt"]).select("bucket", "id", "near", "m"), "buckets")
     sets = docs.join(buckets.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets, "id long, shingles array<long>")
     sets = scratch.keep(sets, "sets")
 
-    stars = buckets.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    stars = buckets.select(F.col("near").alias("a"), F.col("id").alias("b")).union(parts.select("center", "near")).where("a != b").distinct()
     links = scratch.keep(_confirmed(stars, sets), "links-0")
     # Members that repeat an id tie that id's classes together.
     same = member.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(reps.select(F.col("id").alias("a")).distinct(), "a").distinct()
     links = links.union(same)
     component = scratch.keep(connected_components(links, scratch, "first"), "component-0")
 
-    # What the stars leave: buckets of three or more members that still hold several components.
-    marked = buckets.where("m > 2").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = marked.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("m").alias("size")).where("lo < hi")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    left = marked.select("bucket", "id", "component").join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(reps.select("id", F.col("marks.sketch").alias("sketch")), "id").join(sets, "id")
-    left = left.withColumn("own", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component", "own", "sketch", "shingles")
-    dealt = left.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    links = links.union(scratch.keep(dealt.mapInArrow(_remaining, LINKS).distinct(), "links-1"))
+    # What the stars leave: buckets that still hold several components. Members outside a bucket's largest component meet
+    # all its members, a block against a block; sketches go first, and sets only for those that a sketch lets through.
+    marked = buckets.where("m > 2").select("bucket", "id").join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    counted = marked.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = counted.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    open_ = open_.select("bucket", "main", F.ceil(F.col("m") / BLOCK).alias("ys"), F.ceil(F.col("rest") / BLOCK).alias("xs"))
+    marked = scratch.keep(marked.join(open_, "bucket"), "open")
+    sketches = reps.select("id", "n_shingles", F.col("marks.sketch").alias("sketch"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    probes = marked.where("component != main").withColumn("x", F.pmod(F.xxhash64("id", F.lit(7)), F.col("xs"))).withColumn("y", every("ys")).withColumn("side", F.lit(0))
+    others = marked.withColumn("y", F.pmod(F.xxhash64("id", F.lit(8)), F.col("ys"))).withColumn("x", every("xs")).withColumn("side", F.lit(1))
+    key = ["bucket", "x", "y"]
+    met = probes.select(*key, "side", "id", "component").union(others.select(*key, "side", "id", "component"))
+    met = met.join(sketches, "id").select(*key, "side", "id", "component", "n_shingles", "sketch").repartition(*key).sortWithinPartitions(*key)
+    met = scratch.keep(met.mapInArrow(_involved, INVOLVED), "involved")
+    met = met.join(sketches.drop("n_shingles"), "id").join(sets, "id").select(*key, "side", "id", "component", "sketch", "shingles").repartition(*key).sortWithinPartitions(*key)
+    links = links.union(scratch.keep(met.mapInArrow(_remaining, LINKS).distinct(), "links-1"))
     component = scratch.keep(connected_components(links, scratch, "second"), "component-1")
-    scratch.drop("buckets", "sets", "component-0")
+    scratch.drop("parts", "buckets", "sets", "component-0", "open", "involved")
 
     rep_of = member.select("hi", "lo", "rep").distinct()
     found = rep_of.join(component, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("component", "rep").alias("found"))
