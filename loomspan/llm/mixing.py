@@ -1,10 +1,9 @@
 """Mixing sources to target weights.
 
-A source's words, documents in a fixed hash order, pack into blocks of fixed length. The mix has one slot
-per block drawn; a keyed permutation of all slots deals them to output shards, which gives each shard
-source counts that are multinomial given the totals. A source's slots run through pseudorandom
-permutations of its block numbers, a new one for each pass, and slots meet blocks in a join by
-(source, block).
+A source's words, documents in a fixed hash order, pack into blocks of fixed length. The mix has one slot for each
+block drawn. Every output shard draws multinomial counts of the sources; the draws of a source, numbered over the
+shards, run through pseudorandom permutations of its block numbers, a new one for each pass, and slots meet blocks in
+a join by (source, block).
 """
 
 from __future__ import annotations
@@ -16,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.ordered import positions
 from .common import Scratch
 from .feistel import permute
 
@@ -25,8 +24,6 @@ BLOCK_WORDS = 64
 SHARD_SLOTS = 8192
 REPEATS = 3
 SEED = 20240607
-CHUNK_ROWS = 2048
-MOST_SOURCES = 100_000  # a mixture's list of sources is configuration; more is an error, not a cap
 WORD = r"[^\x20\x09-\x0D]+"
 SLOTS = "shard long, position int, k int, block long"
 
@@ -52,64 +49,93 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = (1
 
 
 class Mix:
-    """rows: doc_id, size, h, k, start, source_size, target. segments: those rows' parts by block, with how
-    often the mix takes each. slots: shard, position, k, block."""
+    """rows: doc_id, size, h, source, copy, k, start, source_size, target. draws: shard, k, begin, count, offset, drawn.
+    slots: shard, position, k, block. segments: the rows' parts by block, with how often the mix takes each."""
 
     def __init__(self, docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
         spark = docs.sparkSession
-        scratch = Scratch(spark, "mixing")
+        self.scratch = scratch = Scratch(spark, "mixing")
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("h"))
-        base = scratch.keep(base, "base")
-        sums = base.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
-        if len(sums) > MOST_SOURCES:
-            raise ValueError(f"a mixture holds {MOST_SOURCES} sources at most")
-        plan = targets([(r["source"], r["size"]) for r in sums])
-        blocks = [-(-n // block_words) for _, n, _ in plan]
-        quota = [round(t * b / n) if n else 0 for (_, n, t), b in zip(plan, blocks, strict=True)]
-        table = spark.createDataFrame([(k, s, n, t) for k, (s, n, t) in enumerate(plan)], "k int, source string, source_size long, target double")
-        rows = base.join(F.broadcast(table), base["source"].eqNullSafe(table["source"])).drop("source")
-
-        chunks = -(-sum(r["n"] for r in sums) // CHUNK_ROWS) or 1
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(chunks)))
-        before = rows.groupBy("k", "chunk").agg(F.sum("size").alias("n"))
-        before = before.select("k", "chunk", (F.sum("n").over(Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))).alias("base"))
-        inner = Window.partitionBy("k", "chunk").orderBy("doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.join(before, ["k", "chunk"]).withColumn("start", F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("size").over(inner), F.lit(0)))
-        self.rows = scratch.keep(rows.drop("chunk", "base"), "rows")
-
-        cum, total = np.cumsum([0, *quota]), sum(quota)
-        parts = max(1, min(-(-total // 200_000), 10_000))
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column(0).to_numpy()
-                k = np.searchsorted(cum, x, side="right") - 1
-                block = np.empty(len(x), np.int64)
-                for s in np.unique(k):
-                    own = np.flatnonzero(k == s)
-                    rank = x[own] - cum[s]
-                    turn = rank // blocks[s]
-                    for t in np.unique(turn):
-                        now = own[turn == t]
-                        block[now] = permute(x[now] - cum[s] - t * blocks[s], blocks[s], seed * 1_000_003 + int(s) * 64 + int(t))
-                place = permute(x, total, seed)
-                yield pa.RecordBatch.from_arrays([pa.array(place // shard_slots), pa.array((place % shard_slots).astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(block)], names=["shard", "position", "k", "block"])
-
-        self.slots = spark.range(0, total, 1, parts).mapInArrow(deal, SLOTS)
+        # Rows that agree in all that counts are one row with copies, so that none of them crowds a place in the order.
+        base = scratch.keep(base.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("copies")), "base")
+        sums = base.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size")).collect()  # a row for each source
+        self.plan = plan = targets([(r["source"], r["size"]) for r in sums])
+        self.blocks = blocks = np.array([-(-n // block_words) for _, n, _ in plan], np.int64)
+        self.quota = quota = np.array([round(t * int(b) / n) if n else 0 for (_, n, t), b in zip(plan, blocks, strict=True)], np.int64)
+        table = spark.createDataFrame([(k, s, n, t) for k, (s, n, t) in enumerate(plan)], "k int, name string, source_size long, target double")
+        rows = base.join(F.broadcast(table), base["source"].eqNullSafe(table["name"])).drop("name").withColumn("words", F.col("size") * F.col("copies"))
+        full = positions(rows.where("size > 0"), ["k"], [F.xxhash64("doc_id", "h", F.lit(seed)), F.col("doc_id"), F.col("size"), F.col("h")], "start", weight="words")
+        rows = full.unionByName(rows.where("size = 0").withColumn("start", F.lit(-1).cast("long"))).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        self.rows = scratch.keep(rows.withColumn("start", F.when(F.col("size") > 0, F.col("start") + F.col("copy") * F.col("size"))).drop("copies", "words"), "rows")
+
+        self.draws = self._draw(shard_slots, seed)
+        self.slots = self._slots(shard_slots, seed)
         times = self.slots.groupBy("k", "block").agg(F.count("*").alias("times"))
-        parts_ = self.rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
+        parts = self.rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
         lo = F.greatest(F.lit(0), F.col("block") * block_words - F.col("start"))
         hi = F.least("size", (F.col("block") + 1) * block_words - F.col("start"))
-        parts_ = parts_.withColumn("first", lo).withColumn("words", hi - F.col("first"))
-        self.segments = parts_.join(times, ["k", "block"])
+        self.segments = parts.withColumn("first", lo).withColumn("words", hi - F.col("first")).join(times, ["k", "block"])
+
+    def _draw(self, shard_slots: int, seed: int) -> DataFrame:
+        """Each shard's multinomial counts of the sources, where they begin in the shard, and how many draws of the source
+        earlier shards hold."""
+        total = int(self.quota.sum())
+        shards = -(-total // shard_slots)
+        share = self.quota / max(1, total)
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard in batch.column(0).to_pylist():
+                    counts = np.random.default_rng([seed, shard]).multinomial(min(shard_slots, total - shard * shard_slots), share)
+                    k = np.flatnonzero(counts)
+                    begin = np.cumsum(counts) - counts
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), shard)), pa.array(k.astype(np.int32)), pa.array(begin[k]), pa.array(counts[k])], names=["shard", "k", "begin", "count"])
+
+        drawn = self.rows.sparkSession.range(0, shards, 1, max(1, min(-(-shards // 16), 10_000))).mapInArrow(draw, "shard long, k int, begin long, count long")
+        drawn = self.scratch.keep(drawn, "drawn")
+        return self.scratch.keep(positions(drawn, ["k"], [F.col("shard")], "offset", weight="count", total="drawn"), "draws")
+
+    def _slots(self, shard_slots: int, seed: int) -> DataFrame:
+        """Every slot's block. The draws of a source number its slots; those beyond its total go, in order, to the sources
+        that were drawn too seldom, so that totals are met. A source's numbers run through a permutation of its blocks,
+        a new one for each pass."""
+        blocks, quota, total = self.blocks, self.quota, int(self.quota.sum())
+        drawn = np.zeros(len(quota), np.int64)
+        for r in self.draws.groupBy("k").agg(F.max("drawn").alias("n")).collect():
+            drawn[r["k"]] = r["n"]
+        spare, short = np.cumsum(np.r_[0, np.maximum(0, drawn - quota)]), np.cumsum(np.r_[0, np.maximum(0, quota - drawn)])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    own = batch.slice(at, 256)
+                    shard, k, begin, count, offset = (own.column(i).to_numpy() for i in range(5))
+                    which = np.repeat(np.arange(len(k)), count)
+                    inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+                    source, rank = k[which].astype(np.int64), offset[which] + inside
+                    over = np.flatnonzero(rank >= quota[source])
+                    extra = spare[source[over]] + rank[over] - quota[source[over]]
+                    source[over] = np.searchsorted(short, extra, side="right") - 1
+                    rank[over] = drawn[source[over]] + extra - short[source[over]]
+                    turn, block = np.divmod(rank, blocks[source])
+                    for s in np.unique(source):
+                        mine = np.flatnonzero(source == s)
+                        block[mine] = permute(block[mine], int(blocks[s]), seed * 1_000_003 + int(s) * 64 + turn[mine])
+                    # A shard's slots are shuffled among themselves.
+                    place = begin[which] + inside
+                    size = np.minimum(shard_slots, total - shard * shard_slots)[which]
+                    for n in np.unique(size).tolist():  # the last shard may be shorter
+                        mine = np.flatnonzero(size == n)
+                        place[mine] = permute(place[mine], n, seed * 7_368_787 + shard[which][mine])
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[which]), pa.array(place.astype(np.int32)), pa.array(source.astype(np.int32)), pa.array(block)], names=["shard", "position", "k", "block"])
+
+        return self.draws.select("shard", "k", "begin", "count", "offset").mapInArrow(deal, SLOTS)
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken for every input row."""
         got = self.segments.groupBy("k", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        got = got.withColumn("size_", F.lit(1))
-        rows = self.rows.withColumn("size_", F.least(F.col("size"), F.lit(1)).cast("int"))
-        return rows.join(got, ["k", "start", "size_"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return self.rows.join(got, ["k", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -117,40 +143,44 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
     A null text has size 0 and is never taken; null sources form one source, the last. Rows that repeat an
     id count each with its own words. An empty table, or one without words, gives taken 0. Two runs agree,
-    whatever the partitioning. Other columns are ignored.
+    whatever the partitioning. Other columns are ignored. The list of sources, a row for each, is held by the driver
+    and by tasks.
     """
     return Mix(docs, **options).taken()
 
 
-PIECES = "doc_id long, text string, turn int"
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: the columns of `docs`, one row for each document and repeat, whose text is the
-    words that repeat takes (runs of whole blocks, joined by a newline). Untaken documents have no row."""
+    words that repeat takes (runs of whole blocks, joined by a newline); n_chars, where there is such a column, its
+    length. Documents that are not taken have no row, so null and blank texts have none, and an empty table gives
+    none. Rows that agree in id, text and source go as one, with the columns of the row whose values hash lowest, and
+    as many repeats as all of them take. Columns may have any names.
+    """
     mix = Mix(docs, **options)
-    pieces = mix.segments.groupBy("doc_id", "size", "h").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("pieces"))
-    names = docs.columns
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"), "__h": F.xxhash64(F.coalesce("text", F.lit("")))})
-    pieces = pieces.toDF("__id", "__size", "__h", "__pieces")
-    same = keyed["__id"].eqNullSafe(pieces["__id"]) & (keyed["__size"] == pieces["__size"]) & (keyed["__h"] == pieces["__h"])
-    joined = keyed.join(pieces, same).select(*[keyed[c] for c in names], keyed["__id"], keyed["__size"], keyed["__h"], "__pieces")
-    joined = joined.dropDuplicates(["__id", "__size", "__h"]).drop("__id", "__size", "__h")
-    taken = joined.withColumn("__texts", F.udf(_slices, "array<string>", useArrow=True)(F.col("text"), F.col("__pieces")))
-    out = taken.withColumn("text", F.explode("__texts")).select(*names)
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else out
+    pieces = mix.segments.groupBy("doc_id", "size", "h", "source").agg(F.sort_array(F.collect_list(F.struct("copy", "first", "words", "times"))).alias("pieces"))
+    pieces = pieces.select(F.struct("doc_id", "size", "h", "source").alias("name"), "pieces")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    name = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("h"), F.col("source").cast("string").alias("source"))
+    named = docs.select(name.alias("name"), F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("place"))
+    joined = named.join(pieces, "name").groupBy("name").agg(F.min_by(F.struct("row", "pieces"), "place").alias("x")).select("x.*")
+    taken = joined.withColumn("part", F.explode(F.udf(_slices, "array<string>", useArrow=True)(F.col("row.text"), F.col("pieces"))))
+    own = {"text": F.col("part"), "n_chars": F.length("part").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return taken.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def _slices(text: str, pieces: list) -> list[str]:
-    """One text for each repeat; the words' own spacing is kept inside a run of blocks."""
-    at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    """One text for each copy and repeat; the words' own spacing is kept inside a run of blocks."""
+    at = [m.span() for m in re.finditer(WORD, text)]
     out = []
-    for turn in range(max(p["times"] for p in pieces)):
-        runs: list[list[int]] = []
-        for p in sorted((p for p in pieces if p["times"] > turn), key=lambda p: p["first"]):
-            if runs and runs[-1][1] == p["first"]:
-                runs[-1][1] = p["first"] + p["words"]
-            else:
-                runs.append([p["first"], p["first"] + p["words"]])
-        out.append("\n".join(text[at[a][0] : at[b - 1][1]] for a, b in runs))
+    for copy in sorted({p["copy"] for p in pieces}):
+        own = sorted((p for p in pieces if p["copy"] == copy), key=lambda p: p["first"])
+        for turn in range(max(p["times"] for p in own)):
+            runs: list[list[int]] = []
+            for p in own:
+                if p["times"] > turn:
+                    if runs and runs[-1][1] == p["first"]:
+                        runs[-1][1] = p["first"] + p["words"]
+                    else:
+                        runs.append([p["first"], p["first"] + p["words"]])
+            out.append("\n".join(text[at[a][0] : at[b - 1][1]] for a, b in runs))
     return out
