@@ -1,9 +1,10 @@
 """Quality classifier: hierarchical empirical Bayes over document, path and host evidence.
 
-Two document classifiers (quality, toxicity) are fitted on a bounded sample of labelled rows. Each document's
-quality log-odds are then combined with what its host and path show: mean evidence per path is shrunk toward
-its host, the host's toward the corpus, with the strengths estimated from all groups by moments. The sums
-are grouped aggregations with map-side combining, so one host with a third of the rows is no hot spot.
+Two document classifiers (quality, toxicity) are fitted on a bounded sample of labelled rows, from the shape of a text
+and from words that tell. Each document's quality log-odds are then combined with what its host and path show: mean
+evidence per path (labels where there are any, else the classifier's) is shrunk toward its host, the host's toward the
+corpus, each level with a strength of its own, estimated from all groups by moments. The sums are grouped
+aggregations with map-side combining, so one host with a third of the rows is no hot spot.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ from .minhash import shingle_set
 SAMPLE_ROWS = 8000
 SAMPLE_CHARS = 50_000
 LEXICON = 4096
-SITE_WEIGHT = 0.25
+STEMS = (4, 5, 6, 7)  # letters of a stem
+SITE_WEIGHT = 0.25  # what a site's evidence weighs before labels say otherwise
+PRIOR = 10.0  # labelled rows' worth of trust in that
+EVIDENCE = 4.0  # most that a document, or a label, says of its site
 KEEP_FROM = 0.5
 _MARKS = re.compile(r"[#$%&*|<>{}\\^~=_@]")
 _WORD = re.compile(r"\w+")
@@ -45,20 +49,42 @@ def shape(text: str) -> list[float]:
     return [1.0, min(1.0, 4 * marked), min(1.0, 3 * capitals), min(1.0, 5 * again), min(1.5, distinct / n**0.92), max(0.0, top - 0.2), min(1.0, max(0.0, 0.95 - letters) * 3), float(n < 5), np.log1p(n) / 10]
 
 
+def forms_of(word: str) -> list[str]:
+    """A word and the first letters of a longer one: a stem counts whatever its endings."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
 def lexicon_of(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+    """The distinct words of a text, and their stems."""
+    words = set(_WORD.findall(text.lower()))
+    found = set(words)
+    for n in STEMS:
+        found.update({w[:n] + "*" for w in words if len(w) > n})
+    return found
+
 
+def told(text: str, words: dict[str, float]) -> list[float]:
+    """What each word of a text that tells says: the strongest of its forms."""
+    if not words or not lexicon_of(text) & words.keys():
+        return []
+    found = ([words[f] for f in forms_of(w) if f in words] for w in set(_WORD.findall(text.lower())))
+    return [max(x, key=abs) for x in found if x]
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    if len(y) == 0 or y.min() == y.max():
-        w[0] = 4.0 if len(y) == 0 or y.max() == 1 else -4.0
-        return w
+
+def _fit(x: np.ndarray, y: np.ndarray, ridge: float, prior: np.ndarray | None = None) -> np.ndarray:
+    """Logistic weights, drawn to `prior` by a ridge. Without a prior they are drawn to 0, the intercept but little; and
+    where all labels agree, only the intercept says so."""
     eye = ridge * np.eye(x.shape[1])
-    eye[0, 0] = 1e-6
-    for _ in range(60):
+    if prior is None:
+        prior = np.zeros(x.shape[1])
+        eye[0, 0] = 1e-6
+        if len(y) == 0 or y.min() == y.max():
+            prior[0] = 4.0 if len(y) == 0 or y.max() == 1 else -4.0
+            return prior
+    w = prior.copy()
+    for _ in range(60 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        move = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + eye, x.T @ (p - y) + eye @ w)
+        move = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + eye, x.T @ (p - y) + eye @ (w - prior))
         w -= np.clip(move, -5, 5)
         if np.abs(move).max() < 1e-6:
             break
@@ -78,79 +104,117 @@ def _distinct(rows: list[tuple[str, int, int]]) -> list[int]:
     return out
 
 
-def train(rows: list[tuple[str, int, int]]) -> dict:
-    """rows: (text, quality, toxic). Toxicity: words that mark toxic documents, chosen by their one-sided
-    log-likelihood ratio over distinct documents, then logistic weights on the summed ratios of those present."""
-    x = np.array([shape(t) for t, _, _ in rows]) if rows else np.empty((0, 9))
-    good = _fit(x, np.array([q for _, q, _ in rows], float), 0.05)
-    own = [rows[i] for i in _distinct(rows)]
-    n1 = sum(bool(t) for _, _, t in own)
-    n0 = len(own) - n1
-    seen1, seen0 = Counter(), Counter()
-    for text, _, bad in own:
-        (seen1 if bad else seen0).update(lexicon_of(text))
+def telling_words(yes: Counter, no: Counter, n1: int, n0: int, least: float = 4.0) -> dict[str, float]:
+    """word -> log ratio of its rates, for words in three `yes` documents at least that are `least` times as frequent there
+    and whose likelihood ratio stands out among as many words as are tried."""
     scored = {}
-    for word, a in seen1.items():
-        b = seen0[word]
+    for word, a in yes.items():
+        b = no[word]
         if a >= 3 and n0:
-            rate, other, pooled = a / n1, (b + 0.5) / (n0 + 1), (a + b) / len(own)
+            rate, other, pooled = a / n1, (b + 0.5) / (n0 + 1), (a + b) / (n1 + n0)
             gain = 2 * (a * np.log(rate / pooled) + (b * np.log(b / n0 / pooled) if b else 0.0))
-            if rate > 4 * other and gain > 2 * np.log(len(seen1)):  # so many words are tried
+            if rate > least * other and gain > 2 * np.log(len(yes)):
                 scored[word] = float(np.log(rate / other))
-    words = dict(sorted(scored.items(), key=lambda v: (-v[1], v[0]))[:LEXICON])
-    tox = _fit(np.array([_toxic_features(t, words) for t, _, _ in own]), np.array([bool(t) for _, _, t in own], float), 0.02) if n1 and words else np.array([-6.0, 0.0])
-    return {"good": good, "toxic": tox, "words": words}
+    return dict(sorted(scored.items(), key=lambda v: (-v[1], v[0]))[:LEXICON])
+
+
+def features(text: str, words: dict[str, float]) -> list[float]:
+    """The shape of a text, and what its words say for and against it."""
+    return [*shape(text), float(np.clip(sum(told(text, words)) / 4, -3, 3))]
+
+
+def train(rows: list[tuple[str, int, int]]) -> dict:
+    """rows: (text, quality, toxic). Words that mark good, bad and toxic documents are chosen by their likelihood ratios
+    over distinct documents; logistic weights go on the shape and on the summed ratios of the words present."""
+    own = [rows[i] for i in _distinct(rows)]
+
+    def counted(sign) -> tuple[Counter, Counter, int, int]:
+        yes, no, n1 = Counter(), Counter(), 0
+        for row in own:
+            (yes if sign(row) else no).update(lexicon_of(row[0]))
+            n1 += sign(row)
+        return yes, no, n1, len(own) - n1
+
+    good, poor = telling_words(*counted(lambda r: bool(r[1]))), telling_words(*counted(lambda r: not r[1]))
+    told = {**{w: -v for w, v in poor.items()}, **good}
+    x = np.array([features(t, told) for t, _, _ in rows]) if rows else np.empty((0, 10))
+    bad = telling_words(*counted(lambda r: bool(r[2])))
+    n1 = sum(bool(t) for _, _, t in own)
+    tox = _fit(np.array([_toxic_features(t, bad) for t, _, _ in own]), np.array([bool(t) for _, _, t in own], float), 0.02) if n1 and bad else np.array([-6.0, 0.0, 0.0])
+    return {"good": _fit(x, np.array([q for _, q, _ in rows], float), 0.05), "told": told, "toxic": tox, "words": bad}
 
 
 def _toxic_features(text: str, words: dict[str, float]) -> list[float]:
-    hit = [words[w] for w in lexicon_of(text) & words.keys()] if words else []
-    return [1.0, min(12.0, sum(hit))]
+    return [1.0, min(12.0, sum(told(text, words))), np.log1p(text.count(" ")) / 10]  # long texts meet more words by chance
 
 
 SCORED = "doc_id long, h long, host string, path string, quality_logit double, toxic_logit double"
 
 
+def shrunken_sites(paths: DataFrame) -> tuple[DataFrame, float]:
+    """paths: (host, path, n, s, ss), a row for each path: documents, sum and sum of squares of their evidence. Gives
+    (host, path, n, s, host_mean, strength) and the corpus mean; a path's mean is (s + strength * host_mean) / (n + strength).
+
+    Moments over all groups give the variance inside paths, of paths inside hosts and of hosts; a level's strength is
+    the variance below it, in documents, over its own."""
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("hb"), F.sum(F.col("n") * F.col("n")).alias("hnn"), F.sum("ss").alias("hss"), F.count("*").alias("hg"))
+    c = F.col
+    a = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s"), F.sum(c("hss") - c("hb")).alias("within"), F.sum("hg").alias("g"), F.count("*").alias("hosts"), F.sum(c("hb") - c("hs") * c("hs") / c("hn")).alias("paths"), F.sum(c("hs") * c("hs") / c("hn")).alias("between"), F.sum(c("hnn") / c("hn")).alias("nn"), F.sum(c("hn") * c("hn")).alias("hh"), F.sum("hnn").alias("pp")).first()
+    n = a["n"] or 0
+    mean = a["s"] / n if n else 0.0
+    inside = max(1e-4, a["within"] / max(1, n - a["g"])) if n else 1.0
+    spread = lambda total, free, size: max(1e-4, (total - free) / size) if size > 0 else 1e-4
+    of_paths = spread(a["paths"], (a["g"] - a["hosts"]) * inside, n - a["nn"]) if n else 1e-4
+    of_hosts = spread(a["between"] - n * mean * mean, (a["hosts"] - 1) * inside + of_paths * (a["nn"] - a["pp"] / n), n - a["hh"] / n) if n else 1e-4
+    path_strength, host_strength = max(1.0, inside / of_paths), max(1.0, inside / of_hosts)
+    hosts = hosts.select(c("host").alias("h_host"), ((c("hs") + host_strength * mean) / (c("hn") + host_strength)).alias("host_mean"))
+    return paths.join(hosts, c("host").eqNullSafe(c("h_host"))).select("host", "path", "n", "s", "host_mean", F.lit(path_strength).alias("strength")), mean
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, site_weight: float = SITE_WEIGHT, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
     """One row for each input row: doc_id, h (hash of the text), quality, toxic, site, posterior, keep.
 
-    quality and toxic are the document classifiers' probabilities; site is the shrunken mean evidence of its
-    host and path; posterior joins quality and site. keep: posterior and 1 - toxic are both 0.5 or more.
+    quality and toxic are the document classifiers' probabilities; site is the shrunken mean evidence of the other
+    documents of its host and path; posterior joins quality and site, by weights that the labelled sample draws from
+    `site_weight`. keep: posterior and 1 - toxic are both 0.5 or more.
     The classifiers are fitted on `sample_rows` labelled rows at most, those of the smallest hash of their id whose
-    text has `sample_chars` code points at most; every row is scored on its whole text, and all count as evidence;
-    labels of a document that conflict take the lowest quality and the highest toxicity. Without labels
-    everything is kept. Null or blank texts are classified by their (empty) shape. Null hosts or paths form
-    groups of their own. Repeated rows and null ids stay, one result row each. Empty tables give no rows.
+    text has `sample_chars` code points at most; every row is scored on its whole text, and all rows and labels count as
+    evidence of their site. Labels of a document that conflict take the lowest quality and the highest toxicity. Without
+    labels everything is kept. Null or blank texts are classified by their (empty) shape. Null hosts or paths form
+    groups of their own. Repeated rows and null ids stay, one result row each. Empty tables give no rows. Other columns
+    are ignored.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    known = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows)
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("l_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
+    known = scratch.keep(known, "known")
+    sample = known.orderBy(F.xxhash64("l_id", F.lit(11)), "l_id").limit(sample_rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.xxhash64(text).alias("h"))
     # The sample is bounded by its parameter, so it is small enough to broadcast and to fit on the driver.
-    picked = rows.join(F.broadcast(known), "doc_id").where(F.length("text") <= sample_chars).select("doc_id", "text", "q", "t", "h").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    picked = rows.where(F.length("text") <= sample_chars).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).groupBy("doc_id").agg(F.min_by(F.struct("text", "q", "t"), "h").alias("x")).select("doc_id", "x.*").orderBy("doc_id").collect()
     model = train([(r.text, r.q, r.t) for r in picked])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.as_py() for x in batch.column(1)]
-            good = np.array([shape(t) for t in texts]) @ model["good"]
+            good = np.array([features(t, model["told"]) for t in texts]) @ model["good"]
             bad = np.array([_toxic_features(t, model["words"]) for t in texts]) @ model["toxic"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(2), batch.column(3), pa.array(good), pa.array(bad)], names=["doc_id", "h", "host", "path", "quality_logit", "toxic_logit"])
 
     scored = scratch.keep(rows.mapInArrow(score, SCORED), "scored")
-    evidence = F.least(F.greatest(F.col("quality_logit"), F.lit(-4.0)), F.lit(4.0))
-    paths = scratch.keep(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(evidence).alias("s"), F.sum(evidence * evidence).alias("ss")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    # Moments over all groups: variance inside paths, and the spread of group means beyond what it explains.
-    a = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("ss") - F.col("s") * F.col("s") / F.col("n")).alias("within"), F.count("*").alias("g"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    n, mean = a["n"] or 0, (a["s"] / a["n"]) if a["n"] else 0.0
-    inside = a["within"] / max(1, n - a["g"]) if n else 1.0
-    spare = (n - a["nn"] / n) if n else 1.0
-    spread = max(1e-4, ((a["between"] - n * mean * mean) - (a["g"] - 1) * inside) / spare) if n and spare > 0 else 1e-4
-    strength = max(1.0, inside / spread)
-    hosts = hosts.select(F.col("host").alias("h_host"), ((F.col("hs") + F.lit(strength * mean)) / (F.col("hn") + F.lit(strength))).alias("host_mean"))
-    site = paths.join(hosts, F.col("host").eqNullSafe(F.col("h_host"))).select(F.col("host").alias("p_host"), F.col("path").alias("p_path"), ((F.col("s") + F.lit(strength) * F.col("host_mean")) / (F.col("n") + F.lit(strength))).alias("site"))
-    out = scored.join(site, F.col("host").eqNullSafe(F.col("p_host")) & F.col("path").eqNullSafe(F.col("p_path")))
+    clipped = F.least(F.greatest(F.col("quality_logit"), F.lit(-EVIDENCE)), F.lit(EVIDENCE))
+    marked = scored.join(known, F.col("doc_id") == F.col("l_id"), "left").withColumn("e", F.when(F.col("q").isNull(), clipped).otherwise(F.when(F.col("q") > 0, EVIDENCE).otherwise(-EVIDENCE)))
+    marked = scratch.keep(marked.drop("l_id", "t"), "marked")
+    paths = marked.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("e").alias("s"), F.sum(F.col("e") * F.col("e")).alias("ss"))
+    sites, mean = shrunken_sites(scratch.keep(paths, "paths"))
+    sites = sites.toDF("p_host", "p_path", "n", "s", "host_mean", "strength")
+    out = marked.join(sites, F.col("host").eqNullSafe(F.col("p_host")) & F.col("path").eqNullSafe(F.col("p_path")))
+    # A document does not speak for its own site.
+    out = out.withColumn("site", (F.col("s") - F.col("e") + F.col("strength") * F.col("host_mean")) / (F.col("n") - 1 + F.col("strength")))
+    fitted = out.where("q is not null").join(F.broadcast(sample.select("l_id")), F.col("doc_id") == F.col("l_id")).groupBy("doc_id", "h").agg(F.min("quality_logit").alias("x"), F.min("site").alias("site"), F.min("q").alias("q")).orderBy("doc_id", "h").limit(2 * sample_rows).collect()
+    x = np.array([(1.0, np.clip(r.x, -30, 30), r.site - mean) for r in fitted]).reshape(-1, 3)
+    w = _fit(x, np.array([float(r.q > 0) for r in fitted]), PRIOR, np.array([0.0, 1.0, site_weight]))
     logistic = lambda x: 1 / (1 + F.exp(-x))
-    out = out.select("doc_id", "h", logistic(F.col("quality_logit")).alias("quality"), logistic(F.col("toxic_logit")).alias("toxic"), "site", logistic(F.col("quality_logit") + site_weight * (F.col("site") - F.lit(mean))).alias("posterior"))
+    joint = float(w[0]) + float(max(w[1], 0.0)) * F.col("quality_logit") + float(max(w[2], 0.0)) * (F.col("site") - F.lit(mean))
+    out = out.select("doc_id", "h", logistic(F.col("quality_logit")).alias("quality"), logistic(F.col("toxic_logit")).alias("toxic"), "site", logistic(joint).alias("posterior"))
     return out.withColumn("keep", (F.col("posterior") >= KEEP_FROM) & (F.col("toxic") < KEEP_FROM))
