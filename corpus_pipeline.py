@@ -1,7 +1,8 @@
 """The training-corpus pipeline: five stages, each a whole-table operator of loomspan.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the runner writes it as Parquet and reads it
-again as the next stage's docs. All but the last return the columns of `documents`.
+again as the next stage's docs. All but the last return the columns of `documents`. Columns may be null, in any
+order, and further ones may have any name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,42 +13,69 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, minhash, mixing, quality, token_output
-from loomspan.llm.common import shared_dir
+from loomspan.llm.common import Scratch, shared_dir
 
 
 def _text_hash(df: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(df["text"].cast("string"), F.lit("")))
 
 
+def _among(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose id and text are (left_semi) or are not (left_anti) among found (doc_id, h)."""
+    keys = found.select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h")).distinct()
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("n_id"), _text_hash(docs).alias("n_h"))
+    return named.join(keys, F.col("n_id").eqNullSafe(F.col("k_id")) & (F.col("n_h") == F.col("k_h")), how).select("row.*")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: low quality or toxic."""
+    """Rejected documents go: low quality or toxic.
+
+    Null, empty and blank texts are judged by their (empty) shape; rows that repeat an id and text share their fate;
+    null ids are judged by their text like all others. Very long texts are judged whole.
+    """
     judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    good = judged.where("keep").select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["k_id"]) & (_text_hash(docs) == good["k_h"]), "left_semi")
+    return _among(docs, judged.where("keep"), "left_semi")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id"))
-    one = docs.join(kept, docs["doc_id"] == kept["k_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    Of rows that share that id, the one whose values hash lowest stays. Null or blank texts are in no group and stay,
+    and so do rows without an id, which are linked with nothing.
+    """
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
+    named = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("n_id"), F.xxhash64(*docs.columns).alias("place"))
+    one = named.join(kept, F.col("n_id") == F.col("k_id"), "left_semi").groupBy("n_id").agg(F.min_by("row", "place").alias("row"))
+    return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay; rows that repeat an id and text share their fate; rows without an id go by
+    their text.
+    """
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["k_id"]) & (_text_hash(docs) == bad["k_h"]), "left_anti")
+    return _among(docs, found.where("contaminated"), "left_anti")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document's taken words, a row for each repeat."""
+    """The mix: each document's taken words, a row for each repeat.
+
+    Documents that the mix does not take, null and blank texts among them, have no row. Rows without an id or source are
+    mixed like all others.
+    """
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order."""
-    return token_output.training_records(docs)
+    """Fixed-stride token records in training order, written as shard files below the shared folder; a row for each
+    record says where it lies and which documents it holds.
+
+    Null and empty texts give an end mark alone; ids may be null or repeat. No documents: no files and no rows.
+    """
+    scratch = Scratch(spark, "shards")
+    return scratch.keep(token_output.write_shards(token_output.training_records(docs), scratch.path("files")), "index")
 
 
 STAGES = [
@@ -58,7 +86,8 @@ STAGES = [
     ("token-id output", token_stage),
 ]
 
-#: SQL cannot express the trained models, random draws and the tokenizer; the tests hold each stage to brute force.
+#: SQL cannot express the trained models, random draws and the tokenizer; tests/llm/test_pipeline.py holds the stages to
+#: recomputations.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -155,44 +156,85 @@ def training_records(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int
     return moved.mapInArrow(unfold, RECORDS)
 
 
-def write_shards(records: DataFrame, path: str, shard: int = SHARD) -> DataFrame:
-    """Writes the records as raw files `path/shard-%08d.bin`; a manifest row for each: shard, first_slot,
-    n_sequences, n_bytes, sha256. A shard that is already there with the right size is not written again, so a
-    broken run resumes. path: a folder that all executors reach, as a URI or an absolute path."""
+INDEX = "slot long, shard long, record int, n_tokens int, doc_ids array<long>, first_byte long, n_bytes int, sha256 string"
+
+
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _put(store: pyarrow.fs.FileSystem, name: str, body: bytes, digest: str) -> None:
+    """Writes a file unless it holds these bytes already; attempts do not meet, and a file appears whole or not at all."""
+    if store.get_file_info(name).size == len(body):
+        with store.open_input_stream(name) as f:
+            if hashlib.sha256(f.read()).hexdigest() == digest:
+                return
+    attempt = f"{name}.{uuid.uuid4().hex}.tmp"
+    with store.open_output_stream(attempt) as f:
+        f.write(body)
+    store.move(attempt, name)
+
+
+def write_shards(records: DataFrame, path: str) -> DataFrame:
+    """Writes the records as raw files `path/shard-%08d.bin` of fixed stride. A row for each record: slot, shard, record,
+    n_tokens, doc_ids, where its bytes lie (first_byte, n_bytes), and its shard's sha256.
+
+    Records must come as `training_records` gives them: a shard whole in one partition; one that comes in parts, or
+    with gaps, is an error. A shard that is there with the same bytes is not written again, so a broken run resumes;
+    other bytes are replaced. path: a folder that all executors reach, as a URI or an absolute path. No records: no
+    files and no rows.
+    """
+    names = ["slot", "shard", "record", "n_tokens", "doc_ids", "tokens"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
+        store, root = _store(path)
         store.create_dir(root, recursive=True)
-        held: list[bytes] = []
-        at = None
+        held: list[tuple] = []
+        done: set[int] = set()
 
         def close() -> pa.RecordBatch:
-            body = b"".join(held)
-            name = f"{root}/shard-{at:08d}.bin"
-            if store.get_file_info(name).size != len(body):
-                with store.open_output_stream(f"{name}.tmp") as f:
-                    f.write(body)
-                store.move(f"{name}.tmp", name)
-            return pa.RecordBatch.from_pylist([{"shard": at, "first_slot": at * shard, "n_sequences": len(held), "n_bytes": len(body), "sha256": hashlib.sha256(body).hexdigest()}])
+            rows = sorted(held, key=lambda r: r[2])
+            number = rows[0][1]
+            if number in done or [r[2] for r in rows] != list(range(len(rows))) or len({len(r[5]) for r in rows}) != 1:
+                raise ValueError(f"shard {number} does not come whole and in one piece")
+            done.add(number)
+            body = b"".join(r[5] for r in rows)
+            digest = hashlib.sha256(body).hexdigest()
+            _put(store, f"{root}/shard-{number:08d}.bin", body, digest)
+            stride = len(rows[0][5])
+            columns = [*zip(*(r[:5] for r in rows), strict=True), [i * stride for i in range(len(rows))], [stride] * len(rows), [digest] * len(rows)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
 
         for batch in batches:
-            for number, body in zip(batch.column("shard").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                if number != at:
-                    if held:
-                        yield close()
-                    held, at = [], number
-                held.append(body)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[1] != held[0][1]:
+                    yield close()
+                    held = []
+                held.append(row)
         if held:
             yield close()
 
-    return records.select("shard", "tokens").mapInArrow(write, "shard long, first_slot long, n_sequences long, n_bytes long, sha256 string")
+    return records.select(*names).mapInArrow(write, INDEX)
+
+
+_INDEX = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.string())
 
 
 def read_records(path: str, first_slot: int, n: int, sequence: int = SEQUENCE, shard: int = SHARD) -> np.ndarray:
-    """(n, sequence) token ids of consecutive slots, read by offset from the shard files."""
+    """(n, sequence) token ids of consecutive slots, read by offset from the shard files: a reader resumes at any slot."""
+    store, root = _store(path)
     out = []
-    for slot in range(first_slot, first_slot + n):
-        with open(f"{path}/shard-{slot // shard:08d}.bin", "rb") as f:
-            f.seek(slot % shard * sequence * 2)
-            out.append(np.frombuffer(f.read(sequence * 2), np.uint16))
-    return np.stack(out) if out else np.empty((0, sequence), np.uint16)
+    slot = first_slot
+    while slot < first_slot + n:
+        number, record = divmod(slot, shard)
+        many = min(shard - record, first_slot + n - slot)
+        name = f"{root}/shard-{number:08d}.bin"
+        if store.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
+            raise EOFError(f"there is no shard {number}")
+        with store.open_input_file(name) as f:
+            body = f.read_at(many * sequence * 2, record * sequence * 2)
+        if len(body) != many * sequence * 2:
+            raise EOFError(f"slots from {slot} on are not all in shard {number}")
+        out.append(np.frombuffer(body, np.uint16).reshape(many, sequence))
+        slot += many
+    return np.concatenate(out) if out else np.empty((0, sequence), np.uint16)

@@ -223,8 +223,9 @@ def test_token_records_round_trip(spark, odd, tmp_path):
         ranks = f.read()
     want = sorted(token_output.encoding(ranks).decode(token_output.token_ids(t or "", ranks).tolist()) for _, t, _ in odd)
     assert want == sorted(t or "" for _, t, _ in odd)
-    manifest = token_output.write_shards(records, str(tmp_path), shard=8).collect()
-    assert sum(m.n_sequences for m in manifest) == len(rows)
+    index = token_output.write_shards(records, str(tmp_path)).collect()
+    assert [(m.slot, m.shard, m.record, m.doc_ids) for m in index] == [(r.slot, r.shard, r.record, r.doc_ids) for r in rows]
+    assert {m.sha256 for m in index} == {hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.iterdir()}
     back = token_output.read_records(str(tmp_path), 0, len(rows), 64, 8)
     assert all(back[r.slot].tobytes() == bytes(r.tokens) for r in rows)
     assert sum(r.n_tokens for r in rows) == sum(len(token_output.token_ids(t or "", ranks)) + 1 for _, t, _ in odd)
@@ -234,6 +235,25 @@ def test_token_records_round_trip(spark, odd, tmp_path):
     assert [(r.slot, bytes(r.tokens)) for r in again] == [(r.slot, bytes(r.tokens)) for r in rows]
 
 
+def test_shards_resume_by_content(spark, odd, tmp_path):
+    """Other records in the same folder replace what is there; equal ones are left alone; parts of a shard are an error."""
+    first = token_output.training_records(table(spark, odd), sequence=32, shard=4)
+    other = token_output.training_records(table(spark, odd), sequence=32, shard=4, key=99)
+    token_output.write_shards(first, str(tmp_path)).collect()
+    before = {f.name: (f.stat().st_mtime_ns, f.read_bytes()) for f in tmp_path.iterdir()}
+    token_output.write_shards(first, str(tmp_path)).collect()
+    assert before == {f.name: (f.stat().st_mtime_ns, f.read_bytes()) for f in tmp_path.iterdir()}
+    index = token_output.write_shards(other, f"file://{tmp_path}").collect()
+    assert {m.sha256 for m in index} == {hashlib.sha256(f.read_bytes()).hexdigest() for f in tmp_path.iterdir()}
+    want = {r.slot: bytes(r.tokens) for r in other.collect()}
+    back = token_output.read_records(f"file://{tmp_path}", 3, 9, 32, 4)
+    assert [x.tobytes() for x in back] == [want[s] for s in range(3, 12)]
+    with pytest.raises(EOFError):
+        token_output.read_records(str(tmp_path), len(want) - 1, 2, 32, 4)
+    with pytest.raises(Exception, match="in one piece"):
+        token_output.write_shards(first.where("record <> 1"), str(tmp_path)).collect()
+
+
 def mixing_free_stream(rows):
     """All texts, read back from the records: one group here, so the index order is the packing order."""
     index = {int(s): i for i, s in enumerate(feistel.permute(np.arange(len(rows)), len(rows), token_output.KEY))}
@@ -254,15 +274,6 @@ def test_long_text_tokenizes_like_a_short_one(monkeypatch):
     assert token_output.token_ids(text, ranks).tolist() == whole
 
 
-def test_quality(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
-    half = labels.where("doc_id % 2 = 0")
-    got = quality.classify(docs, half).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    right = np.mean([(r["quality"] >= 0.5) == bool(q) for r, q in ((r, r[-2]) for r in got)])
-    assert right > 0.97
-    assert all(not r[-1] or True for r in got)
-
-
 def test_quality_of_odd_rows(spark, odd):
     docs = table(spark, odd)
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (2, 1, 0), (None, 1, 1), (3, None, 1), (401, 0, 0)], "doc_id long, quality int, toxic int")
@@ -271,13 +282,6 @@ def test_quality_of_odd_rows(spark, odd):
     assert all(r.keep for r in quality.classify(docs, labels.limit(0)).collect())
 
 
-def test_sparse_sites_shrink_to_the_mean(spark):
-    rows = [(i, "good prose of several different words here " + words(random.Random(i), 40), "big") for i in range(60)] + [(900, "### $$$ %%% &&& ***", "tiny")]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(900, 0, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.classify(table(spark, rows), labels).collect()}
-    assert not got[900].keep and got[5].keep
-
-
 def test_decontamination(spark):
     rng = random.Random(8)
     items = [(i, words(rng, 12 + 4 * i, 3000) + ". " + words(rng, 6, 3000) + ".") for i in range(12)] + [(None, "x y z a b c"), (50, None), (51, "")]
