@@ -23,6 +23,7 @@ RULES = (
 DAMPING = 0.85
 ROUNDS = 12
 DISTRUST_RATIO = 1.0
+HUB_LINKS = 100_000  # links of a host that one task sends on
 LINK = r'(?i)<a\s[^>]*?href\s*=\s*["\']?((?:https?:)?//[^"\'\s>]+)'
 
 
@@ -45,25 +46,29 @@ def best_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return F.greatest(*fits) if len(fits) > 1 else fits[0]
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct (src, dst) between different hosts: hyperlinks with a host, and a host's links to the
-    nearest parent host and back when both have pages."""
+def host_edges(pages: DataFrame, parent_links: bool = False) -> DataFrame:
+    """Distinct (src, dst) between different hosts: hyperlinks that name a host. parent_links: also a host's link to the
+    nearest parent host and back, when both have pages."""
     links = pages.select("host", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("to"))
     links = links.select(F.col("host").alias("src"), url_host(F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))).alias("dst"))
-    hosts = pages.select("host").where("host != ''").distinct()
-    parent = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst"))
-    parent = parent.join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst")
-    both = links.union(parent).union(parent.select("dst", "src"))
-    return both.where("src != '' and dst != '' and src != dst").distinct()
-
-
-def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, score) after `rounds` steps of personalised PageRank; seeds: (host, weight) summing to 1."""
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    steps = scratch.keep(edges.join(degree, "src"), f"{name}-steps")
+    if parent_links:
+        hosts = pages.select("host").where("host != ''").distinct()
+        parent = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst"))
+        parent = parent.join(hosts.select(F.col("host").alias("dst")), "dst").select("src", "dst")
+        links = links.union(parent).union(parent.select("dst", "src"))
+    return links.where("src != '' and dst != '' and src != dst").distinct()
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, rounds: int = ROUNDS, damping: float = DAMPING, hub_links: int = HUB_LINKS) -> DataFrame:
+    """(host, score) after `rounds` steps of personalised PageRank; seeds: (host, weight) summing to 1. A hub's links are
+    dealt over as many salts as they need, and its score goes to each."""
+    degree = edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn("salts", F.ceil(F.col("degree") / hub_links).cast("long"))
+    degree = scratch.keep(degree, f"{name}-degree")
+    steps = scratch.keep(edges.join(degree, "src").select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).alias("salt"), "dst"), f"{name}-steps")
     score = seeds.select("host", F.col("weight").alias("score"))
     for i in range(rounds):
-        sent = steps.join(score.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.lit(damping) * F.col("score") / F.col("degree")).alias("part"))
+        out = degree.join(score.withColumnRenamed("host", "src"), "src").select("src", (F.lit(damping) * F.col("score") / F.col("degree")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        sent = steps.join(out, ["src", "salt"]).select(F.col("dst").alias("host"), "part")
         kept = seeds.select("host", (F.lit(1 - damping) * F.col("weight")).alias("part"))
         score = sent.union(kept).groupBy("host").agg(F.sum("part").alias("score"))
         if i % 4 == 3:
@@ -71,17 +76,18 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, r
     return score
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", parent_links: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every input row.
 
     The longest fitting rule decides. Else a host is blocked when its distrust exceeds its trust; a host
     that neither reaches is allowed. A url that is null or lacks `://` has an empty host and path, fits no
-    rule and is allowed. Null html has no links. Repeated rows and null ids are kept. Empty table: no rows.
+    rule and is allowed. Null html has no links, links inside a host say nothing, and of rows that repeat each counts as
+    a page. Null ids are kept, other columns ignored. parent_links: as in host_edges. Empty table: no rows.
     """
     scratch = Scratch(pages.sparkSession, "link-rank")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    edges = scratch.keep(host_edges(rows), "edges")
+    edges = scratch.keep(host_edges(rows, parent_links), "edges")
     counts = scratch.keep(rows.where("best is not null and host != ''").groupBy("host").agg(F.count_if(F.col("best.verdict") == "allow").alias("good"), F.count_if(F.col("best.verdict") == "block").alias("bad")), "counts")
     total = counts.agg(F.sum("good").alias("goods"), F.sum("bad").alias("bads")).first()
     trusted = counts.where("good > 0").select("host", (F.col("good") / F.lit(float(total["goods"] or 1))).alias("weight"))

@@ -83,7 +83,10 @@ def test_propagation_matches_dense_iteration(spark):
     edges = sorted({(f"h{rng.randrange(12)}", f"h{rng.randrange(12)}") for _ in range(40)})
     edges = [e for e in edges if e[0] != e[1]]
     seeds = {"h0": 0.75, "h3": 0.25}
-    got = dict(link_rank.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(list(seeds.items()), "host string, weight double"), Scratch(spark, "t"), "p").collect())
+    table = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(list(seeds.items()), "host string, weight double")
+    got = dict(link_rank.propagate(*table, Scratch(spark, "t"), "p").collect())
+    salted = dict(link_rank.propagate(*table, Scratch(spark, "t"), "p", hub_links=2).collect())
+    assert salted.keys() == got.keys() and all(abs(salted[h] - got[h]) < 1e-12 for h in got)
     score = dict(seeds)
     out = {s: sum(e[0] == s for e in edges) for s, _ in edges}
     for _ in range(link_rank.ROUNDS):
@@ -101,6 +104,13 @@ def test_distrust_flows_back_to_linking_hosts(spark):
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
 
 
+def test_only_links_join_hosts_unless_asked(spark):
+    rows = [(1, "http://shop.com/en/x", "<a href='/in'>x</a>"), (2, "http://a.shop.com/", "<a href='b.html'>x</a>"), (3, "http://a.shop.com/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in link_rank.judge_urls(pages).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    assert {r.page_id: r.verdict for r in link_rank.judge_urls(pages, parent_links=True).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(6, 64))
