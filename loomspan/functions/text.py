@@ -61,6 +61,18 @@ def root_rows(df: DataFrame, row: str) -> DataFrame:
     return df.withColumn("_r", F.explode(rows)).select(*[x for x in df.columns if x != "text"], "_r.*")
 
 
+def frame_rows(df: DataFrame, box: str) -> DataFrame:
+    """(other columns, frame, box) of documents in column `text` with `frames` as a mapping from frame to object or as a
+    list of objects; frame is also `frame_id`, box also `bbox`."""
+    kind = f"frame int, frame_id int, box struct<{box.replace(' ', ':')}>, bbox struct<{box.replace(' ', ':')}>"
+    inner = F.get_json_object("text", "$.frames")
+    listed = F.from_json(F.when(F.trim(inner).startswith("["), inner), f"array<struct<{kind.replace(' int', ':int').replace(' struct', ':struct')}>>")
+    mapped = F.map_entries(F.from_json(F.when(F.trim(inner).startswith("{"), inner), f"map<string,struct<{kind.replace(' int', ':int').replace(' struct', ':struct')}>>"))
+    one = lambda frame, v: F.struct(F.coalesce(frame, v["frame"], v["frame_id"]).alias("frame"), F.coalesce(v["box"], v["bbox"]).alias("box"))
+    rows = F.coalesce(F.transform(listed, lambda v: one(F.lit(None).cast("int"), v)), F.transform(mapped, lambda v: one(v["key"].cast("int"), v["value"])))
+    return df.withColumn("_r", F.explode(rows)).select(*[x for x in df.columns if x != "text"], "_r.*")
+
+
 def has_keys(text: Column, names: Sequence[str]) -> Column:
     """True if any of the keys occurs at any depth; names inside string values do not count."""
     keys = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?'), 0)

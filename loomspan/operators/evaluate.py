@@ -48,6 +48,12 @@ def bootstrap(groups: DataFrame, draws: int, columns: Sequence[str], seed: str)
     return slots.join(groups, "i").groupBy("draw").agg(*[F.sum(c).alias(c) for c in columns], F.count("*").alias("n"))
 
 
+def tied_ranks(counts: DataFrame, by: Sequence[str], value: str, count: str, name: str) -> DataFrame:
+    """(by, value, name, total): the rank from 1 of each distinct value, ties averaged, from counts of values."""
+    x = positions(counts, by, [F.col(value)], "_lo", count, "total")
+    return x.select(*by, value, (F.col("_lo") + (F.col(count) + 1) / F.lit(2.0)).alias(name), "total")
+
+
 def rank_correlation(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
     """(by, rho): Spearman's correlation with ties averaged; null where a side is constant. Rows with a
     null key or value are left out.
@@ -57,8 +63,8 @@ def rank_correlation(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFr
 
     def ranks(value: str, name: str) -> DataFrame:
         counts = both.groupBy(*by, value).agg(F.sum("_c").alias("_n"))
-        x = positions(counts, by, [F.col(value)], "_lo", "_n", "_all")
-        return x.select(*by, value, (F.col("_lo") + (F.col("_n") - F.col("_all")) / F.lit(2.0)).alias(name))  # from the middle
+        x = tied_ranks(counts, by, value, "_n", name)
+        return x.select(*by, value, (F.col(name) - (F.col("total") + 1) / F.lit(2.0)).alias(name))  # from the middle
 
     x = both.join(ranks(a, "_ra"), [*by, a]).join(ranks(b, "_rb"), [*by, b])
     total = lambda p, q: F.sum(F.col("_c") * F.col(p) * F.col(q))

@@ -54,6 +54,14 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: C
     return rows.withColumn(name, total).where(f"{LEAD} = 1").drop("_v", CELL, LEAD)
 
 
+def running_max(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, width: int, name: str) -> DataFrame:
+    """Adds the largest `value` over the key's rows up to each by `order`; cells as in running_sum."""
+    rows = in_cells(df.withColumn("_v", value), order[0], width)
+    rows = with_leads(rows, by, [F.max("_v").alias("_v")], [earlier(F.max, "_v")])
+    top = F.max("_v").over(inside(by, *order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, top).where(f"{LEAD} = 1").drop("_v", CELL, LEAD)
+
+
 def ordinals(df: DataFrame, by: Sequence[str], order: Sequence[str], width: int, name: str = "i") -> DataFrame:
     """Adds each row's place from 0 in its key by `order`."""
     return running_sum(df, by, order, F.lit(1), width, name).withColumn(name, F.col(name) - 1)

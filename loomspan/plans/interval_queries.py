@@ -60,6 +60,22 @@ def interval_overlap(t):
     return _durations(t).select("u", "tp")
 
 
+@query(f"with {DUR} select u, tp from du where tp > 0")
+def interval_overlap_pairs(t):
+    """The same length from the pairs of merged intervals that meet, each in the bucket of its later start."""
+    x = t.sides()
+    a, b = (iv.merge(x.where(F.col("k") == k), ["u"], width=CELL_TICKS) for k in ("click", "purchase"))
+    met = overlapping(a, b.select("u", F.col("s").alias("s2"), F.col("e").alias("e2")), ["u"], 6 * 3600 * SECOND)
+    return met.groupBy("u").agg(F.sum(F.least("e", "e2") - F.greatest("s", "s2")).alias("tp"))
+
+
+@query(f"with {SIDES}, p as (select u, k, s >= lag(e) over (partition by u, k order by s, e, id) as apart, s, e from sd) select u, k, count(*) n, coalesce(bool_and(apart), true) disjoint from p group by 1, 2")
+def sorted_disjoint(t):
+    """Whether the intervals of a user and type, in order of their starts, keep apart."""
+    x = previous(t.sides(), ["u", "k"], ["s", "e", "id"], ["e"], CELL_TICKS)
+    return x.groupBy("u", "k").agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("s") >= F.col("prev_e")), F.lit(True)).alias("disjoint"))
+
+
 @query(f"with {DUR} select a.u, greatest(a.s, b.s) s, least(a.e, b.e) e from a join b on a.u = b.u and a.s < b.e and b.s < a.e")
 def interval_intersect(t):
     return iv.intersect(t.sides(), ["u"], "k", "click", "purchase", width=CELL_TICKS)

@@ -11,7 +11,7 @@ from ..operators import intervals as iv
 from ..operators import joins as jn
 from ..operators import leakage as lk
 from ..operators import sampling as sp
-from ..operators.ordered import ordinals, previous
+from ..operators.ordered import ordinals, previous, running_max
 from .registry import BOX, CELL_TICKS, CLOCK, EV, SIDES, islands, query
 
 HOUR = 3_600_000_000
@@ -525,6 +525,26 @@ def win_row_number(t):
     return ordinals(t.intervals(), ["u"], ["s", "id"], CELL_TICKS).select("u", "id", "i")
 
 
+@query(f"with {EV} select u, id, max(floor(v)::bigint) over (partition by u order by s, id rows unbounded preceding) high from ev")
+def win_running_max(t):
+    return running_max(t.intervals(), ["u"], ["s", "id"], F.floor("v"), CELL_TICKS, "high").select("u", "id", "high")
+
+
+@query("with c as (select l_returnflag k, l_quantity v, count(*) n from lineitem group by 1, 2) select k, v, sum(n) over (partition by k order by v rows unbounded preceding) - n + (n + 1) / 2.0 r from c")
+def win_average_tie_rank(t):
+    """Ranks with ties averaged, over the distinct values of each key."""
+    counts = t.lineitem.groupBy(F.col("l_returnflag").alias("k"), F.col("l_quantity").alias("v")).agg(F.count("*").alias("n"))
+    return ev.tied_ranks(counts, ["k"], "v", "n", "r").select("k", "v", "r")
+
+
+@query(f"with {EV}, d as (select distinct on (u, s) * from ev order by u, s, id) select u, id, last_value(case when k = 'purchase' then id end ignore nulls) over (partition by u order by s rows between unbounded preceding and current row) as before, first_value(case when k = 'purchase' then id end ignore nulls) over (partition by u order by s rows between current row and unbounded following) as after from d")
+def asof_last_value(t):
+    """Last and next known value at each instant, in cells; of rows at one instant the smallest id counts."""
+    x = jn.first_match(t.intervals().select("u", "s", "id", "k"), ["u", "s"], ["id"])
+    x = jn.neighbours(x, ["u"], "s", F.col("k") == "purchase", F.col("id"), width=CELL_TICKS)
+    return x.select("u", "id", F.col("prev").alias("before"), F.col("next").alias("after"))
+
+
 # Sorting and sampling ------------------------------------------------------------------------------------------------
 
 NUMERIC = "nu as (select c_custkey, case when c_custkey % 3 = 0 then 'x' || c_custkey else c_custkey::varchar end nm from customer)"
@@ -538,6 +558,13 @@ def sort_numeric_aware(t):
     return sp.global_rank(x, keys, "r").select("nm", "r")
 
 
+@query("select event_id, row_number() over (order by event_type desc, floor(value), event_id) r from events")
+def sort_multi_key(t):
+    """Position in an order of several keys, one of them falling."""
+    x = sp.global_rank(t.events.select("event_id", "event_type", "value"), [F.translate("event_type", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba"), F.floor("value"), F.col("event_id")], "r")
+    return x.select("event_id", "r")
+
+
 @query("select event_id, abs(floor(value * 100) - 5000)::bigint far from events order by far, event_id limit 20")
 def topn_distance(t):
     return t.events.select("event_id", F.abs(F.floor(F.col("value") * 100) - 5000).alias("far")).orderBy("far", "event_id").limit(20)
@@ -655,6 +682,14 @@ def retained_support_union(t):
     return _supports(t).groupBy("u", "i").agg(F.count_if(F.col("id") % 4 != 0).alias("kept")).withColumn("retained", F.col("kept") > 0)
 
 
+@query(f"with {SUP}, a as (select distinct u, i from su where id % 4 = 1), f as (select u, i, count(*) n from ck where id % 5 <> 0 group by 1, 2) select a.u, a.i, case when f.n is null then 'FIELD_MISSING' when f.n > 1 then 'FIELD_TWICE' else 'OK' end state from a left join f using (u, i)")
+def added_fields(t):
+    """Each added ordinal takes its field from a table, exactly once: what is missing or given twice is said."""
+    added = _supports(t).where("id % 4 = 1").select("u", "i").distinct()
+    fields = t.clock().where("id % 5 != 0").groupBy("u", "i").agg(F.count("*").alias("n"))
+    return added.join(fields, ["u", "i"], "left").select("u", "i", F.when(F.col("n").isNull(), "FIELD_MISSING").when(F.col("n") > 1, "FIELD_TWICE").otherwise("OK").alias("state"))
+
+
 @query(f"with {SUP}, b as (select distinct u, i from su where id % 4 = 0), k as (select u, i, string_agg(id::varchar, ',' order by id) added from su where id % 4 = 1 group by 1, 2) select k.u, k.i, k.added from k left join b using (u, i) where b.u is null")
 def keep_only_merge(t):
     x = _supports(t)

@@ -77,6 +77,17 @@ def json_root_shapes(t):
     return tx.root_rows(docs.select("doc", text.alias("text")), "id int, name string").select("doc", "id", "name")
 
 
+@query("select l_orderkey doc, l_linenumber frame, min(l_partkey) % 400 x from lineitem group by 1, 2")
+def nested_frames(t):
+    """Frames of JSON documents, as a mapping by frame or a list, under either name of a key."""
+    x = t.lineitem.groupBy(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("f")).agg((F.min("l_partkey") % 400).alias("x"))
+    rows = x.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("r"))  # an order's few lines
+    listed = F.to_json(F.struct(F.transform("r", lambda r: F.struct(r["f"].alias("frame_id"), F.struct(r["x"].alias("x")).alias("box"))).alias("frames")))
+    mapped = F.to_json(F.struct(F.map_from_entries(F.transform("r", lambda r: F.struct(r["f"].cast("string"), F.struct(F.struct(r["x"].alias("x")).alias("bbox"))))).alias("frames")))
+    text = F.when(F.col("doc") % 2 == 0, listed).otherwise(mapped)
+    return tx.frame_rows(rows.select("doc", text.alias("text")), "x long").select("doc", "frame", "box.x")
+
+
 @query("select event_id, event_type, user_id, value, props from events")
 def scan_csv_roundtrip(t):
     """Tab-separated files with a header, quoted where a value holds quotes or tabs."""
@@ -380,6 +391,20 @@ def fn_json_keys(t):
     return t.events.select("event_id", F.json_object_keys("props").eqNullSafe(F.array(F.lit("k"))).alias("exact"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
+@query("select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') stamp from events")
+def fn_utc_iso(t):
+    return t.events.select("event_id", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
+
+
+@query("with a as (select l_orderkey k, list_sort(list(l_quantity)) v from lineitem group by 1) select k, (v[(len(v) + 1) // 2] + v[len(v) // 2 + 1]) / 2 mid from a")
+def fn_array_median(t):
+    """Median of an array: its sorted middle, or the mean of the two."""
+    v = F.col("v")
+    x = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(F.sort_array(F.collect_list("l_quantity")).alias("v"))  # an order's few lines
+    at = lambda i: F.get(v, F.floor(i).cast("int"))
+    return x.select("k", ((at((F.size(v) - 1) / 2) + at(F.size(v) / 2)) / 2).alias("mid"))
+
+
 @query("select case when value < 10 then 'short' when value < 60 then 'medium' else 'long' end bin, count(*) n from events group by 1")
 def fn_bins(t):
     return t.events.groupBy(F.when(F.col("value") < 10, "short").when(F.col("value") < 60, "medium").otherwise("long").alias("bin")).agg(F.count("*").alias("n"))
