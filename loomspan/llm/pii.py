@@ -29,7 +29,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?: (?:no|number)\b)?\.?[:=#]? {0,3}([A-Z0-9]{2,4}-?[0-9]{2,4}-?[0-9]{2,8})\b", re.A)
 _IBAN = re.compile(r"[:=]? {0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b", re.A)
-_SECRET = re.compile(r"[\"']? {0,3}[:=] {0,3}[\"']?([A-Za-z0-9+/_-]{16,128})(?![A-Za-z0-9+/_-])")
+_SECRET = re.compile(r"[\"']? {0,3}[:=] {0,3}[\"']?([A-Za-z0-9+/_-]{16,}+)")
 _LOGIN = re.compile(r"://([^\s/:@?#]+:[^\s/@?#]+)@")
 
 
@@ -125,6 +125,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each input row: counts of the base kinds, a digest of their spans, and all spans.
 
     Null and empty texts hold no spans (digest of the empty string). Null ids and repeated rows are kept as
-    they come. Nothing is shuffled; a text of any length is scanned whole. An empty table gives no rows.
+    they come, other columns ignored. Nothing is shuffled; a text of any length is scanned whole, and a secret may
+    have any length from 16 characters on. An empty table gives no rows.
     """
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_scan, SCHEMA)

@@ -344,6 +344,14 @@ def test_personal_data(spark):
     assert "iban:" in got[0].spans and "secret:" in got[0].spans
 
 
+def test_cued_spans_of_any_length():
+    for n in (16, 128, 129, 5000):
+        text = f"x password = {'Ab3_' * (n // 4)}{'9' * (n % 4)} y"
+        assert pii.find(text, ANCHORS) == [("secret", 13, 13 + n)]
+    found = {k for k, *_ in pii.find("ssn 123-45-6789, see https://me:pw12@host/ and IBAN: GB82 WEST 1234 5698 7654 32; passport no. AB123-4567", ANCHORS)}
+    assert found >= {"account", "login", "iban"}
+
+
 def test_decontamination_of_a_large_benchmark(spark):
     """More passages than the rank by far: copies, whole or with words put in and left out, are found all the same."""
     rng = random.Random(21)
