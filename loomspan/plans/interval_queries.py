@@ -376,6 +376,9 @@ def convention_diff(t):
     return x.groupBy("id").agg(F.count_if(F.col("h").isNull()).alias("added"), F.count_if(F.col("n").isNull()).alias("removed"), F.bool_and(F.col("h").isNotNull() & F.col("n").isNotNull()).alias("same"))
 
 
+FRAME_CELL = 64  # frames that one task numbers of a hot key
+
+
 U_SQL = f"with {FRB}, h as ({H_SQL}), z as (select distinct u, f from h join ev using (id))"
 
 
@@ -390,8 +393,7 @@ def frames_union(t):
 
 @query(f"{U_SQL}, g as (select u, f, f - row_number() over (partition by u order by f) g from z) select u, min(f) first, max(f) last from g group by u, g")
 def frames_to_runs(t):
-    g = F.col("f") - F.row_number().over(Window.partitionBy("u").orderBy("f"))
-    return _union_frames(t).withColumn("g", g).groupBy("u", "g").agg(F.min("f").alias("first"), F.max("f").alias("last")).drop("g")
+    return ordinals(_union_frames(t), ["u"], ["f"], FRAME_CELL).withColumn("g", F.col("f") - F.col("i")).groupBy("u", "g").agg(F.min("f").alias("first"), F.max("f").alias("last")).drop("g")
 
 
 @query(f"with {FRB} select id, least(greatest(ceil(a / 8000000.0 - 1e-9), 0), 449)::bigint origin from fr")
@@ -544,8 +546,8 @@ def session_gap(t):
 
 @query(f"with {CLOCK}, d as (select u, i, abs(v - lag(v) over (partition by u order by i)) dv, s - lag(s) over (partition by u order by i) ds from ck) select u, i, coalesce(dv >= 50, false) by_value, coalesce(ds >= 21600000000, false) by_time from d where dv >= 50 or ds >= 21600000000")
 def change_point_flags(t):
-    w = Window.partitionBy("u").orderBy("s", "id")
-    x = t.intervals().select("u", (F.row_number().over(w) - 1).alias("i"), F.abs(F.col("v") - F.lag("v").over(w)).alias("dv"), (F.col("s") - F.lag("s").over(w)).alias("ds"))
+    x = previous(ordinals(t.intervals(), ["u"], ["s", "id"], CELL_TICKS), ["u"], ["s", "id"], ["v", "s"], CELL_TICKS)
+    x = x.select("u", "i", F.abs(F.col("v") - F.col("prev_v")).alias("dv"), (F.col("s") - F.col("prev_s")).alias("ds"))
     return x.select("u", "i", F.coalesce(F.col("dv") >= 50, F.lit(False)).alias("by_value"), F.coalesce(F.col("ds") >= 6 * 3600 * SECOND, F.lit(False)).alias("by_time")).where("by_value or by_time")
 
 
