@@ -23,7 +23,7 @@ from .common import Scratch
 
 TOP = 10
 QUERY_STEP = 20
-QUERY_BLOCK = 1024  # queries that one task answers
+QUERY_BLOCK = 16_384  # queries that one task answers; codes are sent once for each block of them
 CODE_BLOCK = 16_384  # codes that one task searches
 SEGMENT_BITS = (8, 32)  # least and most bits of a segment
 
