@@ -75,7 +75,8 @@ class Mix:
         parts = self.rows.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block_words}, (start + size - 1) div {block_words})")))
         lo = F.greatest(F.lit(0), F.col("block") * block_words - F.col("start"))
         hi = F.least("size", (F.col("block") + 1) * block_words - F.col("start"))
-        self.segments = parts.withColumn("first", lo).withColumn("words", hi - F.col("first")).join(times, ["k", "block"])
+        # The slots are many more than the rows they come from let the planner think: no broadcast.
+        self.segments = parts.withColumn("first", lo).withColumn("words", hi - F.col("first")).join(times.hint("merge"), ["k", "block"])
 
     def _draw(self, shard_slots: int, seed: int) -> DataFrame:
         """Each shard's multinomial counts of the sources, where they begin in the shard, and how many draws of the source
