@@ -31,6 +31,7 @@ CHUNK_BYTES = 4_000_000
 COMBINE_BYTES = 2_000_000  # texts whose repeats are combined before anything moves
 SEVERAL = 4  # different stretches of one anchor in such a chunk from which on they are dealt out one by one
 GROUP = 2_048  # different stretches that are sorted together; what is more is cut by content first
+SALTS = 32
 _MASK = (1 << 64) - 1
 LAST_ID = (1 << 63) - 1
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
@@ -407,13 +408,16 @@ class RepeatedPassages:
         one window, so this ends."""
         self.temporary: list[str] = []
         for level in range(1, SPAN.bit_length() + 2):
-            crowds = contexts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > group).select("key")
+            crowds = contexts.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > group)
+            crowds = self.scratch.keep(crowds.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), f"crowds-{level}")
+            self.temporary.append(f"crowds-{level}")
             crowded = not crowds.isEmpty()
-            cold = contexts.join(crowds, "key", "left_anti") if crowded else contexts
-            yield cold.repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups, RUNS)
+            contexts = contexts.withColumn("salt", F.pmod(F.xxhash64("doc", "tag", "start"), F.lit(SALTS)))  # a crowd is many rows of one key
+            cold = (contexts.join(crowds, ["key", "salt"], "left_anti") if crowded else contexts)
+            yield cold.select(*_CONTEXTS.names).repartition("key").sortWithinPartitions("key").mapInArrow(_sort_groups, RUNS)
             if not crowded:
                 return
-            cut = contexts.join(crowds, "key", "left_semi").mapInArrow(_halves(level), CONTEXTS)
+            cut = contexts.join(crowds, ["key", "salt"], "left_semi").select(*_CONTEXTS.names).mapInArrow(_halves(level), CONTEXTS)
             cut = self.scratch.keep(cut.withColumn("d", F.xxhash64("body")), f"cut-{level}")
             first = cut.groupBy("key", "d").agg(F.min(F.struct("doc", "tag", "start")).alias("first"))
             cut = cut.join(first, ["key", "d"]).withColumn("repeat", F.struct("doc", "tag", "start") != F.col("first"))
