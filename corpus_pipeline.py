@@ -7,13 +7,11 @@ order, and further ones may have any name; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, minhash, mixing, quality, token_output
-from loomspan.llm.common import Scratch, shared_dir
+from loomspan.llm.common import Scratch
 
 
 def _text_hash(df: DataFrame) -> Column:
@@ -92,12 +90,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{i}")
-        docs = spark.read.parquet(f"{base}/{i}")
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.keep(docs, str(i))
     return docs
