@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.keep(docs.mapInArrow(_sign, SIGNED), "signed")
 
     linkable = signed.where("doc_id is not null and n_shingles > 0")
-    classes = linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    # Written first: a join with a grouped table in its own stage cannot be split where one text has most rows.
+    classes = scratch.keep(linkable.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
     member = scratch.keep(linkable.select("doc_id", "hi", "lo", "n_shingles", F.struct("keys", "sketch").alias("marks")).join(classes, ["hi", "lo"]).select("doc_id", "hi", "lo", "rep", "n_shingles", F.when(F.col("doc_id") == F.col("rep"), F.col("marks")).alias("marks")), "member")
     reps = member.where("marks is not null").select(F.col("rep").alias("id"), "n_shingles", "marks")
 
