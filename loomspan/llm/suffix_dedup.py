@@ -379,7 +379,8 @@ class RepeatedPassages:
         tag = F.shiftrightunsigned(F.xxhash64(text), 2) + F.when(known.isNull(), F.lit(1 << 62)).otherwise(F.lit(0))
         docs = docs.select(known.alias("doc_id"), F.coalesce(known, F.lit(LAST_ID)).alias("doc"), tag.alias("tag"), text.alias("text"))
         meta = scratch.keep(docs.select("doc_id", "doc", "tag", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-        first = meta.groupBy("sha").agg(F.min(F.struct("doc", "tag")).alias("first"))
+        # Written first: a join with a grouped table in its own stage cannot be split where one text has most rows.
+        first = scratch.keep(meta.groupBy("sha").agg(F.min(F.struct("doc", "tag")).alias("first")), "first")
         self.meta = scratch.keep(meta.join(first, "sha").withColumn("copy", F.struct("doc", "tag") > F.col("first")).drop("first"), "meta")
         self.docs = docs.where(F.octet_length("text") >= LENGTH).select("doc", "tag", "text")
 
@@ -419,10 +420,10 @@ class RepeatedPassages:
                 return
             cut = contexts.join(crowds, ["key", "salt"], "left_semi").select(*_CONTEXTS.names).mapInArrow(_halves(level), CONTEXTS)
             cut = self.scratch.keep(cut.withColumn("d", F.xxhash64("body")), f"cut-{level}")
-            first = cut.groupBy("key", "d").agg(F.min(F.struct("doc", "tag", "start")).alias("first"))
+            first = self.scratch.keep(cut.groupBy("key", "d").agg(F.min(F.struct("doc", "tag", "start")).alias("first")), f"first-{level}")
             cut = cut.join(first, ["key", "d"]).withColumn("repeat", F.struct("doc", "tag", "start") != F.col("first"))
             cut = self.scratch.keep(cut.drop("d", "first"), f"level-{level}")
-            self.temporary += [f"cut-{level}", f"level-{level}"]
+            self.temporary += [f"cut-{level}", f"first-{level}", f"level-{level}"]
             yield cut.where("repeat").select("doc", "tag", "start", "n")
             contexts = cut.where("not repeat").drop("repeat")
 
