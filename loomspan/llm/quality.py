@@ -63,12 +63,15 @@ def lexicon_of(text: str) -> set[str]:
     return found
 
 
-def told(text: str, words: dict[str, float]) -> list[float]:
-    """What each word of a text that tells says: the strongest of its forms."""
-    if not words or not lexicon_of(text) & words.keys():
-        return []
-    found = ([words[f] for f in forms_of(w) if f in words] for w in set(_WORD.findall(text.lower())))
-    return [max(x, key=abs) for x in found if x]
+def told(text: str, *lists: dict[str, float]) -> list[list[float]]:
+    """For each list of telling forms, what each word of a text says: the strongest of its forms."""
+    words = set(_WORD.findall(text.lower()))
+    forms = words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS)) if any(lists) else words
+    out = []
+    for own in lists:
+        found = ([own[f] for f in forms_of(w) if f in own] for w in words) if own and not forms.isdisjoint(own) else ()
+        out.append([max(x, key=abs) for x in found if x])
+    return out
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float, prior: np.ndarray | None = None) -> np.ndarray:
@@ -118,9 +121,9 @@ def telling_words(yes: Counter, no: Counter, n1: int, n0: int, least: float = 4.
     return dict(sorted(scored.items(), key=lambda v: (-v[1], v[0]))[:LEXICON])
 
 
-def features(text: str, words: dict[str, float]) -> list[float]:
+def features(text: str, said: list[float]) -> list[float]:
     """The shape of a text, and what its words say for and against it."""
-    return [*shape(text), float(np.clip(sum(told(text, words)) / 4, -3, 3))]
+    return [*shape(text), float(np.clip(sum(said) / 4, -3, 3))]
 
 
 def train(rows: list[tuple[str, int, int]]) -> dict:
@@ -136,16 +139,16 @@ def train(rows: list[tuple[str, int, int]]) -> dict:
         return yes, no, n1, len(own) - n1
 
     good, poor = telling_words(*counted(lambda r: bool(r[1]))), telling_words(*counted(lambda r: not r[1]))
-    told = {**{w: -v for w, v in poor.items()}, **good}
-    x = np.array([features(t, told) for t, _, _ in rows]) if rows else np.empty((0, 10))
+    marks = {**{w: -v for w, v in poor.items()}, **good}
+    x = np.array([features(t, told(t, marks)[0]) for t, _, _ in rows]) if rows else np.empty((0, 10))
     bad = telling_words(*counted(lambda r: bool(r[2])))
     n1 = sum(bool(t) for _, _, t in own)
-    tox = _fit(np.array([_toxic_features(t, bad) for t, _, _ in own]), np.array([bool(t) for _, _, t in own], float), 0.02) if n1 and bad else np.array([-6.0, 0.0, 0.0])
-    return {"good": _fit(x, np.array([q for _, q, _ in rows], float), 0.05), "told": told, "toxic": tox, "words": bad}
+    tox = _fit(np.array([_toxic_features(t, told(t, bad)[0]) for t, _, _ in own]), np.array([bool(t) for _, _, t in own], float), 0.02) if n1 and bad else np.array([-6.0, 0.0, 0.0])
+    return {"good": _fit(x, np.array([q for _, q, _ in rows], float), 0.05), "told": marks, "toxic": tox, "words": bad}
 
 
-def _toxic_features(text: str, words: dict[str, float]) -> list[float]:
-    return [1.0, min(12.0, sum(told(text, words))), np.log1p(text.count(" ")) / 10]  # long texts meet more words by chance
+def _toxic_features(text: str, said: list[float]) -> list[float]:
+    return [1.0, min(12.0, sum(said)), np.log1p(text.count(" ")) / 10]  # long texts meet more words by chance
 
 
 SCORED = "doc_id long, h long, host string, path string, quality_logit double, toxic_logit double"
@@ -196,9 +199,11 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_py() for x in batch.column(1)]
-            good = np.array([features(t, model["told"]) for t in texts]) @ model["good"]
-            bad = np.array([_toxic_features(t, model["words"]) for t in texts]) @ model["toxic"]
+            good, bad = np.empty(batch.num_rows), np.empty(batch.num_rows)
+            for i, x in enumerate(batch.column(1)):  # a text at a time
+                text = x.as_py()
+                marks, words = told(text, model["told"], model["words"])
+                good[i], bad[i] = features(text, marks) @ model["good"], _toxic_features(text, words) @ model["toxic"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(2), batch.column(3), pa.array(good), pa.array(bad)], names=["doc_id", "h", "host", "path", "quality_logit", "toxic_logit"])
 
     scored = scratch.keep(rows.mapInArrow(score, SCORED), "scored")
