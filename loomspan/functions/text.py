@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .json_tape import key_names
+
 
 def finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -74,9 +76,9 @@ def frame_rows(df: DataFrame, box: str) -> DataFrame:
 
 
 def has_keys(text: Column, names: Sequence[str]) -> Column:
-    """True if any of the keys occurs at any depth; names inside string values do not count."""
-    keys = F.regexp_extract_all(text, F.lit(r'"((?:[^"\\]|\\.)*)"(\s*:)?'), 0)
-    return F.exists(keys, lambda k: F.regexp_replace(k, r"\s*:$", ":").isin(*[f'"{n}":' for n in names]))
+    """True if any of the keys occurs at any depth, however it is escaped; names inside string values do not count. Null
+    for text that is no JSON."""
+    return F.exists(key_names(text), lambda k: k.isin(*names))
 
 
 @F.pandas_udf(StringType())

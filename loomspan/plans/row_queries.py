@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
+from ..functions import json_tape
 from ..functions import text as tx
 from ..operators.ordered import ordinals, previous
 from ..operators.sampling import percentiles
-from ..sources import archive, delimited, jsonl
+from ..sources import archive, delimited, jsonl, lines
 from ..sources.manifest import manifest_audit, stem_index
 from ..sources.shared import shared_path
 from .registry import BOX, CELL_TICKS, CLOCK, EV, query
@@ -51,6 +52,62 @@ def json_strict(t):
     return _lines(t).select("event_id", jsonl.strict_issue(F.col("line")).alias("issue"))
 
 
+#: Ends of lines that begin with `{"id":<event_id>,`, and their issue, fault, and the byte of the fault in the end.
+FAULTY = (
+    ('"a":1}', None, None, None),
+    ("'a':1}", "JSON_PARSE", "LITERAL", 0),
+    ('"a":"x\ty"}', "JSON_PARSE", "CONTROL", 6),
+    ('"a":1}}', "JSON_PARSE", "TRAILING", 6),
+    ('"a":1} {"b":2}', "JSON_PARSE", "TRAILING", 7),
+    ('"a":1e400}', "OVERFLOW", "OVERFLOW", 4),
+    ('"a":[NaN]}', "CONSTANT", "CONSTANT", 5),
+    (r'"a":1,"\u0061":2}', "DUPLICATE_KEY", "DUPLICATE_KEY", 6),
+    ('"a":{"b":[{"c":1,"c":1}]}}', "DUPLICATE_KEY", "DUPLICATE_KEY", 17),
+    ('"a":{"c":1},"b":{"c":1}}', None, None, None),
+    ('"a":[1,2}', "JSON_PARSE", "BRACKET", 8),
+    ('"a":1,}', "JSON_PARSE", "GRAMMAR", 6),
+    ('"a":01}', "JSON_PARSE", "LITERAL", 4),
+    (r'"a":"\x"}', "JSON_PARSE", "ESCAPE", 5),
+    ('"a":"open}', "JSON_PARSE", "QUOTE", 4),
+    (r'"a":"\"}{][,:\\"}', None, None, None),
+)
+
+
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _faulty(t):
+    ends = F.array(*[F.lit(x[0]) for x in FAULTY])
+    n = F.col("event_id")
+    return t.events.select("event_id", F.concat(F.lit('{"id":'), n, F.lit(","), F.element_at(ends, (n % len(FAULTY) + 1).cast("int"))).alias("line"))
+
+
+_WANTED = ", ".join(f"({i}, {_quoted(e)}, {', '.join('null' if v is None else _quoted(v) for v in x[:2])}, {'null' if x[2] is None else x[2]})" for i, (e, *x) in enumerate(FAULTY))
+WANTED = f"w as (select * from (values {_WANTED}) w(i, ending, issue, fault, byte)), fl as (select event_id, '{{\"id\":' || event_id || ',' || ending line, issue, fault, (byte + 7 + len(event_id::varchar))::bigint as byte_at from events join w on i = event_id % {len(FAULTY)})"
+
+
+@query(f"with {WANTED} select event_id, issue, fault, byte_at from fl")
+def json_faults(t):
+    """Every fault of strict JSON by name, and the byte where it lies."""
+    x = _faulty(t).withColumn("r", json_tape.report("line"))
+    return x.select("event_id", "r.issue", "r.fault", F.col("r.at").alias("byte_at"))
+
+
+@query(f"with {WANTED} select coalesce(issue, 'RECORD') issue, fault, count(*) n, sum(len(line) + 1)::bigint bytes, sum(event_id)::bigint ids, true as placed from fl group by 1, 2")
+def scan_tolerant_lines(t):
+    """Files of lines with all faults, read back in small byte ranges: every line once, with its issue and its byte."""
+    path = shared_path(t.spark, "lines")
+    _faulty(t).select("line").repartition(3).write.text(path)
+    x = lines.scan(t.spark, path, 10_000)
+    x = lines.numbered(x).withColumn("end", F.col("first") + F.octet_length("line") + 1)
+    # A file's lines follow each other without a gap.
+    ends = x.select("file", (F.col("number") + 1).alias("number"), F.col("end").alias("before"))
+    x = x.join(ends, ["file", "number"], "left").withColumn("placed", F.col("first") == F.coalesce("before", F.lit(0)))
+    at = F.regexp_extract("line", r'^\{"id":(\d+),', 1).cast("long")
+    return x.groupBy(F.coalesce("issue", F.lit("RECORD")).alias("issue"), "fault").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.sum(at).alias("ids"), F.bool_and("placed").alias("placed"))
+
+
 @query("""select event_id, case event_id % 6 when 1 then 'DUPLICATE_KEY' when 3 then 'DUPLICATE_KEY' when 4 then 'JSON_PARSE' when 5 then 'CONSTANT' end issue from events""")
 def json_strict_nested(t):
     """Keys count inside their own object: two objects may share a key; a repeat at any depth is an issue."""
@@ -128,6 +185,28 @@ def byte_preserving_merge(t):
     return t.events.select("event_id", F.when(F.col("event_id") % 10 == 0, new).otherwise(F.col("props")).alias("line"))
 
 
+ITEMS = "it as (select l_orderkey o, l_linenumber f, min(l_partkey) p, max(l_partkey) q from lineitem group by 1, 2)"
+
+
+@query(f"""with {ITEMS}, al as (
+  select o, f, f % 2 = 1 old, case when f % 2 = 1 and f <> 5 then '{{ "frame":' || f || ',\t"box" : [' || p || ' ,1 ] }}' else '{{"frame":' || f || ',"box":[' || q || ']}}' end body,
+    min(case when f % 2 = 1 then f end) over (partition by o) head from it where f % 2 = 1 or f < 6
+), tx as (select o, string_agg(case when f = (select min(f) from al b where b.o = al.o) then '' when old and f <> head then ' , ' else ',' end || body, '' order by f) body from al group by o)
+select it.o, '{{ "id" :' || it.o || ' ,"predictions": [' || case when head is null then coalesce(body, '') || ' ' else ' ' || body end || ' ], "ratio":[9 ,16]}}\t' line
+from (select o, min(case when f % 2 = 1 then f end) head from it group by 1) it left join tx using (o)""")
+def json_splice(t):
+    """Elements put into an array of a document, or in place of those of the same key: all other bytes stay as they are,
+    whatever their spacing."""
+    x = t.lineitem.groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("f")).agg(F.min("l_partkey").alias("p"), F.max("l_partkey").alias("q"))
+    old = F.concat(F.lit('{ "frame":'), F.col("f"), F.lit(',\t"box" : ['), F.col("p"), F.lit(" ,1 ] }"))
+    new = F.concat(F.lit('{"frame":'), F.col("f"), F.lit(',"box":['), F.col("q"), F.lit("]}"))
+    added = (F.col("f") % 2 == 0) & (F.col("f") < 6) | (F.col("f") == 5)
+    x = x.select("o", F.when(F.col("f") % 2 == 1, F.struct("f", old.alias("text"))).alias("old"), F.when(added, F.struct(F.col("f").cast("long").alias("key"), new.alias("text"))).alias("new"))
+    x = x.groupBy("o").agg(F.sort_array(F.collect_list("old")).alias("old"), F.collect_list("new").alias("new"))  # an order's few lines
+    line = F.concat(F.lit('{ "id" :'), F.col("o"), F.lit(' ,"predictions": [ '), F.array_join(F.col("old.text"), " , "), F.lit(' ], "ratio":[9 ,16]}\t'))
+    return json_tape.merge_items(x.select("o", "new", line.alias("doc")), "doc", "/predictions", "frame", "new", "line").select("o", "line")
+
+
 @query("""with m as (select page_id, octet_length(html::blob) size, case when page_id % 9 = 0 then 'x' else sha256(html) end sha from pages where page_id % 7 <> 0), f as (select page_id, octet_length(html::blob) size, sha256(html) sha from pages where page_id % 11 <> 0)
 select coalesce(m.page_id, f.page_id) page_id, case when f.page_id is null then 'MISSING' when m.page_id is null then 'EXTRA' when m.sha <> f.sha then 'HASH' else 'OK' end state from m full join f using (page_id)""")
 def manifest_verify(t):
@@ -273,8 +352,25 @@ def gate_checks(t):
 
 @query("select event_type, unnest(json_keys(props)) as key, count(*) n from events group by 1, 2")
 def schema_census(t):
-    x = t.events.select("event_type", F.explode(F.json_object_keys("props")).alias("key"))
-    return x.groupBy("event_type", "key").agg(F.count("*").alias("n"))
+    x = json_tape.census(t.events, "props", "event_type").where(F.col("path").rlike("^/[^/]*$"))
+    return x.groupBy(F.col("section").alias("event_type"), F.substring("path", 2, 1 << 30).alias("key")).agg(F.sum("n").alias("n"))
+
+
+@query("""with x as (select event_type as section, event_id, (props->>'$.k')::int k from events semi join labels on event_id = doc_id)
+select section, path, kind, value, count(*) n from (
+  select section, unnest(['', '/user', '/user/kind', '/user/id', '/tags', '/tags/*', '/tags/*', '/tags/*/n', '/a~1b', '/user/old']) path, unnest(['object', 'object', 'string', 'number', 'array', 'string', 'object', 'number', 'boolean', 'null']) kind,
+    unnest([null, null, '"' || section || '"', null, null, null, null, (k % 3)::varchar, null, null]) as value, unnest([true, true, true, true, true, true, true, true, k % 2 = 0, k % 5 = 0]) has from x
+) where has group by all""")
+def schema_census_nested(t):
+    """Paths at any depth, their kinds, and the values of two listed scalars, in the rows of an allow-list: the others
+    hold text that is no JSON, and are never read."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    part = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    text = part('{"user":{"kind":"', F.col("event_type"), '", "id" :', F.col("event_id"), F.when(k % 5 == 0, ',"old":null').otherwise(""), '},"tags":["x{", {"n":', k % 3, "}]", F.when(k % 2 == 0, ',"a/b":true').otherwise(""), "}")
+    listed = t.labels.select("doc_id")
+    x = t.events.join(listed, F.col("event_id") == F.col("doc_id"), "left").select("event_id", "event_type", F.when(F.col("doc_id").isNull(), "{broken").otherwise(text).alias("line"))
+    x = x.join(listed, F.col("event_id") == F.col("doc_id"), "left_semi")
+    return json_tape.census(x, "line", "event_type", ["/user/kind", "/tags/*/n"])
 
 
 @query("select case when n_chars < 50 then 'SHORT' when lang <> 'en' then 'LANG' when quality is null then 'UNLABELLED' when toxic = 1 then 'TOXIC' when quality = 0 then 'LOW' else 'KEPT' end reason, count(*) n from documents left join labels using (doc_id) group by 1")
@@ -290,6 +386,14 @@ def json_forbidden_keys(t):
     return t.events.select("event_id", tx.has_keys(text, ("answer", "score")).alias("forbidden"))
 
 
+@query(r"""select event_id, case event_id % 5 when 0 then true when 1 then true when 2 then false when 3 then false end forbidden from events""")
+def json_forbidden_escaped(t):
+    """Keys written with escapes are the keys they stand for; text that is no JSON has no verdict."""
+    texts = [r'{"a":[{"\u0061nswer":1}]}', r'{"x":{"y":{"scor\u0065" : 2}}}', r'{"a":"\"answer\":","b":["answer"]}', r'{"\\u0061nswer":1}', '{"answer":1']
+    line = F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", tx.has_keys(line, ("answer", "score")).alias("forbidden"))
+
+
 # Column functions ----------------------------------------------------------------------------------------------------
 
 

@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def issue(line: Column) -> Column:
-    """BLANK_LINE, JSON_PARSE, ROW_SHAPE, or null for a JSON object."""
-    parsed = F.try_parse_json(line)
-    return (
-        F.when(F.trim(line) == "", "BLANK_LINE")
-        .when(parsed.isNull(), "JSON_PARSE")
-        .when(~F.schema_of_variant(parsed).startswith("OBJECT"), "ROW_SHAPE")
-    )
+from ..functions.json_tape import report
 
 
 def strict_issue(line: Column, rows_only: bool = True) -> Column:
-    """As `issue`, and CONSTANT for bare NaN or Infinity, DUPLICATE_KEY for a key given twice in one object at any
-    depth: text that only the parser for variants rejects. rows_only: a value that is no object is ROW_SHAPE."""
-    bare = F.regexp_replace(line, r'"(?:[^"\\]|\\.)*"', '""')
-    # A wrapping object makes the lenient parser read the whole text, whatever its root.
-    sound = F.size(F.json_object_keys(F.concat(F.lit('{"":'), line, F.lit("}")))) == 1
-    found = F.when(bare.rlike(r"\b(?:NaN|Infinity)\b"), "CONSTANT").when(F.try_parse_json(line).isNull() & sound & (F.trim(line) != ""), "DUPLICATE_KEY")
-    plain = issue(line)
-    return found.otherwise(plain if rows_only else F.when(plain != "ROW_SHAPE", plain))
+    """BLANK_LINE, JSON_PARSE, CONSTANT, DUPLICATE_KEY, OVERFLOW, or null for sound JSON; see `json_tape.report`.
+    rows_only: a value that is no object is ROW_SHAPE."""
+    found = report(line)["issue"]
+    return found if rows_only else F.when(found != "ROW_SHAPE", found)
+
+
+def issue(line: Column) -> Column:
+    """BLANK_LINE, JSON_PARSE, ROW_SHAPE, or null for a JSON object. Repeated keys and constants do not parse."""
+    found = strict_issue(line)
+    return F.when(found.isin("CONSTANT", "DUPLICATE_KEY"), "JSON_PARSE").when(found != "OVERFLOW", found)
 
 
 def scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
