@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.ordered import running_sum
-from ..streaming.jobs import event_stream, rising_only, run
+from ..streaming.jobs import event_stream, in_parts, reject_late, run, run_parts
+from ..streaming.ledger import STORE, admit, close_leases
 from .registry import CELL_TICKS, query
 
+PARTS = 3  # of a table, fed to a stream one after another
+CELL_ROWS = 1000  # event ids that one cell of a key spans
+
 
 def _events(t):
     return event_stream(t.spark, f"{t.folder}/events.parquet")
@@ -41,8 +45,8 @@ def stream_dedup(t):
 @query("select event_id, user_id u, epoch_us(ts)::bigint s, epoch_us(ts) > coalesce(max(epoch_us(ts)) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), -1) accepted from events")
 def stream_reject_late(t):
     """A point that does not lie after all earlier ones of its user is rejected, not buffered."""
-    x = _events(t).select("event_id", F.col("user_id").alias("u"), F.unix_micros("ts").alias("s"))
-    return run(rising_only(x, "u", "s", "event_id"), ["event_id"], "rising", "append")
+    x = t.events.select("event_id", F.col("user_id").alias("u"), F.unix_micros(F.col("ts").cast("timestamp")).alias("s"))
+    return reject_late(in_parts(x, "event_id", PARTS), "u", "s", "event_id", CELL_ROWS)
 
 
 @query("with j as (select event_id, user_id || ':' || event_type as job, floor(value)::bigint charge, row_number() over (partition by user_id, event_type order by ts, event_id) r from events) select event_id, job, case when r = 1 then 'ACCEPTED' else 'DUPLICATE_JOB' end state, case when r = 1 then charge else 0 end charged from j")
@@ -73,3 +77,31 @@ def lease_closure(t):
     key = [F.col("l_orderkey").alias("lease"), F.col("l_linenumber").alias("consumer")]
     x = t.lineitem.groupBy(*key).agg(F.count_if(F.col("l_returnflag") != "N").alias("n"))
     return x.groupBy("lease").agg(F.count("*").alias("registered"), F.count_if(F.col("n") > 0).alias("accepted"), F.bool_and(F.col("n") > 0).alias("released"), F.bool_or(F.col("n") > 1).alias("repeated"))
+
+
+@query("""with recursive j as (select user_id u, event_id id, epoch_us(ts)::bigint s, event_type || ':' || event_id % 7 as job, floor(value)::bigint charge from events),
+p as (select ceil((max(event_id) - min(event_id) + 1) / 3.0)::bigint step, min(event_id) low from events),
+o as (select j.*, row_number() over (partition by u order by (id - low) // step, s, id) r from j, p),
+w as (select u, 0::bigint id, ''::varchar job, 0::bigint r, ''::varchar state, 0::bigint prior, 0::bigint charged, []::varchar[] held from (select distinct u from o) union all
+  select o.u, o.id, o.job, o.r, case when list_contains(w.held, o.job) then 'DUPLICATE_JOB' when 7200 + w.prior + w.charged + o.charge + 10 + 120 > 8000 then 'OVER_BUDGET' else 'ACCEPTED' end, w.prior + w.charged,
+    case when list_contains(w.held, o.job) or 7200 + w.prior + w.charged + o.charge + 10 + 120 > 8000 then 0 else o.charge end, case when list_contains(w.held, o.job) or 7200 + w.prior + w.charged + o.charge + 10 + 120 > 8000 then w.held else list_append(w.held, o.job) end
+  from w join o on o.u = w.u and o.r = w.r + 1)
+select u::varchar ledger, id, job, state, prior, charged from w where r > 0""")
+def stream_admission(t):
+    """A ledger under a budget as state of a stream, fed in parts: a name is taken once, and a job whose reserve passes the
+    budget is turned away without a trace."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    job = F.concat_ws(":", "event_type", F.col("event_id") % 7)
+    x = t.events.select(F.col("user_id").cast("string").alias("ledger"), F.col("event_id").alias("id"), job.alias("job"), (F.floor("value") + 10).alias("reserve"), F.floor("value").alias("charge"), at.alias("at"))
+    return run_parts(in_parts(x, "id", PARTS), lambda s: admit(s, limit=8000), ["id"], "admission", "append", STORE)
+
+
+@query("with r as (select distinct l_orderkey lease, l_linenumber consumer from lineitem), a as (select l_orderkey lease, l_linenumber consumer, count(*) n from lineitem where l_returnflag <> 'N' group by 1, 2) select lease, count(*) registered, count(n) accepted, bool_and(n is not null) released, coalesce(sum(n - 1), 0)::bigint repeated from r left join a using (lease, consumer) group by lease")
+def stream_leases(t):
+    """Leases as state of a stream: some consumers accept before their lease is registered, the others after; a lease is
+    released with its last consumer."""
+    lease = F.col("l_orderkey").alias("lease")
+    named = t.lineitem.groupBy(lease).agg(F.transform(F.collect_set("l_linenumber"), lambda c: c.cast("string")).alias("consumers")).withColumn("consumer", F.lit(None).cast("string"))
+    said = t.lineitem.where("l_returnflag <> 'N'").select(lease, F.lit(None).cast("array<string>").alias("consumers"), F.col("l_linenumber").cast("string").alias("consumer"))
+    parts = [said.where("consumer = '2'"), named, said.where("consumer <> '2'")]
+    return run_parts(parts, close_leases, ["lease"], "leases", "update", STORE).select("lease", "registered", "accepted", "released", "repeated")

@@ -6,14 +6,14 @@ takes the newest row of each key. A retried batch writes the same rows again, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.window import Window
 
+from ..operators.ordered import LEAD, earlier, in_cells, inside, with_leads
 from ..sources.shared import shared_path
 
 
@@ -27,13 +27,21 @@ def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFr
 
 def run(df: DataFrame, keys: Sequence[str], name: str, mode: str = "update") -> DataFrame:
     """Runs the stream to its present end and returns its rows."""
-    spark = df.sparkSession
-    base = shared_path(spark, name)
+    base = shared_path(df.sparkSession, name)
+    _advance(df, base, mode)
+    return _results(df.sparkSession, df, base, keys, mode)
+
+
+def _advance(df: DataFrame, base: str, mode: str) -> None:
+    """Runs the stream from its checkpoint below `base` to its present end."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/n={number}")
 
     df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(save).start().awaitTermination()
+
+
+def _results(spark: SparkSession, df: DataFrame, base: str, keys: Sequence[str], mode: str) -> DataFrame:
     out = spark.read.schema(spark.createDataFrame([], df.schema).withColumn("_batch", F.lit(0)).schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
     rest = [c for c in df.columns if c not in keys]
     if mode == "complete":
@@ -44,19 +52,61 @@ def run(df: DataFrame, keys: Sequence[str], name: str, mode: str = "update") ->
     return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_m")).select(*keys, "_m.*")
 
 
-def rising_only(df: DataFrame, key: str, at: str, order: str) -> DataFrame:
-    """Adds accepted: whether `at` is above all earlier ones of its key. A late point is rejected, not buffered. Rows
-    of a batch are taken by `order`; the state is one number a key."""
-    schema = StructType([*df.schema.fields, StructField("accepted", BooleanType())])
+def in_parts(df: DataFrame, at: str, parts: int) -> list[DataFrame]:
+    """The rows by equal ranges of a number, in order; nulls come first."""
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    step = max(1, -(-(high - low + 1) // parts)) if low is not None else 1
+    part = F.coalesce(((F.col(at) - (low or 0)) / step).cast("long"), F.lit(0))
+    return [df.where(part == i) for i in range(parts)]
+
+
+def run_parts(parts: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], keys: Sequence[str], name: str, mode: str = "update", conf: dict[str, str] | None = None) -> DataFrame:
+    """Feeds parts of a table to a stream one after another. The stream ends with each part and starts again from its
+    checkpoint with the next, so what it knows of earlier parts is its state. conf: settings of the stream's session."""
+    spark = parts[0].sparkSession
+    base, session = shared_path(spark, name), spark.newSession()
+    for k, v in (conf or {}).items():
+        session.conf.set(k, v)
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        df = build(session.readStream.schema(part.schema).parquet(f"{base}/in"))
+        _advance(df, base, mode)
+    return _results(spark, df, base, keys, mode)
+
+
+def reject_late(parts: Sequence[DataFrame], key: str, at: str, order: str, width: int, name: str = "rising") -> DataFrame:
+    """Adds accepted: whether `at` is above all earlier ones of its key. A late point is rejected, not buffered.
+
+    Each batch is judged by a scan in cells of `width` of `order`, so that a key with a third of its rows spreads over
+    many tasks. The state is the highest `at` of each key, a table that each batch writes anew under its own number: a
+    batch that is tried again reads what the batch before has written. Rows with a null key form a key; a null `at` is
+    rejected, and a null `order` comes first."""
+    spark = parts[0].sparkSession
+    base = shared_path(spark, name)
+    kept = f"{base}/high/n="
+    empty = parts[0].select(key, F.col(at).alias("_high")).limit(0)
+    empty.write.parquet(f"{kept}-1")
 
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        high = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(order)
-        before = rows[at].cummax().shift(1)
-        if high is not None:
-            before = before.fillna(high).clip(lower=high)
-        rows["accepted"] = before.isna() | (rows[at] > before)
-        state.update((int(max(rows[at].max(), rows[at].max() if high is None else high)),))
-        yield rows
+    def judge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        high = session.read.schema(empty.schema).parquet(f"{kept}{number - 1}")
+        rows = in_cells(batch.withColumn("_v", F.col(at)), order, width)
+        rows = with_leads(rows, [key], [F.max("_v").alias("_v")], [earlier(F.max, "_v")])
+        before = F.max("_v").over(inside([key], order).rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("_before", before).where(f"{LEAD} = 1")
+        known = high.withColumnRenamed(key, "_key")
+        rows = rows.join(known, rows[key].eqNullSafe(known["_key"]), "left")
+        top = F.greatest("_before", "_high")
+        judged = rows.withColumn("accepted", F.coalesce(F.col(at) > top, F.col(at).isNotNull() & top.isNull()))
+        judged.select(*batch.columns, "accepted").write.mode("overwrite").parquet(f"{base}/out/n={number}")
+        tops = high.union(batch.select(key, at)).groupBy(key).agg(F.max("_high").alias("_high"))
+        tops.write.mode("overwrite").parquet(f"{kept}{number}")
 
-    return df.groupBy(key).applyInPandasWithState(step, schema, "high long", "append", GroupStateTimeout.NoTimeout)
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{base}/in")
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(judge).start().awaitTermination()
+    schema = StructType([*parts[0].schema.fields, StructField("accepted", BooleanType())])
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
