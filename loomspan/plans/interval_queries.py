@@ -11,6 +11,7 @@ from ..operators.joins import overlapping, points_in_intervals
 from ..operators.matching import match_one_to_one
 from ..operators.ordered import following, ordinals, positions, previous
 from ..operators.sampling import percentiles
+from ..operators.scan import scan
 from .registry import CELL_TICKS, CLOCK, EV, SIDES, Tables, islands, query
 
 SECOND, MINUTE, DAY = 1_000_000, 60_000_000, 86_400_000_000
@@ -522,10 +523,9 @@ def window_around_event(t):
 
 
 def _shots(t, gap=6 * 3600 * SECOND):
-    w = Window.partitionBy("u").orderBy("s", "id")
-    cut = F.lag("s").over(w).isNull() | (F.col("s") - F.lag("s").over(w) > gap) | (F.col("k") == "signup")
-    x = t.intervals().withColumn("cut", F.when(cut, 1).otherwise(0)).withColumn("i", F.row_number().over(w) - 1)
-    return x.withColumn("shot", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = F.col("prev_s").isNull() | (F.col("s") - F.col("prev_s") > gap) | (F.col("k") == "signup")
+    x = scan(t.intervals().select("u", "s", "id", "k"), ["u"], ["s", "id"], ["s"], cut)
+    return x.withColumnRenamed("segment", "shot")
 
 
 SHOTS = f"{CLOCK}, c0 as (select *, case when lag(s) over (partition by u order by i) is null or s - lag(s) over (partition by u order by i) > {6 * 3600 * SECOND} or k = 'signup' then 1 else 0 end cut from ck), sh as (select *, sum(cut) over (partition by u order by i rows unbounded preceding)::bigint shot from c0)"
@@ -553,14 +553,12 @@ def change_point_flags(t):
 
 @query(f"with {CLOCK}, c0 as (select u, i, k, case when k is distinct from lag(k) over (partition by u order by i) then 1 else 0 end c from ck), g as (select u, i, k, sum(c) over (partition by u order by i rows unbounded preceding) g from c0) select u, k, min(i) first, count(*) n from g group by u, k, g")
 def rle_blocks(t):
-    w = Window.partitionBy("u").orderBy("s", "id")
-    x = t.intervals().select("u", "s", "id", "k", (F.row_number().over(w) - 1).alias("i"), F.when(F.col("k").eqNullSafe(F.lag("k").over(w)), 0).otherwise(1).alias("c"))
-    x = x.withColumn("g", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy("u", "k", "g").agg(F.min("i").alias("first"), F.count("*").alias("n")).drop("g")
+    x = scan(t.intervals().select("u", "s", "id", "k"), ["u"], ["s", "id"], ["k"], (F.col("i") == 0) | ~F.col("k").eqNullSafe(F.col("prev_k")))
+    return x.groupBy("u", "k", "segment").agg(F.min("i").alias("first"), F.count("*").alias("n")).drop("segment")
 
 
 @query(f"with {CLOCK} select u, i // 16 chunk, count(*) n, string_agg(id::varchar, ',' order by i) ids from ck group by 1, 2")
 def chunk_16(t):
-    x = t.clock().withColumn("chunk", F.floor(F.col("i") / 16))
+    x = scan(t.intervals().select("u", "s", "id"), ["u"], ["s", "id"]).withColumn("chunk", F.floor(F.col("i") / 16))
     ids = F.transform(F.sort_array(F.collect_list(F.struct("i", "id"))), lambda r: r["id"].cast("string"))
     return x.groupBy("u", "chunk").agg(F.count("*").alias("n"), F.array_join(ids, ",").alias("ids"))

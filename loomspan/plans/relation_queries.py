@@ -12,6 +12,8 @@ from ..operators import joins as jn
 from ..operators import leakage as lk
 from ..operators import sampling as sp
 from ..operators.ordered import ordinals, previous, running_max
+from ..operators.scan import nearest_mark, scan
+from ..sources.shared import Scratch
 from .registry import BOX, CELL_TICKS, CLOCK, EV, SIDES, islands, query
 
 HOUR = 3_600_000_000
@@ -102,19 +104,19 @@ ANCH = f"{CLOCK}, an as (select *, case when i % 8 = 0 or i = max(i) over (parti
 
 
 def _anchored(t):
-    last = F.max("i").over(Window.partitionBy("u"))
-    x = t.clock().withColumn("last", last).withColumn("a", (F.col("i") % 8 == 0) | (F.col("i") == F.col("last")))
-    return jn.neighbours(x, ["u"], "i", F.col("a"))
+    """Every eighth place and the last are anchors, of value v in tenths."""
+    x = t.intervals().select("u", "s", "id", F.floor(F.col("v") * 10).cast("long").alias("y"))
+    return scan(x, ["u"], ["s", "id"], mark=F.expr("i % 8 = 0 or i = n - 1"), value=F.col("y"))
 
 
 @query(f"with {ANCH} select u, i, prev, nxt from nb")
 def asof_bracket(t):
-    return _anchored(t).select("u", "i", "prev", F.col("next").alias("nxt"))
+    return _anchored(t).select("u", "i", F.col("before.i").alias("prev"), F.col("after.i").alias("nxt"))
 
 
 @query(f"with {ANCH} select u, i from an where a is not null")
 def anchor_schedule(t):
-    return _anchored(t).where("a").select("u", "i")
+    return _anchored(t).where("before.i = i").select("u", "i")
 
 
 SPARSE = f"{CLOCK}, c1 as (select *, case when lag(s) over (partition by u order by i) is null or s - lag(s) over (partition by u order by i) > 21600000000 then 1 else 0 end c from ck), c2 as (select *, sum(c) over (partition by u order by i rows unbounded preceding)::bigint shot, case when k = 'purchase' then i end a from c1)"
@@ -124,28 +126,27 @@ def nearest_sql(part: str) -> str:
     return f"{SPARSE}, nb as (select *, last_value(a ignore nulls) over (partition by {part} order by i rows between unbounded preceding and current row) p, first_value(a ignore nulls) over (partition by {part} order by i rows between current row and unbounded following) n from c2), ns as (select *, case when n is null or i - p <= n - i then p else n end src from nb)"
 
 
-def _sparse(t, by):
-    w = Window.partitionBy("u").orderBy("i")
-    gap = F.col("s") - F.lag("s").over(w)
-    x = t.clock().withColumn("c", F.when(gap.isNull() | (gap > 6 * HOUR), 1).otherwise(0))
-    x = x.withColumn("shot", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return jn.nearest(jn.neighbours(x, by, "i", F.col("k") == "purchase"), "i")
+def _sparse(t, shots):
+    """Places with the nearest marked one, of the user's shot or anywhere."""
+    gap = F.col("s") - F.col("prev_s")
+    x = scan(t.intervals().select("u", "s", "id", "k"), ["u"], ["s", "id"], ["s"], gap.isNull() | (gap > 6 * HOUR), F.col("k") == "purchase")
+    return nearest_mark(x, shots)
 
 
 @query(f"with {nearest_sql('u, shot')} select u, i, src source, case when src is null or abs(i - src) > 2 then 'NEEDS_INFERENCE' when src = i then 'SAME_FRAME' else 'NEAREST' end state from ns")
 def asof_nearest_bounded(t):
     far = F.col("source").isNull() | (F.col("distance") > 2)
-    return _sparse(t, ["u", "shot"]).select("u", "i", "source", F.when(far, "NEEDS_INFERENCE").when(F.col("distance") == 0, "SAME_FRAME").otherwise("NEAREST").alias("state"))
+    return _sparse(t, True).select("u", "i", "source", F.when(far, "NEEDS_INFERENCE").when(F.col("distance") == 0, "SAME_FRAME").otherwise("NEAREST").alias("state"))
 
 
 @query(f"with {nearest_sql('u')} select u, i, src source, abs(i - src) distance from ns where src is not null")
 def asof_nearest_unbounded(t):
-    return _sparse(t, ["u"]).where("source is not null").select("u", "i", "source", "distance")
+    return _sparse(t, False).where("source is not null").select("u", "i", "source", "distance")
 
 
 @query(f"with {nearest_sql('u, shot')}, h as (select u, count(a) n from c2 group by 1) select ns.u, case when h.n = 0 then 'UNRESOLVABLE' when src = i then 'SAME_FRAME' when src is not null and abs(i - src) <= 2 then 'SHOT_NEAREST' else 'NEEDS_INFERENCE' end state, count(*) n, max(abs(i - src)) farthest from ns join h on h.u = ns.u group by 1, 2")
 def coverage_four_state(t):
-    x = _sparse(t, ["u", "shot"])
+    x = _sparse(t, True)
     any_ = x.groupBy("u").agg(F.count_if(F.col("k") == "purchase").alias("has"))
     state = F.when(F.col("has") == 0, "UNRESOLVABLE").when(F.col("distance") == 0, "SAME_FRAME").when(F.col("distance") <= 2, "SHOT_NEAREST").otherwise("NEEDS_INFERENCE")
     return x.join(any_, "u").groupBy("u", state.alias("state")).agg(F.count("*").alias("n"), F.max("distance").alias("farthest"))
@@ -154,7 +155,7 @@ def coverage_four_state(t):
 @query(f"with {nearest_sql('u')} select u, count_if(src = i)::bigint same, count_if(src <> i)::bigint copied, min(case when src <> i then abs(i - src) end) nearest, max(case when src <> i then abs(i - src) end) farthest, count_if(abs(i - src) > 3)::bigint far from ns where src is not null group by u")
 def copy_profile(t):
     d = F.when(F.col("distance") > 0, F.col("distance"))
-    return _sparse(t, ["u"]).where("source is not null").groupBy("u").agg(F.count_if(F.col("distance") == 0).alias("same"), F.count_if(F.col("distance") > 0).alias("copied"), F.min(d).alias("nearest"), F.max(d).alias("farthest"), F.count_if(F.col("distance") > 3).alias("far"))
+    return _sparse(t, False).where("source is not null").groupBy("u").agg(F.count_if(F.col("distance") == 0).alias("same"), F.count_if(F.col("distance") > 0).alias("copied"), F.min(d).alias("nearest"), F.max(d).alias("farthest"), F.count_if(F.col("distance") > 3).alias("far"))
 
 
 INTERP = f"{ANCH}, av as (select u, i, floor(v * 10)::bigint y from an where a is not null)"
@@ -163,12 +164,10 @@ INTERP = f"{ANCH}, av as (select u, i, floor(v * 10)::bigint y from an where a i
 @query(f"with {INTERP} select nb.u, nb.i, case when nb.nxt = nb.prev then p.y else round_even((p.y * (nb.nxt - nb.i) + n.y * (nb.i - nb.prev))::double / (nb.nxt - nb.prev), 0)::bigint end y from nb join av p on p.u = nb.u and p.i = nb.prev join av n on n.u = nb.u and n.i = nb.nxt")
 def interp_linear(t):
     """Whole-number interpolation between anchors, half to even, without leaving integers."""
-    x = t.clock().withColumn("last", F.max("i").over(Window.partitionBy("u")))
-    here = F.struct("i", F.floor(F.col("v") * 10).alias("y"))
-    x = jn.neighbours(x, ["u"], "i", (F.col("i") % 8 == 0) | (F.col("i") == F.col("last")), here)
-    a, b, i = F.col("prev"), F.col("next"), F.col("i")
+    x = _anchored(t)
+    a, b, i = F.col("before"), F.col("after"), F.col("i")
     gap = F.greatest(b["i"] - a["i"], F.lit(1))
-    y = F.when(a["i"] == b["i"], a["y"]).otherwise(geo.half_even(a["y"] * (b["i"] - i) + b["y"] * (i - a["i"]), gap))
+    y = F.when(a["i"] == b["i"], a["v"]).otherwise(geo.half_even(a["v"] * (b["i"] - i) + b["v"] * (i - a["i"]), gap))
     return x.select("u", "i", y.alias("y"))
 
 
@@ -194,18 +193,16 @@ select u, i, case when i = q1 then z1 when q0 is not null and q3 is not null and
 def interp_pchip(t):
     """Monotone cubic in gaps of eight that have a support more on either side (1 to 8 away), the linear rule elsewhere;
     whole numbers, half to even."""
-    here = F.struct("i", F.floor(F.col("v") * 10).cast("long").alias("y"))
-    x = t.clock().withColumn("last", F.max("i").over(Window.partitionBy("u")))
-    anchor = (F.col("i") % 8 == 0) | (F.col("i") == F.col("last"))
-    w = Window.partitionBy("u").orderBy("i")
-    marks = x.where(anchor).select("u", here.alias("p"), F.lag(here).over(w).alias("o"), F.lead(here).over(w).alias("q"), F.lead(here, 2).over(w).alias("r"), "i")
-    x = jn.neighbours(x, ["u"], "i", anchor).select("u", F.col("i").alias("f"), F.col("prev").alias("i")).join(marks, ["u", "i"])
-    k, gap = F.col("f") - F.col("i"), F.col("q.i") - F.col("p.i")
-    full = F.col("o").isNotNull() & F.col("r").isNotNull() & (gap == 8)
-    cubic = geo.pchip([F.col(f"{c}.y") for c in "opqr"], F.col("p.i") - F.col("o.i"), F.col("r.i") - F.col("q.i"), k)
-    line = geo.half_even(F.col("p.y") * (gap - k) + F.col("q.y") * k, gap)
-    y = F.when(k == 0, F.col("p.y")).when(full, cubic).otherwise(line)
-    return x.select("u", F.col("f").alias("i"), y.alias("y"), F.when(k == 0, "ANCHOR").when(full, "PCHIP").otherwise("LINEAR").alias("src"))
+    rows = Scratch(t.spark, "supports").keep(_anchored(t).select("u", "i", "y", F.col("before.i").alias("at")), "rows")
+    here, w = F.struct("i", "y"), Window.partitionBy("u").orderBy("i")
+    # Supports are an eighth of the rows; their tangents are made once for each support, not for each place.
+    marks = rows.where("i = at").select("u", "i", here.alias("p"), F.lag(here).over(w).alias("o"), F.lead(here).over(w).alias("q"))
+    o, p, q = F.col("o"), F.col("p"), F.col("q")
+    marks = marks.withColumn("t1", geo.tangent(p["i"] - o["i"], q["i"] - p["i"], p["y"] - o["y"], q["y"] - p["y"]))
+    marks = marks.select("u", "i", "p", "q", "t1", F.lead("t1").over(w).alias("t2"))
+    x = rows.select("u", F.col("i").alias("f"), F.col("at").alias("i")).join(marks, ["u", "i"])
+    gap = geo.Gap(F.col("p"), F.col("q"), F.col("t1"), F.col("t2"), F.col("f") - F.col("i"))
+    return geo.interpolate(x, gap, pchip=geo.cubic_rule(), linear=geo.linear_rule).select("u", F.col("f").alias("i"), "y", "src")
 
 
 @query("""with b as (select vec_id, list_transform(embedding, lambda x: x > 0) c from embeddings), r as (select min(vec_id) id, c from b group by c)
