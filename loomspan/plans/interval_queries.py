@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import intervals as iv
+from ..operators.builders import equal_split, hopping, planned_windows
 from ..operators.evaluate import hash_index, salted
 from ..operators.joins import overlapping, points_in_intervals
 from ..operators.matching import match_one_to_one
@@ -507,6 +508,18 @@ def window_hopping_partial(t):
     return _window(_spans(t), F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: i * hop), SIZE).select("u", "a", "b")
 
 
+@query(f"with {SPAN}, n as (select u, t, greatest((t + {W3} - 1) // {W3}, 1) n from sp), w as (select u, t, n, unnest(range(0, n)) i from n) select u, i * t // n a, (i + 1) * t // n b from w")
+def window_builder_equal(t):
+    """Equal windows by a builder that the plan is given."""
+    return planned_windows(_spans(t), "u", "t", equal_split(W3))
+
+
+@query(f"""with {SPAN}, w as (select u, t, unnest(case when t <= {SIZE} then [0::bigint] else list_append(range(0, t - {SIZE} + 1, {HOP}), t - {SIZE}) end) a from sp) select distinct u, a, least(a + {SIZE}, t) b from w""")
+def window_builder_hopping(t):
+    """Hopping windows by a builder that the plan is given."""
+    return planned_windows(_spans(t), "u", "t", hopping(SIZE, HOP))
+
+
 @query(f"""with {SPAN}, r as (select u, t, greatest((t + {W3} - 1) // {W3}, 1) n, row_number() over (order by sha256('pick:' || u)) - 1 r from sp)
 select u, case r % 3 when 0 then 'begin' when 1 then 'interior' else 'end' end stratum, case r % 3 when 0 then 0 when 1 then ('0x' || substr(md5(u::varchar), 1, 8))::bigint % n else n - 1 end pick from r""")
 def window_strata_pick(t):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.functions import geometry as geo
+from loomspan.operators.builders import planned_windows
 from loomspan.operators.scan import nearest_mark, scan
 
 
@@ -89,3 +90,9 @@ def test_rules_are_delegates_in_order(spark):
     gap = geo.Gap(point(0, 10), point(8, 90), nothing, nothing, F.col("id"))
     got = geo.interpolate(df, gap, pchip=geo.cubic_rule(), hold=lambda g: (g.k < 3, g.p["y"], F.lit(1)), linear=geo.linear_rule)
     assert [(r.y, r.src) for r in got.collect()] == [(10, "ANCHOR"), (10, "HOLD"), (10, "HOLD")] + [(10 + 10 * k, "LINEAR") for k in range(3, 9)]
+
+
+def test_windows_of_a_builder_of_ones_own(spark):
+    df = spark.createDataFrame([("a", 5, 1), ("a", 2, 1), (None, 3, 1), ("b", None, 1), ("c", 0, 1)], "k string, end int, a int")
+    got = planned_windows(df, "k", "end", lambda end: [(0, end), (end, end + 1)] if end else [])
+    assert got.columns == ["k", "a", "b"] and sorted(map(tuple, got.collect()), key=str) == sorted([("a", 0, 5), ("a", 5, 6), ("a", 0, 2), ("a", 2, 3), (None, 0, 3), (None, 3, 4)], key=str)
