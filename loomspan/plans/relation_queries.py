@@ -422,7 +422,7 @@ def _groups(t):
     return x.select((F.row_number().over(Window.orderBy("g")) - 1).cast("long").alias("i"), "d", "c")  # twenty groups
 
 
-DRAWS = 200
+DRAWS = 10_000
 
 
 def _draw_sql(seed: str, value: str) -> str:
@@ -679,20 +679,24 @@ def retained_support_union(t):
     return _supports(t).groupBy("u", "i").agg(F.count_if(F.col("id") % 4 != 0).alias("kept")).withColumn("retained", F.col("kept") > 0)
 
 
-@query(f"with {SUP}, a as (select distinct u, i from su where id % 4 = 1), f as (select u, i, count(*) n from ck where id % 5 <> 0 group by 1, 2) select a.u, a.i, case when f.n is null then 'FIELD_MISSING' when f.n > 1 then 'FIELD_TWICE' else 'OK' end state from a left join f using (u, i)")
+@query(f"with {SUP}, a as (select u, i, bool_or(id % 4 = 1) added from su group by u, i), f as (select u, i, count_if(id % 5 <> 0)::bigint n from ck group by 1, 2) select a.u, a.i, case when not a.added then 'NOT_ADDED' when f.n = 0 then 'FIELD_MISSING' when f.n > 1 then 'FIELD_TWICE' else 'OK' end state from a join f using (u, i)")
 def added_fields(t):
     """Each added ordinal takes its field from a table, exactly once: what is missing or given twice is said."""
-    added = _supports(t).where("id % 4 = 1").select("u", "i").distinct()
-    fields = t.clock().where("id % 5 != 0").groupBy("u", "i").agg(F.count("*").alias("n"))
-    return added.join(fields, ["u", "i"], "left").select("u", "i", F.when(F.col("n").isNull(), "FIELD_MISSING").when(F.col("n") > 1, "FIELD_TWICE").otherwise("OK").alias("state"))
+    judged = _supports(t).groupBy("u", "i").agg(F.bool_or(F.col("id") % 4 == 1).alias("added"))
+    fields = t.clock().groupBy("u", "i").agg(F.count_if(F.col("id") % 5 != 0).alias("n"))
+    state = F.when(~F.col("added"), "NOT_ADDED").when(F.col("n") == 0, "FIELD_MISSING").when(F.col("n") > 1, "FIELD_TWICE").otherwise("OK")
+    return judged.join(fields, ["u", "i"]).select("u", "i", state.alias("state"))
 
 
-@query(f"with {SUP}, b as (select distinct u, i from su where id % 4 = 0), k as (select u, i, string_agg(id::varchar, ',' order by id) added from su where id % 4 = 1 group by 1, 2) select k.u, k.i, k.added from k left join b using (u, i) where b.u is null")
+@query(f"with {SUP}, k as (select u, i, count_if(id % 4 = 0) base, string_agg(id::varchar, ',' order by id) filter (id % 4 = 1) added, count_if(id % 4 > 1)::bigint refused from su group by u, i) select u, i, case when base > 0 then 'BASE' when added is not null then 'ADDED' else 'LEFT_OUT' end state, case when base = 0 then added end added, refused from k")
 def keep_only_merge(t):
-    x = _supports(t)
-    base = x.where("id % 4 = 0").select("u", "i").distinct()
-    ids = F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda v: v.cast("string")), ",")
-    return x.where("id % 4 = 1").groupBy("u", "i").agg(ids.alias("added")).join(base, ["u", "i"], "left_anti")
+    """Ordinals of the baseline stay; others come in with the candidates judged KEEP, never with those judged NO or
+    UNKNOWN, which are counted."""
+    role = F.col("id") % 4
+    x = _supports(t).groupBy("u", "i").agg(F.count_if(role == 0).alias("base"), F.sort_array(F.collect_list(F.when(role == 1, F.col("id")))).alias("ids"), F.count_if(role > 1).alias("refused"))
+    added = F.array_join(F.transform("ids", lambda v: v.cast("string")), ",")
+    state = F.when(F.col("base") > 0, "BASE").when(F.size("ids") > 0, "ADDED").otherwise("LEFT_OUT")
+    return x.select("u", "i", state.alias("state"), F.when((F.col("base") == 0) & (F.size("ids") > 0), added).alias("added"), "refused")
 
 
 @query("with v as (select distinct event_type arm, sha256(user_id || ':' || (event_id % 3)) k from events where event_type in ('click', 'view')), p as (select k, count(*) n from v group by k) select count(*) views, count_if(n = 2)::bigint shared, count_if(n = 1)::bigint own from p")

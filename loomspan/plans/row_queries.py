@@ -153,13 +153,15 @@ def scan_csv_roundtrip(t):
     return delimited.scan(t.spark, path, "event_id long, event_type string, user_id long, value double, props string")
 
 
-@query("select 'part' stem, 'json' suffix, count(*) > 0 as found from events")
+@query("select event_type as kind, 'json' suffix, true as stemmed from events group by 1")
 def directory_stems(t):
-    """A folder's files by stem and suffix."""
+    """A folder's files by stem, up to the last dot of a name, and suffix, for the folder of each kind."""
     path = shared_path(t.spark, "stems")
-    t.events.select("event_id").write.json(path)
+    t.events.select("event_id", "event_type").write.partitionBy("event_type").json(path)
     x = stem_index(t.spark, path).where("suffix = 'json'")
-    return x.groupBy(F.substring_index("stem", "-", 1).alias("stem"), "suffix").agg((F.count("*") > 0).alias("found"))
+    # Spark names its files part-<task>-<uuid>.c<number>.json.
+    stemmed = F.col("stem").rlike(r"^part-[0-9a-f-]+\.c\d+$")
+    return x.groupBy(F.regexp_extract("path", "event_type=([^/]+)/", 1).alias("kind"), "suffix").agg(F.bool_and(stemmed).alias("stemmed"))
 
 
 @query("select o_orderkey % 50 member, count(*) n from orders group by 1")
@@ -167,7 +169,7 @@ def archive_roundtrip(t):
     """Members of deterministic ZIP packages: written, read back, their lines counted."""
     path = shared_path(t.spark, "zip")
     x = t.orders.select((F.col("o_orderkey") % 50).alias("member"), F.to_json(F.struct("o_orderkey", "o_orderstatus")).alias("line"))
-    archive.write_packages(x, path, "member", "line", packages=4)
+    archive.write_packages(x, path, "member", "line", packages=50)
     found = archive.members(t.spark, path).select(F.regexp_extract("member", r"^(\d+)\.jsonl$", 1).cast("long").alias("member"), F.split(F.decode("content", "utf-8"), "\n").alias("lines"))
     return found.select("member", (F.size("lines") - 1).cast("long").alias("n"))
 

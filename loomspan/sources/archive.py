@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -43,25 +44,36 @@ def _package(rows: list[tuple[str, list[str]]]) -> bytes:
 
 def write_packages(df: DataFrame, path: str, member: str, line: str, packages: int) -> int:
     """Writes `package-%05d.zip` below a folder that all executors reach (a URI or an absolute path): members by name,
-    lines in order. Each is read back and its checksums compared before it takes its name. Returns the number written."""
+    lines in order. Members are dealt over `packages`, one of which a task holds at a time: take as many as keep a package
+    to what a task can hold. Each is read back and its checksums compared before it takes its name. Returns the number written."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
         store.create_dir(root, recursive=True)
-        held: dict[int, dict[str, list[str]]] = {}
-        for batch in batches:
-            for p, m, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(p, {}).setdefault(m, []).append(x)
-        for p, found in held.items():
-            body = _package(sorted(found.items()))
+        held: dict[str, list[str]] = {}
+        number = None
+
+        def close() -> pa.RecordBatch:
+            body = _package(sorted(held.items()))
             with zipfile.ZipFile(io.BytesIO(body)) as z:
-                if z.testzip() or any(i.CRC != zlib.crc32("".join(f"{x}\n" for x in found[i.filename.removesuffix(".jsonl")]).encode()) for i in z.infolist()):
-                    raise OSError(f"package {p} does not read back")
-            name = f"{root}/package-{p:05d}.zip"
-            with store.open_output_stream(f"{name}.{id(held)}.tmp") as f:
+                if z.testzip() or any(i.CRC != zlib.crc32("".join(f"{x}\n" for x in held[i.filename.removesuffix(".jsonl")]).encode()) for i in z.infolist()):
+                    raise OSError(f"package {number} does not read back")
+            name = f"{root}/package-{number:05d}.zip"
+            attempt = f"{name}.{uuid.uuid4().hex}.tmp"
+            with store.open_output_stream(attempt) as f:
                 f.write(body)
-            store.move(f"{name}.{id(held)}.tmp", name)
-            yield pa.RecordBatch.from_pylist([{"package": p, "bytes": len(body)}])
+            store.move(attempt, name)
+            return pa.RecordBatch.from_pylist([{"package": number, "bytes": len(body)}])
+
+        for batch in batches:
+            for p, m, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and p != number:
+                    yield close()
+                    held = {}
+                number = p
+                held.setdefault(m, []).append(x)
+        if held:
+            yield close()
 
     dealt = df.select(F.pmod(F.xxhash64(member), F.lit(packages)).alias("p"), F.col(member).cast("string").alias("m"), F.col(line).alias("x"))
     done = dealt.repartition(packages, "p").sortWithinPartitions("p", "m", "x").mapInArrow(write, "package long, bytes long")

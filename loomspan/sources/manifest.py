@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+STEM = r"^(.+?)(?:\.([^.]+))?$"
+
 
 def content_rows(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, sha) of each file below a folder."""
@@ -13,10 +15,11 @@ def content_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stem_index(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, suffix, path, size) of each file below a folder; contents are not read."""
+    """(stem, suffix, path, size) of each file below a folder; contents are not read. The stem ends at the last dot of
+    the name; names that begin with a dot or an underscore are left out, as by all of Spark's readers."""
     x = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     name = F.substring_index("path", "/", -1)
-    return x.select(F.regexp_extract(name, r"^(.[^.]*)", 1).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("suffix"), "path", "size")
+    return x.select(F.regexp_extract(name, STEM, 1).alias("stem"), F.lower(F.regexp_extract(name, STEM, 2)).alias("suffix"), "path", "size")
 
 
 def manifest_audit(listed: DataFrame, found: DataFrame, key: str) -> DataFrame:

@@ -20,7 +20,7 @@ from loomspan.operators.ordered import positions
 from loomspan.operators.sampling import global_rank, percentiles
 from loomspan.plans.registry import Tables
 from loomspan.sources import archive
-from loomspan.sources.manifest import content_rows
+from loomspan.sources.manifest import content_rows, stem_index
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -202,6 +202,13 @@ def test_packages_are_deterministic(spark, tmp_path):
     assert sorted((r.member, r.content.count(b"\n")) for r in archive.members(spark, str(tmp_path / "one")).collect()) == [("a.jsonl", 20), ("b.jsonl", 20), ("c.jsonl", 20)]
 
 
+def test_stems_end_at_the_last_dot(spark, tmp_path):
+    for name in ("a.b.mp4", "plain", ".hidden", "x.JSON"):
+        (tmp_path / name).write_text("abc")
+    got = stem_index(spark, str(tmp_path)).collect()
+    assert {(r.stem, r.suffix) for r in got} == {("a.b", "mp4"), ("plain", ""), ("x", "json")}  # Spark lists no hidden files
+
+
 def test_content_rows(spark, tmp_path):
     (tmp_path / "a.txt").write_text("abc")
     assert [(r.size, r.sha[:8]) for r in content_rows(spark, str(tmp_path)).collect()] == [(3, "ba7816bf")]

@@ -2,9 +2,12 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from loomspan.sources.shared import shared_path
 from loomspan.streaming import jobs
+from loomspan.streaming.journal import Conflict, Journal
 from loomspan.streaming.ledger import STORE, admit, close_leases
 
 ROW = "ledger string, id long, job string, reserve long, charge long, at long"
@@ -61,3 +64,14 @@ def test_parts_hold_every_row_once(spark):
     df = spark.range(10).select(F.when(F.col("id") > 1, F.col("id")).alias("v"))
     assert [sorted((r.v or 0) for r in p.collect()) for p in jobs.in_parts(df, "v", 3)] == [[0, 0, 2, 3, 4], [5, 6, 7], [8, 9]]
     assert sum(p.count() for p in jobs.in_parts(df.limit(0), "v", 3)) == 0
+
+
+def test_a_journal_takes_each_batch_once(spark):
+    journal = Journal(spark, shared_path(spark, "journal"))
+    one = spark.createDataFrame([(1, "a", {"k": 1}), (1, "a", {"k": 1}), (2, None, None)], "i int, s string, m map<string,int>")
+    assert journal.append(one, 0) and not journal.append(one.orderBy(F.desc("i")), 0) and journal.append(one, 1)
+    assert Journal(spark, journal.path).append(one.limit(0), 2)
+    for other in (one.limit(2), one.union(one), one.withColumn("i", F.lit(9)), one.withColumnRenamed("i", "j"), one.limit(0)):
+        with pytest.raises(Conflict):
+            journal.append(other, 0)
+    assert journal.read(one.schema).count() == 6
