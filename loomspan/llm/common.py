@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, shared_dir
 
-__all__ = ["GOLDEN", "Scratch", "mix64", "shared_dir", "step", "word_hashes", "words_of"]
+__all__ = ["GOLDEN", "Scratch", "mix64", "row_hash", "shared_dir", "step", "word_hashes", "words_of"]
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WRAP = (1 << 64) - 1
@@ -34,3 +36,9 @@ def words_of(text: str | None) -> list[bytes]:
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all values of a row; maps and variants, which have no hash of their own, go by their JSON."""
+    plain = lambda f: not any(x in f.dataType.simpleString() for x in ("map<", "variant"))
+    return F.xxhash64(*[df[f"`{f.name}`"] if plain(f) else F.to_json(F.struct(df[f"`{f.name}`"].alias("v"))) for f in df.schema.fields])

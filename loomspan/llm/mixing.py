@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordered import positions
-from .common import Scratch
+from .common import Scratch, row_hash
 from .feistel import permute
 
 BLOCK_WORDS = 64
@@ -162,7 +162,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     pieces = pieces.select(F.struct("doc_id", "size", "h", "source").alias("name"), "pieces")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("h"), F.col("source").cast("string").alias("source"))
-    named = docs.select(name.alias("name"), F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("place"))
+    named = docs.select(name.alias("name"), F.struct(*docs.columns).alias("row"), row_hash(docs).alias("place"))
     joined = named.join(pieces, "name").groupBy("name").agg(F.min_by(F.struct("row", "pieces"), "place").alias("x")).select("x.*")
     taken = joined.withColumn("part", F.explode(F.udf(_slices, "array<string>", useArrow=True)(F.col("row.text"), F.col("pieces"))))
     own = {"text": F.col("part"), "n_chars": F.length("part").cast(dict(docs.dtypes).get("n_chars", "long"))}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, shared_dir
 from .feistel import permute
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -217,6 +217,20 @@ def write_shards(records: DataFrame, path: str) -> DataFrame:
     return records.select(*names).mapInArrow(write, INDEX)
 
 
+def kept_folder(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int = SEQUENCE, shard: int = SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """A folder for the shards of these documents that outlives the session, named after their content and the
+    options: a run over the same documents finds what an earlier one has written. It lies below the setting
+    `spark.loomspan.output.dir`, or, where that is unset, below the shared folder; nothing clears it."""
+    spark = docs.sparkSession
+    h = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    n, folded, total = docs.select(h.alias("h")).agg(F.count("*"), F.coalesce(F.bit_xor("h"), F.lit(0)), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0))).first()
+    with open(tokenizer, "rb") as f:
+        words = hashlib.sha256(f.read()).hexdigest()
+    name = hashlib.sha256(f"{n}:{folded}:{total}:{words}:{sequence}:{shard}:{key}".encode()).hexdigest()[:32]
+    base = spark.conf.get("spark.loomspan.output.dir", None) or f"{shared_dir(spark)}/output"
+    return f"{base.rstrip('/')}/shards-{name}"
+
+
 _INDEX = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.string())
 
 

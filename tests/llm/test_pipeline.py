@@ -129,3 +129,50 @@ def test_the_whole_pipeline(spark, sf):
     assert not ids & {r.doc_id for r in found.where("contaminated").collect()}
     groups = [r.component_id for r in minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).where(f"doc_id in ({','.join(map(str, ids))})").collect()]
     assert len(groups) == len(ids) and np.mean([docs[i] is not None for i in ids]) == 1
+
+
+LATER = """
+import sys
+from pyspark.sql import SparkSession
+import corpus_pipeline as cp
+from loomspan.llm import token_output
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.loomspan.output.dir", sys.argv[2]).getOrCreate()
+docs = spark.read.parquet(sys.argv[1])
+rows = cp.token_stage(spark, docs, "").collect()
+at = token_output.kept_folder(docs)
+body = token_output.read_records(f"{at}/files", 0, len(rows))
+print("SLOTS", len(rows), body.shape[0], int(body.astype("int64").sum()))
+"""
+
+
+def test_shards_outlive_the_session_and_are_not_written_again(spark, tmp_path):
+    """A session of its own, which ends, finds the shards of another: only the one that is gone is written again."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    docs = f"{tmp_path}/docs"
+    table(spark, [(i, sentence(random.Random(i), 9000), "s") for i in range(60)]).write.parquet(docs)
+
+    def later():
+        done = subprocess.run([sys.executable, "-c", LATER, docs, str(tmp_path / "out")], capture_output=True, text=True, timeout=300, check=True, cwd=str(Path(cp.__file__).parent))
+        return done.stdout.rpartition("SLOTS")[2].split()
+
+    first = later()
+    (folder,) = (tmp_path / "out").iterdir()
+    shards = sorted((folder / "files").iterdir())
+    before = {p.name: p.stat().st_mtime_ns for p in shards}
+    held = shards[0].read_bytes()
+    assert len(shards) > 1
+    shards[-1].unlink()
+    assert later() == first and int(first[0]) == int(first[1]) > 0
+    after = {p.name: p.stat().st_mtime_ns for p in (folder / "files").iterdir() if p.suffix == ".bin"}
+    assert set(after) == {n for n in before if n.endswith(".bin")} and shards[0].read_bytes() == held
+    assert all(after[p.name] == before[p.name] for p in shards[:-1]) and after[shards[-1].name] != before[shards[-1].name]
+
+
+def test_stages_take_columns_without_a_hash(spark, folder, rows):
+    wide = table(spark, rows).selectExpr("*", "map('k', doc_id) m", "parse_json('[1]') v")
+    for stage in (cp.near_duplicate_stage, cp.mixing_stage):
+        out = stage(spark, wide, folder[0])
+        assert out.columns == wide.columns and out.count() == stage(spark, table(spark, rows), folder[0]).count()
