@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontaminate, minhash, mixing, quality, token_output
-from loomspan.llm.common import Scratch
+from loomspan.llm.common import Scratch, row_hash
 
 
 def _text_hash(df: DataFrame) -> Column:
@@ -42,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and so do rows without an id, which are linked with nothing.
     """
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("k_id")).distinct()
-    named = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("n_id"), F.xxhash64(*docs.columns).alias("place"))
+    named = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("n_id"), row_hash(docs).alias("place"))
     one = named.join(kept, F.col("n_id") == F.col("k_id"), "left_semi").groupBy("n_id").agg(F.min_by("row", "place").alias("row"))
     return one.select("row.*").unionByName(docs.where("doc_id is null"))
 
@@ -67,13 +67,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fixed-stride token records in training order, written as shard files below the shared folder; a row for each
-    record says where it lies and which documents it holds.
+    """Fixed-stride token records in training order, written as shard files; a row for each record says where it lies and
+    which documents it holds.
 
-    Null and empty texts give an end mark alone; ids may be null or repeat. No documents: no files and no rows.
+    Shards and index stay, below `token_output.kept_folder`: a run over the same documents writes only the shards that
+    are not there yet. Null and empty texts give an end mark alone; ids may be null or repeat. No documents: no files
+    and no rows.
     """
-    scratch = Scratch(spark, "shards")
-    return scratch.keep(token_output.write_shards(token_output.training_records(docs), scratch.path("files")), "index")
+    kept = token_output.kept_folder(docs)
+    index = token_output.write_shards(token_output.training_records(docs), f"{kept}/files")
+    index.write.mode("overwrite").parquet(f"{kept}/index")
+    return spark.read.schema(index.schema).parquet(f"{kept}/index")
 
 
 STAGES = [
