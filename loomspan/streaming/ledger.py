@@ -29,7 +29,7 @@ class _Admission(StatefulProcessor):
         self.jobs = handle.getMapState("jobs", "job string", "until long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        charged = self.spent.get()[0] if self.spent.exists() else 0
+        charged = (self.spent.get() or (0,))[0]
         found = pd.concat(list(rows)).sort_values(["at", "id"])
         states, prior, taken = [], [], []
         for job, reserve, charge, at in zip(found["job"], found["reserve"], found["charge"], found["at"], strict=True):
@@ -82,7 +82,7 @@ class _Lease(StatefulProcessor):
         self.consumers = handle.getMapState("consumers", "consumer string", "registered boolean, accepted boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        registered, accepted, repeated, strange = self.sums.get() if self.sums.exists() else (0, 0, 0, 0)
+        registered, accepted, repeated, strange = self.sums.get() or (0, 0, 0, 0)
         again = 0
         for frame in rows:
             for consumers, consumer in zip(frame["consumers"], frame["consumer"], strict=True):
@@ -90,11 +90,11 @@ class _Lease(StatefulProcessor):
                     again += 1  # a lease has one complete list of consumers
                 elif consumers is not None:
                     for c in consumers:
-                        held = self.consumers.getValue((c,)) if self.consumers.containsKey((c,)) else (False, False)
+                        held = self.consumers.getValue((c,)) or (False, False)
                         self.consumers.updateValue((c,), (True, held[1]))
                         registered, accepted, strange = registered + 1, accepted + held[1], strange - held[1]
                 else:
-                    held = self.consumers.getValue((consumer,)) if self.consumers.containsKey((consumer,)) else (False, False)
+                    held = self.consumers.getValue((consumer,)) or (False, False)
                     self.consumers.updateValue((consumer,), (held[0], True))
                     repeated += held[1]
                     accepted += held[0] and not held[1]
