@@ -66,8 +66,11 @@ def test_near_duplicates_match_brute_force(spark, odd):
     assert all(r.kept == (r.doc_id == r.component_id or r.doc_id is None) for r in got)
 
 
-def test_near_duplicates_of_borderline_group(spark):
-    """Many near copies around the threshold: the pairs that stars leave must be tested too."""
+@pytest.mark.parametrize("block, load", [(minhash.BLOCK, minhash.LOAD), (16, 300)])
+def test_near_duplicates_of_borderline_group(spark, monkeypatch, block, load):
+    """Many near copies around the threshold: the pairs that stars leave must be tested too, however blocks are cut."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "LOAD", load)
     rng = random.Random(11)
     base = words(rng, 60, 10**6).split()
     rows = []
