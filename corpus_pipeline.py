@@ -75,7 +75,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and no rows.
     """
     kept = token_output.kept_folder(docs)
-    index = token_output.write_shards(token_output.training_records(docs), f"{kept}/files")
+    index = token_output.write_training_shards(docs, f"{kept}/files")
     index.write.mode("overwrite").parquet(f"{kept}/index")
     return spark.read.schema(index.schema).parquet(f"{kept}/index")
 

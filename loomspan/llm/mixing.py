@@ -63,7 +63,9 @@ class Mix:
         self.plan = plan = targets([(r["source"], r["size"]) for r in sums])
         self.blocks = blocks = np.array([-(-n // block_words) for _, n, _ in plan], np.int64)
         self.quota = quota = np.array([round(t * int(b) / n) if n else 0 for (_, n, t), b in zip(plan, blocks, strict=True)], np.int64)
-        table = spark.createDataFrame([(k, s, n, t) for k, (s, n, t) in enumerate(plan)], "k int, name string, source_size long, target double")
+        # As Arrow: rows from a list would start Python workers of another kind on the executors.
+        kinds = (("k", pa.int32()), ("name", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()))
+        table = spark.createDataFrame(pa.Table.from_pylist([{"k": k, "name": s, "source_size": n, "target": t} for k, (s, n, t) in enumerate(plan)], pa.schema(kinds)))
         rows = base.join(F.broadcast(table), base["source"].eqNullSafe(table["name"])).drop("name").withColumn("words", F.col("size") * F.col("copies"))
         full = positions(rows.where("size > 0"), ["k"], [F.xxhash64("doc_id", "h", F.lit(seed)), F.col("doc_id"), F.col("size"), F.col("h")], "start", weight="words")
         rows = full.unionByName(rows.where("size = 0").withColumn("start", F.lit(-1).cast("long"))).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))

@@ -82,13 +82,9 @@ class _Group:
         return out
 
 
-def training_records(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int = SEQUENCE, shard: int = SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per sequence, in slot order inside range partitions: slot, shard, record, n_tokens, doc_ids,
-    tokens (little-endian uint16, `sequence` of them; a group's last is padded with the end mark).
-
-    Null or empty texts give the end mark alone. Null ids are kept as null in doc_ids; repeated rows are
-    packed each time. An empty table gives no rows. Two runs agree, whatever the partitioning.
-    """
+def _sequences(docs: DataFrame, tokenizer: str, sequence: int, shard: int, key: int, id_col: str, text_col: str) -> DataFrame:
+    """slot, n_tokens, doc_ids, body (compressed tokens) of each sequence, in slot order inside range partitions that hold
+    whole shards."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     with open(tokenizer, "rb") as f:
@@ -143,17 +139,28 @@ def training_records(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int
         if group.size:
             yield ready([(*group.close(), first)])
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            slot = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot // shard), pa.array((slot % shard).astype(np.int32)), batch.column(1), batch.column(2), pa.array([unpack.decompress(x) for x in batch.column(3).to_pylist()], pa.binary())], names=["slot", "shard", "record", "n_tokens", "doc_ids", "tokens"])
-
     # Dealt explicitly: a join may be broadcast and would then leave groups apart.
     ordered = tokens.repartition("g").join(base, "g").select("g", "doc_id", "h", "ids", "base").sortWithinPartitions("g", "doc_id", "h")
     moved = ordered.mapInArrow(pack, "part long, slot long, n_tokens int, doc_ids array<long>, body binary")
-    moved = moved.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("slot").drop("part")
-    return moved.mapInArrow(unfold, RECORDS)
+    return moved.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("slot").drop("part")
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
+    """The records of batches of sequences."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        slot = batch.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slot // shard), pa.array((slot % shard).astype(np.int32)), batch.column(1), batch.column(2), pa.array([unpack.decompress(x) for x in batch.column(3).to_pylist()], pa.binary())], names=["slot", "shard", "record", "n_tokens", "doc_ids", "tokens"])
+
+
+def training_records(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int = SEQUENCE, shard: int = SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per sequence, in slot order inside range partitions: slot, shard, record, n_tokens, doc_ids,
+    tokens (little-endian uint16, `sequence` of them; a group's last is padded with the end mark).
+
+    Null or empty texts give the end mark alone. Null ids are kept as null in doc_ids; repeated rows are
+    packed each time. An empty table gives no rows. Two runs agree, whatever the partitioning.
+    """
+    return _sequences(docs, tokenizer, sequence, shard, key, id_col, text_col).mapInArrow(lambda batches: _unfolded(batches, shard), RECORDS)
 
 
 INDEX = "slot long, shard long, record int, n_tokens int, doc_ids array<long>, first_byte long, n_bytes int, sha256 string"
@@ -175,6 +182,36 @@ def _put(store: pyarrow.fs.FileSystem, name: str, body: bytes, digest: str) -> N
     store.move(attempt, name)
 
 
+def _written(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Writes the shards of batches of records; the index rows of each."""
+    store, root = _store(path)
+    store.create_dir(root, recursive=True)
+    held: list[tuple] = []
+    done: set[int] = set()
+
+    def close() -> pa.RecordBatch:
+        rows = sorted(held, key=lambda r: r[2])
+        number = rows[0][1]
+        if number in done or [r[2] for r in rows] != list(range(len(rows))) or len({len(r[5]) for r in rows}) != 1:
+            raise ValueError(f"shard {number} does not come whole and in one piece")
+        done.add(number)
+        body = b"".join(r[5] for r in rows)
+        digest = hashlib.sha256(body).hexdigest()
+        _put(store, f"{root}/shard-{number:08d}.bin", body, digest)
+        stride = len(rows[0][5])
+        columns = [*zip(*(r[:5] for r in rows), strict=True), [i * stride for i in range(len(rows))], [stride] * len(rows), [digest] * len(rows)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[1] != held[0][1]:
+                yield close()
+                held = []
+            held.append(row)
+    if held:
+        yield close()
+
+
 def write_shards(records: DataFrame, path: str) -> DataFrame:
     """Writes the records as raw files `path/shard-%08d.bin` of fixed stride. A row for each record: slot, shard, record,
     n_tokens, doc_ids, where its bytes lie (first_byte, n_bytes), and its shard's sha256.
@@ -185,36 +222,18 @@ def write_shards(records: DataFrame, path: str) -> DataFrame:
     files and no rows.
     """
     names = ["slot", "shard", "record", "n_tokens", "doc_ids", "tokens"]
+    return records.select(*names).mapInArrow(lambda batches: _written(batches, path), INDEX)
+
+
+def write_training_shards(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, sequence: int = SEQUENCE, shard: int = SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`write_shards` of the documents' `training_records`, by one Python worker a task: tokens go from the shuffle into
+    files and do not pass through Spark again; a batch unfolds a part at a time."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = _store(path)
-        store.create_dir(root, recursive=True)
-        held: list[tuple] = []
-        done: set[int] = set()
-
-        def close() -> pa.RecordBatch:
-            rows = sorted(held, key=lambda r: r[2])
-            number = rows[0][1]
-            if number in done or [r[2] for r in rows] != list(range(len(rows))) or len({len(r[5]) for r in rows}) != 1:
-                raise ValueError(f"shard {number} does not come whole and in one piece")
-            done.add(number)
-            body = b"".join(r[5] for r in rows)
-            digest = hashlib.sha256(body).hexdigest()
-            _put(store, f"{root}/shard-{number:08d}.bin", body, digest)
-            stride = len(rows[0][5])
-            columns = [*zip(*(r[:5] for r in rows), strict=True), [i * stride for i in range(len(rows))], [stride] * len(rows), [digest] * len(rows)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _INDEX, strict=True)], names=[x.split()[0] for x in INDEX.split(", ")])
+        parts = (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
+        yield from _written(_unfolded(parts, shard), path)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[1] != held[0][1]:
-                    yield close()
-                    held = []
-                held.append(row)
-        if held:
-            yield close()
-
-    return records.select(*names).mapInArrow(write, INDEX)
+    return _sequences(docs, tokenizer, sequence, shard, key, id_col, text_col).mapInArrow(write, INDEX)
 
 
 def kept_folder(docs: DataFrame, tokenizer: str = TOKENIZER, sequence: int = SEQUENCE, shard: int = SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> str:

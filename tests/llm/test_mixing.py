@@ -77,3 +77,15 @@ def test_tiny_tables(spark, rows):
     got = mixing.mix_sources(df).collect()
     assert len(got) == len(rows) and all(r.taken == r["size"] for r in got)
     assert mixing.mixed_documents(df).count() == sum(r["size"] > 0 for r in got)
+
+
+def test_the_plan_starts_no_rdd_workers(spark, monkeypatch):
+    """A plan made from a list of rows would be decoded by executors' Python workers of their own kind, beside the others."""
+    docs = table(spark, corpus(random.Random(2))).localCheckpoint()
+
+    def refused(*_, **__):
+        raise AssertionError("an RDD of Python rows")
+
+    monkeypatch.setattr(spark.sparkContext, "parallelize", refused)
+    mix = mixing.Mix(docs, block_words=8, shard_slots=64)
+    assert mix.rows.where("source is null").count() == 41 and mix.rows.select("target").distinct().count() > 1

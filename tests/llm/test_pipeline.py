@@ -112,6 +112,18 @@ def test_token_stage_writes_what_it_says(spark, folder, rows):
     assert all(r.first_byte == r.record * 2048 and r.n_bytes == 2048 for r in got)
 
 
+def test_token_stage_needs_one_python_worker_a_task(spark, folder, rows, monkeypatch):
+    """A step that feeds another in the same task would hold a second worker, which stays with the executor."""
+    docs, steps = table(spark, rows), []
+    plain_step = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: steps.append(plain_step(*a, **k)) or steps[-1])
+    cp.token_stage(spark, docs, folder[0])
+    for step in steps:
+        names = [x.strip(" *:+-()0123456789").split(" ")[0] for x in step._jdf.queryExecution().sparkPlan().toString().splitlines()]
+        tasks = " ".join(names).split("Exchange")
+        assert all(x.count("MapInArrow") <= 1 for x in tasks), names
+
+
 def test_stages_take_empty_tables(spark, folder):
     none = table(spark, [(1, "x", "s")]).where("doc_id = 2")
     for name, stage in cp.STAGES:

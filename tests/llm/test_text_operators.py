@@ -268,6 +268,15 @@ def mixing_free_stream(rows):
     return sorted(coder.decode(part.tolist()) for part in (x[x != token_output.END] for x in np.split(ids, ends + 1)[:-1]))
 
 
+def test_shards_of_documents_are_those_of_their_records(spark, odd, tmp_path):
+    docs = table(spark, odd)
+    one = token_output.write_shards(token_output.training_records(docs, sequence=32, shard=600), f"{tmp_path}/a").collect()
+    other = token_output.write_training_shards(docs, f"{tmp_path}/b", sequence=32, shard=600).collect()
+    assert len(one) > 600 and sorted(one) == sorted(other)
+    files = [{p.name: p.read_bytes() for p in (tmp_path / x).iterdir()} for x in "ab"]
+    assert files[0] == files[1] and len(files[0]) > 1
+
+
 def test_long_text_tokenizes_like_a_short_one(monkeypatch):
     with open(token_output.TOKENIZER, "rb") as f:
         ranks = f.read()
