@@ -204,9 +204,9 @@ class Index:
         self.size = np.array([len(c) for c in fit.coded], np.int64)
         self.counts = [Counter(c) for c in self.passages]
         self.least = np.array([next(t for t in range(1, n + 1) if t / n >= SUBSEQUENCE) if n >= SHORT else n for n in self.size.tolist()], np.int64)
-        self.member = np.zeros((len(passages), len(fit.code) + 1), bool)
+        self.times = np.zeros((len(passages), len(fit.code) + 1), np.uint8)  # how often a passage has a word: PASSAGE_WORDS at most
         for j, c in enumerate(fit.coded):
-            self.member[j, c] = True
+            np.add.at(self.times[j], c, 1)
         self.rows = (idf[:, None] * basis).astype(np.float32)  # by code; that of 0 is zero
         vectors = np.array([self.rows[c].sum(axis=0) for c in fit.coded], np.float32).reshape(-1, self.rows.shape[1])
         self.vectors = vectors / np.maximum(np.sqrt((vectors**2).sum(axis=1)), 1e-9)[:, None]
@@ -346,14 +346,26 @@ class Index:
                     yield from zip(piece[good].tolist(), j[good].tolist(), (b - begin[piece])[good].tolist(), strict=True)
 
     def _enough(self, steps: np.ndarray, begin: np.ndarray, end: np.ndarray, j: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the six steps around window b hold as many words of passage j as a subsequence needs."""
-        out = np.empty(len(b), bool)
+        """Whether the six steps around window b hold as many words of passage j as a subsequence needs: first counting
+        each place, then, in the six steps that are looked at, each word as often as the passage has it."""
+        out = np.zeros(len(b), bool)
+        flat = self.times.reshape(-1)
+
+        def words(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+            at = first[:, None] + np.arange(6)
+            found = steps.take(np.minimum(at, len(steps) - 1).clip(0), axis=0)
+            found[(at < begin[own, None]) | (at >= end[own, None])] = 0
+            return found.reshape(len(own), 6 * steps.shape[1])
+
         for i in range(0, len(b), 2048):
-            own = slice(i, i + 2048)
-            at = b[own, None] + np.arange(-1, 5)
-            words = steps[np.minimum(at, len(steps) - 1)]
-            words[(at < begin[own, None]) | (at >= end[own, None])] = 0
-            out[own] = self.member[j[own, None, None], words].sum(axis=(1, 2)) >= self.least[j[own]]
+            own = np.arange(i, min(i + 2048, len(b)))
+            row = j[own, None] * self.times.shape[1]
+            near = (flat.take(words(own, b[own] - 1) + row) > 0).sum(axis=1, dtype=np.int32) >= self.least[j[own]]
+            own, row = own[near], row[near]
+            held = np.sort(words(own, np.maximum(b[own] - 1, begin[own])), axis=1)
+            times = flat.take(held + row)
+            times[:, 1:][held[:, 1:] == held[:, :-1]] = 0
+            out[own] = times.sum(axis=1, dtype=np.int32) >= self.least[j[own]]
         return out
 
 

@@ -95,3 +95,46 @@ def test_passages_hold_every_word():
         assert sum((w for w, _ in parts), []) == dc.words_of(text) and all(len(w) <= 64 for w, _ in parts)
         assert max(len(w) for w, _ in parts) - min(len(w) for w, _ in parts) <= 1
     assert dc.passages_of(None) == [] and dc.passages_of(" . ") == []
+
+
+def indexed(items):
+    """The index of some passages, with a basis of all words."""
+    passages = [(i, w, a) for i, t in enumerate(items) for w, a in dc.passages_of(" ".join(t) + ".")]
+    fit = dc.Fit(passages)
+    return dc.Index(passages, fit, dc.weights({-1: 100}, len(fit.code)), np.eye(len(fit.code) + 1, dtype=np.float32))
+
+
+def test_repeated_words_are_told_apart_before_sequences_are_compared(monkeypatch):
+    """A text that repeats a few words of a passage is like it by its cosine and by the count of places, but does not hold
+    enough of its words: no window of it goes to the comparison of sequences."""
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(40)]
+    index, looked = indexed([item]), []
+    share = dc.Index.share
+    monkeypatch.setattr(dc.Index, "share", lambda *a: looked.append(1) or share(*a))
+    texts = [[rng.choice(item[:12]) for _ in range(2000)], [*item[:10], *[rng.choice(item[:10]) for _ in range(50)]]]
+    assert index.hits([index.fit.codes([w.encode() for w in t]) for t in texts]) == [{}, {}] and not looked
+    assert index.hits([index.fit.codes([w.encode() for w in ["x", *item, "y"]])]) == [{0: 1.0}] and looked
+
+
+def test_no_window_that_holds_a_passage_is_left_out(monkeypatch):
+    """What the count of words drops, the comparison of sequences refuses."""
+    rng = random.Random(12)
+    items = [words(rng, rng.randrange(8, 64), 60, 2.0) for _ in range(30)]
+    index = indexed(items)
+    texts = [[w for _ in range(4) for w in words(rng, rng.randrange(0, 30), 60, 2.0) + edited(rng, rng.choice(items), 0.3)] for _ in range(40)]
+    seen, enough = [0, 0], dc.Index._enough
+
+    def checked(self, steps, begin, end, j, b):
+        out = enough(self, steps, begin, end, j, b)
+        for i in np.flatnonzero(b > begin).tolist():
+            region = steps[b[i] - 1 : min(b[i] + 5, end[i])].reshape(-1).tolist()
+            held = self.share(int(j[i]), region) > 0
+            seen[0] += held
+            seen[1] += not out[i]
+            assert out[i] or not held
+        return out
+
+    monkeypatch.setattr(dc.Index, "_enough", checked)
+    index.hits([index.fit.codes([w.encode() for w in t]) for t in texts])
+    assert min(seen) > 100
