@@ -707,7 +707,9 @@ def shared_view_budget(t):
 
 @query("with c as (select user_id u, count(*) n, max_by(event_id, value) worst from events group by 1) select u, case when n >= 2 then worst end p2, case when n >= 3 then worst end p3, case when n = 2 then worst end only2 from c")
 def policy_delete(t):
-    c = t.events.groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n"), F.max_by("event_id", "value").alias("w"))
+    # Of equal values the lowest id is the worst, as in SQL over rows by id; nulls on either side are passed over.
+    at = F.when(F.col("event_id").isNotNull() & F.col("value").isNotNull(), F.struct("value", F.bitwise_not("event_id")))
+    c = t.events.groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n"), F.max_by("event_id", at).alias("w"))
     w, n = F.col("w"), F.col("n")
     return c.select("u", F.when(n >= 2, w).alias("p2"), F.when(n >= 3, w).alias("p3"), F.when(n == 2, w).alias("only2"))
 

@@ -228,3 +228,18 @@ def test_assignment_is_the_best_of_all():
     for _ in range(400):
         pred, truth = ([(a := rng.randrange(6), a + rng.randrange(1, 8)) for _ in range(rng.randrange(1, 6))] for _ in range(2))
         assert assign(shares(pred, truth, Fraction(1, 4))) == exact_pairs(pred, truth, Fraction(1, 4))
+
+
+def test_equal_values_leave_the_first_event_as_worst(spark, tmp_path):
+    """Ties, nulls on either side, NaN and zeros of both signs: as the SQL says on one thread, over rows by id."""
+    nan = float("nan")
+    rows = [(i, i % 7, (7.5, 7.5, 3.0)[i // 7 % 3]) for i in range(210)] + [(210, 7, None), (211, 7, 1.0), (212, 7, 1.0), (213, 8, -0.0), (214, 8, 0.0), (215, 9, None), (216, 10, nan), (217, 10, nan), (218, 10, 9.0), (219, None, 2.0), (220, None, 2.0), (None, 11, 5.0), (222, 11, 4.0), (223, 11, 4.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect(config={"threads": 1})
+    db.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = sorted(map(repr, db.execute(plans.ORACLES["policy_delete"]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in plans.QUERIES["policy_delete"](spark, str(tmp_path)).collect()) == want
+    spread = events.repartition(16, "value", "event_id").write.mode("overwrite")
+    spread.parquet(str(tmp_path / "spread" / "events.parquet"))
+    assert sorted(repr(tuple(r)) for r in plans.QUERIES["policy_delete"](spark, str(tmp_path / "spread")).collect()) == want
