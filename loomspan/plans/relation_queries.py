@@ -450,12 +450,13 @@ def bootstrap_ratio(t):
 sl as (select n.g, d draw, {md5_index("'in:' || n.g || ':' || d || ':' || j", 'n.n')} i from n, range(0, 10) a(d), range(0, n.n) b(j)), m as (select draw, it.g, sum(v) / count(*) m from sl join it on it.g = sl.g and it.i = sl.i group by 1, 2) select draw, round(avg(m), 6) macro from m group by draw""")
 def bootstrap_within(t):
     x = t.events.select((F.col("user_id") % 20).alias("g"), "event_id", F.floor(F.col("value") * 100).alias("v"))
-    x = sp.positions(x, ["g"], [F.col("event_id")], "i")
-    n = x.groupBy("g").agg(F.count("*").alias("n"))
-    sl = n.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    x = sp.positions(x, ["g"], [F.col("event_id")], "i", total="n")
+    # A group has as many slots as rows, so each row makes its slot of every draw: no task makes all of a group's. Slots
+    # seem few to the planner, which would broadcast them.
+    sl = x.withColumnRenamed("i", "j").withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
     sl = sl.select("g", "draw", ev.hash_index(F.col("n"), F.lit("in"), F.col("g").cast("string"), F.col("draw").cast("string"), F.col("j").cast("string")).alias("i"))
-    m = sl.join(x, ["g", "i"]).groupBy("draw", "g").agg((F.sum("v") / F.count("*")).alias("m"))
-    return m.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.round(F.avg("m"), 6).alias("macro"))
+    m = sl.hint("merge").join(x.select("g", "i", "v"), ["g", "i"]).groupBy("draw", "g").agg((F.sum("v") / F.count("*")).alias("m"))
+    return m.groupBy("draw").agg(F.round(F.avg("m"), 6).alias("macro"))
 
 
 @query("with x as (select l_returnflag k, l_quantity a, l_linenumber b from lineitem), r as (select k, rank() over (partition by k order by a) + (count(*) over (partition by k, a) - 1) / 2.0 ra, rank() over (partition by k order by b) + (count(*) over (partition by k, b) - 1) / 2.0 rb from x) select k, round(corr(ra, rb), 6) rho from r group by k")

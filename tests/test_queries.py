@@ -1,6 +1,7 @@
 """Every registered query against its SQL, and hand-made cases of the interval, join and box operators."""
 
 import hashlib
+import itertools
 import random
 from fractions import Fraction
 
@@ -243,3 +244,21 @@ def test_equal_values_leave_the_first_event_as_worst(spark, tmp_path):
     spread = events.repartition(16, "value", "event_id").write.mode("overwrite")
     spread.parquet(str(tmp_path / "spread" / "events.parquet"))
     assert sorted(repr(tuple(r)) for r in plans.QUERIES["policy_delete"](spark, str(tmp_path / "spread")).collect()) == want
+
+
+def test_slots_of_a_bootstrap_are_not_broadcast(spark, sf):
+    """Exploded slots look few to the planner; no broadcast may hold them where the rows are too many for one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        df = plans.QUERIES["bootstrap_within"](spark, sf)
+        df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and "Generate explode" in plan
+    lines = [(len(x) - len(x.lstrip(" :+-")), x) for x in plan.splitlines()]
+    for i, (depth, line) in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda x, d=depth: x[0] > d, lines[i + 1 :])
+            assert not any("Generate" in x for _, x in below)
