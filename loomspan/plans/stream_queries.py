@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import running_sum
 from ..sources.shared import shared_path
-from ..streaming.jobs import event_stream, in_parts, reject_late, run, run_parts
+from ..streaming.jobs import event_stream, follow_leases, in_parts, reject_late, run, run_parts
 from ..streaming.journal import Journal
-from ..streaming.ledger import STORE, admit, close_leases
+from ..streaming.ledger import STORE, admit
 from .registry import CELL_TICKS, query
 
 PARTS = 3  # of a table, fed to a stream one after another
@@ -116,4 +116,4 @@ def stream_leases(t):
     named = t.lineitem.groupBy(lease).agg(F.transform(F.collect_set("l_linenumber"), lambda c: c.cast("string")).alias("consumers")).withColumn("consumer", F.lit(None).cast("string"))
     said = t.lineitem.where("l_returnflag <> 'N'").select(lease, F.lit(None).cast("array<string>").alias("consumers"), F.col("l_linenumber").cast("string").alias("consumer"))
     parts = [said.where("consumer = '2'"), named, said.where("consumer <> '2'")]
-    return run_parts(parts, close_leases, ["lease"], "leases", "update", STORE).select("lease", "registered", "accepted", "released", "repeated")
+    return follow_leases(parts).select("lease", "registered", "accepted", "released", "repeated")

@@ -14,7 +14,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators.ordered import LEAD, earlier, in_cells, inside, with_leads
-from ..sources.shared import shared_path
+from ..sources.shared import Scratch, shared_path
 
 
 def event_stream(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
@@ -110,3 +110,50 @@ def reject_late(parts: Sequence[DataFrame], key: str, at: str, order: str, width
         stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(judge).start().awaitTermination()
     schema = StructType([*parts[0].schema.fields, StructField("accepted", BooleanType())])
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out")
+
+
+HELD = "lease long, consumer string, named boolean, said long"
+LEASES = "lease long, registered long, accepted long, released boolean, repeated long, strange long, again long"
+
+
+def follow_leases(parts: Sequence[DataFrame], name: str = "leases") -> DataFrame:
+    """The newest state of each lease, over parts of (lease, consumers, consumer) that are fed to a stream one after
+    another; columns as in `ledger.close_leases`, which calls Python and the state store for each lease of a batch.
+
+    Here a batch is judged by grouped sums, so leases cost rows, and one with most rows spreads over its consumers. The
+    state is a row for each consumer of a lease, named by the lease or not, with how often it has said that it accepts: a
+    table that each batch writes anew under its own number, so a batch that is tried again reads what the batch before
+    has written. A lease takes the first list that is not empty, each name once; of several in one batch, which have no
+    order, the smallest."""
+    spark = parts[0].sparkSession
+    scratch = Scratch(spark, name)
+    base = scratch.path("table")
+    spark.createDataFrame([], HELD).write.parquet(f"{base}/held/n=-1")
+
+    def judge(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        held = session.read.schema(HELD).parquet(f"{base}/held/n={number - 1}")
+        full = F.size("consumers") > 0
+        lists = batch.where("consumers is not null").groupBy("lease").agg(F.min(F.when(full, F.col("consumers"))).alias("names"), F.count("*").alias("lists"), F.count_if(full).alias("full"))
+        known = held.where("named").select(F.col("lease").alias("_lease"), F.lit(True).alias("_known")).distinct()
+        lists = lists.join(known, F.col("lease").eqNullSafe(F.col("_lease")), "left")
+        names = lists.where("_known is null").select("lease", F.explode(F.array_distinct("names")).alias("consumer"), F.lit(True).alias("named"), F.lit(0).cast("long").alias("said"))
+        said = batch.where("consumers is null").select("lease", "consumer", F.lit(False).alias("named"), F.lit(1).cast("long").alias("said"))
+        now = held.union(names).union(said).groupBy("lease", "consumer").agg(F.bool_or("named").alias("named"), F.sum("said").alias("said"))
+        now.write.mode("overwrite").parquet(f"{base}/held/n={number}")
+        now = session.read.schema(HELD).parquet(f"{base}/held/n={number}")
+        again = F.when(F.col("_known"), F.col("lists")).otherwise(F.greatest(F.col("full") - 1, F.lit(0)))
+        # Leases of the batch have a number here, and only they are written.
+        touched = batch.select("lease", F.lit(0).cast("long").alias("again")).union(lists.select("lease", again))
+        rows = now.unionByName(touched, allowMissingColumns=True)
+        says = F.col("said") > 0
+        sums = [F.count_if("named").alias("registered"), F.count_if(F.col("named") & says).alias("accepted"), F.coalesce(F.sum(F.greatest(F.col("said") - 1, F.lit(0))), F.lit(0)).alias("repeated"), F.count_if(~F.col("named") & says).alias("strange"), F.max("again").alias("again")]
+        out = rows.groupBy("lease").agg(*sums).where("again is not null").withColumn("released", (F.col("registered") > 0) & (F.col("registered") == F.col("accepted")))
+        out.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/n={number}")
+        scratch.drop(f"table/held/n={number - 2}")  # no batch reads it again
+
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{base}/in")
+        stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").foreachBatch(judge).start().awaitTermination()
+    return _results(spark, spark.createDataFrame([], LEASES), base, ["lease"], "update")

@@ -1,10 +1,12 @@
 """State of streams over several batches and restarts."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan import plans
 from loomspan.sources.shared import shared_path
 from loomspan.streaming import jobs
 from loomspan.streaming.journal import Conflict, Journal
@@ -46,6 +48,54 @@ def test_leases_close_with_their_last_consumer(spark):
     assert {r.lease: (r.registered, r.accepted, r.released, r.repeated, r.strange, r.again) for r in got.collect()} == {1: (2, 2, True, 1, 1, 0), 2: (1, 0, False, 0, 0, 1), 3: (0, 0, False, 0, 0, 0)}
 
 
+def loop_over(batches):
+    """The newest state of each lease, row by row."""
+    named, said, out = {}, {}, {}
+    for batch in batches:
+        again = dict.fromkeys((r[0] for r in batch), 0)
+        for lease in again:
+            lists = sorted(c for k, c, _ in batch if k == lease and c is not None)
+            full = [c for c in lists if c]
+            again[lease] = len(lists) if lease in named else max(0, len(full) - 1)
+            if full:
+                named.setdefault(lease, set(full[0]))
+        for lease, c, consumer in batch:
+            if c is None:
+                said.setdefault(lease, []).append(consumer)
+        for lease, n in again.items():
+            names, heard = named.get(lease, set()), said.get(lease, [])
+            got = set(heard)
+            out[lease] = (len(names), len(names & got), bool(names) and names <= got, len(heard) - len(got), len(got - names), n)
+    return out
+
+
+def test_leases_are_followed_without_a_call_for_each(spark):
+    """Hand-made batches, and drawn ones with null keys and consumers, doubled names and a hot lease: as a loop says, and
+    with thousands of leases in the time of a few."""
+    shape = "lease long, consumers array<string>, consumer string"
+    rows = [[(1, None, "b"), (2, ["z"], None), (3, [], None)], [(1, ["a", "b"], None), (1, None, "q")], [(1, None, "a"), (1, None, "a"), (2, ["y"], None)]]
+    got = jobs.follow_leases(parts(spark, *rows, shape=shape))
+    assert {r.lease: (r.registered, r.accepted, r.released, r.repeated, r.strange, r.again) for r in got.collect()} == {1: (2, 2, True, 1, 1, 0), 2: (1, 0, False, 0, 0, 1), 3: (0, 0, False, 0, 0, 0)}
+    rng = random.Random(3)
+    batches = []
+    for _ in range(4):
+        drawn = [(rng.choice([None, 0, 0, 0, *range(40)]), rng.choice([None, None, [], [rng.choice("abcd") for _ in range(3)]]), rng.choice(["a", "b", "c", "d", "e", None])) for _ in range(150)]
+        batches.append([(k, c, None if c is not None else v) for k, c, v in drawn])
+    got = jobs.follow_leases(parts(spark, *batches, shape=shape))
+    assert {r.lease: (r.registered, r.accepted, r.released, r.repeated, r.strange, r.again) for r in got.collect()} == loop_over(batches)
+
+
+def test_many_leases_take_little_time(spark, tmp_path):
+    """30,000 leases: about two minutes where each is a call to the state store."""
+    lines = spark.range(90_000).select((F.col("id") % 30_000).alias("l_orderkey"), (F.col("id") / 30_000 + 1).cast("int").alias("l_linenumber"), F.when(F.col("id") % 7 == 0, "N").otherwise("R").alias("l_returnflag"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    began = time.monotonic()
+    got = plans.QUERIES["stream_leases"](spark, str(tmp_path)).agg(F.count("*"), F.sum("registered"), F.sum("accepted"), F.count_if("released"), F.sum("repeated")).first()
+    want = lines.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("n")).agg(F.count("*"), F.sum("n"), F.count_if(F.col("n") == 3)).first()
+    assert tuple(got) == (want[0], 90_000, want[1], want[2], 0)
+    assert time.monotonic() - began < 60
+
+
 def test_late_points_of_a_hot_key(spark):
     """One key with most rows, nulls and ties, over three batches: as a loop over the rows says."""
     rng = random.Random(7)
