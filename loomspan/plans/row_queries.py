@@ -100,12 +100,13 @@ def scan_tolerant_lines(t):
     path = shared_path(t.spark, "lines")
     _faulty(t).select("line").repartition(3).write.text(path)
     x = lines.scan(t.spark, path, 10_000)
-    x = lines.numbered(x).withColumn("end", F.col("first") + F.octet_length("line") + 1)
+    at = F.regexp_extract("line", r'^\{"id":(\d+),', 1).cast("long")
+    x = x.select("file", "first", F.octet_length("line").alias("size"), at.alias("id"), "issue", "fault")
+    x = lines.numbered(x).withColumn("end", F.col("first") + F.col("size") + 1)
     # A file's lines follow each other without a gap.
     ends = x.select("file", (F.col("number") + 1).alias("number"), F.col("end").alias("before"))
     x = x.join(ends, ["file", "number"], "left").withColumn("placed", F.col("first") == F.coalesce("before", F.lit(0)))
-    at = F.regexp_extract("line", r'^\{"id":(\d+),', 1).cast("long")
-    return x.groupBy(F.coalesce("issue", F.lit("RECORD")).alias("issue"), "fault").agg(F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.sum(at).alias("ids"), F.bool_and("placed").alias("placed"))
+    return x.groupBy(F.coalesce("issue", F.lit("RECORD")).alias("issue"), "fault").agg(F.count("*").alias("n"), F.sum(F.col("size") + 1).alias("bytes"), F.sum("id").alias("ids"), F.bool_and("placed").alias("placed"))
 
 
 @query("""select event_id, case event_id % 6 when 1 then 'DUPLICATE_KEY' when 3 then 'DUPLICATE_KEY' when 4 then 'JSON_PARSE' when 5 then 'CONSTANT' end issue from events""")

@@ -1,12 +1,14 @@
 """A tolerant source of JSON lines: every line of every file, with what is wrong with it.
 
-`spark.read.format("json_lines")` after `register(spark)`, or `scan`. Files are cut into byte ranges, one task each; a
-line belongs to the range that holds its first byte, so ranges need not end with lines.
+`spark.read.format("json_lines")` after `register(spark)`, or `scan`. Files are cut into byte ranges; a line belongs to the
+range that holds its first byte, so ranges need not end with lines. A range is a task where there are few; small ones
+share tasks where there are many.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.fs
@@ -16,11 +18,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.json_tape import report_lines
 from ..operators.ordered import positions
+from .shared import Scratch
 
 SCHEMA = "file string, first long, line string, issue string, fault string, at long"
 RANGE_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+AHEAD_BYTES = 4096  # first read beyond a range, for the end of its last line
 BATCH_LINES = 4096
+TASK_BYTES = 4 << 20  # of small ranges that share a task
+TASKS = 64  # that small ranges are dealt to before they share one
 
 
 def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -30,9 +36,11 @@ def store_of(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
-class Range(InputPartition):
-    def __init__(self, file: str, start: int, stop: int):
-        self.file, self.start, self.stop = file, start, stop
+class Ranges(InputPartition):
+    """(file, start, stop) of the ranges of a task."""
+
+    def __init__(self, ranges: Sequence[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
 class JsonLines(DataSource):
@@ -53,31 +61,47 @@ class Reader(DataSourceReader):
     def __init__(self, path: str, range_bytes: int):
         self.path, self.range_bytes = path, max(1, range_bytes)
 
-    def partitions(self) -> Sequence[Range]:
+    def partitions(self) -> Sequence[Ranges]:
         store, at = store_of(self.path)
         info = store.get_file_info(at)
         if info.type == pyarrow.fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         found = [info] if info.is_file else [x for x in store.get_file_info(pyarrow.fs.FileSelector(at, recursive=True)) if x.is_file and not any(p.startswith(("_", ".")) for p in x.path[len(at) :].split("/"))]
-        return [Range(x.path, a, min(a + self.range_bytes, x.size)) for x in sorted(found, key=lambda x: x.path) for a in range(0, x.size, self.range_bytes)] or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.file:
-            return
-        store, _ = store_of(self.path)
-        firsts: list[int] = []
-        lines: list[bytes] = []
-        size = 0
-        with store.open_input_file(partition.file) as f:
-            for first, line in ranged_lines(f, partition.start, partition.stop):
-                firsts.append(first)
-                lines.append(line)
-                size += len(line)
-                if len(lines) >= BATCH_LINES or size >= READ_BYTES:
-                    yield _batch(partition.file, firsts, lines)
-                    firsts, lines, size = [], [], 0
-        if lines:
-            yield _batch(partition.file, firsts, lines)
+        ranges = [(x.path, a, min(a + self.range_bytes, x.size)) for x in sorted(found, key=lambda x: x.path) for a in range(0, x.size, self.range_bytes)]
+        return [Ranges(x) for x in _dealt(ranges)] or [Ranges([])]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for file, ranges in groupby(partition.ranges, key=lambda x: x[0]):
+            firsts: list[int] = []
+            lines: list[bytes] = []
+            size = 0
+            store, _ = store_of(self.path)
+            with store.open_input_file(file) as f:
+                for _, start, stop in ranges:
+                    for first, line in ranged_lines(f, start, stop):
+                        firsts.append(first)
+                        lines.append(line)
+                        size += len(line)
+                        if len(lines) >= BATCH_LINES or size >= READ_BYTES:
+                            yield _batch(file, firsts, lines)
+                            firsts, lines, size = [], [], 0
+            if lines:
+                yield _batch(file, firsts, lines)
+
+
+def _dealt(ranges: Sequence[tuple[str, int, int]]) -> list[list[tuple[str, int, int]]]:
+    """The ranges of each task, in order: up to TASK_BYTES, less where that would leave fewer than TASKS tasks."""
+    room = min(TASK_BYTES, sum(b - a for _, a, b in ranges) // TASKS)
+    out: list[list[tuple[str, int, int]]] = []
+    held = room
+    for x in ranges:
+        size = x[2] - x[1]
+        if not out or held + size > room:
+            out.append([])
+            held = 0
+        out[-1].append(x)
+        held += size
+    return out
 
 
 def ranged_lines(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
@@ -86,7 +110,9 @@ def ranged_lines(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int,
     f.seek(at)
     rest: list[bytes] = []  # of the line that has begun
     first, inside = start, start == 0
-    while data := f.read(READ_BYTES):
+    ahead = AHEAD_BYTES
+    while data := f.read(min(READ_BYTES, stop - at if at < stop else ahead)):
+        ahead = ahead if at < stop else 2 * ahead
         parts = data.split(b"\n")
         for i, part in enumerate(parts):
             rest.append(part)
@@ -99,6 +125,8 @@ def ranged_lines(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int,
                     return
             else:
                 at += len(part)
+        if not inside and at >= stop:
+            return  # no line begins here
     if inside and b"".join(rest):
         yield first, b"".join(rest).removesuffix(b"\r")
 
@@ -132,5 +160,7 @@ def scan(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
 
 
 def numbered(lines: DataFrame) -> DataFrame:
-    """Adds number: the line's place in its file, from 1."""
+    """Adds number: the line's place in its file, from 1. The lines are written first: sorting looks at its rows twice,
+    and to judge a line costs more than to read it back."""
+    lines = Scratch(lines.sparkSession, "lines").keep(lines, "lines")
     return positions(lines, ["file"], [F.col("first")], "number").withColumn("number", F.col("number") + 1)

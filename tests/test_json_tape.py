@@ -149,6 +149,43 @@ def test_every_line_is_in_one_range(monkeypatch):
             assert got == want, (body, step)
 
 
+class Counted(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    taken = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        self.taken += len(data)
+        return data
+
+
+def test_a_small_range_reads_little_more_than_itself():
+    """Lines of 30 bytes, and one of 300,000 in whose middle no range may read on to its end."""
+    for body in ((b"x" * 29 + b"\n") * 10_000, b"x" * 299_999 + b"\n"):
+        raw = Counted(body)
+        got = [x for a in range(0, len(body), 1000) for x in ls.ranged_lines(pa.PythonFile(raw, "r"), a, min(a + 1000, len(body)))]
+        assert [x for _, x in got] == body.split(b"\n")[:-1]
+        assert raw.taken < 8 * len(body)
+
+
+def test_small_ranges_share_tasks(tmp_path, monkeypatch):
+    """Many ranges over a few files are dealt to few tasks, and every line is read once; a few ranges are a task each."""
+    monkeypatch.setattr(ls, "TASK_BYTES", 20_000)
+    want = []
+    for name, n in (("a", 40_000), ("b", 1), ("c", 0), ("d", 33_333)):
+        whole = [b'{"id":%d}' % i + b" " * (i % 40) for i in range(n)]
+        (tmp_path / name).write_bytes(b"\n".join(whole))
+        want += [(str(tmp_path / name), x.decode()) for x in whole]
+    reader = ls.Reader(str(tmp_path), 100)
+    tasks = reader.partitions()
+    total = sum(x.stat().st_size for x in tmp_path.iterdir())
+    assert 64 <= len(tasks) <= total // 20_000 * 2
+    got = [(f, x) for t in tasks for b in reader.read(t) for f, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    assert got == want
+    assert len(ls.Reader(str(tmp_path), total // 20).partitions()) >= 20
+
+
 def test_lines_are_records_and_issues(spark, tmp_path):
     whole = [b'{"a":1}', b"", b'{"a":\xff}', b"[1]", b'{"b":"\xc3\xa9"}\r', b"{bad"] * 200
     (tmp_path / "one.jsonl").write_bytes(b"\n".join(whole))
