@@ -288,8 +288,9 @@ def _report_piece(lines: pa.Array) -> pa.Array:
         issue[line[i]], fault[line[i]], at[line[i]] = "DUPLICATE_KEY", "DUPLICATE_KEY", byte[i]
     found = np.flatnonzero(clean & (tape.constant >= 0))
     issue[found], fault[found], at[found] = "CONSTANT", "CONSTANT", tape.constant[found]
-    for i in np.flatnonzero(~clean):
-        blank = not lines[int(i)].as_py().strip() if lines[int(i)].is_valid else True
+    dirty = np.flatnonzero(~clean)
+    for i, text in zip(dirty.tolist(), lines.take(pa.array(dirty)).to_pylist(), strict=True):
+        blank = text is None or not text.strip()
         issue[i], fault[i], at[i] = ("BLANK_LINE", None, 0) if blank else ("JSON_PARSE", FAULTS[tape.fault[i]], tape.fault_at[i])
     nulls = np.array([x is None for x in issue])
     columns = [pa.array(issue, pa.string()), pa.array(fault, pa.string()), pa.array(at, pa.int64(), mask=nulls)]

@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,18 +115,18 @@ def ranged_lines(f: pa.NativeFile, start: int, stop: int) -> Iterator[tuple[int,
     ahead = AHEAD_BYTES
     while data := f.read(min(READ_BYTES, stop - at if at < stop else ahead)):
         ahead = ahead if at < stop else 2 * ahead
-        parts = data.split(b"\n")
-        for i, part in enumerate(parts):
-            rest.append(part)
-            if i < len(parts) - 1:
-                end = at + len(part) + 1
-                if inside:
-                    yield first, b"".join(rest).removesuffix(b"\r")
-                first, inside, at, rest = end, True, end, []
-                if first >= stop:
-                    return
-            else:
-                at += len(part)
+        *whole, part = data.split(b"\n")
+        for line in whole:
+            end = at + len(line) + 1
+            if rest:
+                line, rest = b"".join([*rest, line]), []
+            if inside:
+                yield first, line.removesuffix(b"\r")
+            first, inside, at = end, True, end
+            if first >= stop:
+                return
+        rest.append(part)
+        at += len(part)
         if not inside and at >= stop:
             return  # no line begins here
     if inside and b"".join(rest):
@@ -141,10 +143,12 @@ def _batch(file: str, firsts: list[int], lines: list[bytes]) -> pa.RecordBatch:
         broken = [i for i, x in enumerate(lines) if shown[i].encode() != x]
         text = pa.array(shown, pa.string())
     found = report_lines(text)
-    issue, fault, at = (found.field(i).to_pylist() for i in range(3))
-    for i in broken:
-        issue[i], fault[i], at[i] = "ENCODING", "ENCODING", None
-    return pa.RecordBatch.from_arrays([pa.array([file] * len(lines)), pa.array(firsts, pa.int64()), text, pa.array(issue, pa.string()), pa.array(fault, pa.string()), pa.array(at, pa.int64())], names=["file", "first", "line", "issue", "fault", "at"])
+    issue, fault, at = (found.field(i) for i in range(3))
+    if broken:
+        mask = np.zeros(len(lines), bool)
+        mask[broken] = True
+        issue, fault, at = (pc.if_else(pa.array(mask), pa.scalar(v, x.type), x) for v, x in (("ENCODING", issue), ("ENCODING", fault), (None, at)))
+    return pa.RecordBatch.from_arrays([pa.array([file] * len(lines)), pa.array(firsts, pa.int64()), text, issue, fault, at], names=["file", "first", "line", "issue", "fault", "at"])
 
 
 def register(spark: SparkSession) -> None:
